@@ -6,14 +6,14 @@ import importlib
 
 #: module, query, SQL constant
 ENTRIES = [
-    #("byte_bpe", "op1_byte_bpe", None),
-    #("token_counts", "op2_token_counts", None),
-    #("decontaminate", "op3_decontaminate", None),
-    #("suffix_dedup", "op4_suffix_dedup", None),
+    ("byte_bpe", "op1_byte_bpe", None),
+    ("token_counts", "op2_token_counts", None),
+    ("decontaminate", "op3_decontaminate", None),
+    ("suffix_dedup", "op4_suffix_dedup", None),
     ("language_id", "op5_language_id", None),
     ("topk_search", "op6_topk_search", "OP6_SQL"),
     ("simhash", "op7_simhash", None),
-    #("line_dedup", "op8_line_dedup", None),
+    ("line_dedup", "op8_line_dedup", None),
     ("chat_format", "op9_chat_format", "OP9_SQL"),
     ("license_scan", "op10_license_scan", "OP10_SQL"),
 ]
