@@ -39,16 +39,15 @@ def chosen_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """(tree, leaf, id, depth) for each message of the `best` highest scored root-to-leaf paths of each root."""
     nodes = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     own = nodes.alias("n").join(nodes.select("tree", "id").alias("p"), _same("n", "p") & (F.col("n.parent") == F.col("p.id")), "left")
-    jump = stored(own.select("n.tree", "n.id", F.col("p.id").alias("up"), F.col("n.id").alias("root"), F.lit(0).cast("long").alias("depth"), "n.score"), "reach")
     # up: the ancestor 2^k above; root, depth and score: of the path walked so far, up itself left out
-    jump = stored(jump.withColumn("depth", F.lit(1).cast("long")), "reach")
+    walked = own.select("n.tree", "n.id", F.col("p.id").alias("up"), F.col("n.id").alias("root"), F.lit(1).cast("long").alias("depth"), "n.score")
+    jump = stored(walked, "reach")
     steps = [jump.select("tree", "id", "up")]
     while jump.filter("up IS NOT NULL").limit(1).count():
-        far = jump.alias("n").join(jump.alias("u"), _same("n", "u") & (F.col("n.up") == F.col("u.id")), "left")
-        jump = stored(
-            far.select("n.tree", "n.id", F.col("u.up").alias("up"), F.coalesce("u.root", "n.root").alias("root"), (F.col("n.depth") + F.coalesce("u.depth", F.lit(0))).alias("depth"), (F.col("n.score") + F.coalesce("u.score", F.lit(0.0))).alias("score")),
-            "reach",
-        )
+        # paths that have reached their root walk no further
+        far = jump.filter("up IS NOT NULL").alias("n").join(jump.alias("u"), _same("n", "u") & (F.col("n.up") == F.col("u.id")))
+        farther = far.select("n.tree", "n.id", F.col("u.up").alias("up"), "u.root", (F.col("n.depth") + F.col("u.depth")).alias("depth"), (F.col("n.score") + F.col("u.score")).alias("score"))
+        jump = stored(farther.unionByName(jump.filter("up IS NULL")), "reach")
         steps.append(jump.select("tree", "id", "up"))
     leaves = jump.alias("n").join(nodes.alias("c"), _same("n", "c") & (F.col("n.id") == F.col("c.parent")), "left_anti")
     ranked = leaves.select("tree", "id", "root", "depth", F.row_number().over(Window.partitionBy("tree", "root").orderBy(F.desc("score"), F.desc("depth"), "id")).alias("rank"))

@@ -45,21 +45,42 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def _needles(templates, threshold: float) -> list[str]:
+    """Words of which a line has at least one if it reaches the threshold with any template.
+
+    Dice >= t means that at most 1 - t / (2 - t) of a template's bigrams are missing. Of one bigram more than that,
+    the longest word of each is taken, from the bigrams with the longest words.
+    """
+    words = set()
+    for g in templates:
+        missing = int(len(g) * (1 - threshold / (2 - threshold)) + 1e-9)
+        longest = sorted((max(x.split(), key=lambda w: (len(w), w)) for x in g), key=lambda w: (-len(w), w))
+        words.update(longest[: missing + 1])
+    return sorted(w for w in words if not any(v != w and v in w for v in words))
+
+
+def _any_of(text, words: list[str]):
+    out = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
 def scan_lines(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, license, dice): the best template of each line that reaches the threshold."""
     templates = TEMPLATES if templates is None else templates
     if len(templates) > 200:
         raise ValueError("at most 200 templates are compared as a literal")
     grams = {k: g for k, v in sorted(templates.items()) if (g := bigrams(v))}
+    docs = docs.filter(_any_of(F.lower(text_col), _needles(grams.values(), threshold)))
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("line_no", "line"))
     low, high = min(map(len, grams.values())) * threshold / (2 - threshold), max(map(len, grams.values())) * (2 - threshold) / threshold
-    # cheap bounds before any splitting: n distinct bigrams need n + 1 words and so n blanks or other separators
-    words = F.array_remove(F.split(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "), " ", -1), "")
-    lines = lines.filter(F.char_length("line") >= 2 * low + 1).filter(F.regexp_count("line", F.lit(r"[\p{L}\p{N}]+")).between(int(low) + 1, 4 * int(high)))
-    lines = lines.withColumn("w", words)
+    # a template that reaches the threshold shares all but a few of its bigrams, so one of these words is in the line
+    known = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, g)).alias("g")) for k, g in grams.items()])
+    lines = lines.filter(_any_of(F.lower("line"), _needles(grams.values(), threshold)))
+    lines = lines.withColumn("w", F.array_remove(F.split(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "), " ", -1), ""))
     pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
     lines = lines.filter(F.size("w") > 1).withColumn("grams", pairs).filter(F.size("grams").between(low, high))
-    known = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, g)).alias("g")) for k, g in grams.items()])
     ratio = lambda t: F.size(F.array_intersect(F.col("grams"), t["g"])) * 2.0 / (F.size("grams") + F.size(t["g"]))
     bound = lambda t: (F.size("grams") >= F.size(t["g"]) * (threshold / (2 - threshold))) & (F.size("grams") <= F.size(t["g"]) * ((2 - threshold) / threshold))
     scored = F.transform(F.filter(known, bound), lambda t: F.struct((-ratio(t)).alias("d"), t["license"].alias("license")))
@@ -79,7 +100,7 @@ def _values() -> str:
 OP10_SQL = f"""
 WITH tpl(license, g) AS (VALUES {_values()}),
 l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
-w AS (SELECT doc_id, line_no, list_filter(string_split(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM l WHERE length(line) < 400),
+w AS (SELECT doc_id, line_no, list_filter(string_split(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM l),
 b AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1),
 s AS (SELECT doc_id, line_no, license, 2.0 * len(list_intersect(grams, g)) / (len(grams) + len(g)) AS dice FROM b, tpl WHERE len(grams) <= 40),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) AS k FROM s WHERE dice >= {THRESHOLD})
