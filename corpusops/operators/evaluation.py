@@ -153,16 +153,18 @@ def match_detections(gt: DataFrame, pred: DataFrame, thresholds: list[float] = T
     """
     g = gt.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("idx", "x1", "y1", "x2", "y2"))).alias("g"))
     p = pred.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "idx", "x1", "y1", "x2", "y2"))).alias("p"))
-    rows = g.join(p, "uid").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    # IoU of every prediction with every box of its image, once for all thresholds
+    scored = g.join(p, "uid").select("uid", F.transform("p", lambda d: F.struct(d["idx"].cast("long").alias("idx"), (-d["s"]).alias("score"), F.transform("g", lambda b: B.iou(b, d)).alias("ious"))).alias("p"))
+    rows = scored.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     state = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<idx:bigint,score:double,tp:int>>").alias("out"))
 
     def step(acc, d):
-        free = F.filter(F.transform("g", lambda b, i: F.struct(F.when(F.array_contains(acc["used"], i), -1.0).otherwise(B.iou(b, d)).alias("v"), (-i).alias("i"))), lambda c: c["v"] >= F.col("threshold"))
-        best = F.array_max(free)
-        return F.struct(
-            F.when(best.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], (-best["i"]).cast("int"))).alias("used"),
-            F.array_append(acc["out"], F.struct(d["idx"].cast("long").alias("idx"), (-d["s"]).alias("score"), F.when(best.isNull(), 0).otherwise(1).alias("tp"))).alias("out"),
-        )
+        free = F.transform(d["ious"], lambda v, i: F.when((v >= F.col("threshold")) & ~F.array_contains(acc["used"], i), v).otherwise(-1.0))
+        at = F.when(F.array_max(free) >= 0, F.array_position(free, F.array_max(free)) - 1).cast("int")
+        return F.get(F.transform(F.array(at), lambda k: F.struct(
+            F.when(k.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], k)).alias("used"),
+            F.array_append(acc["out"], F.struct(d["idx"].alias("idx"), d["score"].alias("score"), F.when(k.isNull(), 0).otherwise(1).alias("tp"))).alias("out"),
+        )), F.lit(0))
 
     folded = rows.select("uid", "threshold", F.aggregate("p", state, step, lambda a: a["out"]).alias("m"))
     return folded.select("uid", "threshold", F.explode("m").alias("m")).select("uid", "threshold", "m.*")

@@ -188,7 +188,7 @@ def normalize_probs(t: Inputs):
 @R("topk_to_probs", "WITH l AS (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) AS a, abs(CAST(embedding[2] AS DOUBLE)) AS b FROM embeddings) SELECT vec_id, round(a / (a + b), 6) AS p0, round(b / (a + b), 6) AS p2 FROM l WHERE a + b > 0")
 def topk_to_probs(t: Inputs):
     e = t.table("embeddings").select("vec_id", F.abs(F.col("embedding")[0].cast("double")).alias("a"), F.abs(F.col("embedding")[1].cast("double")).alias("b")).filter("a + b > 0")
-    topk = F.array(F.struct(F.lit("A").alias("label"), F.col("a").alias("conf")), F.struct(F.lit("C"), F.col("b")))
+    topk = F.array(F.struct(F.lit("A").alias("label"), F.col("a").alias("conf")), F.struct(F.lit("C").alias("label"), F.col("b").alias("conf")))
     p = V.topk_to_probs(topk, F.array(*map(F.lit, CLASSES)))
     return e.select("vec_id", F.round(p[0], 6).alias("p0"), F.round(p[2], 6).alias("p2"))
 

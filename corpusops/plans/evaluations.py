@@ -168,7 +168,7 @@ def _pairs_at_index(t: Inputs):
     return j.select("uid", "idx", "score", F.when(B.iou(F.col("a"), F.col("b")) >= 0.8, 1).otherwise(0).alias("tp"))
 
 
-@R("pr_curve", W("v_boxes_gt", "v_boxes_pred", rest=f"{HITS} SELECT uid, idx, cum_tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(envelope, 6) AS envelope FROM e"))
+@R("pr_curve", W("v_boxes_gt", "v_boxes_pred", rest=f"{HITS} SELECT uid, idx, CAST(cum_tp AS BIGINT) AS cum_tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(envelope, 6) AS envelope FROM e"))
 def pr_curve(t: Inputs):
     return _curve(t).select("uid", "idx", "cum_tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "envelope")])
 

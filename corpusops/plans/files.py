@@ -77,7 +77,7 @@ def scan_run_dirs(t: Inputs):
 
 
 SIZES = W("v_boxes_gt", rest="SELECT uid, idx, cls, x1, y1, x2, y2 FROM v_boxes_gt")
-PCT = "x1 / 640 * 100 AS x, y1 / 480 * 100 AS y, (x2 - x1) / 640 * 100 AS width, (y2 - y1) / 480 * 100 AS height"
+PCT = "x1 / 500 * 100 AS x, y1 / 400 * 100 AS y, (x2 - x1) / 500 * 100 AS width, (y2 - y1) / 400 * 100 AS height"
 
 
 def _labelled(t: Inputs):
@@ -85,15 +85,15 @@ def _labelled(t: Inputs):
 
 
 def _sizes(t: Inputs):
-    return t.table("orders").select(F.col("o_orderkey").alias("uid"), F.lit(640).alias("width"), F.lit(480).alias("height")).distinct()
+    return t.table("orders").select(F.col("o_orderkey").alias("uid"), F.lit(500).alias("width"), F.lit(400).alias("height")).distinct()
 
 
-@R("scan_labelstudio", W("v_boxes_gt", rest="SELECT CAST(uid AS VARCHAR) AS uid, round(sum(x1 / 640 * 100), 4) AS x, round(sum((y2 - y1) / 480 * 100), 4) AS height, count(*) AS n, min('c' || CAST(cls AS VARCHAR)) AS label FROM v_boxes_gt WHERE uid IN (SELECT o_orderkey FROM orders) GROUP BY uid"))
+@R("scan_labelstudio", W("v_boxes_gt", rest="SELECT CAST(uid AS VARCHAR) AS uid, round(sum(x1 / 500 * 100), 2) AS x, round(sum((y2 - y1) / 400 * 100), 2) AS height, count(*) AS n, min('c' || CAST(cls AS VARCHAR)) AS label FROM v_boxes_gt WHERE uid IN (SELECT o_orderkey FROM orders) GROUP BY uid"))
 def scan_labelstudio(t: Inputs):
     path = io.scratch(t.spark, "tasks")
     io.label_studio_tasks(_labelled(t), _sizes(t)).write.text(path)
     boxes = io.read_label_studio(t.spark, path)
-    return boxes.groupBy("uid").agg(F.round(F.sum("x"), 4).alias("x"), F.round(F.sum("height"), 4).alias("height"), F.count("*").alias("n"), F.min("label").alias("label"))
+    return boxes.groupBy("uid").agg(F.round(F.sum("x"), 2).alias("x"), F.round(F.sum("height"), 2).alias("height"), F.count("*").alias("n"), F.min("label").alias("label"))
 
 
 @R("scan_coco", W("v_boxes_gt", rest="SELECT o_orderkey AS uid, count(b.uid) AS n, coalesce(round(sum(x2), 4), 0) AS x2 FROM orders LEFT JOIN v_boxes_gt b ON b.uid = o_orderkey GROUP BY o_orderkey"))
@@ -106,16 +106,16 @@ def scan_coco(t: Inputs):
     return out.select("uid", F.size("boxes").cast("long").alias("n"), F.round(F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b["x2"]), 4).alias("x2"))
 
 
-YOLO = "least(greatest((x1 + x2) / 2 / 640, 0), 1) AS cx, least(greatest((y1 + y2) / 2 / 480, 0), 1) AS cy, least(greatest((x2 - x1) / 640, 0), 1) AS w, least(greatest((y2 - y1) / 480, 0), 1) AS h"
+YOLO = "least(greatest((x1 + x2) / 2 / 500, 0), 1) AS cx, least(greatest((y1 + y2) / 2 / 400, 0), 1) AS cy, least(greatest((x2 - x1) / 500, 0), 1) AS w, least(greatest((y2 - y1) / 400, 0), 1) AS h"
 
 
-@R("scan_yolo_labels", W("v_boxes_gt", rest=f", y AS (SELECT cls, {YOLO} FROM v_boxes_gt WHERE idx <> 3) SELECT CAST(cls AS INTEGER) AS cls, count(*) AS n, round(sum(cx), 2) AS cx FROM y GROUP BY cls"))
+@R("scan_yolo_labels", W("v_boxes_gt", rest=f", y AS (SELECT cls, {YOLO} FROM v_boxes_gt WHERE idx <> 3) SELECT CAST(cls AS INTEGER) AS cls, count(*) AS n, round(avg(cx), 4) AS cx FROM y GROUP BY cls"))
 def scan_yolo_labels(t: Inputs):
-    b = B.to_yolo(F.struct("x1", "y1", "x2", "y2"), F.lit(640), F.lit(480))
+    b = B.to_yolo(F.struct("x1", "y1", "x2", "y2"), F.lit(500), F.lit(400))
     lines = t.view("v_boxes_gt").select(F.when(F.col("idx") == 3, "short line here 1").otherwise(io.yolo_line(F.col("cls"), b)).alias("value"))
     path = io.scratch(t.spark, "yolo")
     lines.write.text(path)
-    return io.read_yolo(t.spark, path).groupBy("cls").agg(F.count("*").alias("n"), F.round(F.sum("cx"), 2).alias("cx"))
+    return io.read_yolo(t.spark, path).groupBy("cls").agg(F.count("*").alias("n"), F.round(F.avg("cx"), 4).alias("cx"))
 
 
 @R("sink_jsonl", "SELECT doc_id AS uid, text FROM documents")
@@ -133,7 +133,7 @@ def sink_manifest_csv(t: Inputs):
 
 @R("sink_yolo_labels", W("v_boxes_gt", rest=f", y AS (SELECT uid, idx, cls, {YOLO} FROM v_boxes_gt) SELECT uid, idx, CAST(cls AS VARCHAR) || ' ' || printf('%.6f', CAST(cx AS DOUBLE)) || ' ' || printf('%.6f', CAST(cy AS DOUBLE)) || ' ' || printf('%.6f', CAST(w AS DOUBLE)) || ' ' || printf('%.6f', CAST(h AS DOUBLE)) AS line FROM y"))
 def sink_yolo_labels(t: Inputs):
-    b = B.to_yolo(F.struct("x1", "y1", "x2", "y2"), F.lit(640), F.lit(480))
+    b = B.to_yolo(F.struct("x1", "y1", "x2", "y2"), F.lit(500), F.lit(400))
     return t.view("v_boxes_gt").select("uid", "idx", io.yolo_line(F.col("cls"), b).alias("line"))
 
 
@@ -145,7 +145,7 @@ def sink_coco(t: Inputs):
     return io.coco_annotations(boxes, images, kinds).select("id", "image_id", "category_id", "area", "score")
 
 
-@R("sink_labelstudio", W("v_boxes_gt", rest="SELECT uid, count(*) AS n, CAST(uid AS VARCHAR) || '_0' AS first_id, round(sum((x2 - x1) / 640 * 100), 4) AS width FROM v_boxes_gt WHERE uid IN (SELECT o_orderkey FROM orders) GROUP BY uid"))
+@R("sink_labelstudio", W("v_boxes_gt", rest="SELECT uid, count(*) AS n, CAST(uid AS VARCHAR) || '_0' AS first_id, round(sum((x2 - x1) / 500 * 100), 4) AS width FROM v_boxes_gt WHERE uid IN (SELECT o_orderkey FROM orders) GROUP BY uid"))
 def sink_labelstudio(t: Inputs):
     tasks = io.label_studio_tasks(_labelled(t), _sizes(t))
     kind = "data struct<uid:string>, predictions array<struct<result:array<struct<id:string,value:struct<width:double>>>>>"
@@ -161,7 +161,7 @@ def sink_class_index(t: Inputs):
     return t.spark.read.parquet(path).select("uid", "idx", "split", "out_path")
 
 
-@R("sink_report_json", "SELECT count(*) AS n, sum(n_chars) AS chars FROM documents")
+@R("sink_report_json", "SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
 def sink_report_json(t: Inputs):
     path = io.write_jsonl(t.table("documents").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).coalesce(1), io.scratch(t.spark, "report"))
     return io.read_jsonl(t.spark, path, "n LONG, chars LONG")

@@ -20,7 +20,7 @@ def join_metadata(t: Inputs):
     return M.join_metadata(t.table("orders"), t.table("customer"), "o_custkey", "c_custkey", ["c_name", "c_mktsegment"]).select(F.col("o_orderkey").alias("uid"), "c_name", "c_mktsegment")
 
 
-@R("explode_images", "WITH g AS (SELECT user_id AS row_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT CASE WHEN n > 1 THEN CAST(row_id AS VARCHAR) || '_' || lpad(CAST(k AS VARCHAR), greatest(2, length(CAST(k AS VARCHAR))), '0') ELSE CAST(row_id AS VARCHAR) END AS uid, event_id AS image FROM g")
+@R("explode_images", "WITH g AS (SELECT user_id AS row_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT CASE WHEN n > 1 THEN CAST(row_id AS VARCHAR) || '_' || CASE WHEN k < 10 THEN '0' ELSE '' END || CAST(k AS VARCHAR) ELSE CAST(row_id AS VARCHAR) END AS uid, event_id AS image FROM g")
 def explode_images(t: Inputs):
     g = t.table("events").groupBy(F.col("user_id").alias("row_id")).agg(F.sort_array(F.collect_list("event_id")).alias("images"))
     return M.explode_images(g).select("uid", "image")
