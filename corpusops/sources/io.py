@@ -32,8 +32,9 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame
     """A missing path is an empty table; malformed lines go."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.filter("_bad IS NULL").drop("_bad")
+    kind = f"{schema}, _bad STRING"
+    rows = spark.read.text(path).filter(F.trim("value") != "")
+    return rows.select(F.from_json("value", kind, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).filter("r._bad IS NULL").select("r.*").drop("_bad")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
