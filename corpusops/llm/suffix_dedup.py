@@ -1,5 +1,7 @@
 """Removal of repeated 50-byte strings across documents, exact, over whole texts.
 
+Whole copies of a document with a smaller doc_id need no comparison: all their strings start there. The others go on:
+
 Every 50-byte string has one anchor: the leftmost 16-byte string of least hash inside it. Equal strings have equal
 anchors at equal offsets, so only suffixes that start at anchors (one in about 18) need to meet. Tasks deal packed
 anchors by hash to shards; anchors of one document only go. Texts then give, for each anchor left, the bytes around it
@@ -17,17 +19,21 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
+from .pretokens import ragged
 
 SIZE, GRAM = 50, 16
 SPAN = SIZE - GRAM + 1
+PART = 20_000
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = (1 << 63) - 1
 
@@ -78,9 +84,25 @@ def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return at[first], h[at[first]], first, last
 
 
+def _pack(x: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else x.tobytes())
+
+
+def _unpack(x: bytes, kind=np.uint8) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+def _zip(batches):
+    """Texts compressed, and a hash by which whole copies meet."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack.compress(t) for t in raw], pa.binary()), pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary())], names=["doc_id", "zipped", "whole"])
+
+
 def _texts(batch):
-    for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-        yield (LAST if i is None else i), np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("zipped").to_pylist()):
+        yield (LAST if i is None else i), _unpack(text)
 
 
 def _deal(shards: int):
@@ -100,7 +122,7 @@ def _deal(shards: int):
             shard, h, docs, at = shard[order], h[order], docs[order], at[order]
             cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(h)]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[cuts[:-1]].astype(np.int32))] + [pa.array([c[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for c in (_short(h), docs, at)],
+                [pa.array(shard[cuts[:-1]].astype(np.int32))] + [pa.array([_pack(c[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for c in (_short(h), docs, at)],
                 names=["shard", "h", "docs", "at"],
             )
 
@@ -108,8 +130,8 @@ def _deal(shards: int):
 
 
 def _short(h: np.ndarray) -> np.ndarray:
-    """40 bits of each hash: a chance match only makes a candidate."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    """The upper 40 bits of each hash: a chance match only makes a candidate."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]
 
 
 def _repeated(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +139,7 @@ def _repeated(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Ite
     h, docs, at = [], [], []
     for batch in rows:
         for column, out, kind in (("h", h, np.uint8), ("docs", docs, np.int64), ("at", at, np.int32)):
-            out += [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
+            out += [_unpack(x, kind) for x in batch.column(column).to_pylist()]
     raw = np.concatenate(h).reshape(-1, 5)
     h = np.zeros((len(raw), 8), np.uint8)
     h[:, :5] = raw
@@ -141,7 +163,7 @@ def _surroundings(shards: int):
     """By shard: distinct surroundings of anchors (bytes, offset of the anchor) with the documents and starts that have them."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
             entries: dict[tuple[int, bytes], list] = {}
             some = batch.column("some").to_pylist()
             for (doc, x), wanted in zip(_texts(batch), some):
@@ -157,7 +179,7 @@ def _surroundings(shards: int):
                 counts = np.array([len(m) for _, _, m in rows], np.int32)
                 flat = np.array([m for _, _, ms in rows for m in ms], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([np.array([k for k, _, _ in rows], np.uint64).tobytes()], pa.binary()), pa.array([b"".join(t for _, t, _ in rows)], pa.binary()), pa.array([np.array([len(t) for _, t, _ in rows], np.int32).tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([flat[:, 0].tobytes()], pa.binary()), pa.array([flat[:, 1].astype(np.int32).tobytes()], pa.binary())],
+                    [pa.array([shard], pa.int32()), *[pa.array([_pack(c)], pa.binary()) for c in (np.array([k for k, _, _ in rows], np.uint64), b"".join(t for _, t, _ in rows), np.array([len(t) for _, t, _ in rows], np.int32), counts, np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.int32))]],
                     names=["shard", "h", "texts", "sizes", "counts", "docs", "starts"],
                 )
 
@@ -165,12 +187,29 @@ def _surroundings(shards: int):
 
 
 def _covered(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of starts, by document, whose 50-byte string starts in a smaller document."""
+    """Runs of starts, by document, whose 50-byte string starts in a smaller document. Anchors with one hash stay
+    together; the rest of a shard goes through in parts of about PART surroundings."""
     cols: dict[str, list] = {}
     for batch in rows:
         for name, kind in (("h", np.uint64), ("texts", np.uint8), ("sizes", np.int32), ("counts", np.int32), ("docs", np.int64), ("starts", np.int32)):
-            cols.setdefault(name, []).extend(np.frombuffer(x, kind) for x in batch.column(name).to_pylist())
+            cols.setdefault(name, []).extend(_unpack(x, kind) for x in batch.column(name).to_pylist())
     c = {k: np.concatenate(v) for k, v in cols.items()}
+    del cols
+    order = np.argsort(c["h"], kind="stable")
+    h = c["h"][order]
+    edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+    sizes, counts = c["sizes"].astype(np.int64), c["counts"].astype(np.int64)
+    begin, member = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + PART, side="right")) - 1)
+        own = order[edges[i] : edges[j]]
+        of = ragged(member[own], counts[own])
+        yield from _part({"texts": c["texts"][ragged(begin[own], sizes[own])], "sizes": c["sizes"][own], "counts": c["counts"][own], "docs": c["docs"][of], "starts": c["starts"][of]})
+        i = j
+
+
+def _part(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     sizes, counts = c["sizes"].astype(np.int64), c["counts"].astype(np.int64)
     begin, member = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
     least = np.minimum.reduceat(c["docs"], member)
@@ -213,11 +252,13 @@ def _covered(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iter
 def _cut(batches):
     for batch in batches:
         out = []
-        for (_, x), spans in zip(_texts(batch), batch.column("spans").to_pylist()):
+        for (_, x), spans, copy in zip(_texts(batch), batch.column("spans").to_pylist(), batch.column("copy").to_pylist()):
             mark = np.zeros(len(x) + 1, np.int32)
             for s in spans or ():
                 mark[s["a"]] += 1
                 mark[s["b"]] -= 1
+            if copy and len(x) >= SIZE:
+                mark[0] += 1
             gone = np.cumsum(mark[:-1]) > 0
             runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(x) else 0
             out.append((len(x), int(gone.sum()), runs, x[~gone].tobytes()))
@@ -229,16 +270,20 @@ def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every document."""
     spark = docs.sparkSession
     shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    zipped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_zip, "doc_id long, zipped binary, whole binary")
     key = F.coalesce("doc_id", F.lit(LAST))
-    dealt = docs.mapInArrow(_deal(shards), "shard int, h binary, docs binary, at binary")
-    repeated = dealt.groupBy("shard").applyInArrow(_repeated, "doc long, at binary")
+    first = zipped.groupBy("whole").agg(F.min(key).alias("first"))
+    copies = stored(zipped.select("whole", key.alias("doc")).join(first, "whole").filter("doc > first").groupBy("doc").agg(F.collect_set("whole").alias("wholes")), "copies")
+    is_copy = F.coalesce(F.array_contains("wholes", F.col("whole")), F.lit(False))
+    unique = zipped.join(copies, key == copies["doc"], "left").filter(~is_copy).select("doc_id", "zipped")
+    repeated = unique.mapInArrow(_deal(shards), "shard int, h binary, docs binary, at binary").groupBy("shard").applyInArrow(_repeated, "doc long, at binary")
     wanted = repeated.groupBy("doc").agg(F.collect_list("at").alias("some"))
-    texts = docs.join(wanted, key == wanted["doc"]).select("doc_id", "text", "some")
+    texts = unique.join(wanted, key == wanted["doc"]).select("doc_id", "zipped", "some")
     around = texts.mapInArrow(_surroundings(shards), "shard int, h binary, texts binary, sizes binary, counts binary, docs binary, starts binary")
     spans = around.groupBy("shard").applyInArrow(_covered, "doc long, a long, b long").groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    spans = stored(spans, "spans")
-    return docs.join(spans, key == spans["doc"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    marks = stored(spans.join(copies, "doc", "full"), "spans")
+    marked = zipped.join(marks, key == marks["doc"], "left").select("doc_id", "zipped", "spans", is_copy.alias("copy"))
+    return marked.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
