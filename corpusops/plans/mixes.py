@@ -132,3 +132,19 @@ def stream_ingest(t: Inputs):
 def stream_best(t: Inputs):
     source = io.write_jsonl(t.view("v_epochs"), io.scratch(t.spark, "best-in"))
     return streams.running_best(t.spark, source, "run_id LONG, epoch LONG, metric DOUBLE", io.scratch(t.spark, "best-out"), io.scratch(t.spark, "best-state"))
+
+
+@R("normalize_ratios", "SELECT lang, round_even(count(*) * 0.8, 0) AS train, round_even(count(*) * 0.1, 0) AS val FROM documents GROUP BY lang")
+def normalize_ratios(t: Inputs):
+    """Rows of each language that a split by ratios 8:1:1 aims at."""
+    train, val, _ = S.normalize_ratios((8, 1, 1))
+    return t.table("documents").groupBy("lang").agg(F.bround(F.count("*") * train).alias("train"), F.bround(F.count("*") * val).alias("val"))
+
+
+@R("split_safety", W("v_manifest", rest="SELECT count(*) AS shared FROM v_manifest a JOIN v_manifest b ON a.uid = b.uid WHERE a.split = 'train' AND b.split = 'validation'"))
+def split_safety(t: Inputs):
+    """One source for both sets: two different filters, which share no row."""
+    S.split_safety({"split": "train"}, {"split": "validation"}, True)
+    m = t.view("v_manifest")
+    train, val = m.filter("split = 'train'"), m.filter("split = 'validation'")
+    return train.join(val.select("uid").distinct(), "uid", "left_semi").agg(F.count("*").alias("shared"))
