@@ -160,8 +160,9 @@ def match_detections(gt: DataFrame, pred: DataFrame, thresholds: list[float] = T
 
     def step(acc, d):
         free = F.transform(d["ious"], lambda v, i: F.when((v >= F.col("threshold")) & ~F.array_contains(acc["used"], i), v).otherwise(-1.0))
-        at = F.when(F.array_max(free) >= 0, F.array_position(free, F.array_max(free)) - 1).cast("int")
-        return F.get(F.transform(F.array(at), lambda k: F.struct(
+        # one-element arrays name a value, so that it is made once
+        best = F.transform(F.array(free), lambda f: F.when(F.array_max(f) >= 0, F.array_position(f, F.array_max(f)) - 1).cast("int"))
+        return F.get(F.transform(best, lambda k: F.struct(
             F.when(k.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], k)).alias("used"),
             F.array_append(acc["out"], F.struct(d["idx"].alias("idx"), d["score"].alias("score"), F.when(k.isNull(), 0).otherwise(1).alias("tp"))).alias("out"),
         )), F.lit(0))
