@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text that one batch may hold before it is cut, in pre-tokens.
-BATCH_WORDS = 4_000_000
+BATCH_WORDS = 1_000_000
 
 
 def java_pattern(pattern: str) -> str:
