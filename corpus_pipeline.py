@@ -23,7 +23,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each group of similar lines stays; a document that keeps no text goes."""
-    kept = line_dedup.dedup_lines(docs).filter(F.length(F.trim("text")) > 0)
+    kept = line_dedup.dedup_lines(docs, shortest=1).filter(F.length(F.trim("text")) > 0)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
