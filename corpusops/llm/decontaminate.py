@@ -3,11 +3,14 @@
 Texts become templates: numbers, names (capitalised words inside a sentence) and units turn into typed placeholders,
 other words are lower-cased and stripped of punctuation. Windows of 8 template words are hashed; a window counts only
 with at least 4 plain words. Windows of documents are hash-joined with those of benchmark items, and the slots of
-matching windows are compared: within a document and item, each slot value of the item must always stand for the same
-value, so re-parameterised questions are caught and chance alignments are not.
+matching windows are compared: within an occurrence of an item, each slot value of the item must always stand for the
+same value, so re-parameterised questions are caught and chance alignments are not.
 
-A document is contaminated by an item if it holds at least half of the item's distinct windows, or at least 13 of
-them, and at least half of the item's slot values are filled consistently (or there are none).
+A document is contaminated by an item if an occurrence holds at least half of the item's distinct windows, or at least
+13 of them, and at least half of the item's slot values are filled consistently (or there are none). Occurrences are
+the windows of one alignment (place in the document less place in the item), those whose alignments lie in one cell of
+the item's length (two grids, half a cell apart), and all windows of document and item; one that passes is enough.
+Items of at least 5 words without a window that counts are found where they stand word by word.
 
 Document windows are first reduced in the tasks to those whose hash is in the benchmark, if the benchmark has at most
 LIMIT windows (a checked bound of 16 MB as hashes); beyond it all windows go through the shuffled join, with the same
@@ -60,7 +63,10 @@ def _word(raw: str) -> tuple[str, int, bool]:
 
 
 def windows_of(texts: pa.Array, sizes: tuple[int, ...] = (WINDOW,)):
-    """For each window that counts: row of its text, size, hash, and the function that gives its slots."""
+    """For each window that counts: row of its text, size, hash, and the function that gives its slots.
+
+    Negative sizes: windows of the words themselves, without placeholders, all of which count.
+    """
     split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
     if isinstance(split, pa.ChunkedArray):
         split = split.combine_chunks()
@@ -76,22 +82,26 @@ def windows_of(texts: pa.Array, sizes: tuple[int, ...] = (WINDOW,)):
     codes, row, kind, begins = codes[on], row[on], kind[on], begins[on]
     kind = np.where((kind == 4) & begins, 1, kind)
     hashes = np.array([_hash(w) for w, _, _ in known], np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
+    words = hashes.copy()
     for k, name in ((2, NUM), (3, UNIT), (4, NAME)):
         hashes[kind == k] = np.uint64(_hash(name))
     plain = np.concatenate([[0], np.cumsum(kind == 1)])
-    for size in sizes:
+    for sign in sizes:
+        size = abs(sign)
         n = len(codes) - size + 1
         if n <= 0:
             continue
         h = np.zeros(n, np.uint64)
         for i in range(size):
-            h = h * P + hashes[i : n + i]
-        ok = (row[:n] == row[size - 1 :]) & (plain[size:] - plain[:n] >= min(PLAIN, size))
+            h = h * P + (hashes if sign > 0 else words)[i : n + i]
+        ok = row[:n] == row[size - 1 :]
+        if sign > 0:
+            ok &= plain[size:] - plain[:n] >= min(PLAIN, size)
 
-        def slots(i: int, size: int = size) -> list[str]:
-            return [known[codes[j]][0] for j in range(i, i + size) if kind[j] > 1]
+        def slots(i: int, sign: int = sign) -> list[str]:
+            return [known[codes[j]][0] for j in range(i, i + sign) if kind[j] > 1]
 
-        yield size, np.flatnonzero(ok), row[:n], h.view(np.int64), slots
+        yield sign, np.flatnonzero(ok), row[:n], h.view(np.int64), slots
 
 
 def _windows(sizes: tuple[int, ...], keep):
@@ -106,12 +116,12 @@ def _windows(sizes: tuple[int, ...], keep):
                             continue
                         ok = ok[hashes[np.minimum(np.searchsorted(hashes, h[ok]), len(hashes) - 1)] == h[ok]]
                     if len(ok):
-                        yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[ok])), pa.array(np.full(len(ok), size, np.int32)), pa.array(h[ok]), pa.array([slots(i) for i in ok.tolist()], pa.list_(pa.string()))], names=["id", "size", "h", "slots"])
+                        yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[ok])), pa.array(np.full(len(ok), size, np.int32)), pa.array(h[ok]), pa.array([slots(i) for i in ok.tolist()], pa.list_(pa.string())), pa.array(ok - np.searchsorted(row, row[ok]), pa.int64())], names=["id", "size", "h", "slots", "at"])
 
     return run
 
 
-KIND = "id long, size int, h long, slots array<string>"
+KIND = "id long, size int, h long, slots array<string>, at long"
 
 
 def _lengths(texts: pd.Series) -> pd.Series:
@@ -119,7 +129,7 @@ def _lengths(texts: pd.Series) -> pd.Series:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(id, size, h, slots) of benchmark items (id, text); short items have one window of their own size."""
+    """(id, size, h, slots, at) of benchmark items (id, text); short items have one window of their own size."""
     n = F.pandas_udf(_lengths, "int")("text")
     sized = items.select("id", "text", n.alias("n"))
     parts = [sized.filter(F.col("n") >= WINDOW).select("id", "text").mapInArrow(_windows((WINDOW,), None), KIND)]
@@ -127,33 +137,47 @@ def item_windows(items: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = stored(out, "benchmark-counted")
+    bare = sized.join(out.select("id").distinct(), "id", "left_anti")
+    out = out.unionByName(bare.filter(F.col("n") >= WINDOW).select("id", "text").mapInArrow(_windows((-WINDOW,), None), KIND))
+    for k in range(SHORTEST, WINDOW):
+        out = out.unionByName(bare.filter(F.col("n") == k).select("id", "text").mapInArrow(_windows((-k,), None), KIND))
     return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(id, item_id, n_windows, item_windows, coverage, slots_consistent) for docs (id, text) and items (id, text)."""
     spark = docs.sparkSession
-    known = stored(item_windows(items), "benchmark").withColumnRenamed("id", "item_id").withColumnRenamed("slots", "item_slots")
+    known = stored(item_windows(items), "benchmark").withColumnRenamed("id", "item_id").withColumnRenamed("slots", "item_slots").withColumnRenamed("at", "item_at")
     distinct = known.select("size", "h").distinct()
     sizes = tuple(sorted(r["size"] for r in distinct.select("size").distinct().collect())) or (WINDOW,)
     few = distinct.limit(limit + 1).count() <= limit
     keep = spark.sparkContext.broadcast(np.unique(distinct.select("h").toPandas()["h"].to_numpy(np.int64))) if few else None
     found = docs.select("id", "text").mapInArrow(_windows(sizes, keep), KIND)
-    # a passage repeated in a document counts once; hot windows meet the small distinct side of items
-    found = found.groupBy("id", "size", "h", "slots").agg(F.count("*").alias("times"))
-    item_size = known.groupBy("item_id").agg(F.countDistinct("size", "h").alias("item_windows"))
-    once = known.select("item_id", "size", "h", "item_slots").distinct()
-    hits = found.join(once, ["size", "h"])
-    pairs = hits.select("id", "item_id", "h", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("z")).select("id", "item_id", "h", F.col("z.item_slots").alias("want"), F.col("z.slots").alias("got"))
-    by_value = pairs.groupBy("id", "item_id", "want").agg(F.collect_set("h").alias("hs"), F.countDistinct("got").alias("n"))
-    score = by_value.groupBy("id", "item_id").agg(
+    item_size = known.groupBy("item_id").agg(
+        F.countDistinct("size", "h").alias("item_windows"), F.countDistinct("item_at").alias("item_places"), (F.max("item_at") + WINDOW).alias("length")
+    )
+    # hot windows meet the small distinct side of items
+    once = known.select("item_id", "size", "h", "item_slots", "item_at").distinct().join(item_size.select("item_id", "length"), "item_id")
+    hits = found.join(once, ["size", "h"]).withColumn("offset", F.col("at") - F.col("item_at"))
+    cell = F.col("offset") / F.col("length")
+    part = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("long").alias("value"))
+    hits = hits.withColumn("part", F.explode(F.array(part(0, F.lit(0)), part(1, F.col("offset")), part(2, F.floor(cell)), part(3, F.floor(cell + 0.5)))))
+    key = ["id", "item_id", "part", (F.col("size") < 0).alias("verbatim")]
+    pairs = hits.select(*key, "h", "item_at", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("z")).select("id", "item_id", "part", "verbatim", "h", "item_at", F.col("z.item_slots").alias("want"), F.col("z.slots").alias("got"))
+    by_value = pairs.groupBy("id", "item_id", "part", "verbatim", "want").agg(F.collect_set("h").alias("hs"), F.collect_set("item_at").alias("places"), F.size(F.collect_set("got")).alias("n"))
+    score = by_value.groupBy("id", "item_id", "part", "verbatim").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).cast("long").alias("n_windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"),
         F.count("want").alias("slots"),
         F.count(F.when(F.col("want").isNotNull() & (F.col("n") == 1), 1)).alias("steady"),
     )
     out = score.join(item_size, "item_id").withColumn("coverage", F.round(F.col("n_windows") / F.col("item_windows"), 6))
-    out = out.withColumn("slots_consistent", F.col("steady") * 2 >= F.col("slots"))
-    return out.filter(((F.col("coverage") >= SHARE) | (F.col("n_windows") >= ENOUGH)) & F.col("slots_consistent")).select("id", "item_id", "n_windows", "item_windows", "coverage", "slots_consistent")
+    template = ((F.col("coverage") >= SHARE) | (F.col("n_windows") >= ENOUGH)) & (F.col("steady") * 2 >= F.col("slots"))
+    whole = (F.col("part.kind") == 1) & (F.col("places") == F.col("item_places"))
+    out = out.withColumn("slots_consistent", F.when(F.col("verbatim"), whole).otherwise(template))
+    out = out.groupBy("id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("coverage").alias("coverage"), F.max("slots_consistent").alias("slots_consistent"))
+    return out.filter("slots_consistent").select("id", "item_id", "n_windows", "item_windows", "coverage", "slots_consistent")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
