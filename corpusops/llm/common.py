@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Only a session in one process may do without: it gets a
+    folder of its own machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="corpusops-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.sparkContext._jvm.java.nio.file.Files.createTempDirectory("corpusops").toString()
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+def parts(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again, so that lineage ends and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -29,15 +43,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _stars(edges: DataFrame, keep_larger: bool) -> DataFrame:
+def _stars(edges: DataFrame, keep_larger: bool, n: int) -> DataFrame:
     """One round of star contraction. The minimum is dealt out anew, so that both sides of the join can be split."""
     if keep_larger:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition(
-        max(2, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    )
+    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition(n)
     joined = near.join(least.hint("merge"), "a")
     if keep_larger:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -46,20 +58,20 @@ def _stars(edges: DataFrame, keep_larger: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows_a_task: int = 50_000) -> DataFrame:
     """Connected components of edges (a, b): node, component (its smallest node), for each node of an edge.
 
     Alternates large-star and small-star contraction; each round is written to the shared folder. Hubs are joined on
-    two shuffled sides, which adaptive execution splits. Nothing but two sums per round comes to the driver.
+    two shuffled sides, which adaptive execution splits. Nothing but two sums per round comes to the driver; the count
+    among them sets the number of tasks of the next round.
     """
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    before = None
-    while True:
-        edges = stored(_stars(_stars(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    now, before = state(edges), None
+    while now != before and now[0]:
+        n = min(parts(edges), 1 + now[0] // rows_a_task)
+        edges = stored(_stars(_stars(edges, True, n), False, n), "edges")
+        before, now = now, state(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
