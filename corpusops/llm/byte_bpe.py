@@ -4,7 +4,8 @@ Texts are split into words in the JVM. Each Arrow batch numbers its distinct wor
 folded at once: each round looks up the rank of every adjacent pair in a rank map (a two-slot hash table of pair to
 merged id), merges the leftmost pair of least rank in each word, and drops the words that are done. Documents gather
 their words' ids; decoding concatenates the pieces of the ids. Nothing is shuffled and no document leaves its task, so
-work and memory follow the batch.
+work and memory follow the batch. A text is sent in rows of a few hundred words, and its digests are carried from row to
+row, so one very long text needs no more memory than others.
 
 The fold as Spark higher-order functions over literal arrays (README) gave the same ids at 120 microseconds a word,
 three times the time allowed, so the fold is done in numpy inside the tasks.
@@ -26,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .pretokens import numbered, ragged, split_words, sums_by_doc
+from .pretokens import numbered, ragged, split_words
 
 NONE, LONG, SLOTS = 1 << 30, 256, 1 << 18
 RANKS = "byte_bpe_50k.tiktoken"
@@ -148,12 +149,21 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
     def run(batches):
         v = vocabulary(path)
-        for doc_ids, first, codes, data, offsets in numbered(batches):
+        open_ids = []  # of a text that goes on in the next row
+        for doc_ids, more, first, codes, data, offsets in numbered(batches):
             ids, counts = v.encode(data, offsets)
             start = np.cumsum(counts) - counts
-            flat = ids[ragged(start[codes], counts[codes])]
-            ends = np.concatenate([[0], np.cumsum(sums_by_doc(counts[codes], first))])
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
+            done, out = [], []
+            for i, doc_id in enumerate(doc_ids):
+                own = codes[first[i] : first[i + 1]]
+                open_ids.append(ids[ragged(start[own], counts[own])])
+                if not more[i]:
+                    done.append(doc_id)
+                    out.append(np.concatenate(open_ids))
+                    open_ids = []
+            ends = np.cumsum([0, *map(len, out)])
+            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
 
     return split_words(docs, pattern, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -179,22 +189,28 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
     def run(batches):
         v = vocabulary(path)
         number = {i: str(i).encode() for i in v.pieces}
-        for doc_ids, first, codes, data, offsets in numbered(batches):
+        n, shown, decoded = 0, hashlib.sha256(), hashlib.sha256()  # of the text that rows go on with
+        for doc_ids, more, first, codes, data, offsets in numbered(batches):
             ids, counts = v.encode(data, offsets)
-            flat, ends = ids.tolist(), np.cumsum(counts).tolist()
+            flat, sizes, ends = ids.tolist(), counts.tolist(), np.cumsum(counts).tolist()
             said, back, a = [], [], 0
             for b in ends:
                 word = flat[a:b]
                 said.append(b" ".join([number[i] for i in word]))
                 back.append(b"".join([v.pieces[i] for i in word]))
                 a = b
-            n = sums_by_doc(counts[codes], first)
-            shown, decoded = [], []
-            for i in range(len(doc_ids)):
+            out = []
+            for i, doc_id in enumerate(doc_ids):
                 own = codes[first[i] : first[i + 1]].tolist()
-                shown.append(hashlib.sha256(b" ".join([said[c] for c in own])).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([back[c] for c in own])).hexdigest())
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if own:
+                    shown.update((b" " if n else b"") + b" ".join([said[c] for c in own]))
+                    decoded.update(b"".join([back[c] for c in own]))
+                    n += sum([sizes[c] for c in own])
+                if not more[i]:
+                    out.append((doc_id, n, shown.hexdigest(), decoded.hexdigest()))
+                    n, shown, decoded = 0, hashlib.sha256(), hashlib.sha256()
+            columns = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return split_words(docs, pattern).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

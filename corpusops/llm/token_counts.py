@@ -6,8 +6,9 @@ all words that share the prefix; each word stores the count at its terminal node
 
 The pieces are those of a tiktoken rank file; the cost of a piece is the rounded millionfold natural logarithm of its
 rank plus 2, the negative log-probability under Zipf's law up to a constant. Every byte is a piece, so every text has a
-split. Costs are integers, so ties are exact. Pieces are found through a table of 64-bit polynomial hashes of all piece
-suffixes, checked to be free of collisions among them; a chance collision of other text is below 2^-40 a word.
+split. Costs are integers, so ties are exact. Pieces that end at a node are found by walking a second trie, of the
+reversed pieces, through an exact table of (state, byte) pairs. Words of over LONG bytes take the same walk one by one,
+in time linear in their length.
 
 Null and empty texts count 0. Rows are independent of each other; null and repeated doc_ids pass through. An empty
 table gives an empty result; extra columns are ignored.
@@ -24,50 +25,69 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import RANKS, read_ranks
 from .common import table
-from .pretokens import numbered, split_words, sums_by_doc
+from .pretokens import numbered, split_words, sums_by_row
 
 P = np.uint64(0x9E3779B97F4A7C15)
-FAR = 1 << 60
+FAR, LONG = 1 << 60, 256
 
 
 class Unigram:
     def __init__(self, path: str):
-        cost = {word: round(1e6 * float(np.log(rank + 2))) for word, rank in read_ranks(path).items()}
-        suffixes = {word[i:]: cost.get(word[i:], FAR) for word in cost for i in range(len(word))}
-        self.longest = max(map(len, cost))
-        hashes = np.empty(len(suffixes), np.uint64)
-        for k, s in enumerate(suffixes):
-            h = 0
-            for x in s:  # the last byte has power 0
-                h = (h * int(P) + x + 1) & 0xFFFFFFFFFFFFFFFF
-            hashes[k] = h
+        self.walk, costs = {}, [FAR]  # state << 8 | byte -> state, in the trie of reversed pieces
+        for word, rank in read_ranks(path).items():
+            state = 0
+            for x in reversed(word):
+                state = self.walk.setdefault((state << 8) | x, len(costs))
+                if state == len(costs):
+                    costs.append(FAR)
+            costs[state] = round(1e6 * float(np.log(rank + 2)))
+        self.cost_list, self.costs = costs, np.array(costs, np.int64)
+        # multiplication by an odd number is one to one, so equal hashes are equal pairs
+        hashes = np.fromiter(self.walk, np.uint64, len(self.walk)) * P
         order = np.argsort(hashes)
-        self.hashes, self.costs = hashes[order], np.fromiter(suffixes.values(), np.int64, len(suffixes))[order]
-        if (self.hashes[1:] == self.hashes[:-1]).any():
-            raise ValueError("two piece suffixes share a hash")
+        self.hashes, self.states = hashes[order], np.fromiter(self.walk.values(), np.int64, len(self.walk))[order]
         self.first = np.searchsorted(self.hashes >> np.uint64(46), np.arange((1 << 18) + 1, dtype=np.uint64))
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Position of each hash among the suffixes, or -1."""
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next state of each pair, or -1."""
+        h = ((state.astype(np.uint64) << np.uint64(8)) | byte) * P
         top = (h >> np.uint64(46)).astype(np.int64)
         at, end = self.first[top], self.first[top + 1]
         out = np.full(len(h), -1, np.int64)
         going = np.flatnonzero(at < end)
         while len(going):
             hit = self.hashes[at[going]] == h[going]
-            out[going[hit]] = at[going[hit]]
+            out[going[hit]] = self.states[at[going[hit]]]
             going = going[~hit]
             at[going] += 1
             going = going[at[going] < end[going]]
         return out
 
+    def count_long(self, word: bytes) -> int:
+        walk, costs = self.walk, self.cost_list
+        best, pieces = [0], [0]
+        for j in range(1, len(word) + 1):
+            state, least, n = 0, FAR, 0
+            for i in range(j - 1, -1, -1):
+                state = walk.get((state << 8) | word[i], -1)
+                if state < 0:
+                    break
+                cost = costs[state] + best[i]
+                if cost < least or (cost == least and pieces[i] + 1 < n):
+                    least, n = cost, pieces[i] + 1
+            best.append(least)
+            pieces.append(n)
+        return pieces[-1]
+
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Pieces of the least-cost split of each word."""
         sizes = np.diff(offsets)
         counts = np.zeros(len(sizes), np.int64)
-        active = np.flatnonzero(sizes)
+        for w in np.flatnonzero(sizes > LONG).tolist():
+            counts[w] = self.count_long(data[offsets[w] : offsets[w + 1]].tobytes())
+        active = np.flatnonzero((sizes > 0) & (sizes <= LONG))
         node = np.zeros(len(active), np.int64)  # of each active word, at the level before
-        # by level: cost, pieces, byte and parent of each node; only as many levels as the longest piece are kept
+        # by level: cost, pieces, byte and parent of each node
         levels = [(np.zeros(1, np.int64), np.zeros(1, np.int64), None, None)]
         depth = 0
         while len(active):
@@ -77,22 +97,18 @@ class Unigram:
             parent, own = child >> 8, (child & 255).astype(np.uint64)
             levels.append((np.full(len(child), FAR, np.int64), np.zeros(len(child), np.int64), own, parent))
             best, pieces = levels[-1][:2]
-            some, up, h, power = np.arange(len(child)), np.arange(len(child)), np.zeros(len(child), np.uint64), np.uint64(1)
-            for back in range(1, min(depth, self.longest) + 1):
+            some, up, state = np.arange(len(child)), np.arange(len(child)), np.zeros(len(child), np.int64)
+            for back in range(1, depth + 1):
                 _, _, letters, parents = levels[-back]
-                h = h + (letters[up] + np.uint64(1)) * power
-                power = np.uint64((int(power) * int(P)) & 0xFFFFFFFFFFFFFFFF)
+                state = self.step(state, letters[up])
                 up = parents[up]
-                found = self.find(h)
-                on = found >= 0
-                some, up, h, found = some[on], up[on], h[on], found[on]
+                on = state >= 0
+                some, up, state = some[on], up[on], state[on]
                 if not len(some):
                     break
-                cost, n = self.costs[found] + levels[-back - 1][0][up], levels[-back - 1][1][up] + 1
+                cost, n = self.costs[state] + levels[-back - 1][0][up], levels[-back - 1][1][up] + 1
                 better = (cost < best[some]) | ((cost == best[some]) & (n < pieces[some]))
                 best[some[better]], pieces[some[better]] = cost[better], n[better]
-            if len(levels) > self.longest + 1:
-                levels.pop(0)
             ended = sizes[active] == depth
             counts[active[ended]] = pieces[at[ended]]
             active, node = active[~ended], at[~ended]
@@ -109,9 +125,16 @@ def count_tokens(docs: DataFrame, path: str, pattern: str = public_tokenizers.PA
 
     def run(batches):
         model = unigram(path)
-        for doc_ids, first, codes, data, offsets in numbered(batches):
-            n = sums_by_doc(model.count(data, offsets)[codes], first)
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(first), pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
+        words = tokens = 0  # of the text that rows go on with
+        for doc_ids, more, first, codes, data, offsets in numbered(batches):
+            out = []
+            for doc_id, on, w, n in zip(doc_ids, more, np.diff(first).tolist(), sums_by_row(model.count(data, offsets)[codes], first).tolist()):
+                words, tokens = words + w, tokens + n
+                if not on:
+                    out.append((doc_id, words, tokens))
+                    words = tokens = 0
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "n_pretokens", "n_tokens"])
 
     return split_words(docs, pattern, id_col, text_col).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
 
