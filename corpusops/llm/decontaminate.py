@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units turn into typed placeholders,
-other words are lower-cased and stripped of punctuation. Windows of 8 template words are hashed; a window counts only
-with at least 4 plain words. Windows of documents are hash-joined with those of benchmark items, and the slots of
+other words are lower-cased and stripped of punctuation. Windows of 8 template words are hashed to 128 bits; a window
+counts only with at least 4 plain words. Windows of documents are hash-joined with those of benchmark items, and the slots of
 matching windows are compared: within an occurrence of an item, each slot value of the item must always stand for the
 same value, so re-parameterised questions are caught and chance alignments are not.
 
@@ -40,11 +40,14 @@ WINDOW, SHORTEST, PLAIN, ENOUGH, SHARE, LIMIT = 8, 5, 4, 13, 0.5, 2_000_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec secs min mins h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds dollar dollars euro euros cent cents percent degree degrees".split())
 NUMBER = re.compile(r"[+-]?[\d.,:/%$€£-]*\d[\d.,:/%$€£-]*")
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
-P = np.uint64(0x9E3779B97F4A7C15)
+P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Words whose forms and hashes a worker remembers from batch to batch.
+MEMO, REMEMBERED = {}, 300_000
 
 
-def _hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def _hash(word: str) -> tuple[int, int]:
+    d = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
 
 
 def _word(raw: str) -> tuple[str, int, bool]:
@@ -62,8 +65,24 @@ def _word(raw: str) -> tuple[str, int, bool]:
     return plain, 4 if core[:1].isupper() and core[1:].islower() else 1, end
 
 
+def _known(words: list[str]) -> list[tuple]:
+    """Plain form, kind, end of sentence, two hashes of the plain form, of each word."""
+    out = []
+    for raw in words:
+        found = MEMO.get(raw)
+        if found is None:
+            plain, kind, end = _word(raw)
+            found = (plain, kind, end, *_hash(plain))
+            if len(raw) <= 64:
+                if len(MEMO) >= REMEMBERED:
+                    MEMO.clear()
+                MEMO[raw] = found
+        out.append(found)
+    return out
+
+
 def windows_of(texts: pa.Array, sizes: tuple[int, ...] = (WINDOW,)):
-    """For each window that counts: row of its text, size, hash, and the function that gives its slots.
+    """For each window that counts: row of its text, size, two hashes, and the function that gives its slots.
 
     Negative sizes: windows of the words themselves, without placeholders, all of which count.
     """
@@ -71,29 +90,33 @@ def windows_of(texts: pa.Array, sizes: tuple[int, ...] = (WINDOW,)):
     if isinstance(split, pa.ChunkedArray):
         split = split.combine_chunks()
     flat = split.flatten().dictionary_encode()
-    known = [_word(x) for x in flat.dictionary.to_pylist()]
+    known = _known(flat.dictionary.to_pylist())
     codes = flat.indices.to_numpy()
     row = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
-    kind = np.array([k for _, k, _ in known], np.int8)[codes] if len(codes) else np.zeros(0, np.int8)
-    ends = np.array([e for _, _, e in known], bool)[codes] if len(codes) else np.zeros(0, bool)
+    column = lambda i, kind: np.fromiter((k[i] for k in known), kind, len(known))[codes] if len(codes) else np.zeros(0, kind)
+    kind, ends = column(1, np.int8), column(2, bool)
     begins = np.ones(len(codes), bool)
     begins[1:] = ends[:-1] | (row[1:] != row[:-1])
     on = kind > 0
+    hashes = [column(3, np.uint64)[on], column(4, np.uint64)[on]]
     codes, row, kind, begins = codes[on], row[on], kind[on], begins[on]
     kind = np.where((kind == 4) & begins, 1, kind)
-    hashes = np.array([_hash(w) for w, _, _ in known], np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
-    words = hashes.copy()
+    words = [h.copy() for h in hashes]
     for k, name in ((2, NUM), (3, UNIT), (4, NAME)):
-        hashes[kind == k] = np.uint64(_hash(name))
+        for h, value in zip(hashes, _hash(name)):
+            h[kind == k] = np.uint64(value)
     plain = np.concatenate([[0], np.cumsum(kind == 1)])
     for sign in sizes:
         size = abs(sign)
         n = len(codes) - size + 1
         if n <= 0:
             continue
-        h = np.zeros(n, np.uint64)
-        for i in range(size):
-            h = h * P + (hashes if sign > 0 else words)[i : n + i]
+        made = []
+        for p, h in zip((P, Q), hashes if sign > 0 else words):
+            out = np.zeros(n, np.uint64)
+            for i in range(size):
+                out = out * p + h[i : n + i]
+            made.append(out.view(np.int64))
         ok = row[:n] == row[size - 1 :]
         if sign > 0:
             ok &= plain[size:] - plain[:n] >= min(PLAIN, size)
@@ -101,7 +124,7 @@ def windows_of(texts: pa.Array, sizes: tuple[int, ...] = (WINDOW,)):
         def slots(i: int, sign: int = sign) -> list[str]:
             return [known[codes[j]][0] for j in range(i, i + sign) if kind[j] > 1]
 
-        yield sign, np.flatnonzero(ok), row[:n], h.view(np.int64), slots
+        yield sign, np.flatnonzero(ok), row[:n], *made, slots
 
 
 def _windows(sizes: tuple[int, ...], keep):
@@ -109,19 +132,19 @@ def _windows(sizes: tuple[int, ...], keep):
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                for size, ok, row, h, slots in windows_of(part.column("text"), sizes):
+                for size, ok, row, h, h2, slots in windows_of(part.column("text"), sizes):
                     if keep is not None:
                         hashes = keep.value
                         if not len(hashes):
                             continue
                         ok = ok[hashes[np.minimum(np.searchsorted(hashes, h[ok]), len(hashes) - 1)] == h[ok]]
                     if len(ok):
-                        yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[ok])), pa.array(np.full(len(ok), size, np.int32)), pa.array(h[ok]), pa.array([slots(i) for i in ok.tolist()], pa.list_(pa.string())), pa.array(ok - np.searchsorted(row, row[ok]), pa.int64())], names=["id", "size", "h", "slots", "at"])
+                        yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[ok])), pa.array(np.full(len(ok), size, np.int32)), pa.array(h[ok]), pa.array(h2[ok]), pa.array([slots(i) for i in ok.tolist()], pa.list_(pa.string())), pa.array(ok - np.searchsorted(row, row[ok]), pa.int64())], names=["id", "size", "h", "h2", "slots", "at"])
 
     return run
 
 
-KIND = "id long, size int, h long, slots array<string>, at long"
+KIND = "id long, size int, h long, h2 long, slots array<string>, at long"
 
 
 def _lengths(texts: pd.Series) -> pd.Series:
@@ -129,7 +152,7 @@ def _lengths(texts: pd.Series) -> pd.Series:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(id, size, h, slots, at) of benchmark items (id, text); short items have one window of their own size."""
+    """(id, size, h, h2, slots, at) of benchmark items (id, text); short items have one window of their own size."""
     n = F.pandas_udf(_lengths, "int")("text")
     sized = items.select("id", "text", n.alias("n"))
     parts = [sized.filter(F.col("n") >= WINDOW).select("id", "text").mapInArrow(_windows((WINDOW,), None), KIND)]
@@ -158,8 +181,8 @@ def contaminated(docs: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataF
         F.countDistinct("size", "h").alias("item_windows"), F.countDistinct("item_at").alias("item_places"), (F.max("item_at") + WINDOW).alias("length")
     )
     # hot windows meet the small distinct side of items
-    once = known.select("item_id", "size", "h", "item_slots", "item_at").distinct().join(item_size.select("item_id", "length"), "item_id")
-    hits = found.join(once, ["size", "h"]).withColumn("offset", F.col("at") - F.col("item_at"))
+    once = known.select("item_id", "size", "h", "h2", "item_slots", "item_at").distinct().join(item_size.select("item_id", "length"), "item_id")
+    hits = found.join(once, ["size", "h", "h2"]).withColumn("offset", F.col("at") - F.col("item_at"))
     cell = F.col("offset") / F.col("length")
     part = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("long").alias("value"))
     hits = hits.withColumn("part", F.explode(F.array(part(0, F.lit(0)), part(1, F.col("offset")), part(2, F.floor(cell)), part(3, F.floor(cell + 0.5)))))
