@@ -3,9 +3,11 @@
 Whole copies of a document with a smaller doc_id need no comparison: all their strings start there. The others go on:
 
 Every 50-byte string has one anchor: the leftmost 16-byte string of least hash inside it. Equal strings have equal
-anchors at equal offsets, so only suffixes that start at anchors (one in about 18) need to meet. Tasks deal packed
-anchors by hash to shards; anchors of one document only go. Texts then give, for each anchor left, the bytes around it
-whose 50-byte strings it stands for; equal surroundings of a task are one entry with the documents that have them.
+anchors at equal offsets, so only suffixes that start at anchors (one in about 18) need to meet. A 50-byte string also
+holds the 33 bytes that start at its anchor, or the 33 bytes that start 17 before it. Tasks deal packed hashes of both
+to shards, as many as the corpus has SHARD bytes; those of one document only go. Texts then give, for each anchor left,
+the bytes around it whose 50-byte strings it stands for; equal surroundings of a task are one entry with the documents
+that have them.
 Shards sort the 50-byte strings of distinct surroundings by two 64-bit hashes, compare the bytes of every match, and
 find the smallest document of each; what starts in a smaller document than one's own is removed.
 
@@ -28,11 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import parts, stored, table
 from .pretokens import ragged
 
 SIZE, GRAM = 50, 16
 SPAN = SIZE - GRAM + 1
+#: Offsets of the anchor up to NEAR leave SIDE bytes from the anchor on; larger ones SIDE bytes from NEAR before it.
+NEAR = SPAN // 2
+SIDE = SIZE - NEAR
+SHARD = 16_000_000
 PART = 20_000
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = (1 << 63) - 1
@@ -84,6 +90,16 @@ def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return at[first], h[at[first]], first, last
 
 
+def sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of what must repeat with a 50-byte string, and twice the position of the anchor, plus 1 for the left side."""
+    at, _, first, last = anchors(x)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = _mix(_grams(x, SIDE, P))
+    right, left = at[at - last <= NEAR], at[at - first > NEAR]
+    return np.concatenate([h[right], _mix(h[left - NEAR] + Q)]), np.concatenate([right * 2, left * 2 + 1])
+
+
 def _pack(x: np.ndarray | bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else x.tobytes())
 
@@ -110,11 +126,11 @@ def _deal(shards: int):
 
     def run(batches):
         for batch in batches:
-            parts = []
+            found = []
             for doc, x in _texts(batch):
-                at, h, _, _ = anchors(x)
-                parts.append((h, np.full(len(at), doc, np.int64), at.astype(np.int32)))
-            h, docs, at = (np.concatenate(c) for c in zip(*parts)) if parts else ([], [], [])
+                h, at = sides(x)
+                found.append((h, np.full(len(at), doc, np.int64), at.astype(np.int32)))
+            h, docs, at = (np.concatenate(c) for c in zip(*found)) if found else ([], [], [])
             if not len(h):
                 continue
             shard = (h >> np.uint64(40)).astype(np.int64) % shards
@@ -168,7 +184,12 @@ def _surroundings(shards: int):
             some = batch.column("some").to_pylist()
             for (doc, x), wanted in zip(_texts(batch), some):
                 at, h, first, last = anchors(x)
-                on = np.isin(at, np.concatenate([np.frombuffer(w, np.int32) for w in wanted]))
+                wanted = np.concatenate([np.frombuffer(w, np.int32) for w in wanted])
+                right, left = np.isin(at * 2, wanted), np.isin(at * 2 + 1, wanted)
+                # starts up to NEAR before the anchor need the right side, others the left
+                first = np.where(left, first, np.maximum(first, at - NEAR))
+                last = np.where(right, last, np.minimum(last, at - NEAR - 1))
+                on = (right | left) & (first <= last)
                 text = x.tobytes()
                 for a, k, i, j in zip(at[on].tolist(), h[on].tolist(), first[on].tolist(), last[on].tolist()):
                     entries.setdefault((k, text[i : j + SIZE]), []).append((doc, i))
@@ -268,8 +289,8 @@ def _cut(batches):
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every document."""
-    spark = docs.sparkSession
-    shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(parts(docs), n_bytes // SHARD)
     zipped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_zip, "doc_id long, zipped binary, whole binary")
     key = F.coalesce("doc_id", F.lit(LAST))
     first = zipped.groupBy("whole").agg(F.min(key).alias("first"))
