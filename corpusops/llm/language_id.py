@@ -1,24 +1,26 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the n-grams (1 to 3 code points of the lower-cased text) of all labelled documents of the learning
-folds, hashed into 2^15 buckets; counts are summed by Spark. The log-probability matrix (2^15 x languages, at most 500
-languages, so under 131 MB and a quarter of a MB each) is broadcast; batches of whole texts are scored in numpy.
+folds, hashed into 2^15 buckets; counts are summed by Spark. The log-probability matrix (2^15 x languages) is broadcast
+in blocks of at most BLOCK languages, so no block is above 33 MB and the driver holds one at a time; batches of whole
+texts are scored in numpy, by each block in turn.
 
 Null texts and texts without a letter are `und` with score 0. Null or repeated doc_ids are rows like any other; a null
 doc_id is in no held-out fold. Ties go to the language first by name. With no labelled text every document is `und`
-with score 0. An empty table gives an empty result; extra columns are ignored.
+with score 0. An empty table gives an empty result. Extra columns, whatever their names, ride along in `predict`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, stored, table
 
-BITS, MAX_LANGUAGES, CHUNK = 15, 500, 1 << 20
+BITS, BLOCK, CHUNK = 15, 250, 1 << 20
 UND = "und"
 
 
@@ -54,55 +56,75 @@ def _count(batches):
         yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": total[at]})
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and log P(bucket | language) with the log priors as last row, from rows (text, lang)."""
+def train(labelled: DataFrame, block: int = BLOCK) -> list[tuple[list[str], Broadcast]]:
+    """Blocks of languages in order of name, each with the broadcast matrix of log P(bucket | language), whose last row
+    has the log priors, from rows (text, lang)."""
+    spark = labelled.sparkSession
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    counts = rows.select("text", "lang").mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    priors = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(priors) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs = sorted(priors)
-    packed = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).select("lang", "c.bucket", "c.n")
-    matrix = np.full(((1 << BITS) + 1, len(langs)), 0.5)
-    for r in packed.toLocalIterator():
-        matrix[r["bucket"], langs.index(r["lang"])] += r["n"]
-    if langs:
+    counts = rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    packed = stored(counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).select("lang", "c.bucket", "c.n"), "languages")
+    priors = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    langs, total = sorted(priors), sum(priors.values())
+    out = []
+    for i in range(0, len(langs), block):
+        names = langs[i : i + block]
+        matrix = np.full(((1 << BITS) + 1, len(names)), 0.5)
+        for r in packed.filter(F.col("lang").isin(names)).toLocalIterator():
+            matrix[r["bucket"], names.index(r["lang"])] += r["n"]
         matrix[:-1] /= matrix[:-1].sum(axis=0)
-        matrix[-1] = np.array([priors[x] for x in langs]) / sum(priors.values())
-    return langs, np.log(matrix).astype(np.float32)
-
-
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
-    """All columns of docs (text among them) are kept; lang_pred and score are added."""
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
-
-    @F.pandas_udf("lang_pred string, score double")
+        matrix[-1] = np.array([priors[x] for x in names]) / total
+        out.append((names, spark.sparkContext.broadcast(np.log(matrix).astype(np.float32))))
+    return out
+
+
+def _totals(text: str, logs: np.ndarray) -> np.ndarray:
+    """Log-probability of a text and each language of a block."""
+    total = logs[-1].astype(np.float64)
+    for piece in _pieces(text):
+        if len(piece) > 5000:
+            n = np.bincount(buckets(piece), minlength=1 << BITS)
+            at = np.flatnonzero(n)
+            total = total + n[at] @ logs[at].astype(np.float64)
+        else:
+            total = total + logs[buckets(piece)].sum(axis=0, dtype=np.float64)
+    return total
+
+
+def _scorer(names: list[str], shared: Broadcast):
+    @F.pandas_udf("lang string, top double, sum double")
     def best(texts: pd.Series) -> pd.DataFrame:
-        logs, names, scores = shared.value, [], []
+        """The best language of a block, its log-probability, and the sum of all relative to it; null without a letter."""
+        logs, out = shared.value, []
         for text in texts:
-            if text is None or not langs or not any(map(str.isalpha, text)):
-                names.append(UND)
-                scores.append(0.0)
+            if text is None or not any(map(str.isalpha, text)):
+                out.append((None, None, None))
                 continue
-            total = logs[-1].astype(np.float64)
-            for piece in _pieces(text):
-                n = np.bincount(buckets(piece), minlength=1 << BITS) if len(piece) > 5000 else None
-                if n is None:
-                    total = total + logs[buckets(piece)].sum(axis=0, dtype=np.float64)
-                else:
-                    at = np.flatnonzero(n)
-                    total = total + n[at] @ logs[at].astype(np.float64)
+            total = _totals(text, logs)
             k = int(np.argmax(total))
-            names.append(langs[k])
-            scores.append(float(1.0 / np.exp(total - total[k]).sum()))
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+            out.append((names[k], float(total[k]), float(np.exp(total - total[k]).sum())))
+        return pd.DataFrame(out, columns=["lang", "top", "sum"])
+
+    return best
+
 
-    return docs.withColumn("_p", best("text")).select(*docs.columns, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+def predict(docs: DataFrame, model: list[tuple[list[str], Broadcast]]) -> DataFrame:
+    """All columns of docs (text among them) are kept; lang_pred and score are added, in place of columns of that name."""
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    if not model:
+        return docs.select(*kept, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+    made = [free_name(docs, f"block{i}_") for i in range(len(model))]
+    out = docs
+    for name, (names, shared) in zip(made, model):
+        out = out.withColumn(name, _scorer(names, shared)("text"))
+    top = F.greatest(*[F.col(f"{m}.top") for m in made]) if len(made) > 1 else F.col(f"{made[0]}.top")
+    lang = F.coalesce(*[F.when(F.col(f"{m}.top") == top, F.col(f"{m}.lang")) for m in made], F.lit(UND))
+    parts = [F.col(f"{m}.sum") * F.exp(F.col(f"{m}.top") - top) for m in made]
+    score = F.coalesce(1.0 / sum(parts[1:], parts[0]), F.lit(0.0))
+    return out.select(*kept, lang.alias("lang_pred"), score.alias("score"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from three of the four crc32 folds."""
     docs = table(spark, sf_dir, "documents")
-    langs, matrix = train(docs.filter(~held_out()))
-    out = predict(docs.select("doc_id", held_out().alias("held_out"), "text"), langs, matrix)
+    out = predict(docs.select("doc_id", held_out().alias("held_out"), "text"), train(docs.filter(~held_out())))
     return out.select("doc_id", "held_out", "lang_pred", "score")
