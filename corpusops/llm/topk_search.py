@@ -5,13 +5,16 @@ Every vector's distances to many pivots are computed once. For a query q and a c
 above. Candidates are evaluated in the order of that bound until it falls below the k-th best score found. Distances
 are floating point, so bounds are raised by a relative 1e-9 plus 1e-3; scores are exact integers.
 
-Queries and candidates are packed in blocks; each block of queries meets each block of candidates once, candidates of
-a query block dealt to several tasks, each of which carries the k best so far from block to block. Pivots are chosen
-farthest-first from a sample of at most 1,024 vectors (by hash of vec_id), 32 for each length of vector.
+Queries and candidates are packed in blocks. Blocks meet in the cells of a grid: a group of at most GROUP query blocks
+is copied to every column, a candidate block to every group, and the join's key is the whole cell, so no key holds more
+than a column's share and nothing is shuffled after the join but the k best of each cell. A block whose intervals of
+distances to the pivots bound it below the k-th best score is skipped whole. Pivots are chosen farthest-first from a
+sample of at most 1,024 vectors (by hash of vec_id), 32 for each length of vector.
 
 Vectors null or with null or non-finite components take no part. Vectors of another length than a query's are not its
-candidates. Ties go to the smaller vec_id; rows that repeat a vec_id are candidates each, save the query's own id.
-Queries with fewer candidates get all. Empty tables give an empty result; extra columns are ignored.
+candidates. Ties go to the smaller vec_id; rows that repeat a vec_id are candidates each, save for queries of that id;
+query rows that repeat a vec_id are queries each, with k results each. Queries with fewer candidates get all. Empty
+tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import parts, stored, table
 
-PIVOTS, SAMPLE, QUERY_BLOCK, BLOCK, STRIDE = 32, 1024, 512, 4096, 256
+PIVOTS, SAMPLE, QUERY_BLOCK, BLOCK, STRIDE, GROUP = 32, 1024, 512, 4096, 256, 8
 
 
 def usable(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -77,6 +80,14 @@ def _dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if most < 2**53 else q @ x.T
 
 
+def _block_bounds(q_far, q_norm, far, norm) -> np.ndarray:
+    """Upper bound of each query's products with any vector of a block, from the block's intervals of distances."""
+    low, high = far.min(axis=0), far.max(axis=0)
+    apart = np.maximum(np.maximum(q_far - high, low - q_far), 0.0).max(axis=1, initial=0.0)
+    bound = np.minimum((q_norm + norm.max() - apart**2) / 2, np.sqrt(q_norm * norm.max()))
+    return bound + np.abs(bound) * 1e-9 + (q_norm + norm.max()) * 1e-9 + 1e-3
+
+
 def _searcher(k: int):
     def search(batches):
         best: dict[int, list] = {}  # by block of queries: ids, vectors, distances to pivots, scores and ids so far
@@ -91,12 +102,15 @@ def _searcher(k: int):
                 x = np.frombuffer(r["vectors"], np.int64).reshape(len(ids), dim)
                 far = np.frombuffer(r["pivots"], np.float64).reshape(len(ids), -1)
                 q_norm, norm = (q.astype(np.float64) ** 2).sum(axis=1), (x.astype(np.float64) ** 2).sum(axis=1)
+                whole = _block_bounds(q_far, q_norm, far, norm)
                 for i in range(len(q_ids)):
+                    scores, got = top[i]
+                    if len(scores) >= k and whole[i] < scores[-1]:
+                        continue
                     least = np.abs(far - q_far[i]).max(axis=1, initial=0.0)
                     bound = np.minimum((q_norm[i] + norm - least**2) / 2, np.sqrt(q_norm[i] * norm))
                     bound = bound + np.abs(bound) * 1e-9 + (q_norm[i] + norm) * 1e-9 + 1e-3
                     order = np.argsort(-bound, kind="stable")
-                    scores, got = top[i]
                     for j in range(0, len(order), STRIDE):
                         part = order[j : j + STRIDE]
                         if len(scores) >= k and bound[part[0]] < scores[-1]:
@@ -107,26 +121,30 @@ def _searcher(k: int):
                         first = np.lexsort((got, -scores))[:k]
                         scores, got = scores[first], got[first]
                     top[i] = (scores, got)
-        for q_ids, _, _, top in best.values():
-            for q_id, (scores, got) in zip(q_ids, top):
+        for qb, (q_ids, _, _, top) in best.items():
+            for at, (q_id, (scores, got)) in enumerate(zip(q_ids, top)):
                 if len(got):
-                    yield pa.RecordBatch.from_pydict({"query_id": np.full(len(got), q_id), "vec_id": got, "score": scores})
+                    n = len(got)
+                    yield pa.RecordBatch.from_pydict({"qb": np.full(n, qb, np.int64), "at": np.full(n, at, np.int32), "query_id": np.full(n, q_id), "vec_id": got, "score": scores})
 
     return search
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, tasks: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k candidates with the largest inner product, for rows of `usable`."""
-    spark = queries.sparkSession
-    tasks = tasks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = tasks or parts(queries)
     pivots = choose_pivots(candidates)
     kind = "dim int, ids binary, vectors binary, pivots binary"
     q = queries.repartition(max(1, tasks // 8)).mapInArrow(_packer(QUERY_BLOCK, pivots), kind)
     q = stored(q.withColumn("qb", F.monotonically_increasing_id()), "queries")
     x = stored(candidates.mapInArrow(_packer(BLOCK, pivots), kind), "candidates")
-    pairs = x.withColumn("deal", F.xxhash64("ids") % 64).join(q.select("qb", "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("pivots").alias("q_pivots")), "dim")
-    found = pairs.repartition(tasks, "qb", "deal").mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
-    rows = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    groups, columns = max(1, -(-q.count() // GROUP)), max(2, tasks)
+    group, column = F.sequence(F.lit(0), F.lit(groups - 1)), F.sequence(F.lit(0), F.lit(columns - 1))
+    q = q.select("qb", "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("pivots").alias("q_pivots"), F.pmod(F.xxhash64("qb"), F.lit(groups)).cast("int").alias("g"), F.explode(column).alias("c"))
+    x = x.select("*", F.pmod(F.xxhash64("ids"), F.lit(columns)).cast("int").alias("c"), F.explode(group).alias("g"))
+    pairs = x.join(q.hint("shuffle_hash"), ["g", "c", "dim"])
+    found = pairs.mapInArrow(_searcher(k), "qb long, at int, query_id long, vec_id long, score long")
+    rows = F.row_number().over(Window.partitionBy("qb", "at").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rows).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
