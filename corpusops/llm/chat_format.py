@@ -10,7 +10,9 @@ lists (start, length) in code points of each assistant text in the formatted str
 
 Null roles and texts count as empty, null scores as 0. Messages with equal ids in a tree keep one copy per row only
 if ids are unique; the caller numbers rows, as ``from_turns`` does (ties of turn go by role, then text). A message
-whose parent does not exist is a root. An empty table gives an empty result. Extra columns are ignored.
+whose parent does not exist is a root. Of messages that reply to each other in a ring (or to themselves), the one with
+the smallest id becomes a root; ``ring_heads`` lists these. An empty table gives an empty result. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,20 +37,50 @@ def _same(a: str, b: str):
     return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
 
 
-def chosen_paths(messages: DataFrame, best: int = 1) -> DataFrame:
-    """(tree, leaf, id, depth) for each message of the `best` highest scored root-to-leaf paths of each root."""
-    nodes = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+def _walk(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:
+    """Jump tables by powers of two, the last table, and the number of doublings.
+
+    Of each message: `up`, the ancestor 2^k above; root, depth and score of the path walked so far, up itself left out.
+    """
     own = nodes.alias("n").join(nodes.select("tree", "id").alias("p"), _same("n", "p") & (F.col("n.parent") == F.col("p.id")), "left")
-    # up: the ancestor 2^k above; root, depth and score: of the path walked so far, up itself left out
     walked = own.select("n.tree", "n.id", F.col("p.id").alias("up"), F.col("n.id").alias("root"), F.lit(1).cast("long").alias("depth"), "n.score")
     jump = stored(walked, "reach")
-    steps = [jump.select("tree", "id", "up")]
-    while jump.filter("up IS NOT NULL").limit(1).count():
+    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0  # no path is longer
+    steps, rounds = [jump.select("tree", "id", "up")], 0
+    while 2**rounds <= most and jump.filter("up IS NOT NULL").limit(1).count():
         # paths that have reached their root walk no further
         far = jump.filter("up IS NOT NULL").alias("n").join(jump.alias("u"), _same("n", "u") & (F.col("n.up") == F.col("u.id")))
         farther = far.select("n.tree", "n.id", F.col("u.up").alias("up"), "u.root", (F.col("n.depth") + F.col("u.depth")).alias("depth"), (F.col("n.score") + F.col("u.score")).alias("score"))
         jump = stored(farther.unionByName(jump.filter("up IS NULL")), "reach")
         steps.append(jump.select("tree", "id", "up"))
+        rounds += 1
+    return steps, jump, rounds
+
+
+def _heads(steps: list[DataFrame], jump: DataFrame, rounds: int) -> DataFrame:
+    """(tree, id): the smallest message of each ring. Paths without end have walked into their ring by now."""
+    on = jump.filter("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
+    ring = stored(on.alias("o").join(steps[0].alias("s"), _same("o", "s") & (F.col("o.id") == F.col("s.id"))).select("o.tree", "o.id", "s.up", F.col("o.id").alias("least")), "ring")
+    for _ in range(rounds):
+        next_ = ring.alias("r").join(ring.alias("u"), _same("r", "u") & (F.col("r.up") == F.col("u.id")))
+        ring = stored(next_.select("r.tree", "r.id", "u.up", F.least("r.least", "u.least").alias("least")), "ring")
+    return ring.filter("id = least").select("tree", "id")
+
+
+def ring_heads(messages: DataFrame) -> DataFrame:
+    """(tree, id) of the messages that become roots because they reply to each other in a ring."""
+    return _heads(*_walk(messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))))
+
+
+def chosen_paths(messages: DataFrame, best: int = 1) -> DataFrame:
+    """(tree, leaf, id, depth) for each message of the `best` highest scored root-to-leaf paths of each root."""
+    nodes = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    steps, jump, rounds = _walk(nodes)
+    if jump.filter("up IS NOT NULL").limit(1).count():
+        heads = _heads(steps, jump, rounds).withColumn("head", F.lit(True))
+        cut = nodes.alias("n").join(heads.alias("h"), _same("n", "h") & (F.col("n.id") == F.col("h.id")), "left")
+        nodes = stored(cut.select("n.tree", "n.id", F.when(F.col("h.head").isNull(), F.col("n.parent")).alias("parent"), "n.score"), "cut")
+        steps, jump, rounds = _walk(nodes)
     leaves = jump.alias("n").join(nodes.alias("c"), _same("n", "c") & (F.col("n.id") == F.col("c.parent")), "left_anti")
     ranked = leaves.select("tree", "id", "root", "depth", F.row_number().over(Window.partitionBy("tree", "root").orderBy(F.desc("score"), F.desc("depth"), "id")).alias("rank"))
     members = ranked.filter(F.col("rank") <= best).select("tree", F.col("id").alias("leaf"), "id", "depth")
