@@ -1,13 +1,17 @@
-"""License scans: Dice coefficient over word bigrams between normalised lines and license templates.
+"""License scans: Dice coefficient over word bigrams between normalised text and license templates.
 
-Lines are lower-cased, every run of other than letters and digits becomes a blank, and the words' distinct bigrams are
-compared with each template's. Dice >= t needs sizes whose ratio lies in [t / (2 - t), (2 - t) / t], so a template is
-compared only with lines of a size within these bounds. DataFrame functions only; the only shuffle is none at all:
-templates are a bounded constant of this module (at most 200, checked) joined as a literal array.
+Texts are lower-cased, every run of other than letters and digits becomes a blank, and what is left are words, whatever
+lines they stood on. A template of n words is compared with spans of n words: Dice is twice the shared distinct bigrams
+over the sum of both sides' distinct bigrams. Templates are short notices, headers and whole license texts.
 
-Null and empty texts have no line that can match. Lines of one word have no bigram and never match. Repeated lines are
-reported each, with their line number; ties of score go to the template that comes first by name. Extra columns of the
-input are ignored.
+Size bounds prune: Dice >= t lets a template miss at most 1 - t / (2 - t) of its bigrams, so a span that reaches it has
+one of any choice of one bigram more than that; the longest ones are the template's anchors. Documents without a word of
+any anchor go first, then spans start only where an anchor stands where the template has it. A document of fewer words
+than a template is compared as a whole. For each license the best span of a document counts (the earliest among equals),
+unless a span of another license that overlaps it is better (the first by name among equals). DataFrame functions only.
+
+Null and empty texts match nothing. Rows are independent: repeated and null doc_ids are reported each. An empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,92 +21,169 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-
-#: Short notices by which works declare a license.
+from .common import parts, stored, table
+
+#: Notices, headers and texts of public licenses.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+the distribution."""
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission."""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name}
+as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should
+have received a copy of the GNU {name} along with this program. If not, see <https://www.gnu.org/licenses/>."""
 TEMPLATES = {
     "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-header": GPL_HEADER.format(name="Affero General Public License", version="3"),
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License.""",
     "bsd-2-clause": "Released under the BSD 2-Clause License.",
+    "bsd-2-clause-text": f"{BSD_TERMS} {BSD_END}",
     "bsd-3-clause": "Released under the BSD 3-Clause License.",
+    "bsd-3-clause-text": f"{BSD_TERMS} {BSD_NAMES} {BSD_END}",
+    "bsl-1.0-text": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+Software is furnished to do so, all subject to the following:""",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0-1.0": "Released into the public domain under CC0 1.0.",
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-header": GPL_HEADER.format(name="General Public License", version="2"),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-header": GPL_HEADER.format(name="General Public License", version="3"),
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-3.0-header": GPL_HEADER.format(name="Lesser General Public License", version="3"),
     "mit": "Released under the MIT License.",
+    "mit-text": MIT,
     "mpl-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0.",
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software. 3. This notice may not be removed or altered from any source distribution.""",
 }
-THRESHOLD = 0.9
-
+THRESHOLD = 0.8
 
-def bigrams(text: str) -> list[str]:
-    words = re.sub(r"[^\w]|_", " ", text.lower()).split()
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
+def words_of(text: str) -> list[str]:
+    return re.sub(r"[^\w]|_", " ", text.lower()).split()
 
-def _needles(templates, threshold: float) -> list[str]:
-    """Words of which a line has at least one if it reaches the threshold with any template.
 
-    Dice >= t means that at most 1 - t / (2 - t) of a template's bigrams are missing. Of one bigram more than that,
-    the longest word of each is taken, from the bigrams with the longest words.
-    """
-    words = set()
-    for g in templates:
-        missing = int(len(g) * (1 - threshold / (2 - threshold)) + 1e-9)
-        longest = sorted((max(x.split(), key=lambda w: (len(w), w)) for x in g), key=lambda w: (-len(w), w))
-        words.update(longest[: missing + 1])
-    return sorted(w for w in words if not any(v != w and v in w for v in words))
+def anchors_of(text: str, threshold: float) -> list[tuple[str, int]]:
+    """Bigrams of which a span that reaches the threshold has at least one, with their first place in the template."""
+    words = words_of(text)
+    first: dict[str, int] = {}
+    for i, pair in enumerate(zip(words, words[1:])):
+        first.setdefault(" ".join(pair), i)
+    missing = int(len(first) * (1 - threshold / (2 - threshold)) + 1e-9)
+    return sorted(first.items(), key=lambda g: (-len(g[0]), g[0]))[: missing + 1]
 
 
-def _any_of(text, words: list[str]):
-    out = F.contains(text, F.lit(words[0]))
-    for w in words[1:]:
-        out = out | F.contains(text, F.lit(w))
-    return out
+def _bigrams(words):
+    """The bigrams of an array of words, repeats included; none of fewer than two words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def scan_lines(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, license, dice): the best template of each line that reaches the threshold."""
-    templates = TEMPLATES if templates is None else templates
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, license, start, n_words, dice): the best span of each license in each document."""
+    templates = {k: v for k, v in sorted((TEMPLATES if templates is None else templates).items()) if len(words_of(v)) > 1}
     if len(templates) > 200:
-        raise ValueError("at most 200 templates are compared as a literal")
-    grams = {k: g for k, v in sorted(templates.items()) if (g := bigrams(v))}
-    docs = docs.filter(_any_of(F.lower(text_col), _needles(grams.values(), threshold)))
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("line_no", "line"))
-    low, high = min(map(len, grams.values())) * threshold / (2 - threshold), max(map(len, grams.values())) * (2 - threshold) / threshold
-    # a template that reaches the threshold shares all but a few of its bigrams, so one of these words is in the line
-    known = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, g)).alias("g")) for k, g in grams.items()])
-    lines = lines.filter(_any_of(F.lower("line"), _needles(grams.values(), threshold)))
-    lines = lines.withColumn("w", F.array_remove(F.split(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "), " ", -1), ""))
-    pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    lines = lines.filter(F.size("w") > 1).withColumn("grams", pairs).filter(F.size("grams").between(low, high))
-    ratio = lambda t: F.size(F.array_intersect(F.col("grams"), t["g"])) * 2.0 / (F.size("grams") + F.size(t["g"]))
-    bound = lambda t: (F.size("grams") >= F.size(t["g"]) * (threshold / (2 - threshold))) & (F.size("grams") <= F.size(t["g"]) * ((2 - threshold) / threshold))
-    scored = F.transform(F.filter(known, bound), lambda t: F.struct((-ratio(t)).alias("d"), t["license"].alias("license")))
-    best = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.array_min(scored).alias("best"))
-    return best.filter(F.col("best.d") <= -threshold).select("doc_id", "line_no", F.col("best.license").alias("license"), F.round(-F.col("best.d"), 6).alias("dice"))
+        raise ValueError("at most 200 templates are broadcast")
+    spark = docs.sparkSession
+    found = {k: anchors_of(v, threshold) for k, v in templates.items()}
+    needles = sorted({max(g.split(), key=lambda w: (len(w), w)) for a in found.values() for g, _ in a})
+    words = F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ", -1), "")
+    texts = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).filter(F.arrays_overlap("words", F.array(*map(F.lit, needles))))
+    texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "license-texts")
+
+    rows = [(k, len(words_of(v)), sorted({" ".join(p) for p in zip(words_of(v), words_of(v)[1:])})) for k, v in templates.items()]
+    known = spark.createDataFrame(rows, "license string, n int, grams array<string>")
+    anchors = spark.createDataFrame([(g, k, i, len(words_of(templates[k]))) for k, a in found.items() for g, i in a], "gram string, license string, offset int, n int")
+    places = texts.select("row", F.size("words").alias("size"), F.posexplode(_bigrams(F.col("words"))).alias("at", "gram"))
+    starts = places.join(F.broadcast(anchors), "gram").select("row", "license", "n", F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("size") - F.col("n"))).alias("start")).distinct()
+    spans = starts.groupBy("row").agg(F.collect_list(F.struct("license", "n", "start")).alias("spans"))
+    each = texts.join(spans, "row").select("row", "doc_id", "words", F.explode("spans").alias("s"))
+    each = each.select("row", "doc_id", "s.*", F.array_distinct(_bigrams(F.slice("words", F.col("s.start") + 1, F.col("s.n")))).alias("own"))
+    each = each.join(F.broadcast(known.drop("n")), "license")
+    dice = F.size(F.array_intersect("own", "grams")) * 2.0 / (F.size("own") + F.size("grams"))
+    scored = each.select("row", "doc_id", "license", "n", "start", dice.alias("dice")).filter(F.col("dice") >= threshold)
+    best = scored.groupBy("row", "doc_id", "license", "n").agg(F.min(F.struct((-F.col("dice")).alias("d"), "start")).alias("b"))
+    of_row = best.groupBy("row", "doc_id").agg(F.collect_list(F.struct("b.d", "license", "b.start", (F.col("b.start") + F.col("n")).alias("end"), "n")).alias("all"))
+    better = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (F.struct(y["d"], y["license"]) < F.struct(x["d"], x["license"]))
+    kept = of_row.select("doc_id", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda y: better(x, y)))).alias("s"))
+    return kept.select("doc_id", "s.license", F.col("s.start").cast("long").alias("start"), F.col("s.n").cast("long").alias("n_words"), F.round(-F.col("s.d"), 6).alias("dice"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every document that declares a known license."""
-    return scan_lines(table(spark, sf_dir, "documents"))
+    """Every license that a document holds, with the place of its best span."""
+    return scan(table(spark, sf_dir, "documents"))
 
 
 def _values() -> str:
-    return ", ".join(f"('{k}', [{', '.join(repr(g) for g in bigrams(v))}])" for k, v in TEMPLATES.items())
+    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEMPLATES.items()))
 
 
+_WORDS = "list_filter(string_split(regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_GRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
 OP10_SQL = f"""
-WITH tpl(license, g) AS (VALUES {_values()}),
-l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
-w AS (SELECT doc_id, line_no, list_filter(string_split(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM l),
-b AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1),
-s AS (SELECT doc_id, line_no, license, 2.0 * len(list_intersect(grams, g)) / (len(grams) + len(g)) AS dice FROM b, tpl WHERE len(grams) <= 40),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) AS k FROM s WHERE dice >= {THRESHOLD})
-SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, license, round(CAST(dice AS DOUBLE), 6) AS dice FROM r WHERE k = 1
+WITH tpl(license, body) AS (VALUES {_values()}),
+tw AS (SELECT license, {_WORDS.format('body')} AS w FROM tpl),
+tg AS (SELECT license, len(w) AS n, {_GRAMS.format('w')} AS g FROM tw),
+tp AS (SELECT license, n, unnest(g) AS gram, unnest(range(len(g))) AS i FROM tg),
+tf AS (SELECT license, n, gram, min(i) AS i FROM tp GROUP BY license, n, gram),
+ta AS (SELECT *, row_number() OVER (PARTITION BY license ORDER BY length(gram) DESC, gram) AS k, count(*) OVER (PARTITION BY license) AS m FROM tf),
+a AS (SELECT license, n, gram, i FROM ta WHERE k <= floor(m * (1 - {THRESHOLD} / (2 - {THRESHOLD})) + 1e-9) + 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+dg AS (SELECT r, len(w) AS size, unnest({_GRAMS.format('w')}) AS gram, unnest(range(greatest(len(w) - 1, 0))) AS at FROM d),
+st AS (SELECT DISTINCT r, license, n, greatest(0, least(at - i, size - n)) AS start FROM dg JOIN a USING (gram)),
+sp AS (SELECT r, doc_id, license, n, start, list_distinct({_GRAMS.format('w[start + 1:start + n]')}) AS own FROM st JOIN d USING (r)),
+sc AS (SELECT r, doc_id, license, sp.n, start, 2.0 * len(list_intersect(own, list_distinct(g))) / (len(own) + len(list_distinct(g))) AS dice FROM sp JOIN tg USING (license)),
+b AS (SELECT *, row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, start) AS k FROM sc WHERE dice >= {THRESHOLD})
+SELECT doc_id, license, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words, round(CAST(dice AS DOUBLE), 6) AS dice FROM b x
+WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM b y WHERE y.k = 1 AND y.r = x.r AND y.start < x.start + x.n AND x.start < y.start + y.n AND (y.dice > x.dice OR (y.dice = x.dice AND y.license < x.license)))
 """
