@@ -1,7 +1,7 @@
 """A corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs; all but the last return the columns of documents.
+stage's docs; all but the last return the columns of documents. Extra columns of any name ride along.
 """
 
 from __future__ import annotations
@@ -15,33 +15,50 @@ from corpusops.llm.common import stored, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) or with a posterior under one half go."""
-    langs, matrix = language_id.train(docs.filter(~language_id.held_out()))
-    kept = language_id.predict(docs, langs, matrix).filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= 0.5))
-    return kept.select(docs.columns)
+    """Documents without a language (null, or no letter) or with a posterior under one half go.
+
+    Rows are independent: repeated rows and null doc_ids pass like others. An empty table stays empty.
+    """
+    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    numbered = docs.select(*own, F.col("text").alias("text"))
+    kept = language_id.predict(numbered, language_id.train(docs.filter(~language_id.held_out())))
+    kept = kept.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= 0.5))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each group of similar lines stays; a document that keeps no text goes."""
+    """One line of each group of similar lines stays; a document that keeps no text goes, null texts included.
+
+    Rows without doc_id count as one document that comes last; rows that repeat a doc_id as one document.
+    """
     kept = line_dedup.dedup_lines(docs, shortest=1).filter(F.length(F.trim("text")) > 0)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies stays."""
-    first = simhash.groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """The smallest doc_id of each group of near copies (five-word shingles, similarity 0.8) stays.
+
+    Rows without doc_id always stay; rows that repeat a doc_id stay or go together. Null and empty texts are copies of
+    each other.
+    """
+    return docs.join(simhash.near_copies(docs).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Rows without doc_id are judged as one document, and so are rows that repeat a doc_id. Null and empty texts hold
+    nothing.
+    """
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    found = decontaminate.contaminated(docs.select(F.col("doc_id").alias("id"), "text"), items).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = decontaminate.contaminated(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), items)
+    gone = found.select(F.col("id").alias("gone")).distinct()
+    d, g = docs.alias("d"), gone.alias("g")
+    return d.join(g, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.gone")), "left_anti").select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and what they decode to, as digests."""
+    """Token ids of each document, and what they decode to, as digests; null texts count as empty, rows are independent."""
     return byte_bpe.round_trip(docs, public_tokenizers.path(byte_bpe.RANKS))
 
 
@@ -52,7 +69,7 @@ STAGES = [
     ("benchmark decontamination", drop_benchmark),
     ("byte-level BPE", tokenize),
 ]
-#: Naive Bayes, MinHash and SimHash are not SQL; tests/llm holds the stages against brute force.
+#: Naive Bayes, MinHash and SimHash are not SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -8,6 +8,11 @@ whose bit is 0 probes, so each match comes once per half. Complete distances are
 Work is on distinct fingerprints: copies only share their smallest doc_id. Links go through distributed connected
 components in the shared folder. Null and empty texts have fingerprint 0, linked like any other. Rows that repeat a
 doc_id appear once each. An empty table gives an empty result; extra columns are ignored.
+
+`near_copies` is the same search for a similarity of word shingles in place of a distance: texts have PRINTS
+fingerprints, each cut in three segments; two texts whose halves of a segment differ in at most 2 bits meet, as each
+enters the Hamming ball of radius 1 around its segment in the table and probes with the same ball. Pairs at most FAR
+bits apart as a whole are then held against the exact Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -18,42 +23,57 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, parts, stored, table
 
 WIDTH, SEED, DISTANCE = 3, 42, 3
+NEAR_WIDTH, SIMILAR, PRINTS, FAR = 5, 0.8, 2, 14
+SEGMENTS = [(0, 22), (22, 21), (43, 21)]
+LAST = (1 << 63) - 1
 
 
-def fingerprint(text: str | None) -> int:
-    """Lower-cases A-Z; words are runs of other than ASCII blanks."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def fingerprints_of(text: str | None, width: int = WIDTH, prints: int = 1) -> list[int]:
+    """Lower-cases A-Z; words are runs of other than ASCII blanks. The second and later fingerprints are of mixed hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * prints
     joined, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    n = max(1, len(words) - WIDTH + 1)
-    last = ends[WIDTH - 1 :] if len(words) >= WIDTH else ends[-1:]
+    n = max(1, len(words) - width + 1)
+    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((prints, 64), np.int64)
     for i in range(0, n, 8192):
         m = min(8192, n - i)
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[i : i + m].tolist(), last[i : i + m].tolist())), np.uint64, m)
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(m, 8), axis=1)
-        for j in range(0, m, 255):  # sums of at most 255 bits stay in one byte each
-            ones += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
-    value = np.packbits((ones * 2 > n).astype(np.uint8)).tobytes()
-    return int.from_bytes(value, "big", signed=True)
+        for k in range(prints):
+            hashes = _mixed(hashes) if k else hashes
+            bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(m, 8), axis=1)
+            for j in range(0, m, 255):  # sums of at most 255 bits stay in one byte each
+                ones[k] += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
+    return [int.from_bytes(np.packbits((x * 2 > n).astype(np.uint8)).tobytes(), "big", signed=True) for x in ones]
+
+
+def fingerprint(text: str | None) -> int:
+    return fingerprints_of(text)[0]
 
 
-def _fingerprints(batches):
-    for batch in batches:
-        prints = [fingerprint(x) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, width: int = WIDTH, prints: int = 1) -> DataFrame:
+    """(doc_id, fp, fp1...): signed 64-bit fingerprints of whole texts."""
+    names = ["fp", *[f"fp{k}" for k in range(1, prints)]]
 
+    def run(batches):
+        for batch in batches:
+            rows = [fingerprints_of(x, width, prints) for x in batch.column("text").to_pylist()]
+            columns = list(zip(*rows)) or [()] * prints
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", *names])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): signed 64-bit fingerprints of whole texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *names]))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -80,8 +100,67 @@ def groups(docs: DataFrame) -> DataFrame:
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
     of_fp = named.join(least, "group").select("fp", "component_id")
     # copies may be many: the side with one row per fingerprint is dealt anew, so that both sides can be split
-    n = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return prints.join(of_fp.repartition(n).hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(of_fp.repartition(parts(docs)).hint("merge"), "fp").select("doc_id", "fp", "component_id")
+
+
+def near_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of rows of distinct (node, fp, fp1...) that meet in a table and are at most FAR bits apart."""
+    names = [c for c in prints.columns if c != "node"]
+    segments = F.array(*[F.struct(F.lit(3 * k + i).cast("long").alias("t"), F.lit(size).alias("size"), F.shiftrightunsigned(c, low).bitwiseAND((1 << size) - 1).alias("v"), F.col(c).alias("whole")) for k, c in enumerate(names) for i, (low, size) in enumerate(SEGMENTS)])
+    rows = prints.select("node", F.explode(segments).alias("s")).select("node", "s.*")
+    rows = rows.select("node", "whole", "t", "v", F.explode(F.sequence(F.lit(-1), F.col("size") - 1)).alias("bit"))
+    flipped = F.when(F.col("bit") < 0, F.col("v")).otherwise(F.col("v").bitwiseXOR(F.element_at(F.lit(POWERS), F.greatest(F.col("bit"), F.lit(0)) + 1)))
+    rows = rows.select("node", "whole", "bit", (F.col("t") * (1 << 22) + flipped).alias("key"))
+    l, r = rows.alias("l"), rows.alias("r")
+    # each pair comes once a table: bits that differ are flipped in order, or the only one on the right
+    once = (F.col("l.node") < F.col("r.node")) & ((F.col("l.bit") < 0) | (F.col("l.bit") < F.col("r.bit")))
+    near = l.join(r.hint("merge"), (F.col("l.key") == F.col("r.key")) & once & (F.bit_count(F.col("l.whole").bitwiseXOR(F.col("r.whole"))) <= FAR))
+    return near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
+def jaccard(one: str | None, two: str | None, width: int = NEAR_WIDTH) -> float:
+    """Similarity of two texts' sets of word shingles; two texts without words are copies."""
+    sets = []
+    for text in (one, two):
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    both = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / both if both else 1.0
+
+
+def near_copies(docs: DataFrame, width: int = NEAR_WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, component_id) of documents in groups of near copies that are not the group's smallest doc_id.
+
+    Rows without doc_id take no part. Rows that repeat a doc_id count as one document with several texts. Texts with equal
+    fingerprints are copies.
+    """
+
+    def check(batches):
+        for batch in batches:
+            ok = [jaccard(x, y, width) >= similar for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    prints = stored(fingerprints(docs.filter("doc_id IS NOT NULL"), width, PRINTS), "near-prints")
+    names = prints.columns[1:]
+    first = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "near-first")
+    pairs = stored(near_pairs(first.select("node", *names)), "near-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first.select("node", F.col("first").alias("doc_id"), *names), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    # of rows that repeat a doc_id, the one with the node's fingerprint
+    found = F.pandas_udf(lambda t: t.map(lambda x: fingerprint_key(x, width)), "string")
+    texts = texts.filter(found("text") == F.concat_ws(",", *[F.col(c).cast("string") for c in names])).select("node", "text").dropDuplicates(["node"])
+    texts = stored(texts, "near-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    linked = stored(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "near-links")
+    groups = components(linked)
+    named = first.join(groups, "node", "left").select(*names, "first", F.coalesce("component", "node").alias("group"))
+    least = named.groupBy("group").agg(F.min("first").alias("component_id"))
+    of = named.join(least, "group").select(*names, "component_id")
+    return prints.join(of.repartition(parts(docs)).hint("merge"), names).filter("doc_id > component_id").select("doc_id", "component_id").distinct()
+
+
+def fingerprint_key(text: str | None, width: int) -> str:
+    return ",".join(map(str, fingerprints_of(text, width, PRINTS)))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
