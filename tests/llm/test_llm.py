@@ -118,16 +118,45 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.dedup(d.filter("doc_id < 0")).count() == 0
 
 
-def test_language_id(spark):
-    rows = [(i, f"{w} {w} {i}", lang) for i, (w, lang) in enumerate(itertools.islice(itertools.cycle([("the of and", "en"), ("der und das", "de")]), 80))]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    langs, m = language_id.train(d)
-    assert langs == ["de", "en"]
-    test = spark.createDataFrame([(1, "und das"), (2, "and of"), (3, None), (4, "12 !!"), (5, "")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(test, langs, m).collect()}
-    assert [got[i][0] for i in range(1, 6)] == ["de", "en", "und", "und", "und"] and all(0 <= s <= 1 for _, s in got.values())
-    langs, m = language_id.train(d.filter("doc_id < 0"))
-    assert {r["lang_pred"] for r in language_id.predict(test, langs, m).collect()} == {"und"}
+def brute_bayes(rows, held):
+    """Predictions by plain naive Bayes with counts smoothed by one half, over rows (id, text, lang)."""
+    import math
+    from collections import Counter
+
+    learn = [(t, lang) for i, t, lang in rows if i not in held and t is not None and lang is not None]
+    langs = sorted({x for _, x in learn})
+    counts = {x: Counter() for x in langs}
+    for lang in langs:  # texts of one language are joined with line feeds, batch by batch
+        counts[lang].update(language_id.buckets("\n".join(t for t, x in learn if x == lang)).tolist())
+    size = 1 << language_id.BITS
+    totals = {x: sum(counts[x].values()) + size / 2 for x in langs}
+    out = {}
+    for i, t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            out[i] = ("und", 0.0)
+            continue
+        logs = {x: math.log(sum(y == x for _, y in learn) / len(learn)) + sum(math.log((counts[x][b] + 0.5) / totals[x]) for b in language_id.buckets(t).tolist()) for x in langs}
+        best = max(langs, key=lambda x: logs[x])
+        out[i] = (best, 1 / sum(math.exp(v - logs[best]) for v in logs.values()))
+    return out
+
+
+@pytest.mark.parametrize("block", [250, 1])
+def test_language_id_is_naive_bayes(spark, block):
+    random.seed(11)
+    kinds = {"en": "the of and to in a is that", "de": "der die und das nicht ein ist", "fr": "le la et les des un est que"}
+    rows = [(i, " ".join(random.choice(v.split()) for _ in range(random.randint(1, 6))), k) for i, (k, v) in enumerate(itertools.islice(itertools.cycle(kinds.items()), 60))]
+    rows += [(100, None, "en"), (101, "", None), (102, "12 !!", "de"), (103, "the und le", None), (104, "the und le", None), (105, rows[0][1], "xx")]
+    d = spark.createDataFrame([(*r, 7, "own") for r in rows], "doc_id long, text string, lang string, score int, lang_pred string").coalesce(1)
+    held = {r[0] for r in d.filter(language_id.held_out()).select("doc_id").collect()}
+    model = language_id.train(d.filter(~language_id.held_out()), block)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(d, model).collect()}
+    want = brute_bayes(rows, held)
+    assert {i: p for i, (p, _) in got.items()} == {i: p for i, (p, _) in want.items()}
+    assert all(abs(got[i][1] - s) < 1e-4 for i, (_, s) in want.items())
+    assert language_id.predict(d.filter("doc_id < 0"), model).count() == 0
+    none = language_id.train(d.filter("doc_id < 0"))
+    assert {r["lang_pred"] for r in language_id.predict(d, none).collect()} == {"und"}
 
 
 def test_top_k(spark):
@@ -135,13 +164,14 @@ def test_top_k(spark):
     rows = [(i, [random.choice([-0.25, 0.0, 0.5]) for _ in range(4)]) for i in range(300)] + [(300, None), (301, [None, 1.0, 1.0, 1.0]), (302, [float("nan")] * 4), (400, [0.5] * 4), (400, [0.5] * 4)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     v = topk_search.usable(d)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(v.filter("vec_id % 100 = 0").dropDuplicates(["vec_id"]), v, 10).collect())
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(v.filter("vec_id % 100 = 0"), v, 10).collect())
     known = [(i, [int(1024 * x) for x in e]) for i, e in rows if e and None not in e and e[0] == e[0]]
     want = []
-    for q, x in {i: e for i, e in known if i % 100 == 0}.items():
+    for q, x in [(i, e) for i, e in known if i % 100 == 0]:  # a row that repeats is a query of its own
         best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in known if i != q)[:10]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    assert got == sorted(want)
+    assert got == sorted(want) and len(got) == 50
+    assert topk_search.top_k(v.filter("vec_id < 0"), v, 10).count() == 0 and topk_search.top_k(v.filter("vec_id < 0"), v.filter("vec_id < 0"), 10).count() == 0
 
 
 def test_simhash(spark):
@@ -194,7 +224,71 @@ def test_chat_trees(spark):
     assert chat_format.chosen_paths(m.filter("tree < 0")).count() == 0
 
 
+def test_chat_rings(spark):
+    rows = [(1, 1, 3, "user", "a", 0.0), (1, 2, 1, "assistant", "b", 0.0), (1, 3, 2, "user", "c", 0.0), (1, 4, 3, "assistant", "d", 0.0), (1, 5, 5, "user", "self", 0.0), (2, 1, None, "user", "x", 0.0)]
+    m = spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double")
+    assert sorted((r["tree"], r["id"]) for r in chat_format.ring_heads(m).collect()) == [(1, 1), (1, 5)]
+    got = sorted((r["tree"], r["leaf"], r["id"], r["depth"]) for r in chat_format.chosen_paths(m).collect())
+    assert got == [(1, 4, 1, 1), (1, 4, 2, 2), (1, 4, 3, 3), (1, 4, 4, 4), (1, 5, 5, 1), (2, 1, 1, 1)]
+
+
+def brute_licenses(text, threshold=license_scan.THRESHOLD):
+    """Spans at every place that an anchor allows, one template after the other."""
+    words, best = license_scan.words_of(text or ""), {}
+    for name, body in sorted(license_scan.TEMPLATES.items()):
+        t = license_scan.words_of(body)
+        grams, n = {" ".join(p) for p in zip(t, t[1:])}, len(t)
+        for at, pair in enumerate(zip(words, words[1:])):
+            for g, i in license_scan.anchors_of(body, threshold):
+                if g == " ".join(pair):
+                    start = max(0, min(at - i, len(words) - n))
+                    span = words[start : start + n]
+                    own = {" ".join(p) for p in zip(span, span[1:])}
+                    dice = 2 * len(own & grams) / (len(own) + len(grams))
+                    if dice >= threshold:
+                        best[name] = min(best.get(name, (0, 0, 0)), (-dice, start, n))
+    over = lambda x, y: x[1] < y[1] + y[2] and y[1] < x[1] + x[2]
+    return {(k, x[1], x[2], round(-x[0], 6)) for k, x in best.items() if not any(over(x, y) and (y[0], j) < (x[0], k) for j, y in best.items())}
+
+
 def test_license_scan(spark):
-    texts = ["x\nLICENSED under the  apache license version 2 0", None, "", "mit", "Released under the MIT License.\nReleased under the MIT License.", "This work is licensed under the GNU General Public License, version 2."]
-    got = sorted((r["doc_id"], r["line_no"], r["license"]) for r in license_scan.scan_lines(docs(spark, texts)).collect())
-    assert got == [(0, 1, "apache-2.0"), (4, 0, "mit"), (4, 1, "mit"), (5, 0, "gpl-2.0")]
+    mit = license_scan.MIT.split()
+    wrapped = "\n".join(" ".join(mit[i : i + 7]) for i in range(0, len(mit), 7))
+    altered = license_scan.MIT.replace("free of charge", "without any fee").replace("AUTHORS", "WRITERS")
+    texts = [
+        "x\nLICENSED under the  apache license version 2 0", None, "", "mit", "Released under the MIT License.\nReleased under the MIT License.",
+        "This work is licensed under the GNU General Public License, version 2.", f"Copyright 2024 Somebody.\n\n{wrapped}\nint main() {{}}", f"// {altered}", "We say here: this program was released under the MIT license. And so on.",
+        "Copyright 2024 X. All rights reserved.", license_scan.TEMPLATES["gpl-3.0-header"] + " Then " + license_scan.TEMPLATES["bsd-3-clause-text"], "license software warranty " * 40, "This work is licenced under the GNU General Public License, version 3.",
+    ]
+    got: dict = {i: set() for i in range(len(texts))}
+    for r in license_scan.scan(docs(spark, texts)).collect():
+        got[r["doc_id"]].add((r["license"], r["start"], r["n_words"], r["dice"]))
+    assert got == {i: brute_licenses(t) for i, t in enumerate(texts)}
+    names = {i: sorted(x[0] for x in v) for i, v in got.items()}
+    assert names == {0: ["apache-2.0"], 1: [], 2: [], 3: [], 4: ["mit"], 5: ["gpl-2.0"], 6: ["mit-text"], 7: ["mit-text"], 8: ["mit"], 9: ["all-rights-reserved"], 10: ["bsd-3-clause-text", "gpl-3.0-header"], 11: [], 12: ["gpl-3.0"]}
+    assert license_scan.scan(docs(spark, texts).filter("doc_id < 0")).count() == 0
+
+
+def test_long_words_count_alike(ranks):
+    import numpy as np
+
+    model = token_counts.unigram(public_tokenizers.path(byte_bpe.RANKS))
+    random.seed(12)
+    for _ in range(20):
+        word = "".join(random.choice("abetionz") for _ in range(random.randint(1, 200))).encode()
+        assert model.count(np.frombuffer(word, np.uint8), np.array([0, len(word)])).tolist() == [model.count_long(word)]
+
+
+def test_texts_of_many_rows(spark, ranks, monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    from corpusops.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "ROW_WORDS", 3)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["one two three four five six seven eight", None, "a b c", "a b c d", "x" * 3000]
+    for r in byte_bpe.round_trip(docs(spark, texts), public_tokenizers.path(byte_bpe.RANKS)).collect():
+        t = texts[r["doc_id"]] or ""
+        ids = enc.encode_ordinary(t)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    counts = {r["doc_id"]: r["n_pretokens"] for r in token_counts.count_tokens(docs(spark, texts), public_tokenizers.path(byte_bpe.RANKS)).collect()}
+    assert counts == {0: 8, 1: 0, 2: 3, 3: 4, 4: 1}
