@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The 22 letters, the final forms and their base letters, and the letters' names.
 LETTERS = "אבגדהוזחטיכלמנסעפצקרשת"
 FINALS, BASES = "ךםןףץ", "כמנפצ"
-NAMES = "alef bet gimel dalet he vav zayin het tet yod kaf lamed mem nun samekh ayin pe tsadi qof resh shin tav".split()
+NAMES = "aleph bet gimel dalet he vav zayin het tet yod kaf lamed mem nun samekh ayin pe tsadi qof resh shin tav".split()
 UNKNOWN = "[?]"
 
 
@@ -106,9 +106,10 @@ def stable_seed(uid: Column, base: int) -> Column:
     return F.conv(swapped, 16, 10).cast("long") + base
 
 
-def canonical_key(fields: list[Column], length: int = 20) -> Column:
-    """sha256 of the JSON of the named fields in order of their names."""
-    return F.substring(F.sha2(F.to_json(F.struct(*fields)).cast("binary"), 256), 1, length)
+def canonical_key(fields: dict[str, Column], length: int = 20) -> Column:
+    """sha256 of the JSON of the named fields in order of their names, whatever order they are given in."""
+    named = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+    return F.substring(F.sha2(F.to_json(named).cast("binary"), 256), 1, length)
 
 
 def route_prompt(mode: Column, kind: Column, density: Column, limit: float = 0.18) -> Column:
@@ -130,6 +131,17 @@ def regime_of(name: Column, rules: list[tuple[str, str]], default: str = "") ->
     return out.otherwise(default)
 
 
+def model_of(name: Column, prefixes: list[str], suffixes: list[str]) -> Column:
+    """The name without the first of the prefixes that it has, cut before the first of the suffixes that is in it."""
+    out = name
+    for p in prefixes:
+        out = F.when(F.startswith(out, F.lit(p)), F.substring(out, F.lit(len(p) + 1), F.length(out))).otherwise(out)
+    cut = out
+    for s in reversed(suffixes):
+        cut = F.when(F.contains(out, F.lit(s)), F.substring_index(out, s, 1)).otherwise(cut)
+    return cut
+
+
 def edits(ref: Column, pred: Column) -> Column:
     return F.levenshtein(F.coalesce(ref, F.lit("")), F.coalesce(pred, F.lit("")))
 
@@ -149,9 +161,16 @@ def tokens(text: Column) -> Column:
 
 
 def word_edits(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two token arrays: each distinct token becomes one character."""
+    """Levenshtein distance of two token arrays: each distinct token becomes one code point.
+
+    Surrogates are left out, so a pair may have a million distinct tokens.
+    """
     known = F.array_distinct(F.concat(a, b))
-    sign = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 255), 4, "0")), "UTF-16BE")
+
+    def sign(t: Column) -> Column:
+        n = F.array_position(known, t) + 255
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(n < 0xD800, n).otherwise(n + 0x800)), 8, "0")), "UTF-32")
+
     return F.levenshtein(F.array_join(F.transform(a, sign), ""), F.array_join(F.transform(b, sign), ""))
 
 

@@ -37,7 +37,7 @@ def _score(groups: Column) -> Column:
     return F.struct(n.alias("n"), (lone - 0.01 * F.aggregate(groups, F.lit(0.0), lambda a, g: a + F.size(g["members"])) / n).alias("f"))
 
 
-def auto_lines(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+def auto_lines(rows: DataFrame, threshold: float = 0.35) -> DataFrame:
     """(uid, vertical, lines): rows of text or columns, whichever groups better; ties go to columns."""
     both = rows.select("uid", group_lines(F.col("tokens"), "y", threshold).alias("h"), group_lines(F.col("tokens"), "x", threshold).alias("v"))
     return both.withColumn("vertical", _score(F.col("v")) <= _score(F.col("h"))).select("uid", "vertical", F.when(F.col("vertical"), F.col("v")).otherwise(F.col("h")).alias("lines"))
@@ -53,7 +53,7 @@ def order_lines(lines: Column, vertical: Column, rtl: bool = True) -> Column:
     return F.transform(keyed, lambda g: g["t"])
 
 
-def decode(df: DataFrame, threshold: float = 0.5, rtl: bool = True) -> DataFrame:
+def decode(df: DataFrame, threshold: float = 0.35, rtl: bool = True) -> DataFrame:
     """(uid, n_lines, pred_text) from rows (uid, idx, ch, x1, y1, x2, y2)."""
     lines = auto_lines(tokens_of(df), threshold)
     read = lines.select("uid", order_lines(F.col("lines"), F.col("vertical"), rtl).alias("o"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import types as K
 
 from ..functions import boxes as B
 from ..functions import text as T
+from ..sources.io import kept
 
 EPS = 1e-12
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
@@ -36,6 +38,34 @@ def ocr_metrics(pairs: DataFrame, by: list[str] | None = None, ref: str = "ref_t
     )
 
 
+def evaluate_approaches(preds: DataFrame, manifest: DataFrame, split: str | None, k: int, gt_boxes: DataFrame | None = None, pred_boxes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All approaches in one pass: {"metrics": error rates by approach, "worst": the k worst rows of each, "detection":
+    AP, recall and precision at 0.5 by approach, if boxes are given}.
+
+    preds (approach, uid, gt_text, pred_text) keep to the rows of the split, and blank ground truth is filled from the
+    manifest (uid, split, gt_text). Boxes: gt (uid, idx, ...), pred (approach, uid, idx, ..., score).
+    """
+    from .manifest import fill_gt, filter_split
+
+    rows = filter_split(manifest, split) if split else manifest
+    pairs = fill_gt(preds.join(rows.select("uid"), "uid", "left_semi"), rows).withColumnRenamed("gt_text", "ref_text")
+    scored = pairs.withColumn("cer", F.coalesce(T.cer(F.col("ref_text"), F.col("pred_text")), F.lit(9.0))).withColumn("wer", F.coalesce(T.wer(F.col("ref_text"), F.col("pred_text")), F.lit(9.0)))
+    w = Window.partitionBy("approach").orderBy(F.desc("cer"), F.desc("wer"), "uid")
+    out = {"metrics": ocr_metrics(pairs, ["approach"]), "worst": scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("approach", "rank", "uid", "cer", "wer")}
+    if pred_boxes is not None:
+        keep = rows.select("uid")
+        gt = gt_boxes.join(keep, "uid", "left_semi")
+        key = F.struct("approach", F.col("uid").alias("image"))
+        names = [r[0] for r in pred_boxes.select("approach").distinct().collect()]  # of the approaches, not of rows
+        many = gt.withColumn("approach", F.explode(F.array(*map(F.lit, names)))).withColumn("uid", key)
+        seen = pred_boxes.join(keep, "uid", "left_semi").withColumn("uid", key)
+        hits = match_detections(many, seen, [0.5]).select(F.col("uid.approach").alias("approach"), F.col("uid.image").alias("uid"), "idx", "score", "tp")
+        n_gt = many.groupBy("approach").agg(F.count("*").alias("n_gt"))
+        ap = average_precision(pr_curve(hits, n_gt, ["approach"]), ["approach"])
+        out["detection"] = ap.join(hits.groupBy("approach").agg(F.avg("tp").alias("precision")), "approach")
+    return out
+
+
 def worst_cases(pairs: DataFrame, k: int, key: str = "uid") -> DataFrame:
     """The k rows of highest CER, then WER; ties by key. Rows whose texts cannot be scored would be null and count 9."""
     ref, pred = F.col("ref_text"), F.col("pred_text")
@@ -62,26 +92,40 @@ STEP = K.StructType([K.StructField(n, K.StringType()) for n in ("op", "a", "b")]
 def edit_script(refs: pd.Series, preds: pd.Series) -> pd.Series:
     """Least edits from reference to prediction; going back from the end, diagonal before deletion before insertion."""
 
-    def script(a: str | None, b: str | None) -> list[dict]:
-        a, b = a or "", b or ""
-        rows = [list(range(len(b) + 1))]
-        for i, x in enumerate(a, 1):
-            row, up = [i], rows[-1]
-            for j, y in enumerate(b, 1):
-                row.append(min(up[j - 1] + (x != y), up[j] + 1, row[j - 1] + 1))
-            rows.append(row)
-        i, j, out = len(a), len(b), []
+    def next_row(up: np.ndarray, x: int, b: np.ndarray, i: int) -> np.ndarray:
+        """A row of distances from the one above: insertions are a running minimum along the row."""
+        row = np.empty(len(b) + 1, np.int32)
+        row[0], row[1:] = i, np.minimum(up[:-1] + (b != x), up[1:] + 1)
+        at = np.arange(len(row), dtype=np.int32)
+        return np.minimum.accumulate(row - at) + at
+
+    def script(ref: str | None, pred: str | None) -> list[dict]:
+        ref, pred = ref or "", pred or ""
+        a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (ref, pred))
+        # every `step`-th row is kept; the rows between are made again on the way back
+        step = max(1, int(len(a) ** 0.5))
+        kept, row = {0: np.arange(len(b) + 1, dtype=np.int32)}, np.arange(len(b) + 1, dtype=np.int32)
+        for i in range(1, len(a) + 1):
+            row = next_row(row, a[i - 1], b, i)
+            if i % step == 0:
+                kept[i] = row
+        i, j, out, rows, base = len(a), len(b), [], {}, -1
         while i or j:
-            here = rows[i][j]
+            if i and (i - 1) // step * step != base:
+                base = (i - 1) // step * step
+                rows = {base: kept[base]}
+                for k in range(base + 1, i + 1):
+                    rows[k] = next_row(rows[k - 1], a[k - 1], b, k)
+            here = rows[i][j] if i else j
             if i and j and here == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
                 i, j = i - 1, j - 1
-                out.append({"op": "equal" if a[i] == b[j] else "sub", "a": a[i], "b": b[j]})
+                out.append({"op": "equal" if a[i] == b[j] else "sub", "a": ref[i], "b": pred[j]})
             elif i and here == rows[i - 1][j] + 1:
                 i -= 1
-                out.append({"op": "del", "a": a[i], "b": None})
+                out.append({"op": "del", "a": ref[i], "b": None})
             else:
                 j -= 1
-                out.append({"op": "ins", "a": None, "b": b[j]})
+                out.append({"op": "ins", "a": None, "b": pred[j]})
         return out[::-1]
 
     return pd.Series([script(a, b) for a, b in zip(refs, preds)])
@@ -94,11 +138,13 @@ def aligned_confusion(pairs: DataFrame) -> DataFrame:
 
 
 def confusion_pivot(aligned: DataFrame, top: int) -> DataFrame:
-    """Substitutions among the `top` most often changed characters, one column for each (at most 1,000)."""
-    often = aligned.filter("op IN ('sub', 'del')").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(min(top, 1000))
+    """Substitutions among the `top` most often changed characters: true_char, and a column pred_<code point in hex> for
+    each, so that no two names differ in case only."""
+    often = aligned.filter("op IN ('sub', 'del')").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(top)
     chars = [r["a"] for r in often.collect()]
     rows = aligned.filter((F.col("op") == "sub") & F.col("a").isin(chars) & F.col("b").isin(chars))
-    return rows.groupBy("a").pivot("b", chars).agg(F.sum("n")).na.fill(0)
+    made = rows.groupBy(F.col("a").alias("true_char")).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    return made.select("true_char", *[F.coalesce(F.element_at("m", c), F.lit(0).cast("long")).alias(f"pred_{ord(c):04x}") for c in chars])
 
 
 def confusion(rows: DataFrame, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
@@ -154,21 +200,27 @@ def match_detections(gt: DataFrame, pred: DataFrame, thresholds: list[float] = T
     g = gt.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("idx", "x1", "y1", "x2", "y2"))).alias("g"))
     p = pred.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "idx", "x1", "y1", "x2", "y2"))).alias("p"))
     # IoU of every prediction with every box of its image, once for all thresholds
-    scored = g.join(p, "uid").select("uid", F.transform("p", lambda d: F.struct(d["idx"].cast("long").alias("idx"), (-d["s"]).alias("score"), F.transform("g", lambda b: B.iou(b, d)).alias("ious"))).alias("p"))
-    rows = scored.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    least = min(thresholds)
+    # boxes below the least threshold can match at none and leave the fold; a place keeps ties in order
+    near = lambda d: F.filter(F.transform("g", lambda b, i: F.struct(i.alias("i"), B.iou(b, d).alias("v"))), lambda x: x["v"] >= least)
+    scored = g.join(p, "uid").select("uid", F.transform("p", lambda d: F.struct(d["idx"].cast("long").alias("idx"), (-d["s"]).alias("score"), near(d).alias("near"))).alias("p"))
+    levels = F.array(*map(F.lit, thresholds))
+    missed = F.filter("p", lambda d: F.size(d["near"]) == 0)
+    wrong = scored.select("uid", F.explode(missed).alias("m")).select("uid", F.explode(levels).alias("threshold"), "m.idx", "m.score", F.lit(0).alias("tp"))
+    rows = scored.select("uid", F.filter("p", lambda d: F.size(d["near"]) > 0).alias("p")).filter(F.size("p") > 0).withColumn("threshold", F.explode(levels))
     state = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<idx:bigint,score:double,tp:int>>").alias("out"))
 
     def step(acc, d):
-        free = F.transform(d["ious"], lambda v, i: F.when((v >= F.col("threshold")) & ~F.array_contains(acc["used"], i), v).otherwise(-1.0))
+        free = F.filter(d["near"], lambda x: (x["v"] >= F.col("threshold")) & ~F.array_contains(acc["used"], x["i"]))
         # one-element arrays name a value, so that it is made once
-        best = F.transform(F.array(free), lambda f: F.when(F.array_max(f) >= 0, F.array_position(f, F.array_max(f)) - 1).cast("int"))
+        best = F.transform(F.array(F.array_max(F.transform(free, lambda x: F.struct(x["v"].alias("v"), (-x["i"]).alias("i"))))), lambda x: (-x["i"]).cast("int"))
         return F.get(F.transform(best, lambda k: F.struct(
             F.when(k.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], k)).alias("used"),
             F.array_append(acc["out"], F.struct(d["idx"].alias("idx"), d["score"].alias("score"), F.when(k.isNull(), 0).otherwise(1).alias("tp"))).alias("out"),
         )), F.lit(0))
 
     folded = rows.select("uid", "threshold", F.aggregate("p", state, step, lambda a: a["out"]).alias("m"))
-    return folded.select("uid", "threshold", F.explode("m").alias("m")).select("uid", "threshold", "m.*")
+    return folded.select("uid", "threshold", F.explode("m").alias("m")).select("uid", "threshold", "m.*").unionByName(wrong)
 
 
 def pr_curve(hits: DataFrame, n_gt: DataFrame, by: list[str], levels: int = 1000) -> DataFrame:
@@ -178,7 +230,8 @@ def pr_curve(hits: DataFrame, n_gt: DataFrame, by: list[str], levels: int = 1000
     the at most levels + 1 totals.
     """
     step = F.floor(F.col("score") * levels).cast("long")
-    rows = hits.withColumn("step", step)
+    # every branch below reads these rows: they are made once, and lineage ends
+    rows = kept(hits.withColumn("step", step), "hits")
     totals = rows.groupBy(*by, "step").agg(F.sum("tp").alias("t"), F.count("*").alias("c"))
     above = Window.partitionBy(*by).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*by, "step", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("c0"))
@@ -188,6 +241,7 @@ def pr_curve(hits: DataFrame, n_gt: DataFrame, by: list[str], levels: int = 1000
     seen = seen.withColumn("cum_tp", F.col("t0") + F.col("ti")).withColumn("cum_fp", F.col("c0") + F.col("ci") - F.col("cum_tp"))
     seen = seen.join(n_gt, by) if by else seen.crossJoin(n_gt)
     seen = seen.withColumn("recall", F.col("cum_tp") / F.greatest(F.col("n_gt"), F.lit(1))).withColumn("precision", F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")))
+    seen = seen.drop("ti", "ci", "t0", "c0", "n_gt")
     peaks = seen.groupBy(*by, "step").agg(F.max("precision").alias("peak"))
     later = Window.partitionBy(*by).orderBy(F.desc("step")).rowsBetween(1, Window.unboundedFollowing)
     peaks = peaks.select(*by, "step", F.max("peak").over(later).alias("later"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..functions import text as T
 
 
 def normalize_manifest(df: DataFrame, gt: str = "gt", image: str = "image") -> DataFrame:
@@ -130,6 +131,90 @@ def restyle(df: DataFrame, path: Column, style: Column) -> DataFrame:
     return df.withColumn("image_path", path).withColumn("meta", F.struct(F.lit(True).alias("styled"), style.alias("style")))
 
 
+def build_manifest(mapping: DataFrame, meta: DataFrame, columns: list[str], listing: DataFrame, ratios=(0.8, 0.1, 0.1), strict: bool = False, drop_missing: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The manifest and its statistics by split.
+
+    mapping (row_id, hebrew, english, transliteration, images) is joined with the metadata (ID and columns), exploded to
+    one row per image, checked against the listing (path), given its text variants and split by row_id.
+    """
+    from .splits import split_greedy
+
+    rows = join_metadata(mapping, meta, "row_id", "ID", columns)
+    rows = explode_images(rows).withColumnRenamed("image", "path")
+    rows = mark_exists(rows, listing.select("path"), "path")
+    if strict or drop_missing:
+        rows = filter_missing(rows, strict=strict)
+    rows = rows.join(split_greedy(rows, "row_id", ratios).select("row_id", "split"), "row_id")
+    out = rows.select("uid", "row_id", "path", "exists", "split", T.text_variants(F.col("hebrew")).alias("hebrew"), "english", "transliteration", F.struct(*columns).alias("csv"))
+    stats = out.groupBy("split").agg(F.count("*").alias("n"), F.count_if(~F.col("exists")).alias("missing"), F.countDistinct("row_id").alias("groups"))
+    return out, stats
+
+
+def resume_batch(todo: DataFrame, done: DataFrame, transform, shards: int, path: str, key: str = "uid") -> DataFrame:
+    """Records not done yet go through transform and are appended to the shard files below path; then all shards, old
+    records (shard -1) first, are merged, the last record of a key winning. Run again, it finds nothing new to do."""
+    from ..sources import io
+    from .splits import merge_last_wins
+
+    spark = todo.sparkSession
+    kind = ", ".join(f"{c} {t}" for c, t in done.dtypes)
+    written = io.read_jsonl_lenient(spark, path, kind, nested=True)
+    new = transform(anti_done(anti_done(todo, done, key), written, key)).withColumn("shard_id", T.shard_of(F.col(key), shards))
+    new.write.mode("append").partitionBy("shard_id").json(path)
+    made = io.read_jsonl_lenient(spark, path, kind, nested=True)
+    both = done.withColumn("_new", F.lit(0)).unionByName(made.select(*done.columns).withColumn("_new", F.lit(1)))
+    return merge_last_wins(both, key, ["_new"]).drop("_new")
+
+
+def orient_manifest(df: DataFrame, rotations: DataFrame, readings: DataFrame, n: int | None = None, seed: int = 42, chars: str = "֐-׿") -> tuple[DataFrame, DataFrame]:
+    """The manifest (uid, gt_text, meta struct) with orientation, mirroring and reading direction written into meta for a
+    sample of n rows (all, if n is None), and the statistics of what was written.
+
+    rotations: (uid, angle, proj, cc, penalty, density, lines); readings: (uid, mirrored, reverse, text) of four candidates.
+    """
+    from .splits import sample_n
+
+    some = df if n is None else sample_n(df, n, seed)
+    picked = rotation_pick(rotations.join(some.select("uid"), "uid", "left_semi"))
+    picked = picked.join(rotations.select("uid", "angle", "cc", "density", "lines"), ["uid", "angle"])
+    scored = readings.join(some.select("uid", "gt_text"), "uid").withColumn("quality", reading_quality(F.col("text"), F.col("gt_text"), chars))
+    both = picked.join(mirror_pick(scored), "uid", "left")
+    both = both.select("uid", F.struct(F.col("angle").alias("orientation_deg"), F.col("confidence").alias("orientation_confidence"), F.col("density").alias("binarize_density"), F.col("lines").alias("n_lines_est"), F.col("cc").alias("cc_score"), "mirrored", F.coalesce("reverse", F.lit(True)).alias("reverse_pred"), F.lit("rtl").alias("reading_dir")).alias("_o"))
+    out = df.join(both, "uid", "left")
+    kept = [f for f in df.schema["meta"].dataType.names]
+    meta = F.struct(*[F.col(f"meta.{f}").alias(f) for f in kept], *[F.col(f"_o.{f}").alias(f) for f in both.schema["_o"].dataType.names])
+    out = out.withColumn("meta", meta).drop("_o")
+    return out, orientation_stats(out.filter("meta.orientation_deg IS NOT NULL").select("meta.*"))
+
+
+def orientation_stats(rows: DataFrame) -> DataFrame:
+    """(measure, key, value): counts by rotation, mirroring and reversal; mean and median of three measures."""
+    parts = [rows.groupBy(F.col("orientation_deg").cast("string").alias("key")).agg(F.count("*").cast("double").alias("value")).withColumn("measure", F.lit("rotation"))]
+    for c in ("mirrored", "reverse_pred"):
+        parts.append(rows.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("key")).agg(F.count("*").cast("double").alias("value")).withColumn("measure", F.lit(c)))
+    for c in ("orientation_confidence", "binarize_density", "n_lines_est"):
+        one = rows.agg(F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"), F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias("median"))
+        parts.append(one.unpivot([], ["mean", "median"], "key", "value").withColumn("measure", F.lit(c)))
+    out = parts[0].select("measure", "key", "value")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("measure", "key", "value"))
+    return out
+
+
+def yolo_export(boxes: DataFrame, listing: DataFrame, candidates: list[str], path: str) -> DataFrame:
+    """Writes the label files of boxes (split, uid, idx, cls, box, candidate paths) whose image the listing has.
+
+    Gives (split, written, skipped): images by split.
+    """
+    from ..sources import io
+
+    images = boxes.select("split", "uid", *candidates).distinct()
+    found = images.join(resolve_path(images, listing, candidates), "uid").withColumn("exists", F.col("resolved").isNotNull())
+    kept = boxes.join(filter_missing(found).select("uid"), "uid", "left_semi")
+    io.write_yolo(kept, path)
+    return found.groupBy("split").agg(F.count_if("exists").alias("written"), F.count_if(~F.col("exists")).alias("skipped"))
+
+
 def explode_boxes(df: DataFrame, boxes: str = "boxes", scores: str = "scores") -> DataFrame:
     """One row per box; missing scores are 0; rows without uid go."""
     rows = df.filter("uid IS NOT NULL").select("uid", F.posexplode(F.arrays_zip(F.col(boxes).alias("b"), F.col(scores).alias("s"))).alias("idx", "z"))
@@ -144,6 +229,15 @@ def crops_topk(det: DataFrame, k: int, least: float, width: Column, height: Colu
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def reading_quality(text: Column, gt: Column, chars: str = "֐-׿") -> Column:
+    """How well a candidate reads: minus its CER (blanks left out) plus 0.15 times the share of script characters where
+    there is ground truth, else that share plus 0.01 for each of up to 40 characters."""
+    plain, truth = F.regexp_replace(T.blanks(text), r"\s+", ""), F.regexp_replace(gt, r"\s+", "")
+    ratio = T.script_ratio(T.blanks(text), chars)
+    guess = ratio + 0.01 * F.least(F.lit(40), F.length(plain))
+    return F.when(F.coalesce(truth, F.lit("")) != "", -T.cer(truth, plain) + 0.15 * ratio).otherwise(guess)
+
+
 def rotation_pick(cands: DataFrame, key: str = "uid") -> DataFrame:
     """(key, angle, confidence) from rows (key, angle, proj, cc, penalty): least angle among equal scores."""
     rows = cands.withColumn("total", F.col("proj") + 0.15 * F.col("cc") + F.col("penalty"))
@@ -153,7 +247,8 @@ def rotation_pick(cands: DataFrame, key: str = "uid") -> DataFrame:
 
 
 def mirror_pick(cands: DataFrame, key: str = "uid", margin: float = 0.05) -> DataFrame:
-    """(key, mirrored, reverse): mirrored is null unless the best mirrored and straight readings differ by the margin."""
+    """(key, mirrored, reverse) from rows (key, mirrored, reverse, quality): mirrored is null unless the best mirrored
+    and straight readings differ by the margin."""
     rank = F.struct(F.col("quality"), (~F.col("mirrored")).alias("a"), (~F.col("reverse")).alias("b"))
     out = cands.groupBy(key).agg(F.max_by("reverse", rank).alias("reverse"), F.max(F.when(F.col("mirrored"), F.col("quality"))).alias("m"), F.max(F.when(~F.col("mirrored"), F.col("quality"))).alias("s"))
     decided = F.coalesce(F.abs(F.col("m") - F.col("s")) >= margin, F.lit(False))

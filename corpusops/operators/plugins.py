@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 
 APPROACHES: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -28,10 +30,31 @@ def run_approach(name: str, df: DataFrame) -> DataFrame:
     return out.select(*sorted(NEEDED))
 
 
+def contract(kind: str, key: str = "uid string", probs: bool = False, logits: bool = False, classes: bool = False) -> str:
+    """Output schema of a detector (boxes with scores and classes) or a classifier (label, conf, top-k and, if asked for,
+    probabilities, logits and class names)."""
+    if kind == "detector":
+        return f"{key}, boxes array<struct<x1:double,y1:double,x2:double,y2:double,score:double,cls:int>>"
+    if kind != "classifier":
+        raise ValueError(f"unknown kind of model {kind}")
+    more = [(probs, "probs array<double>"), (logits, "logits array<double>"), (classes, "classes array<string>")]
+    return ", ".join([key, "label string", "conf double", "topk array<struct<label:string,conf:double>>", *[c for on, c in more if on]])
+
+
+def from_logits(pdf, key: str, logits: str, names: list[str], k: int):
+    """A classifier's rows with their probabilities from a frame of logits; equal scores go by class number."""
+    x = np.array(pdf[logits].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+    e = np.exp(x - x.max(axis=1, keepdims=True)) if len(x) else x
+    p = e / e.sum(axis=1, keepdims=True) if len(x) else e
+    best = np.argsort(-p, axis=1, kind="stable")[:, :k]
+    top = [[{"label": names[j], "conf": float(row[j])} for j in order] for row, order in zip(p, best)]
+    return pd.DataFrame({key: pdf[key], "label": [t[0]["label"] for t in top], "conf": [t[0]["conf"] for t in top], "topk": top, "probs": p.tolist()})
+
+
 def batch_predict(df: DataFrame, factory: Callable, schema: str, cache: DataFrame | None = None, key: str = "uid") -> DataFrame:
     """Rows through a model made once per task: factory() gives a function from a pandas frame to one of `schema`.
 
-    Rows whose key is in the cache are taken from there.
+    Rows whose key is in the cache are taken from there. `contract` gives the schemas of detectors and classifiers.
     """
 
     def run(batches):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def normalize_ratios(ratios: tuple[float, float, float]) -> tuple[float, ...]:
     if len(ratios) != 3 or min(ratios) < 0 or sum(ratios) <= 0:
@@ -78,15 +82,24 @@ def release_counts(df: DataFrame, by: str, key: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("records"), F.countDistinct(key).alias("ids"))
 
 
-def verify_release(df: DataFrame, expected: dict[str, int], key: str = "row_id") -> DataFrame:
-    """Check rows (check, level, detail): counts by split against the expected, and ids shared between splits."""
+def verify_release(df: DataFrame, expected: dict[str, int], key: str = "row_id", tables: dict[str, DataFrame] | None = None, required: tuple[str, ...] = (), groups: DataFrame | None = None) -> DataFrame:
+    """Check rows (check, level, detail): required tables, counts by split against the expected, ids shared between
+    splits, and, with `groups` (key, split), ids that the group split puts elsewhere, which is a warning."""
     spark = df.sparkSession
+    rows = []
+    for name in required:
+        has = name in (tables or {}) and tables[name].limit(1).count() > 0
+        rows.append((f"table:{name}", "ok" if has else "error", "present" if has else "missing"))
+    extra = spark.createDataFrame(rows, "check string, level string, detail string")
+    if groups is not None:
+        moved = df.select(key, "split").distinct().join(groups.select(key, F.col("split").alias("want")), key).agg(F.count_if(F.col("split") != F.col("want")).alias("n"))
+        extra = extra.unionByName(moved.select(F.lit("group_split").alias("check"), F.when(F.col("n") == 0, "ok").otherwise("warning").alias("level"), F.col("n").cast("string").alias("detail")))
     want = spark.createDataFrame(list(expected.items()), "split string, want long")
     have = df.groupBy("split").agg(F.count("*").alias("have"))
     counts = want.join(have, "split", "left").select(F.concat(F.lit("count:"), "split").alias("check"), F.when(F.coalesce("have", F.lit(0)) == F.col("want"), "ok").otherwise("error").alias("level"), F.coalesce("have", F.lit(0)).cast("string").alias("detail"))
     sets = split_extract(df)
     leak = audit_leak(sets["train"], sets["val"], key)
-    return counts.unionByName(leak.select(F.lit("leak").alias("check"), F.when(F.col("passed"), "ok").otherwise("error").alias("level"), F.col("shared").cast("string").alias("detail")))
+    return extra.unionByName(counts).unionByName(leak.select(F.lit("leak").alias("check"), F.when(F.col("passed"), "ok").otherwise("error").alias("level"), F.col("shared").cast("string").alias("detail")))
 
 
 def split_safety(train_filter: dict, val_filter: dict, same_source: bool) -> None:
@@ -113,36 +126,68 @@ def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def dense_index(df: DataFrame, by: str, key: str) -> DataFrame:
-    """Adds row_no from 0 inside each `by`, in order of the hash of key: sums over 256 hash prefixes, then inside one."""
-    h = F.sha1(F.col(key).cast("string").cast("binary"))
-    rows = df.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, 2))
-    base = rows.groupBy(by, "_p").agg(F.count("*").alias("_c"))
-    base = base.select(by, "_p", F.coalesce(F.sum("_c").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+def hash_digits(rows: int, width: int = 20_000) -> int:
+    """Leading hex digits of a hash that deal so many rows into cells of about `width` rows; an even number of at least 2."""
+    digits = 2
+    while 16**digits * width < rows:
+        digits += 2
+    return digits
+
+
+def dense_index(df: DataFrame, by: str, key: str, width: int = 20_000) -> DataFrame:
+    """Adds row_no from 0 inside each `by`, in order of the hash of key.
+
+    Rows are numbered inside cells of equal leading hash digits, as many digits as the number of rows asks for; cells are
+    summed up level by level, two digits at a time, so that no window sees more than 256 sums or a cell's rows.
+    """
+    digits = hash_digits(df.count(), width)
+    rows = df.withColumn("_h", F.sha1(F.col(key).cast("string").cast("binary"))).withColumn("_p", F.substring("_h", 1, digits))
+    counts = rows.groupBy(by, "_p").agg(F.count("*").alias("_c"))
+    base = counts.select(by, "_p", F.lit(0).cast("long").alias("_b"))
+    for d in range(2, digits + 1, 2):
+        level = counts.groupBy(by, F.substring("_p", 1, d).alias("_l")).agg(F.sum("_c").alias("_c"))
+        w = Window.partitionBy(by, F.substring("_l", 1, d - 2)).orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)
+        before = level.select(F.col(by).alias("_by"), "_l", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
+        joined = base.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.substring("_p", 1, d) == F.col("_l")))
+        base = joined.select(by, "_p", (F.col("_b") + F.col("_o")).alias("_b"))
     inside = F.row_number().over(Window.partitionBy(by, "_p").orderBy("_h", key)) - 1
     return rows.withColumn("_i", inside).join(base, [by, "_p"]).withColumn("row_no", F.col("_b") + F.col("_i")).drop("_h", "_p", "_b", "_i")
 
 
-def weighted_mix(df: DataFrame, weights: dict[str, float], draws: int, seed: int, by: str = "source_tag", key: str = "uid") -> DataFrame:
-    """`draws` rows with replacement: each source has its quota, draw j takes row md5(seed:source:j) mod n of it."""
-    spark = df.sparkSession
+def quotas(weights: dict[str, float], draws: int) -> dict[str, int]:
+    """Whole shares of `draws` that add up to it: what rounding down leaves goes to the largest remainders."""
     total = sum(weights.values())
-    quota = spark.createDataFrame([(s, int(draws * w / total)) for s, w in weights.items()], f"{by} string, quota long")
+    exact = {s: draws * w / total for s, w in weights.items()}
+    out = {s: int(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: draws - sum(out.values())]:
+        out[s] += 1
+    return out
+
+
+def _drawn(df: DataFrame, plan: list[tuple], by: str, key: str) -> DataFrame:
+    """Rows of (epoch, seed, source, quota): draw j of a source takes row md5(seed:source:j) mod n of it."""
+    quota = df.sparkSession.createDataFrame(plan, f"epoch int, seed long, {by} string, quota long").filter("quota > 0")
     sizes = df.groupBy(by).agg(F.count("*").alias("n"))
-    rolls = quota.join(sizes, by).filter("quota > 0").select(by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("draw"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by), F.col("draw").cast("string")).cast("binary"))
-    rolls = rolls.withColumn("row_no", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("n")).drop("n")
+    rolls = quota.join(sizes, by).select("epoch", "seed", by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("draw"))
+    digest = F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col(by), F.col("draw").cast("string")).cast("binary"))
+    rolls = rolls.withColumn("row_no", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("n")).drop("n", "seed")
     return rolls.join(dense_index(df, by, key), [by, "row_no"])
 
 
+def weighted_mix(df: DataFrame, weights: dict[str, float], draws: int, seed: int, by: str = "source_tag", key: str = "uid") -> DataFrame:
+    """`draws` rows with replacement; sources of the weights that have no row give none."""
+    there = {r[by] for r in df.select(by).distinct().filter(F.col(by).isin(list(weights))).collect()}
+    known = {s: w for s, w in weights.items() if s in there and w > 0}
+    return _drawn(df, [(0, seed, s, n) for s, n in quotas(known, draws).items()] if known else [], by, key).drop("epoch")
+
+
 def curriculum_mix(df: DataFrame, start: float, end: float, epochs: int, draws: int, seed: int) -> DataFrame:
-    """weighted_mix for each epoch, the share of synth going linearly from start to end."""
-    out = None
+    """A weighted mix for each epoch, the share of synth going linearly from start to end; all epochs in one join."""
+    plan = []
     for e in range(epochs):
         f = end if epochs <= 1 else start + (end - start) * e / (epochs - 1)
-        part = weighted_mix(df, {"synth": max(f, 1e-6), "real": max(1 - f, 1e-6)}, draws, seed + e).withColumn("epoch", F.lit(e))
-        out = part if out is None else out.unionByName(part)
-    return out
+        plan += [(e, seed + e, s, n) for s, n in quotas({"synth": max(f, 1e-6), "real": max(1 - f, 1e-6)}, draws).items()]
+    return _drawn(df, plan, "source_tag", "uid")
 
 
 def repeat_sources(df: DataFrame, weight: Column) -> DataFrame:
@@ -170,6 +215,21 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str = "uid") -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
+IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "tif", "tiff", "bmp")
+
+
+def style_paths(listing: DataFrame, n: int, seed: int, manifest: DataFrame | None = None, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
+    """(path): n image paths chosen by hash, without repeats. With a manifest (path) only its paths that the listing has,
+    or that the listing has below another folder, count; else all of the listing."""
+    known = listing.select("path").distinct()
+    if manifest is not None:
+        short = F.regexp_replace("path", r"^(.*/)?([^/]+/[^/]+)$", "$2")
+        wanted = manifest.select(short.alias("short")).distinct()
+        known = known.join(wanted, short == F.col("short"), "left_semi")
+    images = known.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
+    return sample_n(images, n, seed, "path")
+
+
 def head_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
@@ -201,21 +261,63 @@ def explode_lexicon(df: DataFrame, text: str, drop: list[str]) -> DataFrame:
     return w.filter((F.col("word") != "") & ~F.col("word").isin(*drop)).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _digest(*what) -> Column:
+    """48 bits of the MD5 of the values joined by colons, as a number."""
+    joined = F.concat_ws(":", *[(F.lit(str(x)) if not isinstance(x, Column) else x.cast("string")) for x in what])
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def seeded_separators(df: DataFrame, text: str, seed: int, key: str = "uid") -> DataFrame:
     """Adds broken (a hyphen break inside some words), lined (some blanks as line feeds) and plain (some blanks gone)."""
     words = F.split(text, " ")
-    roll = lambda i, salt: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed), F.lit(salt)), F.lit(4))
+    roll = lambda i, salt: _digest(seed, salt, F.col(key), i) % 4
     broken = F.array_join(F.transform(words, lambda w, i: F.when((F.length(w) > 3) & (roll(i, "b") == 0), F.concat(F.substring(w, 1, 2), F.lit("-\n"), F.substring(w, F.lit(3), F.length(w)))).otherwise(w)), " ")
     glue = lambda salt, other: F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).when(roll(i, salt) == 0, F.concat(F.lit(other), w)).otherwise(F.concat(F.lit(" "), w))), "")
     return df.withColumn("broken", broken).withColumn("lined", glue("l", "\n")).withColumn("plain", glue("p", ""))
 
 
-def template_corpus(ids: DataFrame, templates: list[str], lexicon: DataFrame, seed: int, key: str = "uid") -> DataFrame:
-    """(key, text): a template chosen by hash, its {0} and {1} filled with words of the lexicon chosen by hash."""
-    n = lexicon.agg(F.count("*").alias("n"))
-    indexed = dense_index(lexicon.withColumn("_all", F.lit(1)), "_all", "word").select("row_no", "word")
-    roll = lambda salt: F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(salt)), F.col("n"))
-    base = ids.crossJoin(n).select(key, F.get(F.array(*map(F.lit, templates)), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(len(templates))).cast("int")).alias("t"), roll("a").alias("a"), roll("b").alias("b"))
-    one = base.join(indexed.select(F.col("row_no").alias("a"), F.col("word").alias("wa")), "a", "left")
-    two = one.join(indexed.select(F.col("row_no").alias("b"), F.col("word").alias("wb")), "b", "left")
-    return two.select(key, F.replace(F.replace("t", F.lit("{0}"), F.coalesce("wa", F.lit("x"))), F.lit("{1}"), F.coalesce("wb", F.lit("y"))).alias("text"))
+def template_corpus(ids: DataFrame, kinds: dict[str, float], groups: dict[str, dict[str, list[str]]], lexicons: dict[str, DataFrame], seed: int, key: str = "uid", letters: str = T.LETTERS, finals: bool = False, normalize=None) -> DataFrame:
+    """(key, kind, group, text): a text for each id, all choices by hash of (seed, salt, id).
+
+    kinds: weights of document kinds; groups: of each kind, its template groups; a group is chosen first, then one of its
+    templates. A slot {NAME:LEXICON} takes a word of that lexicon (column word), a slot {N} a digit from 1 to 9, {SEP} a
+    blank or nothing. A lexicon without words gives 3 to 7 of `letters`. normalize(text) -> Column is applied to the
+    result; `finals` then puts final forms at the ends of words.
+    """
+    spark, total = ids.sparkSession, sum(kinds.values())
+    if total <= 0:
+        raise ValueError("a kind needs a positive weight")
+    bounds, upto = [], 0.0
+    for k, w in kinds.items():
+        upto += w
+        bounds.append((k, round(1_000_000 * upto / total)))
+    roll = _digest(seed, "kind", F.col(key)) % 1_000_000
+    kind = F.when(roll < bounds[0][1], bounds[0][0])
+    for k, top in bounds[1:]:
+        kind = kind.when(roll < top, k)
+    rows = ids.select(key, kind.alias("kind"))
+    table = [(k, gi, g, ti, t, len(groups[k]), len(ts)) for k in groups for gi, (g, ts) in enumerate(groups[k].items()) for ti, t in enumerate(ts)]
+    known = spark.createDataFrame(table, "kind string, gi long, group string, ti long, template string, n_groups long, n_templates long")
+    sizes = F.broadcast(known.select("kind", "n_groups").distinct())
+    rows = rows.join(sizes, "kind").withColumn("gi", _digest(seed, "group", F.col(key)) % F.col("n_groups")).drop("n_groups")
+    rows = rows.join(F.broadcast(known.select("kind", "gi", "group", "n_templates").distinct()), ["kind", "gi"])
+    rows = rows.withColumn("ti", _digest(seed, "template", F.col(key)) % F.col("n_templates"))
+    rows = rows.join(F.broadcast(known.select("kind", "gi", "ti", F.col("template").alias("text"))), ["kind", "gi", "ti"]).select(key, "kind", "group", "text")
+    slots = sorted({x for *_, t, _, _ in table for x in re.findall(r"\{(\w+:\w+)\}", t)})
+    for slot in slots:
+        name, lexicon = slot.split(":")
+        words = lexicons[lexicon]
+        n = words.count()
+        if n:
+            indexed = dense_index(words.select(F.lit(1).alias("all"), "word"), "all", "word").select(F.col("row_no").alias("pick"), F.col("word").alias("filler"))
+            has = F.contains("text", F.lit("{" + slot + "}"))
+            filled = rows.withColumn("pick", F.when(has, _digest(seed, name, F.col(key)) % n)).join(indexed, "pick", "left").drop("pick")
+        else:
+            size = _digest(seed, name, F.col(key)) % 5 + 3
+            chars = F.transform(F.sequence(F.lit(1).cast("long"), size), lambda i: F.substring(F.lit(letters), (_digest(seed, name, F.col(key), i) % len(letters)).cast("int") + 1, F.lit(1)))  # noqa: B023
+            filled = rows.withColumn("filler", F.array_join(chars, ""))
+        rows = filled.withColumn("text", F.when(F.col("filler").isNull(), F.col("text")).otherwise(F.replace("text", F.lit("{" + slot + "}"), F.col("filler")))).drop("filler")
+    text = F.replace("text", F.lit("{N}"), (_digest(seed, "N", F.col(key)) % 9 + 1).cast("string"))
+    text = F.replace(text, F.lit("{SEP}"), F.when(_digest(seed, "SEP", F.col(key)) % 2 == 0, " ").otherwise(""))
+    text = normalize(text) if normalize else text
+    return rows.withColumn("text", T.apply_final_forms(text) if finals else text)

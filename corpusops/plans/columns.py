@@ -19,10 +19,10 @@ def _box():
     return F.struct("x1", "y1", "x2", "y2")
 
 
-@R("text_variants", r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS stripped, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed_ws, md5(regexp_replace(text, '\s+', '', 'g')) AS no_space FROM documents")
+@R("text_variants", r"SELECT doc_id, md5(text) AS raw, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS stripped, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed_ws, md5(regexp_replace(text, '\s+', '', 'g')) AS no_space, md5(trim(regexp_replace(replace(replace(text, '[', ''), ']', ''), '\s+', ' ', 'g'))) AS no_brackets FROM documents")
 def text_variants(t: Inputs):
     v = t.table("documents").select("doc_id", T.text_variants(F.col("text")).alias("v"))
-    return v.select("doc_id", *[F.md5(F.col(f"v.{c}").cast("binary")).alias(c) for c in ("stripped", "collapsed_ws", "no_space")])
+    return v.select("doc_id", *[F.md5(F.col(f"v.{c}").cast("binary")).alias(c) for c in ("raw", "stripped", "collapsed_ws", "no_space", "no_brackets")])
 
 
 @R("collapse_text", r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents")
@@ -50,9 +50,13 @@ def normalize_letter(t: Inputs):
     return t.table("part").select("p_partkey", T.normalize_letter(F.substring("p_name", 1, 1), "abcivs", "yw", "iv").alias("letter"))
 
 
-@R("class_name_map", "SELECT p_partkey, CASE substr(p_name, 1, 1) WHEN 'a' THEN '01_alpha_a' WHEN 'b' THEN '02_beta_b' WHEN 's' THEN '03_sigma_s' END AS name FROM part")
+NAMES_SQL = "[" + ", ".join(f"'{k:02d}_{n}_{c}'" for k, (c, n) in enumerate(zip(T.LETTERS, T.NAMES), 1)) + "]"
+
+
+@R("class_name_map", W("v_boxes_gt", rest=f"SELECT uid, idx, {NAMES_SQL}[cls + 1] AS name FROM v_boxes_gt"))
 def class_name_map(t: Inputs):
-    return t.table("part").select("p_partkey", T.class_name(F.substring("p_name", 1, 1), "abs", ["alpha", "beta", "sigma"]).alias("name"))
+    letter = F.substring(F.lit(T.LETTERS), F.col("cls").cast("int") + 1, F.lit(1))
+    return t.view("v_boxes_gt").select("uid", "idx", T.class_name(letter).alias("name"))
 
 
 @R("safe_stem", "SELECT page_id, substr(regexp_replace(url, '[^0-9A-Za-z_.-]+', '_', 'g'), 1, 180) AS stem FROM pages")
@@ -97,40 +101,44 @@ def filter_missing(t: Inputs):
     return M.filter_missing(rows).select(F.col("doc_id").alias("uid"))
 
 
-@R("yolo_box", W("v_boxes_gt", rest="SELECT uid, idx, round(least(greatest((x1 + x2) / 2 / 400, 0), 1), 6) AS cx, round(least(greatest((y2 - y1) / 300, 0), 1), 6) AS h FROM v_boxes_gt"))
+@R("yolo_box", W("v_boxes_gt", rest="SELECT uid, idx, round(least(greatest((x1 + x2) / 2 / 400, 0), 1), 6) AS cx, round(least(greatest((y1 + y2) / 2 / 300, 0), 1), 6) AS cy, round(least(greatest((x2 - x1) / 400, 0), 1), 6) AS w, round(least(greatest((y2 - y1) / 300, 0), 1), 6) AS h FROM v_boxes_gt"))
 def yolo_box(t: Inputs):
-    return t.view("v_boxes_gt").select("uid", "idx", B.to_yolo(_box(), F.lit(400), F.lit(300)).alias("y")).select("uid", "idx", F.round("y.cx", 6).alias("cx"), F.round("y.h", 6).alias("h"))
+    y = t.view("v_boxes_gt").select("uid", "idx", B.to_yolo(_box(), F.lit(400), F.lit(300)).alias("y"))
+    return y.select("uid", "idx", *[F.round(f"y.{c}", 6).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
-@R("box_from_pct", W("v_boxes_gt", rest="SELECT uid, idx, CASE WHEN idx % 3 > 0 THEN round(x1 / 100 * 640, 6) END AS x1, CASE WHEN idx % 3 > 0 THEN round((y1 + y2) / 100 * 480, 6) END AS y2 FROM v_boxes_gt"))
+@R("box_from_pct", W("v_boxes_gt", rest="SELECT uid, idx, CASE WHEN idx % 3 > 0 THEN round(x1 / 100 * 640, 6) END AS x1, CASE WHEN idx % 3 > 0 THEN round(y1 / 100 * 480, 6) END AS y1, CASE WHEN idx % 3 > 0 THEN round((x1 + x2) / 100 * 640, 6) END AS x2, CASE WHEN idx % 3 > 0 THEN round((y1 + y2) / 100 * 480, 6) END AS y2 FROM v_boxes_gt"))
 def box_from_pct(t: Inputs):
     w = F.when(F.col("idx") % 3 > 0, 640)
-    return t.view("v_boxes_gt").select("uid", "idx", B.from_pct(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), w, F.lit(480)).alias("b")).select("uid", "idx", F.round("b.x1", 6).alias("x1"), F.round("b.y2", 6).alias("y2"))
+    b = t.view("v_boxes_gt").select("uid", "idx", B.from_pct(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), w, F.lit(480)).alias("b"))
+    return b.select("uid", "idx", *[F.round(f"b.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@R("box_from_yolo", W("v_boxes_gt", rest="SELECT uid, idx, round((x1 / 500 - x2 / 1000) * 640, 6) AS x1, round((y1 / 500 + y2 / 1000) * 480, 6) AS y2 FROM v_boxes_gt"))
+@R("box_from_yolo", W("v_boxes_gt", rest="SELECT uid, idx, round((x1 / 500 - x2 / 1000) * 640, 6) AS x1, round((y1 / 500 - y2 / 1000) * 480, 6) AS y1, round((x1 / 500 + x2 / 1000) * 640, 6) AS x2, round((y1 / 500 + y2 / 1000) * 480, 6) AS y2 FROM v_boxes_gt"))
 def box_from_yolo(t: Inputs):
     c = F.col
-    return t.view("v_boxes_gt").select("uid", "idx", B.from_yolo(c("x1") / 500, c("y1") / 500, c("x2") / 500, c("y2") / 500, F.lit(640), F.lit(480)).alias("b")).select("uid", "idx", F.round("b.x1", 6).alias("x1"), F.round("b.y2", 6).alias("y2"))
+    b = t.view("v_boxes_gt").select("uid", "idx", B.from_yolo(c("x1") / 500, c("y1") / 500, c("x2") / 500, c("y2") / 500, F.lit(640), F.lit(480)).alias("b"))
+    return b.select("uid", "idx", *[F.round(f"b.{k}", 6).alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
-@R("clamp_box", W("v_boxes_gt", rest=", c AS (SELECT uid, idx, x1, y1, x2, y2, least(greatest(round_even(x1 - 20, 0), 0), 199) AS a FROM v_boxes_gt) SELECT uid, idx, a AS x1, least(greatest(round_even(x2 - 20, 0), a + 1), 200) AS x2 FROM c"))
+@R("clamp_box", W("v_boxes_gt", rest=", c AS (SELECT uid, idx, x1, y1, x2, y2, least(greatest(round_even(x1 - 20, 0), 0), 199) AS a, least(greatest(round_even(y1, 0), 0), 149) AS b FROM v_boxes_gt) SELECT uid, idx, a AS x1, b AS y1, least(greatest(round_even(x2 - 20, 0), a + 1), 200) AS x2, least(greatest(round_even(y2, 0), b + 1), 150) AS y2 FROM c"))
 def clamp_box(t: Inputs):
     moved = F.struct((F.col("x1") - 20).alias("x1"), F.col("y1"), (F.col("x2") - 20).alias("x2"), F.col("y2"))
-    return t.view("v_boxes_gt").select("uid", "idx", B.clamp_box(moved, F.lit(200), F.lit(150)).alias("b")).select("uid", "idx", "b.x1", "b.x2")
+    return t.view("v_boxes_gt").select("uid", "idx", B.clamp_box(moved, F.lit(200), F.lit(150)).alias("b")).select("uid", "idx", "b.x1", "b.y1", "b.x2", "b.y2")
 
 
-@R("pad_crop_square", W("v_boxes_gt", rest=", s AS (SELECT uid, idx, (x1 + x2) / 2 AS cx, greatest(x2 - x1, y2 - y1) AS m FROM v_boxes_gt) SELECT uid, idx, round(cx - (m / 2 + round_even(m * 0.125, 0)), 6) AS x1, round(cx + (m / 2 + round_even(m * 0.125, 0)), 6) AS x2 FROM s"))
+@R("pad_crop_square", W("v_boxes_gt", rest=", s AS (SELECT uid, idx, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, greatest(x2 - x1, y2 - y1) AS m FROM v_boxes_gt) SELECT uid, idx, round(cx - (m / 2 + round_even(m * 0.125, 0)), 6) AS x1, round(cy - (m / 2 + round_even(m * 0.125, 0)), 6) AS y1, round(cx + (m / 2 + round_even(m * 0.125, 0)), 6) AS x2, round(cy + (m / 2 + round_even(m * 0.125, 0)), 6) AS y2 FROM s"))
 def pad_crop_square(t: Inputs):
-    return t.view("v_boxes_gt").select("uid", "idx", B.pad_square(_box(), 0.125).alias("b")).select("uid", "idx", F.round("b.x1", 6).alias("x1"), F.round("b.x2", 6).alias("x2"))
+    b = t.view("v_boxes_gt").select("uid", "idx", B.pad_square(_box(), 0.125).alias("b"))
+    return b.select("uid", "idx", *[F.round(f"b.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 CROP = "greatest(CAST(trunc(x1 - (x2 - x1) * 0.25) AS INTEGER), 0) AS a, greatest(CAST(trunc(y1 - (y2 - y1) * 0.25) AS INTEGER), 0) AS b, least(CAST(trunc(x2 + (x2 - x1) * 0.25) AS INTEGER), 300) AS c, least(CAST(trunc(y2 + (y2 - y1) * 0.25) AS INTEGER), 200) AS d"
 
 
-@R("crop_box", W("v_boxes_gt", rest=f", k AS (SELECT uid, idx, {CROP} FROM v_boxes_gt) SELECT uid, idx, CAST(a AS DOUBLE) AS x1, CAST(d AS DOUBLE) AS y2 FROM k WHERE c > a AND d > b"))
+@R("crop_box", W("v_boxes_gt", rest=f", k AS (SELECT uid, idx, {CROP} FROM v_boxes_gt) SELECT uid, idx, CAST(a AS DOUBLE) AS x1, CAST(b AS DOUBLE) AS y1, CAST(c AS DOUBLE) AS x2, CAST(d AS DOUBLE) AS y2 FROM k WHERE c > a AND d > b"))
 def crop_box(t: Inputs):
-    return t.view("v_boxes_gt").select("uid", "idx", B.crop_box(_box(), 0.25, F.lit(300), F.lit(200)).alias("b")).filter("b IS NOT NULL").select("uid", "idx", "b.x1", "b.y2")
+    return t.view("v_boxes_gt").select("uid", "idx", B.crop_box(_box(), 0.25, F.lit(300), F.lit(200)).alias("b")).filter("b IS NOT NULL").select("uid", "idx", "b.x1", "b.y1", "b.x2", "b.y2")
 
 
 IOU = "CASE WHEN (ga + pa - iw * ih) > 0 THEN iw * ih / (ga + pa - iw * ih) ELSE 0 END"
@@ -158,45 +166,54 @@ def box_candidate_filter(t: Inputs):
     return t.view("v_boxes_gt").filter(ok).select("uid", "idx", F.round(F.least(F.lit(1.0), B.area(_box()) / 600), 6).alias("score"))
 
 
-LOGITS = "WITH l AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding[1:10]] AS x FROM embeddings), e AS (SELECT vec_id, label, x, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM l), p AS (SELECT vec_id, label, x, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e)"
+LOGITS = "WITH l AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS x FROM embeddings), e AS (SELECT vec_id, label, x, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM l), p AS (SELECT vec_id, label, x, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e)"
 
 
 def _logits(t: Inputs):
-    x = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return t.table("embeddings").select("vec_id", F.col("label").alias("y_true"), x.alias("x")).withColumn("p", V.softmax(F.col("x")))
 
 
-CLASSES = [chr(65 + i) for i in range(10)]
+def _millionths(x):
+    return F.array_join(F.transform(x, lambda v: F.round(v * 1000000).cast("long").cast("string")), ",")
+
+
+#: Names of classes by number; components beyond them have none.
+CLASSES = [chr(i) for i in range(0x4E00, 0x4E00 + 64)]
 
 
-@R("softmax", f"{LOGITS} SELECT vec_id, round(p[1], 6) AS p0, round(p[10], 6) AS p9 FROM p")
+@R("softmax", f"{LOGITS} SELECT vec_id, array_to_string([CAST(CAST(round(v * 1000000) AS BIGINT) AS VARCHAR) FOR v IN p], ',') AS p FROM p")
 def softmax(t: Inputs):
-    return _logits(t).select("vec_id", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.col("p")[9], 6).alias("p9"))
+    return _logits(t).select("vec_id", _millionths(F.col("p")).alias("p"))
 
 
-@R("pick_char", f"{LOGITS} SELECT vec_id, CASE WHEN list_max(p) < 0.12 THEN '[?]' ELSE chr(64 + list_position(p, list_max(p))) END AS ch FROM p")
+@R("pick_char", f"{LOGITS} SELECT vec_id, CASE WHEN list_max(p) < 0.02 OR list_position(p, list_max(p)) > 64 THEN '[?]' ELSE chr(CAST(19967 + list_position(p, list_max(p)) AS INTEGER)) END AS ch FROM p")
 def pick_char(t: Inputs):
-    return _logits(t).select("vec_id", V.pick_char(F.col("p"), F.array(*map(F.lit, CLASSES)), 0.12).alias("ch"))
+    return _logits(t).select("vec_id", V.pick_char(F.col("p"), F.array(*map(F.lit, CLASSES)), 0.02).alias("ch"))
 
 
-@R("normalize_probs", "WITH l AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:10]] AS x FROM embeddings) SELECT vec_id, round(CASE WHEN list_sum(x) > 0 THEN x[1] / list_sum(x) ELSE 0.1 END, 4) AS p0 FROM l WHERE abs(list_sum(x)) > 0.01")
+@R("normalize_probs", "WITH l AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS x FROM embeddings) SELECT vec_id, array_to_string([CAST(CAST(round(CASE WHEN list_sum(x) > 0 THEN v / list_sum(x) ELSE 1.0 / len(x) END * 100) AS BIGINT) AS VARCHAR) FOR v IN x], ',') AS p FROM l WHERE abs(list_sum(x)) > 0.01")
 def normalize_probs(t: Inputs):
     rows = _logits(t).withColumn("s", V.total(F.col("x"))).filter(F.abs("s") > 0.01)
-    return rows.select("vec_id", F.round(V.normalize(F.col("x"))[0], 4).alias("p0"))
+    return rows.select("vec_id", F.array_join(F.transform(V.normalize(F.col("x")), lambda v: F.round(v * 100).cast("long").cast("string")), ",").alias("p"))
 
 
-@R("topk_to_probs", "WITH l AS (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) AS a, abs(CAST(embedding[2] AS DOUBLE)) AS b FROM embeddings) SELECT vec_id, round(a / (a + b), 6) AS p0, round(b / (a + b), 6) AS p2 FROM l WHERE a + b > 0")
+@R("topk_to_probs", "WITH l AS (SELECT vec_id, [CASE WHEN i % 3 = 0 THEN abs(CAST(embedding[i] AS DOUBLE)) ELSE 0.0 END FOR i IN range(1, len(embedding) + 1)] AS x FROM embeddings) SELECT vec_id, array_to_string([CAST(CAST(round(CASE WHEN list_sum(x) > 0 THEN v / list_sum(x) ELSE v END * 10000) AS BIGINT) AS VARCHAR) FOR v IN x], ',') AS p FROM l")
 def topk_to_probs(t: Inputs):
-    e = t.table("embeddings").select("vec_id", F.abs(F.col("embedding")[0].cast("double")).alias("a"), F.abs(F.col("embedding")[1].cast("double")).alias("b")).filter("a + b > 0")
-    topk = F.array(F.struct(F.lit("A").alias("label"), F.col("a").alias("conf")), F.struct(F.lit("C").alias("label"), F.col("b").alias("conf")))
-    p = V.topk_to_probs(topk, F.array(*map(F.lit, CLASSES)))
-    return e.select("vec_id", F.round(p[0], 6).alias("p0"), F.round(p[2], 6).alias("p2"))
+    """Every third component as a sparse list of classes, back to a dense vector."""
+    e = t.table("embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).filter("(i + 1) % 3 = 0")
+    topk = e.groupBy("vec_id").agg(F.collect_list(F.struct(F.format_string("c%d", "i").alias("label"), F.abs(F.col("v").cast("double")).alias("conf"))).alias("topk"))
+    sized = t.table("embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.concat(F.lit("c"), i.cast("string"))).alias("classes"))
+    rows = sized.join(topk, "vec_id")
+    return rows.select("vec_id", F.array_join(F.transform(V.topk_to_probs(F.col("topk"), F.col("classes")), lambda v: F.round(v * 10000).cast("long").cast("string")), ",").alias("p"))
 
 
-@R("align_classes", f"{LOGITS} SELECT vec_id, round(p[3], 6) AS p0, 0.0 AS p1, round(p[1], 6) AS p2 FROM p")
+@R("align_classes", f"{LOGITS} SELECT vec_id, array_to_string([CAST(CAST(round(v * 1000000) AS BIGINT) AS VARCHAR) FOR v IN list_concat([0.0], list_reverse(p))], ',') AS p FROM p")
 def align_classes(t: Inputs):
-    a = V.align_classes(F.col("p"), F.array(*map(F.lit, CLASSES)), F.array(F.lit("C"), F.lit("Z"), F.lit("A")))
-    return _logits(t).select("vec_id", F.round(a[0], 6).alias("p0"), F.round(a[1], 6).alias("p1"), F.round(a[2], 6).alias("p2"))
+    """All classes in reverse order, after one that the model does not know."""
+    names = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.concat(F.lit("c"), i.cast("string")))
+    wanted = F.concat(F.array(F.lit("none")), F.reverse(names))
+    return _logits(t).select("vec_id", _millionths(V.align_classes(F.col("p"), names, wanted)).alias("p"))
 
 
 @R("join_tokens", "SELECT p_partkey, replace(replace(p_name, 'a', '?'), '?', '[?]') AS joined FROM part")
@@ -249,7 +266,7 @@ def curriculum_fraction(t: Inputs):
 @R("canonical_cache_key", "SELECT doc_id, substr(sha256('{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}'), 1, 20) AS key FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
 def canonical_cache_key(t: Inputs):
     d = t.table("documents").filter("lang IS NOT NULL AND source IS NOT NULL")
-    return d.select("doc_id", T.canonical_key([F.col("lang"), F.col("source")]).alias("key"))
+    return d.select("doc_id", T.canonical_key({"source": F.col("source"), "lang": F.col("lang")}).alias("key"))
 
 
 @R("fingerprint_set", "WITH d AS (SELECT DISTINCT source, lang FROM documents) SELECT source, substr(sha256(string_agg(lang, ',' ORDER BY lang) || ':' || CAST(count(*) AS VARCHAR)), 1, 16) AS print FROM d GROUP BY source")
@@ -264,9 +281,13 @@ def restyle_manifest(t: Inputs):
     return out.select("uid", "image_path", "meta.styled", "meta.style", "row_id")
 
 
-@R("regime_from_name", "SELECT event_id, CASE WHEN event_type LIKE '%view%' THEN 'R' WHEN event_type LIKE '%c%' THEN 'A+R' ELSE 'A' END AS regime FROM events")
+@R("regime_from_name", "WITH n AS (SELECT event_id, event_type, CAST(event_id % 9 AS VARCHAR) AS m FROM events) SELECT event_id, CASE WHEN event_type LIKE '%view%' THEN 'R' WHEN event_type LIKE '%c%' THEN 'A+R' ELSE 'A' END AS regime, CASE WHEN event_type LIKE '%view%' THEN 'm' || m WHEN event_type = 'click' THEN 'm' || m || '__base' ELSE 'x__m' || m END AS model FROM n")
 def regime_from_name(t: Inputs):
-    return t.table("events").select("event_id", T.regime_of(F.col("event_type"), [("view", "R"), ("c", "A+R")], "A").alias("regime"))
+    m = F.concat(F.lit("m"), (F.col("event_id") % 9).cast("string"))
+    name = F.when(F.contains("event_type", F.lit("view")), F.concat(F.lit("sweep_real__"), m, F.lit("_ph1_view"))).when(F.col("event_type") == "click", F.concat(F.lit("sweep__"), m, F.lit("__base_ph0_ph1_c"))).otherwise(F.concat(F.lit("x__"), m, F.lit("_ph0"), "event_type"))
+    rows = t.table("events").select("event_id", name.alias("name"))
+    regime = T.regime_of(F.col("name"), [("view", "R"), ("c", "A+R")], "A")
+    return rows.select("event_id", regime.alias("regime"), T.model_of(F.col("name"), ["sweep_real__", "sweep__"], ["_ph0", "_ph1"]).alias("model"))
 
 
 @R("parse_weights", "SELECT event_id, CASE WHEN greatest(value, 0) > 0 THEN greatest(value, 0) END AS a, CASE WHEN greatest(value, 0) > 0 THEN 0.0 END AS b FROM events")

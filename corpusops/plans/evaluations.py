@@ -46,9 +46,19 @@ def metrics_table(t: Inputs):
     return E.ocr_metrics(p.select(F.coalesce("gt_text", "gt").alias("ref_text"), F.coalesce("pred_text", "pred").alias("pred_text")))
 
 
-@R("evaluate_approaches", W("v_pairs", rest=f"{WORDS} SELECT grp, {METRICS} FROM s GROUP BY grp"))
+APPROACHES = ", a AS (SELECT 'plain' AS approach, uid, ref_text, pred_text FROM v_pairs UNION ALL SELECT 'reversed', uid, ref_text, reverse(pred_text) FROM v_pairs WHERE uid % 2 = 0), v_used AS (SELECT * FROM a WHERE uid % 10 < 7)"
+
+
+@R("evaluate_approaches", W("v_pairs", rest=APPROACHES + WORDS.replace("FROM v_pairs", "FROM v_used") + f", m AS (SELECT approach, {METRICS} FROM s GROUP BY approach), w AS (SELECT approach, uid, row_number() OVER (PARTITION BY approach ORDER BY {CER} DESC, {WER} DESC, uid) AS k FROM s) SELECT m.*, worst FROM m JOIN (SELECT approach, string_agg(CAST(uid AS VARCHAR), ',' ORDER BY k) AS worst FROM w WHERE k <= 10 GROUP BY approach) USING (approach)"))
 def evaluate_approaches(t: Inputs):
-    return E.ocr_metrics(t.view("v_pairs"), ["grp"])
+    """Two approaches over the train split, ground truth of the second one filled from the manifest, and the ten worst."""
+    p = t.view("v_pairs")
+    manifest = p.select("uid", F.when(F.col("uid") % 10 < 7, "train").otherwise("validation").alias("split"), F.col("ref_text").alias("gt_text"))
+    one = p.select(F.lit("plain").alias("approach"), "uid", F.col("ref_text").alias("gt_text"), "pred_text")
+    two = p.filter("uid % 2 = 0").select(F.lit("reversed").alias("approach"), "uid", F.lit(" ").alias("gt_text"), F.reverse("pred_text").alias("pred_text"))
+    found = E.evaluate_approaches(one.unionByName(two), manifest, "TRAIN", 10)
+    worst = found["worst"].groupBy("approach").agg(F.sort_array(F.collect_list(F.struct("rank", "uid"))).alias("w"))
+    return found["metrics"].join(worst.select("approach", F.array_join(F.transform("w", lambda x: x["uid"].cast("string")), ",").alias("worst")), "approach")
 
 
 @R("worst_cases", W("v_pairs", rest=f"{WORDS} SELECT uid, round({CER}, 6) AS cer, round({WER}, 6) AS wer FROM s ORDER BY {CER} DESC, {WER} DESC, uid LIMIT 100"))
@@ -82,10 +92,12 @@ def aligned_confusion(t: Inputs):
 
 @R("confusion_pivot")
 def confusion_pivot(t: Inputs):
-    return E.confusion_pivot(E.aligned_confusion(t.view("v_pairs")), 10)
+    """The matrix as rows: one for each cell."""
+    m = E.confusion_pivot(E.aligned_confusion(t.view("v_pairs")), 10)
+    return m.unpivot("true_char", [c for c in m.columns if c != "true_char"], "pred", "n")
 
 
-PRED = "WITH l AS (SELECT vec_id, label AS y_true, [CAST(x AS DOUBLE) FOR x IN embedding[1:10]] AS x FROM embeddings), c AS (SELECT vec_id, y_true, CAST(list_position(x, list_max(x)) - 1 AS INTEGER) AS y_pred, x FROM l), n AS (SELECT y_true, y_pred, count(*) AS n FROM c GROUP BY 1, 2), k AS (SELECT coalesce(a.label, b.label) AS label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(predicted, 0) AS predicted FROM (SELECT y_true AS label, count(*) AS support, sum(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS tp FROM c GROUP BY 1) a FULL JOIN (SELECT y_pred AS label, count(*) AS predicted FROM c GROUP BY 1) b ON a.label = b.label), m AS (SELECT label, support, tp / (predicted + 1e-12) AS p, tp / (support + 1e-12) AS r FROM k), f AS (SELECT label, support, p, r, 2 * p * r / (p + r + 1e-12) AS f1 FROM m)"
+PRED = "WITH l AS (SELECT vec_id, label AS y_true, [CAST(x AS DOUBLE) FOR x IN embedding] AS x FROM embeddings), c AS (SELECT vec_id, y_true, CAST(list_position(x, list_max(x)) - 1 AS INTEGER) AS y_pred, x FROM l), n AS (SELECT y_true, y_pred, count(*) AS n FROM c GROUP BY 1, 2), k AS (SELECT coalesce(a.label, b.label) AS label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(predicted, 0) AS predicted FROM (SELECT y_true AS label, count(*) AS support, sum(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS tp FROM c GROUP BY 1) a FULL JOIN (SELECT y_pred AS label, count(*) AS predicted FROM c GROUP BY 1) b ON a.label = b.label), m AS (SELECT label, support, tp / (predicted + 1e-12) AS p, tp / (support + 1e-12) AS r FROM k), f AS (SELECT label, support, p, r, 2 * p * r / (p + r + 1e-12) AS f1 FROM m)"
 
 
 def _counts(t: Inputs):
@@ -107,7 +119,7 @@ def summary_metrics(t: Inputs):
     return E.summary_metrics(_counts(t)).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1")])
 
 
-@R("topk_accuracy", f"{PRED}, u AS (SELECT vec_id, y_true, unnest(x) AS v, unnest(range(10)) AS i FROM c), r AS (SELECT vec_id, y_true, i, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM u) SELECT round(sum(CASE WHEN i = y_true AND k <= 3 THEN 1 ELSE 0 END) / CAST((SELECT count(*) FROM c) AS DOUBLE), 6) AS accuracy, (SELECT count(*) FROM c) AS n FROM r")
+@R("topk_accuracy", f"{PRED}, u AS (SELECT vec_id, y_true, unnest(x) AS v, unnest(range(len(x))) AS i FROM c), r AS (SELECT vec_id, y_true, i, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM u) SELECT round(sum(CASE WHEN i = y_true AND k <= 3 THEN 1 ELSE 0 END) / CAST((SELECT count(*) FROM c) AS DOUBLE), 6) AS accuracy, (SELECT count(*) FROM c) AS n FROM r")
 def topk_accuracy(t: Inputs):
     return E.topk_accuracy(_logits(t).withColumnRenamed("x", "scores"), 3)
 
@@ -122,19 +134,17 @@ def worst_classes(t: Inputs):
     return E.worst_classes(_counts(t), 3).select("label", F.round("f1", 6).alias("f1"))
 
 
-@R("batch_predict", f"{PRED} SELECT vec_id AS uid, y_pred AS label FROM c")
+@R("batch_predict", f"{PRED}, e AS (SELECT vec_id, y_pred, x, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM c), p AS (SELECT vec_id, y_pred, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e), u AS (SELECT vec_id, unnest(p) AS v, unnest(range(len(p))) AS i FROM p), r AS (SELECT vec_id, v, i, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM u) SELECT vec_id AS uid, max(CASE WHEN k = 1 THEN 'c' || CAST(i AS VARCHAR) END) AS label, round(max(CASE WHEN k = 1 THEN v END), 5) AS conf, string_agg('c' || CAST(i AS VARCHAR), ',' ORDER BY k) AS topk, 64 AS n_probs FROM r WHERE k <= 3 GROUP BY vec_id")
 def batch_predict(t: Inputs):
-    """Argmax as a caller-supplied model; a cache holds the rows whose class is even."""
-
-    def factory():
-        import numpy as np
-        import pandas as pd
-
-        return lambda pdf: pd.DataFrame({"uid": pdf["uid"], "label": [int(np.argmax(x)) for x in pdf["x"]]})
-
-    rows = _logits(t).select(F.col("vec_id").alias("uid"), "x")
-    cache = rows.filter(V.argmax(F.col("x")) % 2 == 0).select("uid", V.argmax(F.col("x")).alias("label"))
-    return plugins.batch_predict(rows, factory, "uid long, label int", cache)
+    """A caller's model with label, confidence, top 3 and probabilities; a cache holds the rows of even class."""
+    names = [f"c{i}" for i in range(64)]
+    rows = _logits(t).select(F.col("vec_id").alias("uid"), "x", "p")
+    kind = plugins.contract("classifier", "uid long", probs=True)
+    known = F.array(*map(F.lit, names))
+    top = V.top_k(F.col("p"), known, 3)
+    cache = rows.filter(V.argmax(F.col("x")) % 2 == 0).select("uid", F.get(known, V.argmax(F.col("x"))).alias("label"), F.array_max("p").alias("conf"), top.alias("topk"), F.col("p").alias("probs"))
+    out = plugins.batch_predict(rows.select("uid", "x"), lambda: lambda pdf: plugins.from_logits(pdf, "uid", "x", names, 3), kind, cache)
+    return out.select("uid", "label", F.round("conf", 5).alias("conf"), F.array_join(F.transform("topk", lambda x: x["label"]), ",").alias("topk"), F.size("probs").alias("n_probs"))
 
 
 @R("plugin_approach", W("v_pairs", rest="SELECT uid, ref_text AS gt_text, reverse(pred_text) AS pred_text FROM v_pairs"))
@@ -148,7 +158,10 @@ def iou_pairs(t: Inputs):
     return E.iou_pairs(t.view("v_boxes_gt"), t.view("v_boxes_pred")).select("uid", "gt_idx", "pred_idx", F.round("iou", 6).alias("iou"))
 
 
-@R("match_detections")
+MATCHES = f"{JOINED}, pr AS (SELECT uid, idx, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, idx) AS k FROM v_boxes_pred WHERE uid IN (SELECT uid FROM v_boxes_gt)), ca AS (SELECT uid, pred_idx, list({{'g': gt_idx, 'v': {IOU}}} ORDER BY {IOU} DESC, gt_idx) AS c FROM j GROUP BY uid, pred_idx), q AS (SELECT pr.uid, pr.idx, pr.score, pr.k, c FROM pr JOIN ca ON ca.uid = pr.uid AND ca.pred_idx = pr.idx), th AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS threshold), m AS (SELECT uid, CAST(threshold AS DOUBLE) AS threshold, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS BIGINT) AS g FROM (SELECT DISTINCT uid FROM q), th UNION ALL SELECT uid, threshold, k, CASE WHEN g IS NULL THEN used ELSE list_append(used, g) END, idx, score, g FROM (SELECT m.uid, m.threshold, q.k, m.used, q.idx, q.score, list_filter(q.c, lambda x: x.v >= m.threshold AND NOT list_contains(m.used, x.g))[1].g AS g FROM m JOIN q ON q.uid = m.uid AND q.k = m.k + 1))"
+
+
+@R("match_detections", W("v_boxes_gt", "v_boxes_pred", rest=f"{MATCHES} SELECT uid, threshold, idx, score, CASE WHEN g IS NULL THEN 0 ELSE 1 END AS tp FROM m WHERE k > 0").replace("WITH ", "WITH RECURSIVE ", 1))
 def match_detections(t: Inputs):
     return E.match_detections(t.view("v_boxes_gt"), t.view("v_boxes_pred"))
 
@@ -178,9 +191,10 @@ def average_precision(t: Inputs):
     return E.average_precision(_curve(t), []).select(F.round("ap", 5).alias("ap"))
 
 
-@R("detection_metrics")
+@R("detection_metrics", W("v_boxes_gt", "v_boxes_pred", rest=f"{MATCHES}, h AS (SELECT uid, threshold, idx, score, CASE WHEN g IS NULL THEN 0 ELSE 1 END AS tp FROM m WHERE k > 0), n AS (SELECT count(*) AS n FROM v_boxes_gt), c AS (SELECT *, sum(tp) OVER w AS cum_tp, count(*) OVER w AS seen FROM h WINDOW w AS (PARTITION BY threshold ORDER BY score DESC, uid, idx ROWS UNBOUNDED PRECEDING)), p AS (SELECT *, cum_tp / CAST(seen AS DOUBLE) AS precision, cum_tp / CAST(n AS DOUBLE) AS recall FROM c, n), e AS (SELECT *, max(precision) OVER (PARTITION BY threshold ORDER BY score DESC, uid, idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM p), s AS (SELECT threshold, tp, recall, envelope, lag(recall, 1, 0.0) OVER w AS r0, lag(envelope) OVER w AS p0, row_number() OVER w AS k, count(*) OVER (PARTITION BY threshold) AS n FROM e WINDOW w AS (PARTITION BY threshold ORDER BY score DESC, uid, idx)) SELECT threshold, round(sum((recall - r0) * (envelope + coalesce(p0, envelope)) / 2) + sum(CASE WHEN k = n THEN (1 - recall) * envelope / 2 ELSE 0 END), 5) AS ap, round(max(recall), 6) AS recall, round(avg(tp), 6) AS precision FROM s GROUP BY threshold").replace("WITH ", "WITH RECURSIVE ", 1))
 def detection_metrics(t: Inputs):
-    return E.detection_metrics(t.view("v_boxes_gt"), t.view("v_boxes_pred"))
+    d = E.detection_metrics(t.view("v_boxes_gt"), t.view("v_boxes_pred"))
+    return d.select("threshold", F.round("ap", 5).alias("ap"), F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
 
 @R("merge_boxes")
@@ -194,22 +208,39 @@ def crops_topk(t: Inputs):
 
 
 def _angles(t: Inputs):
-    e = t.table("events")
-    return e.select(F.col("event_id").alias("uid"), "value", F.explode(F.array(*[F.lit(a) for a in (0, 90, 180, 270)])).alias("angle")).select("uid", "angle", ((F.col("value") * 100 + F.col("angle") * F.col("uid")) % 7).alias("proj"), (F.col("angle") / 90).alias("cc"), F.lit(-0.1).alias("penalty"))
+    uids = t.view("v_pairs").select("uid", F.explode(F.array(*[F.lit(a) for a in (0, 90, 180, 270)])).alias("angle"))
+    proj, cc = ((F.col("uid") * 37 + F.col("angle") * 11) % 101) / 10.0, F.col("angle") / 90.0
+    return uids.select("uid", "angle", proj.alias("proj"), cc.alias("cc"), F.lit(-0.1).alias("penalty"), (F.col("uid") % 7 / 10.0).alias("density"), (F.col("uid") % 3 + 1).alias("lines"))
+
+
+ROTATIONS = "a AS (SELECT uid, angle, ((uid * 37 + angle * 11) % 101) / 10.0 AS proj, angle / 90.0 AS cc FROM (SELECT DISTINCT p_partkey AS uid FROM part), (VALUES (0), (90), (180), (270)) x(angle)), t AS (SELECT *, proj + 0.15 * cc + -0.1 AS total FROM a), r AS (SELECT uid, angle, cc, total, row_number() OVER w AS k, lead(total) OVER w AS second FROM t WINDOW w AS (PARTITION BY uid ORDER BY total DESC, angle)), rot AS (SELECT uid, angle, cc, (total - coalesce(second, 0.0)) / (abs(total) + 1e-6) AS confidence FROM r WHERE k = 1)"
 
 
-@R("rotation_pick", "WITH a AS (SELECT event_id AS uid, angle, (value * 100 + angle * event_id) % 7 + 0.15 * (angle / 90.0) - 0.1 AS total FROM events, (VALUES (0), (90), (180), (270)) x(angle)), r AS (SELECT uid, angle, row_number() OVER (PARTITION BY uid ORDER BY round(total, 6) DESC, angle) AS k FROM a) SELECT uid, angle FROM r WHERE k = 1")
+@R("rotation_pick", f"WITH {ROTATIONS} SELECT uid, angle, round(confidence, 6) AS confidence FROM rot")
 def rotation_pick(t: Inputs):
-    rows = _angles(t).withColumn("proj", F.round(F.col("proj") + 0.15 * F.col("cc") - 0.1, 6)).withColumn("cc", F.lit(0.0)).withColumn("penalty", F.lit(0.0))
-    return M.rotation_pick(rows).select("uid", "angle")
+    return M.rotation_pick(_angles(t)).select("uid", "angle", F.round("confidence", 6).alias("confidence"))
+
+
+def _readings(t: Inputs):
+    """Four candidates of each text; mirroring swaps some letters."""
+    p = t.view("v_pairs")
+    flags = F.explode(F.array(*[F.struct(F.lit(m).alias("mirrored"), F.lit(r).alias("reverse")) for m in (False, True) for r in (False, True)]))
+    rows = p.select("uid", "pred_text", flags.alias("f")).select("uid", "pred_text", "f.*")
+    text = F.when(F.col("mirrored"), F.translate("pred_text", "abdel", "zyxwv")).otherwise(F.col("pred_text"))
+    return rows.select("uid", "mirrored", "reverse", F.when(F.col("reverse"), F.reverse(text)).otherwise(text).alias("text"))
 
 
-@R("mirror_pick", "WITH q AS (SELECT event_id AS uid, value % 1 AS s, (value * 3) % 1 AS m FROM events) SELECT uid, CASE WHEN round(abs(m - s), 6) >= 0.05 THEN m > s END AS mirrored FROM q")
+def _truth(t: Inputs):
+    return t.view("v_pairs").select("uid", F.when(F.col("uid") % 3 > 0, F.col("ref_text")).alias("gt_text"))
+
+
+READINGS = r"c AS (SELECT uid, ref_text, m.m AS mirrored, v.v AS rev, CASE WHEN v.v THEN reverse(x) ELSE x END AS text FROM (SELECT uid, ref_text, pred_text, mm, CASE WHEN mm THEN translate(pred_text, 'abdel', 'zyxwv') ELSE pred_text END AS x FROM v_pairs, (VALUES (false), (true)) q(mm)) y, LATERAL (SELECT y.mm AS m) m, (VALUES (false), (true)) v(v)), b AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS b, regexp_replace(text, '\s+', '', 'g') AS plain, CASE WHEN uid % 3 > 0 THEN regexp_replace(ref_text, '\s+', '', 'g') ELSE '' END AS truth FROM c), d AS (SELECT *, length(regexp_replace(b, '[^a-m]', '', 'g')) / CAST(greatest(1, length(b)) AS DOUBLE) AS ratio FROM b), ql AS (SELECT uid, mirrored, rev, CASE WHEN truth <> '' THEN -(levenshtein(truth, plain) / CAST(length(truth) AS DOUBLE)) + 0.15 * ratio ELSE ratio + 0.01 * least(40, length(plain)) END AS quality FROM d), mi AS (SELECT uid, max(CASE WHEN mirrored THEN quality END) AS m, max(CASE WHEN NOT mirrored THEN quality END) AS s FROM ql GROUP BY uid), rv AS (SELECT uid, rev, row_number() OVER (PARTITION BY uid ORDER BY quality DESC, mirrored, rev) AS k FROM ql), mir AS (SELECT mi.uid, CASE WHEN abs(m - s) >= 0.05 THEN m > s END AS mirrored, rev AS reverse FROM mi JOIN rv ON rv.uid = mi.uid AND k = 1)"
+
+
+@R("mirror_pick", W("v_pairs", rest=f", {READINGS} SELECT uid, mirrored, reverse FROM mir"))
 def mirror_pick(t: Inputs):
-    e = t.table("events")
-    one = e.select(F.col("event_id").alias("uid"), F.lit(False).alias("mirrored"), F.lit(False).alias("reverse"), F.round(F.col("value") % 1, 6).alias("quality"))
-    two = e.select(F.col("event_id").alias("uid"), F.lit(True).alias("mirrored"), F.lit(True).alias("reverse"), F.round((F.col("value") * 3) % 1, 6).alias("quality"))
-    return M.mirror_pick(one.unionAll(two), margin=0.05 - 1e-9).select("uid", "mirrored")
+    rows = _readings(t).join(_truth(t), "uid").withColumn("quality", M.reading_quality(F.col("text"), F.col("gt_text"), "a-m"))
+    return M.mirror_pick(rows)
 
 
 def _glyphs(t: Inputs):
@@ -241,21 +272,38 @@ def end_to_end(t: Inputs):
     return E.ocr_metrics(gt.join(pred, "uid", "left"))
 
 
-@R("yolo_export", W("v_boxes_gt", rest="SELECT CASE WHEN uid % 10 < 7 THEN 'train' ELSE 'validation' END AS split, count(*) AS lines, count(DISTINCT uid) AS images FROM v_boxes_gt WHERE uid IN (SELECT o_orderkey FROM orders) GROUP BY 1"))
+@R("yolo_export", W("v_boxes_gt", rest="SELECT CASE WHEN uid % 10 < 7 THEN 'train' ELSE 'validation' END AS split, CAST(count(DISTINCT uid) FILTER (WHERE uid % 5 <> 1 AND uid IN (SELECT o_orderkey FROM orders)) AS BIGINT) AS written, CAST(count(DISTINCT uid) FILTER (WHERE NOT (uid % 5 <> 1 AND uid IN (SELECT o_orderkey FROM orders))) AS BIGINT) AS skipped, CAST(count(*) FILTER (WHERE uid % 5 <> 1 AND uid IN (SELECT o_orderkey FROM orders)) AS BIGINT) AS lines FROM v_boxes_gt GROUP BY 1"))
 def yolo_export(t: Inputs):
+    """Label files of all images whose path is found under one of two names, and what was written and skipped by split."""
     from ..sources import io
 
-    b = B.to_yolo(F.struct("x1", "y1", "x2", "y2"), F.lit(640), F.lit(480))
-    rows = M.mark_exists(t.view("v_boxes_gt"), t.table("orders").select(F.col("o_orderkey").alias("uid")), "uid")
-    lines = M.filter_missing(rows).select("uid", F.when(F.col("uid") % 10 < 7, "train").otherwise("validation").alias("split"), io.yolo_line(F.col("cls"), b).alias("line"))
+    boxes = t.view("v_boxes_gt").withColumn("split", F.when(F.col("uid") % 10 < 7, "train").otherwise("validation")).withColumn("box", B.to_yolo(F.struct("x1", "y1", "x2", "y2"), F.lit(640), F.lit(480)))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    listing = t.table("orders").filter("o_orderkey % 5 <> 1").select(F.when(F.col("o_orderkey") % 2 == 0, name("abs/", "o_orderkey")).otherwise(name("rel/", "o_orderkey")).alias("path"))
     path = io.scratch(t.spark, "yolo-export")
-    lines.write.partitionBy("split").parquet(path)
-    return t.spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("lines"), F.countDistinct("uid").alias("images"))
+    stats = M.yolo_export(boxes.withColumn("abs_path", name("abs/", "uid")).withColumn("rel_path", name("rel/", "uid")), listing, ["abs_path", "rel_path"], path)
+    lines = io.read_yolo_packed(t.spark, path).groupBy("split").agg(F.count("*").alias("lines"))
+    return stats.join(lines, "split")
+
 
+STATS = "SELECT 'rotation' AS measure, CAST(angle AS VARCHAR) AS key, CAST(count(*) AS DOUBLE) AS value FROM rot GROUP BY angle UNION ALL SELECT 'mirrored', coalesce(CAST(mirrored AS VARCHAR), 'none'), count(*) FROM mir GROUP BY 2 UNION ALL SELECT 'reverse_pred', CAST(reverse AS VARCHAR), count(*) FROM mir GROUP BY 2 UNION ALL SELECT 'orientation_confidence', 'mean', round(avg(confidence), 5) FROM rot UNION ALL SELECT 'orientation_confidence', 'median', round(median(confidence), 5) FROM rot UNION ALL SELECT 'binarize_density', 'mean', round(avg(uid % 7 / 10.0), 5) FROM rot UNION ALL SELECT 'binarize_density', 'median', round(median(uid % 7 / 10.0), 5) FROM rot UNION ALL SELECT 'n_lines_est', 'mean', round(avg(uid % 3 + 1), 5) FROM rot UNION ALL SELECT 'n_lines_est', 'median', round(median(uid % 3 + 1), 5) FROM rot"
 
-@R("orient_manifest", "WITH a AS (SELECT event_id AS uid, angle, (value * 100 + angle * event_id) % 7 + 0.15 * (angle / 90.0) - 0.1 AS total FROM events, (VALUES (0), (90), (180), (270)) x(angle)), r AS (SELECT uid, angle, row_number() OVER (PARTITION BY uid ORDER BY round(total, 6) DESC, angle) AS k FROM a) SELECT angle, count(*) AS n FROM r WHERE k = 1 GROUP BY angle")
+
+def _oriented(t: Inputs):
+    df = _truth(t).withColumn("meta", F.struct(F.lit("part").alias("source")))
+    return M.orient_manifest(df, _angles(t), _readings(t), None, 42, "a-m")
+
+
+@R("orient_manifest", W("v_pairs", rest=f", {READINGS}, {ROTATIONS} SELECT rot.uid, 'part' AS source, angle AS orientation_deg, round(confidence, 5) AS orientation_confidence, mirrored, reverse AS reverse_pred, 'rtl' AS reading_dir FROM rot JOIN mir ON mir.uid = rot.uid"))
 def orient_manifest(t: Inputs):
-    return rotation_pick(t).groupBy("angle").agg(F.count("*").alias("n"))
+    out, _ = _oriented(t)
+    return out.select("uid", "meta.source", "meta.orientation_deg", F.round("meta.orientation_confidence", 5).alias("orientation_confidence"), "meta.mirrored", "meta.reverse_pred", "meta.reading_dir")
+
+
+@R("orientation_stats", W("v_pairs", rest=f", {READINGS}, {ROTATIONS} {STATS}"))
+def orientation_stats(t: Inputs):
+    _, stats = _oriented(t)
+    return stats.select("measure", "key", F.round("value", 5).alias("value"))
 
 
 @R("label_roundtrip", W("v_boxes_gt", rest="SELECT uid, idx, round(x1, 4) AS x1, round(y2, 4) AS y2 FROM v_boxes_gt WHERE uid IN (SELECT o_orderkey FROM orders)"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..functions import text as T
 from ..sources import io
+from .columns import NAMES_SQL
 from .fixtures import Inputs
 from .fixtures import with_views as W
 from .registry import Registry
@@ -52,8 +54,8 @@ def scan_mapping_json(t: Inputs):
 
 @R("scan_binary")
 def scan_binary(t: Inputs):
-    found = io.read_binary(t.spark, f"{t.sf_dir}/region.parquet")
-    return found.unionByName(io.read_binary(t.spark, f"{t.sf_dir}/nation.parquet"))
+    """Every file of the tables' folder; none of them is an image."""
+    return io.read_binary(t.spark, t.sf_dir).select("name", "size", "sha256", "width", "height", "error")
 
 
 @R("scan_archive_listing", "SELECT url AS path FROM pages WHERE url LIKE '%1' ORDER BY length(url), url LIMIT 1")
@@ -68,12 +70,16 @@ def scan_lexicon(t: Inputs):
     return io.read_lexicon(t.spark, path)
 
 
-@R("scan_run_dirs", "SELECT event_type AS run_id, count(*) AS epochs, max(value) AS best FROM events GROUP BY event_type")
+@R("scan_run_dirs", "SELECT event_type AS run_id, count(*) AS epochs, max(value) AS best, CASE WHEN event_type NOT LIKE 'view%' THEN min(event_id) END AS first, CASE WHEN event_type LIKE 'c%' THEN max(user_id) END AS last_user FROM events GROUP BY event_type")
 def scan_run_dirs(t: Inputs):
-    runs = t.table("events").groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("epochs"), F.max("value").alias("best"))
+    """Run folders with metadata, and with detector and phase files where a run has them."""
+    runs = t.table("events").groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("epochs"), F.max("value").alias("best"), F.min("event_id").alias("first"), F.max("user_id").alias("last_user"))
+    some = {"run_metadata.json": (["epochs", "best"], F.lit(True)), "metrics_detector.json": (["first"], ~F.startswith("run", F.lit("view"))), "metrics_best.json": (["last_user"], F.startswith("run", F.lit("c")))}
     path = io.scratch(t.spark, "runs")
-    runs.withColumn("value", F.to_json(F.struct("epochs", "best"))).select("run", "value").write.partitionBy("run").text(path)
-    return io.read_run_dirs(t.spark, path, "*.txt", "epochs LONG, best DOUBLE")
+    for name, (fields, has) in some.items():
+        runs.filter(has).select("run", F.lit(name).alias("file"), F.to_json(F.struct(*fields)).alias("value")).write.mode("append").partitionBy("run", "file").text(path)
+    r = io.read_run_dirs(t.spark, path, {"run_metadata.json": "epochs LONG, best DOUBLE", "metrics_detector.json": "first LONG", "metrics_best.json": "last_user LONG"})
+    return r.select("run_id", "run_metadata.epochs", "run_metadata.best", "metrics_detector.first", "metrics_best.last_user")
 
 
 SIZES = W("v_boxes_gt", rest="SELECT uid, idx, cls, x1, y1, x2, y2 FROM v_boxes_gt")
@@ -88,12 +94,11 @@ def _sizes(t: Inputs):
     return t.table("orders").select(F.col("o_orderkey").alias("uid"), F.lit(500).alias("width"), F.lit(400).alias("height")).distinct()
 
 
-@R("scan_labelstudio", W("v_boxes_gt", rest="SELECT CAST(uid AS VARCHAR) AS uid, round(sum(x1 / 500 * 100), 2) AS x, round(sum((y2 - y1) / 400 * 100), 2) AS height, count(*) AS n, min('c' || CAST(cls AS VARCHAR)) AS label FROM v_boxes_gt WHERE uid IN (SELECT o_orderkey FROM orders) GROUP BY uid"))
+@R("scan_labelstudio", W("v_boxes_gt", rest=f"SELECT CAST(uid AS VARCHAR) AS uid, 'c' || CAST(cls AS VARCHAR) AS label, round(x1 / 500 * 100, 4) AS x, round(y1 / 400 * 100, 4) AS y, round((x2 - x1) / 500 * 100, 4) AS width, round((y2 - y1) / 400 * 100, 4) AS height FROM v_boxes_gt WHERE uid IN (SELECT o_orderkey FROM orders)"))
 def scan_labelstudio(t: Inputs):
     path = io.scratch(t.spark, "tasks")
     io.label_studio_tasks(_labelled(t), _sizes(t)).write.text(path)
-    boxes = io.read_label_studio(t.spark, path)
-    return boxes.groupBy("uid").agg(F.round(F.sum("x"), 2).alias("x"), F.round(F.sum("height"), 2).alias("height"), F.count("*").alias("n"), F.min("label").alias("label"))
+    return io.read_label_studio(t.spark, path).select("uid", "label", *[F.round(c, 4).alias(c) for c in ("x", "y", "width", "height")])
 
 
 @R("scan_coco", W("v_boxes_gt", rest="SELECT o_orderkey AS uid, count(b.uid) AS n, coalesce(round(sum(x2), 4), 0) AS x2 FROM orders LEFT JOIN v_boxes_gt b ON b.uid = o_orderkey GROUP BY o_orderkey"))
@@ -109,13 +114,13 @@ def scan_coco(t: Inputs):
 YOLO = "least(greatest((x1 + x2) / 2 / 500, 0), 1) AS cx, least(greatest((y1 + y2) / 2 / 400, 0), 1) AS cy, least(greatest((x2 - x1) / 500, 0), 1) AS w, least(greatest((y2 - y1) / 400, 0), 1) AS h"
 
 
-@R("scan_yolo_labels", W("v_boxes_gt", rest=f", y AS (SELECT cls, {YOLO} FROM v_boxes_gt WHERE idx <> 3) SELECT CAST(cls AS INTEGER) AS cls, count(*) AS n, round(avg(cx), 4) AS cx FROM y GROUP BY cls"))
+@R("scan_yolo_labels", W("v_boxes_gt", rest=f", y AS (SELECT cls, {YOLO} FROM v_boxes_gt WHERE idx <> 3) SELECT CAST(cls AS INTEGER) AS cls, CAST(printf('%.6f', CAST(cx AS DOUBLE)) AS DOUBLE) AS cx, CAST(printf('%.6f', CAST(cy AS DOUBLE)) AS DOUBLE) AS cy, CAST(printf('%.6f', CAST(w AS DOUBLE)) AS DOUBLE) AS w, CAST(printf('%.6f', CAST(h AS DOUBLE)) AS DOUBLE) AS h FROM y"))
 def scan_yolo_labels(t: Inputs):
     b = B.to_yolo(F.struct("x1", "y1", "x2", "y2"), F.lit(500), F.lit(400))
     lines = t.view("v_boxes_gt").select(F.when(F.col("idx") == 3, "short line here 1").otherwise(io.yolo_line(F.col("cls"), b)).alias("value"))
     path = io.scratch(t.spark, "yolo")
     lines.write.text(path)
-    return io.read_yolo(t.spark, path).groupBy("cls").agg(F.count("*").alias("n"), F.round(F.avg("cx"), 4).alias("cx"))
+    return io.read_yolo(t.spark, path).select("cls", "cx", "cy", "w", "h")
 
 
 @R("sink_jsonl", "SELECT doc_id AS uid, text FROM documents")
@@ -131,34 +136,44 @@ def sink_manifest_csv(t: Inputs):
     return io.read_csv(t.spark, io.write_csv(flat, io.scratch(t.spark, "csv")))
 
 
-@R("sink_yolo_labels", W("v_boxes_gt", rest=f", y AS (SELECT uid, idx, cls, {YOLO} FROM v_boxes_gt) SELECT uid, idx, CAST(cls AS VARCHAR) || ' ' || printf('%.6f', CAST(cx AS DOUBLE)) || ' ' || printf('%.6f', CAST(cy AS DOUBLE)) || ' ' || printf('%.6f', CAST(w AS DOUBLE)) || ' ' || printf('%.6f', CAST(h AS DOUBLE)) AS line FROM y"))
+SPLIT = "CASE WHEN uid % 10 < 7 THEN 'train' ELSE 'validation' END"
+
+
+@R("sink_yolo_labels", W("v_boxes_gt", rest=f", y AS (SELECT {SPLIT} AS split, uid, idx, cls, {YOLO} FROM v_boxes_gt) SELECT split, CAST(uid AS VARCHAR) AS uid, idx AS line_no, CAST(cls AS INTEGER) AS cls, CAST(printf('%.6f', CAST(cx AS DOUBLE)) AS DOUBLE) AS cx, CAST(printf('%.6f', CAST(cy AS DOUBLE)) AS DOUBLE) AS cy, CAST(printf('%.6f', CAST(w AS DOUBLE)) AS DOUBLE) AS w, CAST(printf('%.6f', CAST(h AS DOUBLE)) AS DOUBLE) AS h FROM y"))
 def sink_yolo_labels(t: Inputs):
     b = B.to_yolo(F.struct("x1", "y1", "x2", "y2"), F.lit(500), F.lit(400))
-    return t.view("v_boxes_gt").select("uid", "idx", io.yolo_line(F.col("cls"), b).alias("line"))
+    rows = t.view("v_boxes_gt").select("uid", "idx", "cls", F.when(F.col("uid") % 10 < 7, "train").otherwise("validation").alias("split"), b.alias("box"))
+    path = io.write_yolo(rows, io.scratch(t.spark, "yolo-sink"))
+    return io.read_yolo_packed(t.spark, path).select("split", "uid", F.col("line_no").cast("long").alias("line_no"), "cls", "cx", "cy", "w", "h")
 
 
-@R("sink_coco", W("v_boxes_pred", rest="SELECT row_number() OVER (ORDER BY uid, idx) AS id, uid AS image_id, cls AS category_id, (x2 - x1) * (y2 - y1) AS area, score FROM v_boxes_pred WHERE cls < 20 AND uid IN (SELECT o_orderkey FROM orders)"))
+@R("sink_coco", W("v_boxes_pred", rest="SELECT row_number() OVER (ORDER BY uid, idx) AS id, uid AS image_id, cls AS category_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, (x2 - x1) * (y2 - y1) AS area, score FROM v_boxes_pred WHERE cls < 20 AND uid IN (SELECT o_orderkey FROM orders)"))
 def sink_coco(t: Inputs):
     images = t.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("uid")).distinct()
     boxes = t.view("v_boxes_pred").withColumn("label", F.concat(F.lit("c"), "cls"))
     kinds = t.view("v_boxes_gt").select(F.col("cls").alias("id")).distinct().filter("id < 20").withColumn("name", F.concat(F.lit("c"), "id"))
-    return io.coco_annotations(boxes, images, kinds).select("id", "image_id", "category_id", "area", "score")
+    path = io.write_coco(images, io.coco_annotations(boxes, images, kinds), kinds, io.scratch(t.spark, "coco-sink"))
+    back = io.read_jsonl(t.spark, f"{path}/annotations", "id LONG, image_id LONG, category_id LONG, bbox ARRAY<DOUBLE>, area DOUBLE, score DOUBLE")
+    return back.select("id", "image_id", "category_id", *[F.col("bbox")[i].alias(c) for i, c in enumerate("xywh")], "area", "score")
 
 
-@R("sink_labelstudio", W("v_boxes_gt", rest="SELECT uid, count(*) AS n, CAST(uid AS VARCHAR) || '_0' AS first_id, round(sum((x2 - x1) / 500 * 100), 4) AS width FROM v_boxes_gt WHERE uid IN (SELECT o_orderkey FROM orders) GROUP BY uid"))
+@R("sink_labelstudio", W("v_boxes_gt", rest="SELECT uid, CAST(uid AS VARCHAR) || '_' || CAST(idx AS VARCHAR) AS id, 'img/' || CAST(uid AS VARCHAR) AS image, 'model' AS model_version, 'c' || CAST(cls AS VARCHAR) AS label, round(x1 / 500 * 100, 4) AS x, round(y1 / 400 * 100, 4) AS y, round((x2 - x1) / 500 * 100, 4) AS width, round((y2 - y1) / 400 * 100, 4) AS height FROM v_boxes_gt WHERE uid IN (SELECT o_orderkey FROM orders)"))
 def sink_labelstudio(t: Inputs):
-    tasks = io.label_studio_tasks(_labelled(t), _sizes(t))
-    kind = "data struct<uid:string>, predictions array<struct<result:array<struct<id:string,value:struct<width:double>>>>>"
-    r = tasks.select(F.from_json("value", kind).alias("j")).select(F.col("j.data.uid").cast("long").alias("uid"), F.col("j.predictions")[0]["result"].alias("r"))
-    return r.select("uid", F.size("r").cast("long").alias("n"), F.col("r")[0]["id"].alias("first_id"), F.round(F.aggregate("r", F.lit(0.0), lambda a, x: a + x["value"]["width"]), 4).alias("width"))
+    path = io.scratch(t.spark, "tasks-sink")
+    io.label_studio_tasks(_labelled(t), _sizes(t)).write.text(path)
+    kind = "data STRUCT<image:STRING,uid:STRING>, predictions ARRAY<STRUCT<model_version:STRING,result:ARRAY<STRUCT<id:STRING,type:STRING,value:STRUCT<x:DOUBLE,y:DOUBLE,width:DOUBLE,height:DOUBLE,rectanglelabels:ARRAY<STRING>>>>>>"
+    p = io.read_jsonl(t.spark, path, kind).select("data", F.explode("predictions").alias("p"))
+    r = p.select(F.col("data.uid").cast("long").alias("uid"), "data.image", "p.model_version", F.explode("p.result").alias("r"))
+    return r.select("uid", "r.id", "image", "model_version", F.col("r.value.rectanglelabels")[0].alias("label"), *[F.round(f"r.value.{c}", 4).alias(c) for c in ("x", "y", "width", "height")])
 
 
-@R("sink_class_index", W("v_boxes_gt", rest="SELECT uid, idx, CASE WHEN uid % 10 < 7 THEN 'train' ELSE 'validation' END AS split, CAST(cls AS VARCHAR) || '/' || CAST(uid AS VARCHAR) || '_' || CAST(idx AS VARCHAR) || '.png' AS out_path FROM v_boxes_gt"))
+@R("sink_class_index", W("v_boxes_gt", rest=f", c AS (SELECT {SPLIT} AS split, uid, idx, cls, x1, y1, x2, y2, {NAMES_SQL}[cls + 1] AS class FROM v_boxes_gt WHERE cls < 20 AND uid % 10 < 7) SELECT split, class, substr(class, -1) AS letter, CAST(uid AS VARCHAR) AS uid, CAST(idx AS VARCHAR) AS idx, 'img/' || CAST(uid AS VARCHAR) AS src, printf('%d,%d,%d,%d', CAST(x1 AS INTEGER), CAST(y1 AS INTEGER), CAST(x2 AS INTEGER), CAST(y2 AS INTEGER)) AS bbox, split || '/' || class || '/' || CAST(uid AS VARCHAR) || '_' || printf('%03d', CAST(idx AS INTEGER)) || '.png' AS out_path FROM c"))
 def sink_class_index(t: Inputs):
-    rows = t.view("v_boxes_gt").withColumn("split", F.when(F.col("uid") % 10 < 7, "train").otherwise("validation"))
-    path = io.scratch(t.spark, "classes")
-    rows.select("uid", "idx", "cls", "split", F.concat(F.col("cls").cast("string"), F.lit("/"), F.col("uid").cast("string"), F.lit("_"), F.col("idx").cast("string"), F.lit(".png")).alias("out_path")).write.partitionBy("split", "cls").parquet(path)
-    return t.spark.read.parquet(path).select("uid", "idx", "split", "out_path")
+    """The crop index of the train split as CSV; two letters are not among the known ones."""
+    letter = F.substring(F.lit(T.LETTERS), F.col("cls").cast("int") + 1, F.lit(1))
+    rows = t.view("v_boxes_gt").withColumn("split", F.when(F.col("uid") % 10 < 7, "train").otherwise("validation")).withColumn("letter", letter).withColumn("src", F.concat(F.lit("img/"), F.col("uid").cast("string")))
+    path = io.write_csv(io.class_index(rows, list(T.LETTERS[:20]), "Train"), io.scratch(t.spark, "classes"))
+    return io.read_csv(t.spark, path)
 
 
 @R("sink_report_json", "SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
@@ -175,7 +190,12 @@ def append_manifest(t: Inputs):
     return io.read_jsonl(t.spark, path, "uid LONG, source STRING")
 
 
-@R("sink_result_tables", "SELECT event_type AS model, CAST(count(*) AS VARCHAR) AS n FROM events GROUP BY 1")
+@R("sink_result_tables", "WITH e AS (SELECT event_type AS model, count(*) AS n, count(DISTINCT user_id) AS u, min(event_id) AS f FROM events GROUP BY 1) SELECT 'table_detector' AS \"table\", model AS key, CAST(n AS VARCHAR) AS value FROM e UNION ALL SELECT 'table_classifier', model, CAST(u AS VARCHAR) FROM e UNION ALL SELECT 'ocr_baselines', model, CAST(f AS VARCHAR) FROM e UNION ALL SELECT 'summary', 'source', 'events' UNION ALL SELECT 'summary', k, CAST(count(*) AS VARCHAR) FROM e, (VALUES ('table_detector_rows'), ('table_classifier_rows'), ('ocr_baselines_rows')) v(k) GROUP BY k")
 def sink_result_tables(t: Inputs):
-    rows = t.table("events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("n"))
-    return io.read_csv(t.spark, io.write_csv(rows.orderBy("model"), io.scratch(t.spark, "tables")))
+    by = t.table("events").groupBy(F.col("event_type").alias("model"))
+    tables = {"table_detector": by.agg(F.count("*").alias("value")), "table_classifier": by.agg(F.countDistinct("user_id").alias("value")), "ocr_baselines": by.agg(F.min("event_id").alias("value"))}
+    path = io.write_result_tables(tables, {"source": "events"}, t.spark, io.scratch(t.spark, "tables"))
+    out = io.read_jsonl(t.spark, f"{path}/run_summary.json", "key STRING, value STRING").select(F.lit("summary").alias("table"), "key", "value")
+    for name in tables:
+        out = out.unionByName(io.read_csv(t.spark, f"{path}/{name}").select(F.lit(name).alias("table"), F.col("model").alias("key"), "value"))
+    return out
\ No newline at end of file

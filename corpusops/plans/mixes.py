@@ -46,9 +46,10 @@ def _mix(real: int, synth: int, seed: int) -> str:
 PICK = "SELECT r.s AS source_tag, r.draw, i.uid{more} FROM r JOIN i ON i.source_tag = r.s AND i.row_no = CAST('0x' || substr(md5(CAST(r.seed AS VARCHAR) || ':' || r.s || ':' || CAST(r.draw AS VARCHAR)), 1, 12) AS BIGINT) % i.n"
 
 
-@R("weighted_mix", f"{DENSE}, r AS {_mix(750, 250, 42)} {PICK.format(more='')}")
+@R("weighted_mix", f"{DENSE}, r AS {_mix(751, 250, 42)} {PICK.format(more='')}")
 def weighted_mix(t: Inputs):
-    return S.weighted_mix(_sources(t), {"real": 0.75, "synth": 0.25}, 1000, 42).select("source_tag", "draw", "uid")
+    """1,001 draws by weights 3 to 1: the largest remainder gets the last one."""
+    return S.weighted_mix(_sources(t), {"real": 0.75, "synth": 0.25}, 1001, 42).select("source_tag", "draw", "uid")
 
 
 @R("curriculum_mix", f"{DENSE}, r AS (SELECT * FROM {_mix(100, 300, 7)} UNION ALL SELECT * FROM {_mix(200, 200, 8)} UNION ALL SELECT * FROM {_mix(300, 100, 9)}) {PICK.format(more=', r.seed - 7 AS epoch')}")
@@ -81,12 +82,15 @@ def regime_select(t: Inputs):
     return S.regime_select(_tagged(t), "real")
 
 
-@R("sample_n", "SELECT doc_id AS uid FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")
+@R("sample_n", "WITH p AS (SELECT DISTINCT 'img/' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.PNG' END AS path FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT path FROM p WHERE path LIKE '%.PNG' ORDER BY md5('42:' || path), path LIMIT 100")
 def sample_n(t: Inputs):
-    return S.sample_n(t.table("documents").select(F.col("doc_id").alias("uid")), 100, 42)
+    """A bank of 100 images out of a listing, those that the labels name."""
+    path = F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".PNG"))
+    listing, wanted = t.table("documents").select(path.alias("path")), t.table("labels").select(F.concat(F.lit("old/"), path).alias("path"))
+    return S.style_paths(listing, 100, 42, wanted)
 
 
-@R("doc_windows")
+@R("doc_windows", r"WITH RECURSIVE d AS (SELECT doc_id AS uid, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents), s AS (SELECT uid, w, CAST('0x' || substr(md5('42:' || CAST(uid AS VARCHAR)), 1, 12) AS BIGINT) % len(w) AS start FROM d WHERE len(w) > 0), g AS (SELECT uid, w, start + 1 AS pos, '' AS t, false AS done FROM s UNION ALL SELECT uid, w, pos + 1, CASE WHEN length(n) <= 120 THEN n ELSE t END, length(n) > 120 FROM (SELECT uid, w, pos, t, CASE WHEN t = '' THEN w[pos] ELSE t || ' ' || w[pos] END AS n FROM g WHERE NOT done AND pos <= len(w))), k AS (SELECT uid, max_by(t, length(t)) AS t FROM g GROUP BY uid) SELECT uid, CASE WHEN length(t) >= 20 THEN t END AS snippet FROM k")
 def doc_windows(t: Inputs):
     return S.doc_windows(t.table("documents").select(F.col("doc_id").alias("uid"), "text"), 20, 120, 42)
 
@@ -101,25 +105,57 @@ def _broken(t: Inputs, column: str):
     return S.seeded_separators(rows, "text", 42).select("uid", column)
 
 
-@R("intra_word_break")
+WORDS = "w AS (SELECT p_partkey AS uid, unnest(string_split(p_name, ' ')) AS w, unnest(range(len(string_split(p_name, ' ')))) AS i FROM part)"
+
+
+def _roll(salt: str) -> str:
+    return f"CAST('0x' || substr(md5('42:{salt}:' || CAST(uid AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 12) AS BIGINT) % 4 = 0"
+
+
+def _glued(salt: str, other: str) -> str:
+    return f"CASE WHEN i = 0 THEN w WHEN {_roll(salt)} THEN {other} || w ELSE ' ' || w END"
+
+
+@R("intra_word_break", f"WITH {WORDS} SELECT uid, string_agg(CASE WHEN length(w) > 3 AND {_roll('b')} THEN substr(w, 1, 2) || '-' || chr(10) || substr(w, 3) ELSE w END, ' ' ORDER BY i) AS broken FROM w GROUP BY uid")
 def intra_word_break(t: Inputs):
     return _broken(t, "broken")
 
 
-@R("inter_word_newline")
+@R("inter_word_newline", f"WITH {WORDS} SELECT uid, string_agg({_glued('l', 'chr(10)')}, '' ORDER BY i) AS lined FROM w GROUP BY uid")
 def inter_word_newline(t: Inputs):
     return _broken(t, "lined")
 
 
-@R("plain_text_augment")
+@R("plain_text_augment", f"WITH {WORDS} SELECT uid, string_agg({_glued('p', "''")}, '' ORDER BY i) AS plain FROM w GROUP BY uid")
 def plain_text_augment(t: Inputs):
     return _broken(t, "plain")
 
 
-@R("template_corpus")
+KINDS = {"seal": {"name": ["l {X:name}", "l {X:name}{SEP}son of {Y:name}"], "royal": ["for the king{SEP}{P:place}", "for the king {N}"]}, "plain": {"plain": ["{X:name}", "{P:place}{SEP}{G:god}"]}}
+
+
+def _template_sql() -> str:
+    """The same choices by CASE over the small table of templates."""
+    roll = lambda salt: f"CAST('0x' || substr(md5('42:{salt}:' || CAST(uid AS VARCHAR)), 1, 12) AS BIGINT)"
+    rows = ", ".join(f"('{k}', {gi}, '{g}', {ti}, '{x}', {len(groups)}, {len(ts)})" for k, groups in KINDS.items() for gi, (g, ts) in enumerate(groups.items()) for ti, x in enumerate(ts))
+    lexicon = "SELECT word, row_number() OVER (ORDER BY sha1(word), word) - 1 AS row_no, count(*) OVER () AS n FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower({c}), '[^a-z0-9]+')) AS word FROM {t}) WHERE word <> ''"
+    letters = " || ".join(f"CASE WHEN {roll('G')} % 5 + 3 >= {i} THEN substr('abcdefg', 1 + CAST('0x' || substr(md5('42:G:' || CAST(uid AS VARCHAR) || ':{i}'), 1, 12) AS BIGINT) % 7, 1) ELSE '' END" for i in range(1, 8))
+    pick = lambda salt, lex: f"(SELECT word FROM {lex} WHERE row_no = {roll(salt)} % {lex}.n)"
+    return (
+        f"WITH t(kind, gi, grp, ti, x, ng, nt) AS (VALUES {rows}), ln AS ({lexicon.format(c='p_name', t='part')}), lp AS ({lexicon.format(c='n_name', t='nation')}), d AS (SELECT doc_id AS uid FROM documents), "
+        f"a AS (SELECT uid, CASE WHEN {roll('kind')} % 1000000 < 750000 THEN 'seal' ELSE 'plain' END AS kind FROM d), b AS (SELECT DISTINCT uid, a.kind, grp, nt, gi FROM a JOIN t ON t.kind = a.kind AND t.gi = {roll('group')} % t.ng), c AS (SELECT b.uid, b.kind, b.grp, x FROM b JOIN t ON t.kind = b.kind AND t.gi = b.gi AND t.ti = {roll('template')} % b.nt), "
+        f"f AS (SELECT uid, kind, grp, replace(replace(replace(replace(replace(replace(x, '{{X:name}}', {pick('X', 'ln')}), '{{Y:name}}', {pick('Y', 'ln')}), '{{P:place}}', {pick('P', 'lp')}), '{{G:god}}', {letters}), '{{N}}', CAST({roll('N')} % 9 + 1 AS VARCHAR)), '{{SEP}}', CASE WHEN {roll('SEP')} % 2 = 0 THEN ' ' ELSE '' END) AS x FROM c) "
+        f"SELECT uid, kind, grp AS \"group\", upper(x) AS text FROM f"
+    )
+
+
+@R("template_corpus", _template_sql())
 def template_corpus(t: Inputs):
-    lexicon = S.explode_lexicon(t.table("part"), "p_name", []).select("word")
-    return S.template_corpus(t.table("documents").select(F.col("doc_id").alias("uid")), ["{0} son of {1}", "seal of {0}", "{1}, servant of {0}"], lexicon, 42)
+    """Texts of two kinds with weights 3 to 1; one lexicon is empty, so its slot takes random letters."""
+    words = lambda table, c: S.explode_lexicon(t.table(table), c, []).select("word")
+    lexicons = {"name": words("part", "p_name"), "place": words("nation", "n_name"), "god": words("nation", "n_name").filter("word = ''")}
+    ids = t.table("documents").select(F.col("doc_id").alias("uid"))
+    return S.template_corpus(ids, {"seal": 3.0, "plain": 1.0}, KINDS, lexicons, 42, letters="abcdefg", normalize=F.upper)
 
 
 @R("stream_ingest", W("v_shard_rows", rest="SELECT DISTINCT uid FROM v_shard_rows"))

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import manifest as M
 from ..operators import runs as U
 from ..operators import splits as S
+from ..sources import io
 from .fixtures import Inputs
 from .fixtures import with_views as W
 from .registry import Registry
@@ -111,11 +112,6 @@ def manifest_stats(t: Inputs):
     return t.view("v_manifest").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("groups"), F.round(F.avg("width"), 6).alias("mean_width"), F.min("height").alias("min_height"), F.max("height").alias("max_height"))
 
 
-@R("orientation_stats", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_id % 4 = 0) AS upright, round(avg(value), 6) AS mean, median(value) AS median FROM events GROUP BY event_type")
-def orientation_stats(t: Inputs):
-    return t.table("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 4 == 0).alias("upright"), F.round(F.avg("value"), 6).alias("mean"), F.percentile("value", 0.5).alias("median"))
-
-
 @R("proposal_stats", W("v_boxes_pred", rest="SELECT count(DISTINCT o_orderkey) AS images, count(DISTINCT b.uid) AS with_boxes, count(b.uid) AS boxes FROM orders LEFT JOIN v_boxes_pred b ON b.uid = o_orderkey"))
 def proposal_stats(t: Inputs):
     images = t.table("orders").select(F.col("o_orderkey").alias("uid")).distinct()
@@ -155,9 +151,11 @@ def audit_leak(t: Inputs):
     return S.audit_leak(sets["train"], sets["val"])
 
 
-@R("verify_release", W("v_manifest", rest=", s AS (SELECT row_id FROM v_manifest WHERE split = 'train' INTERSECT SELECT row_id FROM v_manifest WHERE split = 'validation') SELECT 'count:' || split AS \"check\", CASE WHEN count(*) = 700 AND split = 'train' OR count(*) = 307 THEN 'ok' ELSE 'error' END AS level, CAST(count(*) AS VARCHAR) AS detail FROM v_manifest GROUP BY split UNION ALL SELECT 'leak', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'error' END, CAST(count(*) AS VARCHAR) FROM s"))
+@R("verify_release", W("v_manifest", rest=", s AS (SELECT row_id FROM v_manifest WHERE split = 'train' INTERSECT SELECT row_id FROM v_manifest WHERE split = 'validation'), g AS (SELECT count(*) AS n FROM (SELECT DISTINCT row_id, split FROM v_manifest) WHERE split <> CASE WHEN row_id % 3 = 0 THEN 'validation' ELSE 'train' END) SELECT 'count:' || split AS \"check\", CASE WHEN count(*) = 700 AND split = 'train' OR count(*) = 307 THEN 'ok' ELSE 'error' END AS level, CAST(count(*) AS VARCHAR) AS detail FROM v_manifest GROUP BY split UNION ALL SELECT 'leak', CASE WHEN count(*) = 0 THEN 'ok' ELSE 'error' END, CAST(count(*) AS VARCHAR) FROM s UNION ALL SELECT 'table:labels', 'ok', 'present' UNION ALL SELECT 'table:masks', 'error', 'missing' UNION ALL SELECT 'group_split', CASE WHEN n = 0 THEN 'ok' ELSE 'warning' END, CAST(n AS VARCHAR) FROM g"))
 def verify_release(t: Inputs):
-    return S.verify_release(t.view("v_manifest"), {"train": 700, "validation": 307})
+    m = t.view("v_manifest")
+    groups = m.select("row_id", F.when(F.col("row_id") % 3 == 0, "validation").otherwise("train").alias("split")).distinct()
+    return S.verify_release(m, {"train": 700, "validation": 307}, tables={"labels": t.table("labels")}, required=("labels", "masks"), groups=groups)
 
 
 @R("split_extract", W("v_manifest", rest="SELECT split, uid FROM v_manifest UNION ALL SELECT DISTINCT 'val_ids', row_id FROM v_manifest WHERE split = 'validation'"))
@@ -208,17 +206,20 @@ def pivot_regimes(t: Inputs):
     return U.pivot_regimes(_best(t), "model", "regime", ["click", "view"], ("click", "view"))
 
 
-@R("last_phase_metrics", W("v_epochs", rest=", p AS (SELECT run_id, epoch // 10 AS phase, max(CASE WHEN regime = 'view' THEN metric END) AS best FROM v_epochs GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY phase DESC) AS k FROM p WHERE best IS NOT NULL) SELECT run_id, phase, best FROM r WHERE k = 1"))
+@R("last_phase_metrics", W("v_epochs", rest=", p AS (SELECT run_id, epoch // 10 AS phase, max(CASE WHEN regime = 'view' THEN metric END) AS best FROM v_epochs GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY phase DESC) AS k FROM p WHERE best IS NOT NULL), f AS (SELECT run_id, min(metric) AS best FROM v_epochs WHERE regime = 'click' GROUP BY run_id) SELECT coalesce(r.run_id, f.run_id) AS run_id, phase, coalesce(r.best, f.best) AS best FROM (SELECT * FROM r WHERE k = 1) r FULL JOIN f ON f.run_id = r.run_id"))
 def last_phase_metrics(t: Inputs):
-    p = t.view("v_epochs").groupBy("run_id", F.floor(F.col("epoch") / 10).alias("phase")).agg(F.max(F.when(F.col("regime") == "view", F.col("metric"))).alias("best"))
-    return U.last_phase(p, "run_id", "phase", "best").filter("phase IS NOT NULL")
+    """The best of the last phase that has one; runs without phases fall back to their flat metric."""
+    e = t.view("v_epochs")
+    p = e.groupBy("run_id", F.floor(F.col("epoch") / 10).alias("phase")).agg(F.max(F.when(F.col("regime") == "view", F.col("metric"))).alias("best"))
+    flat = e.filter("regime = 'click'").groupBy("run_id").agg(F.min("metric").alias("best"))
+    return U.last_metrics(p, flat, "run_id", "phase", "best")
 
 
-@R("runs_summary", W("v_epochs", rest=", b AS (SELECT run_id, max(metric) AS best FROM v_epochs GROUP BY run_id), l AS (SELECT run_id, count(*) AS epochs, min(CASE WHEN regime = 'error' THEN epoch END) AS first_error FROM v_epochs GROUP BY run_id) SELECT l.run_id, epochs, first_error, best FROM l JOIN b ON b.run_id = l.run_id"))
+@R("runs_summary", W("v_epochs", rest=", ".join(["SELECT run_id"] + [f"max(CASE WHEN regime = '{k}' THEN metric END) AS \"{k}\"" for k in ("click", "error", "purchase", "signup", "view")]) + " FROM v_epochs GROUP BY run_id"))
 def runs_summary(t: Inputs):
-    e = t.view("v_epochs")
-    base = e.groupBy("run_id").agg(F.count("*").alias("epochs"), F.min(F.when(F.col("regime") == "error", F.col("epoch"))).alias("first_error"))
-    return base.join(U.best_epoch(e).select("run_id", F.col("metric").alias("best")), "run_id")
+    """A column for each metric that any run has."""
+    best = t.view("v_epochs").groupBy("run_id", "regime").agg(F.max("metric").alias("m"))
+    return U.runs_summary(best.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("regime", "m"))).alias("metrics")), "run_id", "metrics")
 
 
 @R("val_sanity", W("v_epochs", rest="SELECT count(DISTINCT regime) AS sets, count(DISTINCT run_id) AS runs, count(DISTINCT regime) = 1 AS ok FROM v_epochs"))
@@ -231,26 +232,50 @@ def compare_runs(t: Inputs):
     return U.compare_runs(U.best_epoch(t.view("v_epochs")).select("run_id", "metric"), "metric", 20)
 
 
-@R("reproduce_tables", W("v_epochs", rest=f", b AS ({BEST}), w AS (SELECT model, max(CASE WHEN regime = 'click' THEN best END) AS click, max(CASE WHEN regime = 'view' THEN best END) AS v FROM b GROUP BY model) SELECT model, 'click' AS \"column\", 'differs' AS problem FROM w WHERE model % 2 = 0 AND click IS NOT NULL"))
+@R("reproduce_tables", W("v_epochs", rest=", b AS (SELECT run_id % 7 AS model, regime, round(max(metric), 6) AS best FROM v_epochs GROUP BY 1, 2), w AS (SELECT model, round_even(max(CASE WHEN regime = 'click' THEN best END), 3) AS click FROM b GROUP BY model) SELECT 'm' || CAST(model AS VARCHAR) AS model, 'R' AS \"column\", 'differs' AS problem FROM w WHERE model % 2 = 0 AND click IS NOT NULL UNION ALL SELECT 'gone', 'R', 'missing row' UNION ALL SELECT 'gone', 'AplusR', 'missing row'"))
 def reproduce_tables(t: Inputs):
-    made = U.pivot_regimes(_best(t), "model", "regime", ["click", "view"], ("click", "view"))
-    frozen = made.withColumn("click", F.col("click") + F.when(F.col("model") % 2 == 0, 0.5).otherwise(0.0))
-    return U.compare_tables(frozen, made, "model", ["click", "view"], 1e-3)
-
-
-@R("build_manifest", W("v_manifest", rest="SELECT uid, split, md5(trim(text)) AS text, n_name, uid IN (SELECT doc_id FROM labels) AS \"exists\" FROM v_manifest LEFT JOIN nation ON n_nationkey = row_id"))
+    """Run folders are scanned, named and put in a table; the frozen one has display names, and some values moved."""
+    best = t.view("v_epochs").filter("regime IN ('click', 'view')").groupBy((F.col("run_id") % 7).alias("m"), "regime").agg(F.max("metric").alias("metric"))
+    name = F.concat(F.when(F.col("regime") == "click", "sweep_real_only__m").otherwise("sweep_stagea__m"), F.col("m").cast("string"), F.lit("_ph1"))
+    path = io.scratch(t.spark, "run-dirs")
+    best.select(name.alias("run"), F.lit("metrics.json").alias("file"), F.to_json(F.struct("metric")).alias("value")).write.partitionBy("run", "file").text(path)
+    runs = io.read_run_dirs(t.spark, path, {"metrics.json": "metric DOUBLE"}).select(F.col("run_id").alias("name"), "metrics.metric")
+    rules, prefixes, suffixes = [("stagea", "AplusR"), ("real_only", "R")], ["sweep_real_only__", "sweep_stagea__"], ["_ph0", "_ph1"]
+    args = (rules, prefixes, suffixes, ["AplusR", "R"], ("AplusR", "R"))
+    made, _ = U.reproduce_tables(runs, runs.limit(0).select(F.lit("").alias("model"), F.lit(0.0).alias("AplusR"), F.lit(0.0).alias("R")), *args)
+    number = F.regexp_extract("model", r"(\d+)", 1).cast("int")
+    frozen = made.select(F.concat(F.lit("Model "), number.cast("string")).alias("model"), "AplusR", (F.col("R") + F.when(number % 2 == 0, 0.5).otherwise(0.0)).alias("R"))
+    frozen = frozen.unionByName(t.spark.range(1).select(F.lit("gone").alias("model"), F.lit(0.5).alias("AplusR"), F.lit(0.5).alias("R")))
+    _, problems = U.reproduce_tables(runs, frozen, *args, names={f"Model {k}": f"m{k}" for k in range(7)})
+    return problems
+
+
+@R("build_manifest", "WITH g AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS row_id, c_name, c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN 0 WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS n FROM customer), i AS (SELECT *, unnest(range(n)) AS j FROM g), r AS (SELECT k, row_id, CASE WHEN n > 1 THEN row_id || '_0' || CAST(j AS VARCHAR) ELSE row_id END AS uid, row_id || '_' || CAST(j AS VARCHAR) || '.png' AS path, c_name, c_mktsegment, j, n FROM i), b AS (SELECT row_id, n, coalesce(sum(n) OVER (ORDER BY sha1(row_id), row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, round_even(sum(n) OVER () * 0.8, 0) AS t, round_even(sum(n) OVER () * 0.1, 0) AS v FROM (SELECT row_id, count(*) AS n FROM r GROUP BY row_id)), f AS (SELECT min(b) AS b0 FROM b WHERE b >= t), s AS (SELECT row_id, CASE WHEN b < t THEN 'train' WHEN b = b0 OR b - b0 < v THEN 'val' ELSE 'test' END AS split FROM b, f), m AS (SELECT uid, r.row_id, path, k % 2 = 0 AS \"exists\", split, replace(replace(replace(c_name, 'o', '[o]'), ' ', ''), ' ', '') AS no_space, c_name AS no_brackets, c_mktsegment AS segment FROM r JOIN s ON s.row_id = r.row_id) SELECT m.*, count(*) OVER (PARTITION BY split) AS split_n, CAST(sum(CASE WHEN \"exists\" THEN 0 ELSE 1 END) OVER (PARTITION BY split) AS BIGINT) AS split_missing FROM m")
 def build_manifest(t: Inputs):
-    m = M.join_metadata(t.view("v_manifest"), t.table("nation"), "row_id", "n_nationkey", ["n_name"])
-    m = M.mark_exists(m, t.table("labels").select(F.col("doc_id").alias("uid")), "uid")
-    return m.select("uid", "split", F.md5(F.trim("text").cast("binary")).alias("text"), "n_name", "exists")
-
-
-@R("resume_batch", W("v_manifest", rest=", d AS (SELECT uid, lang FROM v_manifest WHERE uid NOT IN (SELECT doc_id FROM labels)) SELECT uid, lang AS style, 'new' AS state FROM d UNION ALL SELECT doc_id, 'done', 'done' FROM labels"))
+    """The whole build: mapping JSON and metadata CSV are scanned, joined, exploded, checked, split and counted."""
+    c = t.table("customer")
+    name = lambda i: F.concat(F.col("c_custkey").cast("string"), F.lit(f"_{i}.png"))
+    images = F.when(F.col("c_custkey") % 5 == 0, F.array().cast("array<string>")).when(F.col("c_custkey") % 3 == 0, F.array(name(0))).otherwise(F.array(name(0), name(1)))
+    entry = F.concat(F.lit('"'), F.col("c_custkey").cast("string"), F.lit('":'), F.to_json(F.struct(F.replace("c_name", F.lit("o"), F.lit("[o]")).alias("Hebrew"), F.lower("c_mktsegment").alias("English"), images.alias("Images"))))
+    mapping, meta = io.scratch(t.spark, "mapping"), io.scratch(t.spark, "meta")
+    # the format is one object; the table has one entry per customer
+    c.agg(F.array_join(F.collect_list(entry), ",").alias("v")).select(F.concat(F.lit("{"), "v", F.lit("}")).alias("value")).coalesce(1).write.text(mapping)
+    io.write_csv(c.select(F.col("c_custkey").alias("ID"), F.col("c_mktsegment").alias("segment")), meta)
+    listing = c.filter("c_custkey % 2 = 0").select(F.explode(F.array(name(0), name(1))).alias("path"))
+    out, stats = M.build_manifest(io.read_mapping(t.spark, mapping), io.read_metadata_csv(t.spark, meta), ["segment"], listing)
+    rows = out.select("uid", "row_id", "path", "exists", "split", "hebrew.no_space", "hebrew.no_brackets", "csv.segment")
+    return rows.join(stats.select("split", F.col("n").alias("split_n"), F.col("missing").alias("split_missing")), "split")
+
+
+@R("resume_batch", W("v_manifest", rest=", d AS (SELECT uid, lang FROM v_manifest WHERE uid NOT IN (SELECT doc_id FROM labels)) SELECT uid, lang AS style, CASE WHEN uid % 2 = 0 THEN 'first' ELSE 'second' END AS state FROM d UNION ALL SELECT doc_id, 'done', 'done' FROM labels"))
 def resume_batch(t: Inputs):
-    todo = M.anti_done(t.view("v_manifest"), t.table("labels").select(F.col("doc_id").alias("uid")))
-    new = todo.withColumn("shard_id", T.shard_of(F.col("uid"), 4)).select("uid", F.col("lang").alias("style"), F.lit("new").alias("state"), "shard_id", F.lit(1).alias("line"))
-    done = t.table("labels").select(F.col("doc_id").alias("uid"), F.lit("done").alias("style"), F.lit("done").alias("state"), F.lit(0).alias("shard_id"), F.lit(0).alias("line"))
-    return S.merge_last_wins(new.unionByName(done), "uid", ["shard_id", "line"]).select("uid", "style", "state")
+    """A job that stops half way and is run again: shards are appended, nothing is done twice, all is merged."""
+    done = t.table("labels").select(F.col("doc_id").alias("uid"), F.lit("done").alias("style"), F.lit("done").alias("state")).distinct()
+    path = io.scratch(t.spark, "resume")
+    work = lambda state: lambda rows: rows.select("uid", F.col("lang").alias("style"), F.lit(state).alias("state"))
+    m = t.view("v_manifest").select("uid", "lang")
+    M.resume_batch(m.filter("uid % 2 = 0"), done, work("first"), 4, path)
+    return M.resume_batch(m, done, work("second"), 4, path)
 
 
 @R("sources_by_regime", "SELECT doc_id AS uid, 'real' AS source_tag FROM documents UNION ALL SELECT page_id, 'synth' FROM pages")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,30 +9,40 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of the session, or a local one where none is set."""
+    """A fresh path in the shared folder of the session. Only a session in one process may do without: it gets a folder
+    of its own machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="corpusops-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.sparkContext._jvm.java.nio.file.Files.createTempDirectory("corpusops").toString()
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A malformed line raises; blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A missing path is an empty table; malformed lines go."""
-    if not _exists(spark, path):
+def read_jsonl_lenient(spark: SparkSession, path: str, schema: str, nested: bool = False) -> DataFrame:
+    """A missing path is an empty table; malformed lines go. nested: files in folders below, whatever their names say."""
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     kind = f"{schema}, _bad STRING"
-    rows = spark.read.text(path).filter(F.trim("value") != "")
+    rows = spark.read.option("recursiveFileLookup", nested).text(path).filter(F.trim("value") != "")
     return rows.select(F.from_json("value", kind, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).filter("r._bad IS NULL").select("r.*").drop("_bad")
 
 
@@ -58,10 +67,16 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     return entries.select("row_id", e["Hebrew"].alias("hebrew"), e["English"].alias("english"), e["Transliteration"].alias("transliteration"), images.alias("images"))
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size, sha256) of each file."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+def read_binary(spark: SparkSession, path: str, suffixes: str = "*") -> DataFrame:
+    """(path, name, size, sha256, width, height, error) of each file; what cannot be decoded as an image has an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffixes).load(path)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    rows = files.select(plain("path").alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    images = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", suffixes).load(path)
+    sizes = images.select(plain("image.origin").alias("path"), F.col("image.width").alias("w"), F.col("image.height").alias("h"))
+    known = F.col("w") > 0
+    out = rows.join(sizes, "path", "left")
+    return out.select(*rows.columns, F.when(known, F.col("w")).alias("width"), F.when(known, F.col("h")).alias("height"), F.when(~F.coalesce(known, F.lit(False)), "cannot be decoded").alias("error"))
 
 
 def find_in_archive(listing: DataFrame, suffix: str, path: str = "path") -> DataFrame:
@@ -74,11 +89,17 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter((F.col("word") != "") & ~F.startswith("word", F.lit("#")))
 
 
-def read_run_dirs(spark: SparkSession, path: str, file: str, schema: str) -> DataFrame:
-    """One row per run folder path/run_id/file."""
-    texts = spark.read.option("pathGlobFilter", file).option("recursiveFileLookup", True).text(path, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"/run=([^/]+)/", 1)
-    return texts.select(name.alias("run_id"), F.from_json("value", schema).alias("r")).select("run_id", "r.*")
+def read_run_dirs(spark: SparkSession, path: str, files: dict[str, str]) -> DataFrame:
+    """(run_id, a struct for each file): one row per run folder path/run=ID, from JSON files of the given schemas.
+
+    A file is path/run=ID/NAME or a part of the folder path/run=ID/file=NAME; what a run does not have is null. A file
+    that is no JSON has null fields.
+    """
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    where = F.col("_metadata.file_path")
+    rows = texts.select(F.regexp_extract(where, r"/run=([^/]+)/", 1).alias("run_id"), F.regexp_extract(where, r"/run=[^/]+/(?:file=)?([^/]+)", 1).alias("file"), "value")
+    made = rows.filter("run_id <> ''").groupBy("run_id").agg(*[F.max(F.when(F.col("file") == n, F.col("value"))).alias(f"_{k}") for k, n in enumerate(files)])
+    return made.select("run_id", *[F.from_json(f"_{k}", schema).alias(n.rsplit(".", 1)[0]) for k, (n, schema) in enumerate(files.items())])
 
 
 def read_label_studio(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -92,7 +113,7 @@ def read_label_studio(spark: SparkSession, path: str, multi_line: bool = False)
 
 def read_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """(uid, boxes array<struct<x1,y1,x2,y2,label>>); images without annotations keep an empty array."""
-    b = annotations.join(F.broadcast(categories.select(F.col("id").alias("category_id"), "name").limit(100_000)), "category_id", "left")
+    b = annotations.join(categories.select(F.col("id").alias("category_id"), "name"), "category_id", "left")
     xy = F.struct(F.col("bbox")[0].alias("x1"), F.col("bbox")[1].alias("y1"), (F.col("bbox")[0] + F.col("bbox")[2]).alias("x2"), (F.col("bbox")[1] + F.col("bbox")[3]).alias("y2"), F.coalesce("name", F.lit("glyph")).alias("label"))
     boxes = b.groupBy("image_id").agg(F.sort_array(F.collect_list(xy)).alias("boxes"))
     return images.join(boxes, images["id"] == boxes["image_id"], "left").select("uid", F.coalesce("boxes", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double,label:string>>")).alias("boxes"))
@@ -108,6 +129,59 @@ def yolo_line(cls: Column, b: Column) -> Column:
     return F.format_string("%d %.6f %.6f %.6f %.6f", cls, b["cx"], b["cy"], b["w"], b["h"])
 
 
+def write_yolo(boxes: DataFrame, path: str, by: str = "split") -> str:
+    """Label files of boxes (by, uid, idx, cls, box<cx,cy,w,h>): one row {name, content} for each image, packed in JSONL
+    by split, as a file system does not hold a file for each of very many images."""
+    lines = boxes.groupBy(by, "uid").agg(F.sort_array(F.collect_list(F.struct("idx", yolo_line(F.col("cls"), F.col("box")).alias("line")))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    lines.select(by, F.concat(F.col("uid").cast("string"), F.lit(".txt")).alias("name"), text.alias("content")).write.partitionBy(by).json(path)
+    return path
+
+
+def read_yolo_packed(spark: SparkSession, path: str, by: str = "split") -> DataFrame:
+    """(by, uid, line_no, cls, cx, cy, w, h) of the lines with exactly five fields."""
+    rows = spark.read.schema(f"name STRING, content STRING, {by} STRING").json(path)
+    lines = rows.select(by, F.regexp_replace("name", r"\.txt$", "").alias("uid"), F.posexplode(F.split("content", "\n", -1)).alias("line_no", "value"))
+    lines = lines.withColumn("f", F.split(F.trim("value"), r"\s+")).filter(F.size("f") == 5)
+    return lines.select(by, "uid", "line_no", F.col("f")[0].cast("int").alias("cls"), *[F.col("f")[i].cast("double").alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)])
+
+
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, single: bool = False) -> str:
+    """images, annotations and categories as JSONL folders below path; single: also one COCO file coco.json, for sets that
+    fit in one row."""
+    for name, df in (("images", images), ("annotations", annotations), ("categories", categories)):
+        df.write.json(f"{path}/{name}")
+    if single:
+        packed = [df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(n)) for n, df in (("images", images), ("annotations", annotations), ("categories", categories))]
+        one = packed[0].join(packed[1]).join(packed[2])
+        one.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value")).coalesce(1).write.text(f"{path}/coco.json")
+    return path
+
+
+def class_index(boxes: DataFrame, letters: list[str], split: str | None = None) -> DataFrame:
+    """Rows of the crop index from (split, uid, idx, letter, src, x1, y1, x2, y2): only known letters, boxes with an area,
+    and the split asked for; class folder NN_name_letter and path of the crop."""
+    from ..functions import text as T
+
+    rows = boxes.filter(F.col("letter").isin(letters) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    rows = rows.filter(F.lower("split") == split.lower()) if split else rows
+    folder = T.class_name(F.col("letter")) if set(letters) <= set(T.LETTERS) else F.col("letter")
+    rows = rows.withColumn("class_folder", folder)
+    name = F.format_string("%s_%03d.png", T.safe_stem(F.col("uid").cast("string")), F.col("idx").cast("int"))
+    box = F.format_string("%d,%d,%d,%d", *[F.bround(c).cast("int") for c in ("x1", "y1", "x2", "y2")])
+    return rows.select("split", F.col("class_folder").alias("class"), "letter", "uid", "idx", "src", box.alias("bbox"), F.concat_ws("/", "split", "class_folder", name).alias("out_path"))
+
+
+def write_result_tables(tables: dict[str, DataFrame], summary: dict[str, str], spark: SparkSession, path: str) -> str:
+    """Each table as header CSV below path, and run_summary.json with the summary and the tables' row counts."""
+    counts = {}
+    for name, df in tables.items():
+        write_csv(df, f"{path}/{name}")
+        counts[f"{name}_rows"] = str(read_csv(spark, f"{path}/{name}").count())
+    spark.createDataFrame([(k, v) for k, v in sorted({**summary, **counts}.items())], "key string, value string").coalesce(1).write.json(f"{path}/run_summary.json")
+    return path
+
+
 def coco_annotations(boxes: DataFrame, images: DataFrame, categories: DataFrame) -> DataFrame:
     """(id, image_id, category_id, bbox, area, score): dense ids from 1 in order of (uid, idx); unknown labels go.
 

@@ -35,7 +35,7 @@ def test_scripts(spark):
     got = [one(spark, T.normalize_letter(F.lit(x))) for x in ("ך", " א ", "x", "")]
     assert got == ["כ", "א", None, None]
     assert one(spark, T.normalize_script(F.lit("שָׁלוֹם, x  \n עולם"))) == "שלומ\nעולמ"
-    assert one(spark, T.class_name(F.lit("א"))) == "01_alef_א"
+    assert one(spark, T.class_name(F.lit("א"))) == "01_aleph_א"
     assert one(spark, T.cleanup_text(F.lit("[?][?][?]א"))) == "[?][?]א"
 
 
@@ -62,3 +62,34 @@ def test_vectors(spark):
     assert one(spark, V.normalize(F.array(F.lit(0.0), F.lit(0.0)))) == [0.5, 0.5]
     topk = F.array().cast("array<struct<label:string,conf:double>>")
     assert one(spark, V.topk_to_probs(topk, classes)) == [0.0, 0.0]
+
+
+def test_names_that_must_match(spark):
+    assert T.NAMES[0] == "aleph" and len(T.NAMES) == len(T.LETTERS) == 22
+
+
+def test_keys_do_not_depend_on_the_order_of_fields(spark):
+    a, b = F.lit(1), F.lit("x")
+    assert one(spark, T.canonical_key({"a": a, "b": b})) == one(spark, T.canonical_key({"b": b, "a": a}))
+
+
+def test_models_of_names(spark):
+    got = [one(spark, T.model_of(F.lit(x), ["sweep_real__", "sweep__"], ["_ph1", "_ph0"])) for x in ("sweep_real__yolo_ph1", "sweep__yolo_ph0_x", "other", "a_ph0_ph1")]
+    assert got == ["yolo", "yolo", "other", "a_ph0"]
+
+
+def test_wer_of_many_tokens(spark):
+    """More distinct tokens than there are characters below the surrogates."""
+    n = 60_000
+    a = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: i.cast("string"))
+    many = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string"))
+    code = F.when(F.lit(n) + 255 < 0xD800, 0).otherwise(1)
+    assert one(spark, code) == 1 and one(spark, T.word_edits(a, a)) == 0
+    sign = F.decode(F.unhex(F.lpad(F.hex(F.array_position(many, F.lit(str(n))) + 255 + 0x800), 8, "0")), "UTF-32")
+    assert one(spark, F.length(sign)) == 1
+
+
+def test_top_k(spark):
+    classes = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    got = one(spark, V.top_k(F.array(F.lit(0.2), F.lit(0.6), F.lit(0.2)), classes, 2))
+    assert [(x["label"], x["conf"]) for x in got] == [("b", 0.6), ("a", 0.2)]
