@@ -5,7 +5,7 @@ Whole copies of a document with a smaller doc_id need no comparison: all their s
 Every 50-byte string has one anchor: the leftmost 16-byte string of least hash inside it. Equal strings have equal
 anchors at equal offsets, so only suffixes that start at anchors (one in about 18) need to meet. A 50-byte string also
 holds the 33 bytes that start at its anchor, or the 33 bytes that start 17 before it. Tasks deal packed hashes of both
-to shards, as many as the corpus has SHARD bytes; those of one document only go. Texts then give, for each anchor left,
+to shards, one for each SHARD bytes of the corpus, SHARDS at least; those of one document only go. Texts then give, for each anchor left,
 the bytes around it whose 50-byte strings it stands for; equal surroundings of a task are one entry with the documents
 that have them.
 Shards sort the 50-byte strings of distinct surroundings by two 64-bit hashes, compare the bytes of every match, and
@@ -38,7 +38,7 @@ SPAN = SIZE - GRAM + 1
 #: Offsets of the anchor up to NEAR leave SIDE bytes from the anchor on; larger ones SIDE bytes from NEAR before it.
 NEAR = SPAN // 2
 SIDE = SIZE - NEAR
-SHARD = 16_000_000
+SHARDS, SHARD = 64, 16_000_000
 PART = 20_000
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = (1 << 63) - 1
@@ -290,7 +290,7 @@ def _cut(batches):
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every document."""
     n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(parts(docs), n_bytes // SHARD)
+    shards = max(SHARDS, parts(docs), n_bytes // SHARD)
     zipped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_zip, "doc_id long, zipped binary, whole binary")
     key = F.coalesce("doc_id", F.lit(LAST))
     first = zipped.groupBy("whole").agg(F.min(key).alias("first"))
