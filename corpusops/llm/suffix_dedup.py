@@ -5,13 +5,11 @@ Whole copies of a document with a smaller doc_id need no comparison: all their s
 Every 50-byte string has one anchor: the leftmost 16-byte string of least hash inside it. Equal strings have equal
 anchors at equal offsets, so only suffixes that start at anchors (one in about 18) need to meet. A 50-byte string also
 holds the 33 bytes that start at its anchor, or the 33 bytes that start 17 before it. Tasks deal packed hashes of both
-to shards, one for each SHARD bytes of the corpus, SHARDS at least; those of one document only go. Texts then give, for each anchor left,
-the bytes around it whose 50-byte strings it stands for; equal surroundings of a task are one entry with the documents
-that have them.
-Shards sort the 50-byte strings of distinct surroundings by two 64-bit hashes, compare the bytes of every match, and
-find the smallest document of each; what starts in a smaller document than one's own is removed.
-
-This is not the external induced sort of the plan (see README); results are the same as those of a suffix array.
+to shards, one for each SHARD bytes of the corpus, SHARDS at least; those of one document only go. Texts then give, for
+each anchor left, the bytes around it whose 50-byte strings it stands for; equal surroundings of a task are one entry
+with the documents that have them. Shards sort the suffixes of the surroundings by induction (induced_sort.py), part by part of PART surroundings or so;
+strings that share 50 bytes are neighbours, and the smallest document of each is found; what starts in a smaller document
+than one's own is removed.
 
 Null and empty texts have nothing to remove. Rows with a null doc_id come last of all and cover nothing for each other;
 rows that repeat a doc_id are copies of one document: they do not remove each other's bytes. An empty table gives an
@@ -20,7 +18,6 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-
 import hashlib
 from collections.abc import Iterator
 
@@ -31,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts, stored, table
+from .induced_sort import sorted_suffixes
 from .pretokens import ragged
 
 SIZE, GRAM = 50, 16
@@ -39,7 +37,7 @@ SPAN = SIZE - GRAM + 1
 NEAR = SPAN // 2
 SIDE = SIZE - NEAR
 SHARDS, SHARD = 64, 16_000_000
-PART = 20_000
+PART = 50_000
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = (1 << 63) - 1
 
@@ -231,30 +229,27 @@ def _covered(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iter
 
 
 def _part(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sorts the suffixes of the surroundings by induction; neighbours that share 50 bytes are one string."""
     sizes, counts = c["sizes"].astype(np.int64), c["counts"].astype(np.int64)
-    begin, member = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+    member = np.cumsum(counts) - counts
     least = np.minimum.reduceat(c["docs"], member)
     strings = sizes - SIZE + 1
-    entry = np.repeat(np.arange(len(sizes)), strings)
-    offset = np.arange(len(entry)) - np.repeat(np.cumsum(strings) - strings, strings)
-    at = begin[entry] + offset
-    one, two = _grams(c["texts"], SIZE, P)[at], _grams(c["texts"], SIZE, Q)[at]
-    order = np.lexsort((two, one))
-    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-    for i in range(0, len(same), 1 << 18):  # the bytes themselves decide
-        k = np.flatnonzero(same[i : i + (1 << 18)]) + i
-        a, b = at[order[k]], at[order[k + 1]]
-        equal = np.ones(len(k), bool)
-        for j in range(SIZE):
-            equal &= c["texts"][a + j] == c["texts"][b + j]
-        same[k[~equal]] = False
-    start = np.concatenate([[0], np.flatnonzero(~same) + 1])
-    group = np.cumsum(np.concatenate([[True], ~same])) - 1
-    smallest = np.empty(len(order), np.int64)
-    smallest[order] = np.minimum.reduceat(least[entry[order]], start)[group]
+    shown = np.cumsum(strings) - strings
+    begin = np.cumsum(sizes + 1) - (sizes + 1)  # a 0 ends each piece
+    text = np.zeros(int((sizes + 1).sum()), np.int16)
+    text[ragged(begin, sizes)] = c["texts"].astype(np.int16) + 1
+    entry = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    smallest = np.empty(int(strings.sum()), np.int64)
+    for at, lcp in sorted_suffixes(text, SIZE):
+        start = np.flatnonzero(lcp < SIZE)
+        group = np.cumsum(lcp < SIZE) - 1
+        own = entry[at]
+        first = np.minimum.reduceat(least[own], start)[group]
+        offset = at - begin[own]
+        whole = offset < strings[own]  # what is shorter ends before its 50th byte
+        smallest[shown[own[whole]] + offset[whole]] = first[whole]
     # a run of starts for each member: strings of its entry with a smaller document than its own
     many = np.repeat(np.arange(len(sizes)), counts)
-    shown = np.cumsum(strings) - strings
     step = 200_000
     for i in range(0, len(many), step):
         m = many[i : i + step]
