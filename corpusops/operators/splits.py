@@ -44,22 +44,45 @@ def split_greedy(df: DataFrame, group: str, ratios=(0.8, 0.1, 0.1)) -> DataFrame
     return sizes.crossJoin(first).select(group, "n", split.alias("split"))
 
 
-def group_split(df: DataFrame, group: str, target: int) -> DataFrame:
+def group_split(df: DataFrame, group: str, target: int, chunk: int = 100_000) -> DataFrame:
     """(group, n, validation): groups in hash order are taken while that brings the count nearer to the target, or while
-    what is left could not reach it. The fold runs over one array of group sizes; a group's rows never meet."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    item = F.struct(_order(group)[0].alias("h"), F.col(group).alias("g"), F.col("n"))
-    one = sizes.agg(F.sort_array(F.collect_list(item)).alias("a"), F.sum("n").alias("total"))
-    state = F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("seen"), F.array().cast(f"array<{dict(sizes.dtypes)[group]}>").alias("taken"))
+    what is left could not reach it.
+
+    The rule is sequential, so it runs as a fold, over the first `chunk` groups in order that could be taken at all: not
+    larger than twice what is needed, or near the end. What is needed only falls, so groups left out stay out. As a rule
+    the target is met in the first chunk; otherwise the next one goes on from there.
+    """
+    from ..sources.io import kept
+
+    sized = kept(group_sizes(df, group), "group-sizes")
+    kind = dict(sized.dtypes)[group]
+    total, v, after, taken = sized.agg(F.sum("n")).first()[0] or 0, 0, None, []
+    start = lambda v: F.struct(F.lit(v).cast("long").alias("v"), F.array().cast(f"array<{kind}>").alias("taken"))
 
     def step(s, x):
         need = F.lit(target) - s["v"]
-        rest = F.col("total") - s["seen"] - x["n"]
-        take = (need > 0) & ((x["n"] <= 2 * need) | (rest < need))
-        return F.struct((s["v"] + F.when(take, x["n"]).otherwise(0)).alias("v"), (s["seen"] + x["n"]).alias("seen"), F.when(take, F.array_append(s["taken"], x["g"])).otherwise(s["taken"]).alias("taken"))
-
-    taken = one.select(F.explode(F.aggregate("a", state, step, lambda s: s["taken"])).alias(group)).withColumn("validation", F.lit(True))
-    return sizes.join(taken, group, "left").na.fill(False, ["validation"])
+        take = (need > 0) & ((x["n"] <= 2 * need) | (F.lit(total) - x["before"] - x["n"] < need))
+        return F.struct((s["v"] + F.when(take, x["n"]).otherwise(0)).alias("v"), F.when(take, F.array_append(s["taken"], x["g"])).otherwise(s["taken"]).alias("taken"))
+
+    while v < target:
+        need = target - v
+        could = sized.filter((F.col("n") <= 2 * need) | (F.lit(total) - F.col("before") - F.col("n") < need))
+        if after:
+            could = could.filter(F.struct("h", group) > F.struct(F.lit(after[0]), F.lit(after[1]).cast(kind)))
+        rows = could.orderBy("h", group).limit(chunk).agg(F.sort_array(F.collect_list(F.struct("h", F.col(group).alias("g"), "n", "before"))).alias("a"))
+        folded = kept(rows.select(F.aggregate("a", start(v), step).alias("s"), F.size("a").alias("size"), F.try_element_at("a", F.lit(-1)).alias("last")), "group-fold")
+        r = folded.select("s.v", "size", "last.h", "last.g").first()
+        taken.append(folded.select(F.explode("s.taken").alias(group)))
+        v, after = r["v"], (r["h"], r["g"])
+        if r["size"] < chunk:
+            break
+    sizes = sized.select(group, "n")
+    if not taken:
+        return sizes.withColumn("validation", F.lit(False))
+    chosen = taken[0]
+    for t in taken[1:]:
+        chosen = chosen.unionByName(t)
+    return sizes.join(chosen.withColumn("validation", F.lit(True)), group, "left").na.fill(False, ["validation"])
 
 
 def split_extract(df: DataFrame, val: tuple[str, ...] = ("val", "validation")) -> dict[str, DataFrame]:

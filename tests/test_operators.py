@@ -225,3 +225,10 @@ def test_long_edit_scripts(spark):
     row = df.select(E.edit_script("r", "p").alias("s"), F.levenshtein("r", "p").alias("d")).first()
     assert "".join(s["b"] or "" for s in row["s"]) == b and "".join(s["a"] or "" for s in row["s"]) == a
     assert sum(s["op"] != "equal" for s in row["s"]) == row["d"]
+
+
+def test_group_split_does_not_depend_on_chunks(spark):
+    df = spark.range(3000).select((F.col("id") % 7 * 13 + F.col("id") % 11).alias("row_id"))
+    want = {r["row_id"]: r["validation"] for r in S.group_split(df, "row_id", 500).collect()}
+    assert want == {r["row_id"]: r["validation"] for r in S.group_split(df, "row_id", 500, chunk=2).collect()}
+    assert not any(r["validation"] for r in S.group_split(df, "row_id", 0).collect())
