@@ -79,18 +79,24 @@ def auto_reverse(t: Inputs):
     return E.auto_reverse(t.view("v_pairs")).select("uid", "reversed", "pred_text")
 
 
-@R("edit_script")
+@R("edit_script", W("v_pairs", rest="SELECT uid, levenshtein(ref_text, pred_text) AS edits, ref_text AS ref, pred_text AS pred FROM v_pairs"))
 def edit_script(t: Inputs):
+    """Edits of each script, and the two texts read back from it."""
     s = t.view("v_pairs").select("uid", E.edit_script("ref_text", "pred_text").alias("s"))
-    return s.select("uid", F.size("s").alias("steps"), F.size(F.filter("s", lambda x: x["op"] != "equal")).alias("edits"))
+    side = lambda c: F.array_join(F.transform(F.filter("s", lambda x: x[c].isNotNull()), lambda x: x[c]), "")
+    return s.select("uid", F.size(F.filter("s", lambda x: x["op"] != "equal")).cast("long").alias("edits"), side("a").alias("ref"), side("b").alias("pred"))
 
 
-@R("aligned_confusion")
+#: Distances row by row, insertions as a running minimum, then the way back: diagonal before deletion before insertion.
+ALIGNED = ", ch AS (SELECT uid, list_filter(string_split(ref_text, ''), lambda x: x <> '') AS a, list_filter(string_split(coalesce(pred_text, ''), ''), lambda x: x <> '') AS b FROM v_pairs), dp AS (SELECT uid, a, b, CAST(0 AS BIGINT) AS i, range(0, len(b) + 1) AS up, [range(0, len(b) + 1)] AS d FROM ch UNION ALL SELECT uid, a, b, i + 1, row, list_append(d, row) FROM (SELECT *, list_transform(range(0, len(b) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: CASE WHEN k = 0 THEN i + 1 ELSE least(up[k] + CASE WHEN a[i + 1] = b[k] THEN 0 ELSE 1 END, up[k + 1] + 1) END - k))) AS row FROM dp WHERE i < len(a))), bk AS (SELECT uid, a, b, d, CAST(len(a) AS BIGINT) AS i, CAST(len(b) AS BIGINT) AS j, '' AS op, CAST(NULL AS VARCHAR) AS x, CAST(NULL AS VARCHAR) AS y FROM dp WHERE i = len(a) UNION ALL SELECT uid, a, b, d, CASE WHEN st <> 'ins' THEN i - 1 ELSE i END, CASE WHEN st <> 'del' THEN j - 1 ELSE j END, st, CASE WHEN st <> 'ins' THEN a[i] END, CASE WHEN st <> 'del' THEN b[j] END FROM (SELECT *, CASE WHEN i > 0 AND j > 0 AND d[i + 1][j + 1] = d[i][j] + CASE WHEN a[i] = b[j] THEN 0 ELSE 1 END THEN CASE WHEN a[i] = b[j] THEN 'equal' ELSE 'sub' END WHEN i > 0 AND d[i + 1][j + 1] = d[i][j + 1] + 1 THEN 'del' ELSE 'ins' END AS st FROM bk WHERE i > 0 OR j > 0)), al AS (SELECT op, x AS a, y AS b, count(*) AS n FROM bk WHERE op NOT IN ('', 'equal') GROUP BY 1, 2, 3)"
+
+
+@R("aligned_confusion", W("v_pairs", rest=f"{ALIGNED} SELECT op, a, b, n FROM al").replace("WITH ", "WITH RECURSIVE ", 1))
 def aligned_confusion(t: Inputs):
     return E.aligned_confusion(t.view("v_pairs"))
 
 
-@R("confusion_pivot")
+@R("confusion_pivot", W("v_pairs", rest=f"{ALIGNED}, top AS (SELECT a AS c FROM al WHERE op IN ('sub', 'del') GROUP BY a ORDER BY sum(n) DESC, a LIMIT 10), s AS (SELECT a, b, n FROM al WHERE op = 'sub' AND a IN (SELECT c FROM top) AND b IN (SELECT c FROM top)) SELECT t.a AS true_char, 'pred_' || printf('%04x', unicode(c)) AS pred, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM s WHERE s.a = t.a AND s.b = c), 0) AS n FROM (SELECT DISTINCT a FROM s) t, top").replace("WITH ", "WITH RECURSIVE ", 1))
 def confusion_pivot(t: Inputs):
     """The matrix as rows: one for each cell."""
     m = E.confusion_pivot(E.aligned_confusion(t.view("v_pairs")), 10)
@@ -197,9 +203,14 @@ def detection_metrics(t: Inputs):
     return d.select("threshold", F.round("ap", 5).alias("ap"), F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
 
-@R("merge_boxes")
+GROWN = "greatest(least(box.x2, b[j].x2) - greatest(box.x1, b[j].x1), 0) * greatest(least(box.y2, b[j].y2) - greatest(box.y1, b[j].y1), 0)"
+AREAS = f"((box.x2 - box.x1) * (box.y2 - box.y1) + (b[j].x2 - b[j].x1) * (b[j].y2 - b[j].y1) - {GROWN})"
+MERGED = f", o AS (SELECT uid, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY score DESC, idx) AS b, count(*) AS n FROM v_boxes_pred GROUP BY uid), m AS (SELECT uid, b, n, CAST(1 AS BIGINT) AS i, CAST(2 AS BIGINT) AS j, b[1] AS box, [CAST(1 AS BIGINT)] AS used, CAST(0 AS BIGINT) AS done, CAST(0 AS DOUBLE) AS width, false AS ended FROM o UNION ALL SELECT uid, b, n, CASE WHEN j <= n THEN i ELSE nx END, CASE WHEN j <= n THEN j + 1 ELSE nx + 1 END, CASE WHEN j > n THEN b[nx] WHEN hit THEN {{'x1': least(box.x1, b[j].x1), 'y1': least(box.y1, b[j].y1), 'x2': greatest(box.x2, b[j].x2), 'y2': greatest(box.y2, b[j].y2)}} ELSE box END, CASE WHEN hit THEN list_append(used, j) WHEN j > n AND nx IS NOT NULL THEN list_append(used, nx) ELSE used END, CASE WHEN j <= n THEN done ELSE done + 1 END, CASE WHEN j <= n THEN width ELSE width + box.x2 - box.x1 END, j > n AND nx IS NULL FROM (SELECT *, j <= n AND NOT list_contains(used, j) AND CASE WHEN {AREAS} > 0 THEN {GROWN} / {AREAS} ELSE 0 END >= 0.3 AS hit, list_filter(range(i + 1, n + 1), lambda x: NOT list_contains(used, x))[1] AS nx FROM m WHERE NOT ended))"
+
+
+@R("merge_boxes", W("v_boxes_pred", rest=f"{MERGED} SELECT uid, done AS n, width FROM m WHERE ended").replace("WITH ", "WITH RECURSIVE ", 1))
 def merge_boxes(t: Inputs):
-    return E.merge_boxes(t.view("v_boxes_pred"), 0.3).select("uid", F.size("boxes").alias("n"), F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b["x2"] - b["x1"]).alias("width"))
+    return E.merge_boxes(t.view("v_boxes_pred"), 0.3).select("uid", F.size("boxes").cast("long").alias("n"), F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b["x2"] - b["x1"]).alias("width"))
 
 
 @R("crops_topk", W("v_boxes_pred", rest=", k AS (SELECT uid, idx, score, least(CAST(trunc(x2 + (x2 - x1) * 0.05) AS INTEGER), 350) > greatest(CAST(trunc(x1 - (x2 - x1) * 0.05) AS INTEGER), 0) AS ok FROM v_boxes_pred), r AS (SELECT uid, idx, row_number() OVER (PARTITION BY uid ORDER BY score DESC, idx) AS rank FROM k WHERE ok AND score >= 0.2) SELECT uid, idx, rank FROM r WHERE rank <= 2"))
@@ -247,24 +258,54 @@ def _glyphs(t: Inputs):
     return t.view("v_boxes_pred").withColumn("ch", F.chr(F.col("cls") + 97))
 
 
-@R("group_lines")
+def _lines_sql(source: str, p: str) -> str:
+    """CTEs {p}line (uid, vertical, n_lines, ord, text): reading order of the boxes of a view, groups grown one by one."""
+    over = "greatest(least(g.{a}2, k.{a}2) - greatest(g.{a}1, k.{a}1), 0) / nullif(greatest(g.{a}2, k.{a}2) - least(g.{a}1, k.{a}1), 0)"
+    near = f"coalesce(CASE WHEN axis = 'y' THEN {over.format(a='y')} ELSE {over.format(a='x')} END, 0) >= 0.35"
+    token = "{'cy': (y1 + y2) / 2, 'cx': (x1 + x2) / 2, 'idx': idx, 'ch': chr(CAST(cls + 97 AS INTEGER)), 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}"
+    grown = "{'x1': least(g.x1, k.x1), 'y1': least(g.y1, k.y1), 'x2': greatest(g.x2, k.x2), 'y2': greatest(g.y2, k.y2), 'm': list_append(g.m, k)}"
+    opened = "{'x1': k.x1, 'y1': k.y1, 'x2': k.x2, 'y2': k.y2, 'm': [k]}"
+    return (
+        f", {p}tok AS (SELECT uid, list({token} ORDER BY (y1 + y2) / 2, (x1 + x2) / 2, idx) AS t, count(*) AS n FROM {source} GROUP BY uid), "
+        f"{p}grp AS (SELECT uid, axis, t, n, CAST(1 AS BIGINT) AS at_, [{opened.replace('k', 't[1]')}] AS gs FROM {p}tok, (VALUES ('x'), ('y')) a(axis) "
+        f"UNION ALL SELECT uid, axis, t, n, at_ + 1, CASE WHEN hit > 0 THEN list_transform(gs, lambda g, i: CASE WHEN i = hit THEN {grown} ELSE g END) ELSE list_append(gs, {opened}) END FROM (SELECT *, t[at_ + 1] AS k, coalesce(list_position(list_transform(gs, lambda g: {near.replace('k.', 't[at_ + 1].')}), true), 0) AS hit FROM {p}grp WHERE at_ < n)), "
+        f"{p}sco AS (SELECT uid, axis, gs, len(gs) AS c, len(list_filter(gs, lambda g: len(g.m) = 1)) / CAST(len(gs) AS DOUBLE) - 0.01 * CAST(n AS DOUBLE) / len(gs) AS f FROM {p}grp WHERE at_ = n), "
+        f"{p}cho AS (SELECT v.uid, (v.c < h.c OR (v.c = h.c AND v.f <= h.f)) AS vertical, CASE WHEN v.c < h.c OR (v.c = h.c AND v.f <= h.f) THEN v.gs ELSE h.gs END AS gs FROM {p}sco v JOIN {p}sco h ON v.uid = h.uid AND v.axis = 'x' AND h.axis = 'y'), "
+        f"{p}one AS (SELECT uid, vertical, unnest(gs) AS g, unnest(range(len(gs))) AS i FROM {p}cho), "
+        f"{p}mem AS (SELECT uid, vertical, i, CASE WHEN vertical THEN -(g.x1 + g.x2) / 2 ELSE (g.y1 + g.y2) / 2 END AS a, CASE WHEN vertical THEN (g.y1 + g.y2) / 2 ELSE -(g.x1 + g.x2) / 2 END AS b, unnest(g.m) AS k FROM {p}one), "
+        f"{p}row AS (SELECT uid, vertical, i, a, b, string_agg(k.ch, '' ORDER BY CASE WHEN vertical THEN k.cy ELSE -k.cx END, k.idx) AS text, string_agg(CAST(k.idx AS VARCHAR), ',' ORDER BY CASE WHEN vertical THEN k.cy ELSE -k.cx END, k.idx) AS ord FROM {p}mem GROUP BY ALL), "
+        f"{p}line AS (SELECT uid, vertical, CAST(count(*) AS INTEGER) AS n_lines, string_agg(ord, ',' ORDER BY a, b, i) AS ord, string_agg(text, ' ' ORDER BY a, b, i) AS text FROM {p}row GROUP BY uid, vertical)"
+    )
+
+
+LINES = _lines_sql("v_boxes_pred", "p_")
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@R("group_lines", _recursive(W("v_boxes_pred", rest=f"{LINES} SELECT uid, vertical, n_lines FROM p_line")))
 def group_lines(t: Inputs):
     return D.auto_lines(D.tokens_of(_glyphs(t))).select("uid", "vertical", F.size("lines").alias("n_lines"))
 
 
-@R("order_tokens")
+@R("order_tokens", _recursive(W("v_boxes_pred", rest=f"{LINES} SELECT uid, ord AS \"order\" FROM p_line")))
 def order_tokens(t: Inputs):
     lines = D.auto_lines(D.tokens_of(_glyphs(t)))
     o = D.order_lines(F.col("lines"), F.col("vertical"))
     return lines.select("uid", F.array_join(F.transform(F.flatten(o), lambda x: x["idx"].cast("string")), ",").alias("order"))
 
 
-@R("decode")
+@R("decode", _recursive(W("v_boxes_pred", rest=f"{LINES} SELECT uid, n_lines, text AS pred_text FROM p_line")))
 def decode(t: Inputs):
     return D.decode(_glyphs(t))
 
 
-@R("end_to_end")
+BOTH = ", v_sure AS (SELECT * FROM v_boxes_pred WHERE score >= 0.1)" + _lines_sql("v_boxes_gt", "g_") + _lines_sql("v_sure", "s_") + ", v_pairs AS (SELECT g.uid, g.text AS ref_text, coalesce(s.text, '') AS pred_text FROM g_line g LEFT JOIN s_line s ON s.uid = g.uid)"
+
+
+@R("end_to_end", _recursive(W("v_boxes_gt", "v_boxes_pred", rest=f"{BOTH} {WORDS} SELECT {METRICS} FROM s")))
 def end_to_end(t: Inputs):
     """Detections, classes, decoding and metrics in one plan: text from detections against text from ground truth."""
     gt = D.decode(t.view("v_boxes_gt").withColumn("ch", F.chr(F.col("cls") + 97))).select("uid", F.col("pred_text").alias("ref_text"))
