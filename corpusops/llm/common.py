@@ -36,11 +36,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again, so that lineage ends and lost executors cost nothing."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and the path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again, so that lineage ends and lost executors cost nothing."""
+    return written(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _stars(edges: DataFrame, keep_larger: bool, n: int) -> DataFrame:
@@ -61,17 +72,18 @@ def _stars(edges: DataFrame, keep_larger: bool, n: int) -> DataFrame:
 def components(edges: DataFrame, rows_a_task: int = 50_000) -> DataFrame:
     """Connected components of edges (a, b): node, component (its smallest node), for each node of an edge.
 
-    Alternates large-star and small-star contraction; each round is written to the shared folder. Hubs are joined on
-    two shuffled sides, which adaptive execution splits. Nothing but two sums per round comes to the driver; the count
-    among them sets the number of tasks of the next round.
+    Alternates large-star and small-star contraction; each round is written to the shared folder and replaces the one
+    before. Hubs are joined on two shuffled sides, which adaptive execution splits. Nothing but two sums per round comes
+    to the driver; the count among them sets the number of tasks of the next round.
     """
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    edges, path = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     now, before = state(edges), None
     while now != before and now[0]:
         n = min(parts(edges), 1 + now[0] // rows_a_task)
-        edges = stored(_stars(_stars(edges, True, n), False, n), "edges")
-        before, now = now, state(edges)
+        edges, new = written(_stars(_stars(edges, True, n), False, n), "edges")
+        remove(edges.sparkSession, path)
+        path, before, now = new, now, state(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
