@@ -37,7 +37,7 @@ SPAN = SIZE - GRAM + 1
 NEAR = SPAN // 2
 SIDE = SIZE - NEAR
 SHARDS, SHARD = 64, 16_000_000
-PART = 50_000
+PART = 30_000
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = (1 << 63) - 1
 
@@ -228,8 +228,21 @@ def _covered(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iter
         i = j
 
 
+def _distinct(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Equal surroundings of several tasks as one, with the members of all."""
+    sizes, counts = c["sizes"].astype(np.int64), c["counts"].astype(np.int64)
+    begin, member, raw = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts, c["texts"].tobytes()
+    seen: dict[bytes, int] = {}
+    ids = np.fromiter((seen.setdefault(raw[a : a + n], len(seen)) for a, n in zip(begin.tolist(), sizes.tolist())), np.int64, len(sizes))
+    first = np.unique(ids, return_index=True)[1]
+    order = np.argsort(ids, kind="stable")
+    of = ragged(member[order], counts[order])
+    return {"texts": c["texts"][ragged(begin[first], sizes[first])], "sizes": c["sizes"][first], "counts": np.bincount(ids, weights=counts).astype(np.int64), "docs": c["docs"][of], "starts": c["starts"][of]}
+
+
 def _part(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Sorts the suffixes of the surroundings by induction; neighbours that share 50 bytes are one string."""
+    c = _distinct(c)
     sizes, counts = c["sizes"].astype(np.int64), c["counts"].astype(np.int64)
     member = np.cumsum(counts) - counts
     least = np.minimum.reduceat(c["docs"], member)
