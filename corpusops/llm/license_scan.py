@@ -179,8 +179,8 @@ tf AS (SELECT license, n, gram, min(i) AS i FROM tp GROUP BY license, n, gram),
 ta AS (SELECT *, row_number() OVER (PARTITION BY license ORDER BY length(gram) DESC, gram) AS k, count(*) OVER (PARTITION BY license) AS m FROM tf),
 a AS (SELECT license, n, gram, i FROM ta WHERE k <= floor(m * (1 - {THRESHOLD} / (2 - {THRESHOLD})) + 1e-9) + 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
-dg AS (SELECT r, len(w) AS size, unnest({_GRAMS.format('w')}) AS gram, unnest(range(greatest(len(w) - 1, 0))) AS at FROM d),
-st AS (SELECT DISTINCT r, license, n, greatest(0, least(at - i, size - n)) AS start FROM dg JOIN a USING (gram)),
+dg AS (SELECT r, len(w) AS size, unnest({_GRAMS.format('w')}) AS gram, unnest(range(greatest(len(w) - 1, 0))) AS pos FROM d),
+st AS (SELECT DISTINCT r, license, n, greatest(0, least(pos - i, size - n)) AS start FROM dg JOIN a USING (gram)),
 sp AS (SELECT r, doc_id, license, n, start, list_distinct({_GRAMS.format('w[start + 1:start + n]')}) AS own FROM st JOIN d USING (r)),
 sc AS (SELECT r, doc_id, license, sp.n, start, 2.0 * len(list_intersect(own, list_distinct(g))) / (len(own) + len(list_distinct(g))) AS dice FROM sp JOIN tg USING (license)),
 b AS (SELECT *, row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, start) AS k FROM sc WHERE dice >= {THRESHOLD})
