@@ -16,6 +16,9 @@ ENTRIES = [
     ("line_dedup", "op8_line_dedup", None),
     ("chat_format", "op9_chat_format", "OP9_SQL"),
     ("license_scan", "op10_license_scan", "OP10_SQL"),
+    ("centroids", "op11_centroid_clustering", "OP11_SQL"),
+    ("whitening", "op12_whitening", None),
+    ("mixing", "op13_source_mix", None),
 ]
 
 
