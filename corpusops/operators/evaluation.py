@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,8 +60,7 @@ def evaluate_approaches(preds: DataFrame, manifest: DataFrame, split: str | None
         seen = pred_boxes.join(keep, "uid", "left_semi").withColumn("uid", key)
         hits = match_detections(many, seen, [0.5]).select(F.col("uid.approach").alias("approach"), F.col("uid.image").alias("uid"), "idx", "score", "tp")
         n_gt = many.groupBy("approach").agg(F.count("*").alias("n_gt"))
-        ap = average_precision(pr_curve(hits, n_gt, ["approach"]), ["approach"])
-        out["detection"] = ap.join(hits.groupBy("approach").agg(F.avg("tp").alias("precision")), "approach")
+        out["detection"] = average_precision(pr_curve(hits, n_gt, ["approach"]), ["approach"])
     return out
 
 
@@ -88,47 +86,60 @@ def auto_reverse(pairs: DataFrame) -> DataFrame:
 STEP = K.StructType([K.StructField(n, K.StringType()) for n in ("op", "a", "b")])
 
 
+def _columns(a: str, b: str, state: tuple[int, int]) -> tuple[list, list, tuple[int, int]]:
+    """Distances column by column of b as bit vectors over a: where the way down the diagonal is free, and where a step
+    down costs one. Whole numbers of any length serve as vectors; state has the ups and downs of the column before."""
+    full = (1 << len(a)) - 1
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    up, down = state
+    free, downward = [], []
+    for y in b:
+        eq = at.get(y, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right_up, right_down = down | ~(diagonal | up), diagonal & up
+        right_up, right_down = right_up << 1 | 1, right_down << 1
+        up, down = (right_down | ~(diagonal | right_up)) & full, right_up & diagonal & full
+        free.append(diagonal & full)
+        downward.append(up)
+    return free, downward, (up, down)
+
+
+def alignment(ref: str, pred: str, bits: int = 1 << 28) -> list[dict]:
+    """Least edits from reference to prediction; going back from the end, diagonal before deletion before insertion.
+
+    Columns of a long pair are made twice, in blocks, so that about `bits` bits are held.
+    """
+    block = len(pred) if 2 * len(ref) * len(pred) <= bits else max(1, int(len(pred) ** 0.5))
+    starts, state = [], ((1 << len(ref)) - 1, 0)
+    for k in range(0, len(pred), max(1, block)):
+        starts.append(state)
+        if k + block < len(pred):
+            state = _columns(ref, pred[k : k + block], state)[2]
+    i, j, out, base = len(ref), len(pred), [], None
+    while i or j:
+        if j and (j - 1) // block != base:
+            base = (j - 1) // block
+            free, downward, _ = _columns(ref, pred[base * block : (base + 1) * block], starts[base])
+        same = i and j and ref[i - 1] == pred[j - 1]
+        column, bit = (j - 1) - (base or 0) * block, i - 1
+        if i and j and (same or not free[column] >> bit & 1):
+            i, j = i - 1, j - 1
+            out.append({"op": "equal" if same else "sub", "a": ref[i], "b": pred[j]})
+        elif i and (not j or downward[column] >> bit & 1):
+            i -= 1
+            out.append({"op": "del", "a": ref[i], "b": None})
+        else:
+            j -= 1
+            out.append({"op": "ins", "a": None, "b": pred[j]})
+    return out[::-1]
+
+
 @F.pandas_udf(K.ArrayType(STEP))
 def edit_script(refs: pd.Series, preds: pd.Series) -> pd.Series:
-    """Least edits from reference to prediction; going back from the end, diagonal before deletion before insertion."""
-
-    def next_row(up: np.ndarray, x: int, b: np.ndarray, i: int) -> np.ndarray:
-        """A row of distances from the one above: insertions are a running minimum along the row."""
-        row = np.empty(len(b) + 1, np.int32)
-        row[0], row[1:] = i, np.minimum(up[:-1] + (b != x), up[1:] + 1)
-        at = np.arange(len(row), dtype=np.int32)
-        return np.minimum.accumulate(row - at) + at
-
-    def script(ref: str | None, pred: str | None) -> list[dict]:
-        ref, pred = ref or "", pred or ""
-        a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (ref, pred))
-        # every `step`-th row is kept; the rows between are made again on the way back
-        step = max(1, int(len(a) ** 0.5))
-        kept, row = {0: np.arange(len(b) + 1, dtype=np.int32)}, np.arange(len(b) + 1, dtype=np.int32)
-        for i in range(1, len(a) + 1):
-            row = next_row(row, a[i - 1], b, i)
-            if i % step == 0:
-                kept[i] = row
-        i, j, out, rows, base = len(a), len(b), [], {}, -1
-        while i or j:
-            if i and (i - 1) // step * step != base:
-                base = (i - 1) // step * step
-                rows = {base: kept[base]}
-                for k in range(base + 1, i + 1):
-                    rows[k] = next_row(rows[k - 1], a[k - 1], b, k)
-            here = rows[i][j] if i else j
-            if i and j and here == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-                i, j = i - 1, j - 1
-                out.append({"op": "equal" if a[i] == b[j] else "sub", "a": ref[i], "b": pred[j]})
-            elif i and here == rows[i - 1][j] + 1:
-                i -= 1
-                out.append({"op": "del", "a": ref[i], "b": None})
-            else:
-                j -= 1
-                out.append({"op": "ins", "a": None, "b": pred[j]})
-        return out[::-1]
-
-    return pd.Series([script(a, b) for a, b in zip(refs, preds)])
+    """The alignment of each pair; null texts count as empty."""
+    return pd.Series([alignment(a or "", b or "") for a, b in zip(refs, preds)])
 
 
 def aligned_confusion(pairs: DataFrame) -> DataFrame:
@@ -195,89 +206,97 @@ def iou_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
 def match_detections(gt: DataFrame, pred: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """(uid, threshold, idx, score, tp): greedy by score, each ground-truth box used once, best IoU first.
 
-    Images without ground truth do not count. One row per image and threshold goes through a fold.
+    Images without ground truth do not count. One fold an image serves all thresholds: each threshold is a bit, a
+    candidate pair has the bits of the thresholds that its IoU reaches, a ground-truth box those at which it is used, and a
+    prediction takes what is free. Candidates come from a join and are sorted once.
     """
-    g = gt.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("idx", "x1", "y1", "x2", "y2"))).alias("g"))
-    p = pred.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "idx", "x1", "y1", "x2", "y2"))).alias("p"))
-    # IoU of every prediction with every box of its image, once for all thresholds
-    least = min(thresholds)
-    # boxes below the least threshold can match at none and leave the fold; a place keeps ties in order
-    near = lambda d: F.filter(F.transform("g", lambda b, i: F.struct(i.alias("i"), B.iou(b, d).alias("v"))), lambda x: x["v"] >= least)
-    scored = g.join(p, "uid").select("uid", F.transform("p", lambda d: F.struct(d["idx"].cast("long").alias("idx"), (-d["s"]).alias("score"), near(d).alias("near"))).alias("p"))
-    levels = F.array(*map(F.lit, thresholds))
-    missed = F.filter("p", lambda d: F.size(d["near"]) == 0)
-    wrong = scored.select("uid", F.explode(missed).alias("m")).select("uid", F.explode(levels).alias("threshold"), "m.idx", "m.score", F.lit(0).alias("tp"))
-    rows = scored.select("uid", F.filter("p", lambda d: F.size(d["near"]) > 0).alias("p")).filter(F.size("p") > 0).withColumn("threshold", F.explode(levels))
-    state = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<idx:bigint,score:double,tp:int>>").alias("out"))
+    if len(thresholds) > 62:  # bits of a long
+        return match_detections(gt, pred, thresholds[:62]).unionByName(match_detections(gt, pred, thresholds[62:]))
+    a, b = F.struct("x1", "y1", "x2", "y2").alias("a"), F.struct("x1", "y1", "x2", "y2").alias("b")
+    place = (F.row_number().over(Window.partitionBy("uid").orderBy("idx")) - 1).alias("place")
+    g = gt.select(F.col("uid").alias("of"), place, a)
+    sizes = gt.groupBy("uid").agg(F.count("*").cast("int").alias("n_gt"))
+    p = pred.select("uid", F.col("idx").cast("long").alias("idx"), F.col("score").cast("double").alias("score"), b).join(sizes, "uid")
+    over = B.iou(F.col("a"), F.col("b"))
+    pairs = p.join(g, (F.col("uid") == F.col("of")) & (over >= min(thresholds)), "left").select("uid", "idx", "score", "n_gt", "place", F.when(F.col("place").isNotNull(), over).alias("iou"))
+    bits = F.lit(0).cast("long")
+    for k, t in enumerate(thresholds):
+        bits = bits.bitwiseOR(F.when(F.col("iou") >= t, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    near = F.when(F.col("place").isNotNull(), F.struct((-F.col("iou")).alias("v"), "place", bits.alias("bits")))
+    found = pairs.groupBy("uid", "n_gt", "idx", "score").agg(F.sort_array(F.collect_list(near)).alias("c"))
+    images = found.groupBy("uid", "n_gt").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "idx", "c"))).alias("p"))
+
+    def pair(acc, x):
+        free = x["bits"].bitwiseAND(F.bitwise_not(F.get(acc["used"], x["place"]))).bitwiseAND(F.bitwise_not(acc["took"]))
+        used = F.transform(acc["used"], lambda u, i: F.when(i == x["place"], u.bitwiseOR(free)).otherwise(u))
+        return F.struct(used.alias("used"), acc["took"].bitwiseOR(free).alias("took"))
 
     def step(acc, d):
-        free = F.filter(d["near"], lambda x: (x["v"] >= F.col("threshold")) & ~F.array_contains(acc["used"], x["i"]))
-        # one-element arrays name a value, so that it is made once
-        best = F.transform(F.array(F.array_max(F.transform(free, lambda x: F.struct(x["v"].alias("v"), (-x["i"]).alias("i"))))), lambda x: (-x["i"]).cast("int"))
-        return F.get(F.transform(best, lambda k: F.struct(
-            F.when(k.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], k)).alias("used"),
-            F.array_append(acc["out"], F.struct(d["idx"].alias("idx"), d["score"].alias("score"), F.when(k.isNull(), 0).otherwise(1).alias("tp"))).alias("out"),
-        )), F.lit(0))
+        one = F.aggregate(d["c"], F.struct(acc["used"].alias("used"), F.lit(0).cast("long").alias("took")), pair)
+        # a one-element array names a value, so that it is made once
+        return F.get(F.transform(F.array(one), lambda r: F.struct(r["used"].alias("used"), F.array_append(acc["out"], F.struct(d["idx"].alias("idx"), (-d["s"]).alias("score"), r["took"].alias("took"))).alias("out"))), F.lit(0))
 
-    folded = rows.select("uid", "threshold", F.aggregate("p", state, step, lambda a: a["out"]).alias("m"))
-    return folded.select("uid", "threshold", F.explode("m").alias("m")).select("uid", "threshold", "m.*").unionByName(wrong)
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), F.col("n_gt")).alias("used"), F.array().cast("array<struct<idx:bigint,score:double,took:bigint>>").alias("out"))
+    took = images.select("uid", F.explode(F.aggregate("p", start, step, lambda r: r["out"])).alias("m")).select("uid", "m.*")
+    levels = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(1 << k).cast("long").alias("bit")) for k, t in enumerate(thresholds)]))
+    return took.select("*", levels.alias("l")).select("uid", "l.threshold", "idx", "score", F.when(F.col("took").bitwiseAND(F.col("l.bit")) > 0, 1).otherwise(0).alias("tp"))
 
 
-def pr_curve(hits: DataFrame, n_gt: DataFrame, by: list[str], levels: int = 1000) -> DataFrame:
+def in_ranges(df: DataFrame, order: list, width: int) -> DataFrame:
+    """df with the number of the range of about `width` rows, in that order, that each row falls in; written, so that the
+    numbers stay."""
+    rows = kept(df, "rows")
+    ranges = max(1, -(-rows.count() // width))
+    return kept(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")
+
+
+def pr_curve(hits: DataFrame, n_gt: DataFrame, by: list[str], width: int = 100_000) -> DataFrame:
     """Cumulative TP and FP by score (then uid, idx), recall, precision and the precision envelope.
 
-    Scores are first totalled in `levels` steps, so that no window spans all rows: windows run inside a step, and over
-    the at most levels + 1 totals.
+    Rows are dealt in ranges of about `width` rows of the whole order (by, score, uid, idx), whose bounds Spark samples, so
+    equal or narrow scores are cut like others. Sums and peaks run inside a range; those of the ranges before and after
+    come from one row a range.
     """
-    step = F.floor(F.col("score") * levels).cast("long")
-    # every branch below reads these rows: they are made once, and lineage ends
-    rows = kept(hits.withColumn("step", step), "hits")
-    totals = rows.groupBy(*by, "step").agg(F.sum("tp").alias("t"), F.count("*").alias("c"))
-    above = Window.partitionBy(*by).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*by, "step", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("c0"))
     order = [F.desc("score"), F.col("uid"), F.col("idx")]
-    inside = Window.partitionBy(*by, "step").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("ti", F.sum("tp").over(inside)).withColumn("ci", F.count("*").over(inside)).join(base, [*by, "step"])
-    seen = seen.withColumn("cum_tp", F.col("t0") + F.col("ti")).withColumn("cum_fp", F.col("c0") + F.col("ci") - F.col("cum_tp"))
-    seen = seen.join(n_gt, by) if by else seen.crossJoin(n_gt)
+    rows = in_ranges(hits, [*by, *order], width)
+    part = Window.partitionBy(*by, "range").orderBy(*order)
+    # frames grow from the start: one that shrinks towards its end is summed anew for each row
+    upto = part.rowsBetween(Window.unboundedPreceding, 0)
+    rest = Window.partitionBy(*by, "range").orderBy(F.asc("score"), F.desc("uid"), F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy(*by, "range").agg(F.sum("tp").alias("t"), F.count("*").alias("c"))
+    above = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*by, "range", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("c0"))
+    base = base.join(n_gt, by) if by else base.crossJoin(n_gt)  # n_gt: one row for each of by
+    seen = rows.join(base, [*by, "range"]).withColumn("cum_tp", F.col("t0") + F.sum("tp").over(upto)).withColumn("cum_fp", F.col("c0") + F.count("*").over(upto) - F.col("cum_tp"))
     seen = seen.withColumn("recall", F.col("cum_tp") / F.greatest(F.col("n_gt"), F.lit(1))).withColumn("precision", F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")))
-    seen = seen.drop("ti", "ci", "t0", "c0", "n_gt")
-    peaks = seen.groupBy(*by, "step").agg(F.max("precision").alias("peak"))
-    later = Window.partitionBy(*by).orderBy(F.desc("step")).rowsBetween(1, Window.unboundedFollowing)
-    peaks = peaks.select(*by, "step", F.max("peak").over(later).alias("later"))
-    rest = Window.partitionBy(*by, "step").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    out = seen.join(peaks, [*by, "step"]).withColumn("envelope", F.greatest(F.max("precision").over(rest), "later"))
-    return out.select(*by, "step", "uid", "idx", "score", "tp", "cum_tp", "cum_fp", "recall", "precision", "envelope")
+    seen = kept(seen.drop("t0", "c0", "n_gt"), "hit-curve")
+    peaks = seen.groupBy(*by, "range").agg(F.max("precision").alias("peak"))
+    later = peaks.select(*by, "range", F.max("peak").over(below).alias("later"))
+    out = seen.join(later, [*by, "range"]).withColumn("envelope", F.greatest(F.max("precision").over(rest), "later"))
+    return out.select(*by, "uid", "idx", "score", "tp", "cum_tp", "cum_fp", "recall", "precision", "envelope")
 
 
 def average_precision(curve: DataFrame, by: list[str], coco: bool = False) -> DataFrame:
-    """Area under the envelope over recall, by trapezoids from (0, first precision) to (1, 0); coco: steps, no tail.
+    """(by, ap, recall, precision): area under the envelope over recall, by trapezoids from (0, first precision) to (1, 0);
+    coco: steps, no tail. Recall and precision are those of all rows.
 
-    Each score step sums its own area and hands its first and last point to the step after.
+    Recall grows at true positives only, by the same step each, and the point before a row follows from its own counts, so
+    the area is a plain sum.
     """
-    order = [F.desc("score"), F.col("uid"), F.col("idx")]
-    w = Window.partitionBy(*by, "step").orderBy(*order)
-    part = curve.withColumn("r0", F.lag("recall").over(w)).withColumn("p0", F.lag("envelope").over(w))
-    width = F.col("recall") - F.col("r0")
-    own = F.coalesce(F.sum(width * F.col("envelope") if coco else width * (F.col("envelope") + F.col("p0")) / 2), F.lit(0.0))
-    key = F.struct(-F.col("score"), F.col("uid"), F.col("idx"))
-    steps = part.groupBy(*by, "step").agg(own.alias("own"), F.min_by("recall", key).alias("ra"), F.min_by("envelope", key).alias("pa"), F.max_by("recall", key).alias("rb"), F.max_by("envelope", key).alias("pb"))
-    s = Window.partitionBy(*by).orderBy(F.desc("step"))
-    steps = steps.withColumn("rp", F.coalesce(F.lag("rb").over(s), F.lit(0.0))).withColumn("pp", F.coalesce(F.lag("pb").over(s), F.col("pa")))
-    gap = F.col("ra") - F.col("rp")
-    steps = steps.withColumn("area", F.col("own") + (gap * F.col("pa") if coco else gap * (F.col("pa") + F.col("pp")) / 2))
-    out = steps.groupBy(*by).agg(F.sum("area").alias("area"), F.min_by("rb", "step").alias("rl"), F.min_by("pb", "step").alias("pl"))
-    tail = F.lit(0.0) if coco else (1 - F.col("rl")) * F.col("pl") / 2
-    return out.select(*by, (F.col("area") + tail).alias("ap"), F.col("rl").alias("recall"))
+    seen = F.col("cum_tp") + F.col("cum_fp")
+    before = F.when(seen > 1, F.greatest((F.col("cum_tp") - 1) / (seen - 1), F.col("envelope"))).otherwise(F.col("envelope"))
+    height = F.col("envelope") if coco else (F.col("envelope") + before) / 2
+    area = F.coalesce(F.sum(F.when(F.col("tp") == 1, F.col("recall") / F.col("cum_tp") * height)), F.lit(0.0))
+    out = curve.groupBy(*by).agg(area.alias("area"), F.max("recall").alias("recall"), (F.max("cum_tp") / F.max(seen)).alias("precision"))
+    tail = F.lit(0.0) if coco else (1 - F.col("recall")) * F.col("precision") / 2
+    return out.select(*by, (F.col("area") + tail).alias("ap"), "recall", "precision")
 
 
 def detection_metrics(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """AP, recall and precision at each of the ten IoU thresholds."""
-    hits = match_detections(gt, pred)
     n_gt = gt.agg(F.count("*").alias("n_gt")).withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
-    ap = average_precision(pr_curve(hits, n_gt, ["threshold"]), ["threshold"])
-    precision = hits.groupBy("threshold").agg(F.avg("tp").alias("precision"))
-    return ap.join(precision, "threshold")
+    return average_precision(pr_curve(match_detections(gt, pred), n_gt, ["threshold"]), ["threshold"])
 
 
 def merge_boxes(df: DataFrame, threshold: float, order: str = "score") -> DataFrame:
