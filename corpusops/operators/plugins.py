@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 APPROACHES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 NEEDED = {"uid", "gt_text", "pred_text"}
@@ -51,10 +51,12 @@ def from_logits(pdf, key: str, logits: str, names: list[str], k: int):
     return pd.DataFrame({key: pdf[key], "label": [t[0]["label"] for t in top], "conf": [t[0]["conf"] for t in top], "topk": top, "probs": p.tolist()})
 
 
-def batch_predict(df: DataFrame, factory: Callable, schema: str, cache: DataFrame | None = None, key: str = "uid") -> DataFrame:
+def batch_predict(df: DataFrame, factory: Callable, schema: str, cache: DataFrame | None = None, key: str = "uid", store: str | None = None) -> DataFrame:
     """Rows through a model made once per task: factory() gives a function from a pandas frame to one of `schema`.
 
-    Rows whose key is in the cache are taken from there. `contract` gives the schemas of detectors and classifiers.
+    Rows whose key is in the cache are taken from there. With a `store`, a folder of results, those of earlier calls are
+    taken from it and new ones are added, each call as a part of its own; of a key that is in several parts the last one
+    holds. A second call over the same rows computes nothing. `contract` gives the schemas of detectors and classifiers.
     """
 
     def run(batches):
@@ -62,7 +64,35 @@ def batch_predict(df: DataFrame, factory: Callable, schema: str, cache: DataFram
         for pdf in batches:
             yield model(pdf)
 
-    from .manifest import cached_or_new
+    from .manifest import anti_done, cached_or_new
 
     predict = lambda rows: rows.mapInPandas(run, schema)
+    if store:
+        known = stored_results(df.sparkSession, store, schema, key)
+        todo = anti_done(df, known.unionByName(cache) if cache is not None else known, key)
+        if todo.limit(1).count():
+            part = 1 + max(known_parts(df.sparkSession, store, whole=False), default=-1)
+            predict(todo).write.parquet(f"{store}/part={part}")
+        known = stored_results(df.sparkSession, store, schema, key)
+        wanted = known.join(df.select(key).distinct(), key, "left_semi")
+        return wanted if cache is None else wanted.unionByName(anti_done(cache.join(df.select(key).distinct(), key, "left_semi"), known, key))
     return predict(df) if cache is None else cached_or_new(df, cache, predict, key)
+
+
+def known_parts(spark: SparkSession, store: str, whole: bool = True) -> list[int]:
+    """Numbers of the calls whose results the store holds, those of calls that ended only or all."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/part=*{'/_SUCCESS' if whole else ''}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    names = [(f.getPath().getParent() if whole else f.getPath()).getName() for f in found or []]
+    return sorted(int(n.removeprefix("part=")) for n in names)
+
+
+def stored_results(spark: SparkSession, store: str, schema: str, key: str = "uid") -> DataFrame:
+    """The last result of each key in the store."""
+    from .splits import merge_last_wins
+
+    parts = known_parts(spark, store)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", store).parquet(*[f"{store}/part={k}" for k in parts])
+    return merge_last_wins(rows, key, ["part"]).drop("part")

@@ -55,7 +55,44 @@ def scan_mapping_json(t: Inputs):
 @R("scan_binary")
 def scan_binary(t: Inputs):
     """Every file of the tables' folder; none of them is an image."""
-    return io.read_binary(t.spark, t.sf_dir).select("name", "size", "sha256", "width", "height", "error")
+    return io.read_binary(t.spark, t.sf_dir).select("name", "size", "sha256", "format", "width", "height", "error")
+
+
+def _image(kind: str, w, h):
+    """Bytes of an image of some format whose header says w times h."""
+    b = lambda n, digits: F.lpad(F.hex(n.cast("long")), digits, "0")
+    le = lambda n, k: F.concat(*[F.substring(b(n, 2 * k), 2 * i + 1, 2) for i in reversed(range(k))])
+    x = F.lit
+    return F.unhex({
+        "png": F.concat(x("89504E470D0A1A0A0000000D49484452"), b(w, 8), b(h, 8), x("0802000000000000000000000049454E44AE426082")),
+        "jpeg": F.concat(x("FFD8FFE000084A46494600FFFFFFFE0004ABCDFFC0000B08"), b(h, 4), b(w, 4), x("0101110000FFDA0000FFD9")),
+        "gif": F.concat(x("474946383961"), le(w, 2), le(h, 2), x("0000003B")),
+        "bmp": F.concat(x("424D1A0000000000000000000000"), x("0C000000"), le(w, 4), le(h, 4)),
+        "tiff": F.concat(x("49492A000800000002000001040001000000"), le(w, 4), x("0101030001000000"), le(h, 2), x("000000000000")),
+        "webp": F.concat(x("524946461600000057454250565038580A00000000000000"), le(w - 1, 3), le(h - 1, 3)),
+    }[kind])
+
+
+KINDS = ("png", "jpeg", "gif", "bmp", "tiff", "webp")
+
+
+@R("image_headers", "WITH c AS (SELECT c_custkey AS uid, ['png', 'jpeg', 'gif', 'bmp', 'tiff', 'webp'][c_custkey % 6 + 1] AS kind, 1 + c_custkey * 37 % 900 AS w, 1 + c_custkey * 91 % 700 AS h FROM customer), d AS (SELECT *, CASE WHEN uid % 5 = 1 THEN 'short' WHEN uid % 5 = 2 AND kind IN ('png', 'jpeg', 'gif', 'webp') THEN 'cut' WHEN uid % 5 = 3 THEN 'none' WHEN uid % 55 = 4 THEN 'empty' ELSE 'fine' END AS state FROM c) SELECT uid, CASE WHEN state NOT IN ('none', 'empty') THEN kind END AS format, CAST(CASE WHEN state IN ('fine', 'cut') THEN w END AS INTEGER) AS width, CAST(CASE WHEN state IN ('fine', 'cut') THEN h END AS INTEGER) AS height, CASE state WHEN 'short' THEN kind || ': header is cut off or damaged' WHEN 'cut' THEN kind || ': file is cut off' WHEN 'none' THEN 'no image of a known format' WHEN 'empty' THEN 'empty file' END AS error FROM d")
+def image_headers(t: Inputs):
+    """Sizes and defects of image bytes of six formats, made from the customers: whole, cut off, damaged, other, empty."""
+    from ..functions.images import header
+
+    uid = F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (uid % 6 + 1).cast("int"))
+    w, h = 1 + uid * 37 % 900, 1 + uid * 91 % 700
+    whole = F.lit(None).cast("binary")
+    for k in KINDS:
+        whole = F.when(kind == k, _image(k, w, h)).otherwise(whole)
+    some = lambda n: F.substring(F.col("whole"), F.lit(1), n.cast("int"))
+    short = F.when(kind == "png", 20).when(kind == "jpeg", 24).when(kind == "gif", 7).when(kind == "bmp", 20).when(kind == "tiff", 16).otherwise(26)
+    cut = (uid % 5 == 2) & kind.isin("png", "jpeg", "gif", "webp")
+    content = F.when(uid % 5 == 1, some(short)).when(cut & (kind == "webp"), F.concat(F.unhex(F.lit("52494646FF00000057454250")), F.substring(F.col("whole"), 13, 99))).when(cut, some(F.length("whole") - 1)).when(uid % 5 == 3, F.encode(F.concat(F.lit("text "), "c_name"), "UTF-8")).when(uid % 55 == 4, F.lit("").cast("binary")).otherwise(F.col("whole"))
+    rows = t.table("customer").withColumn("whole", whole).select(uid.alias("uid"), content.alias("content"))
+    return rows.select("uid", header(F.col("content")).alias("h")).select("uid", "h.format", "h.width", "h.height", "h.error")
 
 
 @R("scan_archive_listing", "SELECT url AS path FROM pages WHERE url LIKE '%1' ORDER BY length(url), url LIMIT 1")

@@ -158,10 +158,13 @@ def template_corpus(t: Inputs):
     return S.template_corpus(ids, {"seal": 3.0, "plain": 1.0}, KINDS, lexicons, 42, letters="abcdefg", normalize=F.upper)
 
 
-@R("stream_ingest", W("v_shard_rows", rest="SELECT DISTINCT uid FROM v_shard_rows"))
+@R("stream_ingest", "SELECT DISTINCT user_id AS uid FROM events WHERE ts IS NOT NULL")
 def stream_ingest(t: Inputs):
-    source = io.write_jsonl(t.view("v_shard_rows"), io.scratch(t.spark, "stream-in"))
-    return streams.ingest(t.spark, source, "uid LONG, line_no LONG", io.scratch(t.spark, "stream-out"), io.scratch(t.spark, "stream-state")).select("uid")
+    """Event times span months, so the delay is as long: no row is late, whatever order the files come in."""
+    rows = t.table("events").filter("ts IS NOT NULL").select(F.col("user_id").alias("uid"), F.col("event_id").alias("line_no"), F.col("ts").cast("timestamp").alias("ts"))
+    source = io.write_jsonl(rows, io.scratch(t.spark, "stream-in"))
+    out = streams.ingest(t.spark, source, "uid LONG, line_no LONG, ts TIMESTAMP", io.scratch(t.spark, "stream-out"), io.scratch(t.spark, "stream-state"), event_time="ts", delay="3650 days")
+    return out.select("uid")
 
 
 @R("stream_best", W("v_epochs", rest=", r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY metric DESC, epoch) AS k FROM v_epochs) SELECT run_id, epoch, metric FROM r WHERE k = 1"))

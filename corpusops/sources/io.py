@@ -68,15 +68,13 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_binary(spark: SparkSession, path: str, suffixes: str = "*") -> DataFrame:
-    """(path, name, size, sha256, width, height, error) of each file; what cannot be decoded as an image has an error."""
+    """(path, name, size, sha256, format, width, height, error) of each file, read once; what is no whole image has an
+    error that says why."""
+    from ..functions.images import header
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffixes).load(path)
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    rows = files.select(plain("path").alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    images = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", suffixes).load(path)
-    sizes = images.select(plain("image.origin").alias("path"), F.col("image.width").alias("w"), F.col("image.height").alias("h"))
-    known = F.col("w") > 0
-    out = rows.join(sizes, "path", "left")
-    return out.select(*rows.columns, F.when(known, F.col("w")).alias("width"), F.when(known, F.col("h")).alias("height"), F.when(~F.coalesce(known, F.lit(False)), "cannot be decoded").alias("error"))
+    rows = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), header(F.col("content")).alias("h"))
+    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256", "h.format", "h.width", "h.height", "h.error")
 
 
 def find_in_archive(listing: DataFrame, suffix: str, path: str = "path") -> DataFrame:

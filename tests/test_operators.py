@@ -178,8 +178,9 @@ def test_images_and_other_files(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress((b"\0" + b"\1\2\3" * 5) * 3)) + chunk(b"IEND", b"")
     (tmp_path / "good.png").write_bytes(png)
     (tmp_path / "bad.png").write_bytes(b"nothing")
-    got = {r["name"]: (r["size"], r["width"], r["height"], r["error"]) for r in io.read_binary(spark, str(tmp_path)).collect()}
-    assert got == {"good.png": (len(png), 5, 3, None), "bad.png": (7, None, None, "cannot be decoded")}
+    (tmp_path / "cut.png").write_bytes(png[:-4])
+    got = {r["name"]: (r["size"], r["format"], r["width"], r["height"], r["error"]) for r in io.read_binary(spark, str(tmp_path)).collect()}
+    assert got == {"good.png": (len(png), "png", 5, 3, None), "bad.png": (7, None, None, None, "no image of a known format"), "cut.png": (len(png) - 4, "png", 5, 3, "png: file is cut off")}
 
 
 def test_a_job_that_is_run_again(spark, tmp_path):
