@@ -18,16 +18,38 @@ def tokens_of(df: DataFrame) -> DataFrame:
 
 
 def group_lines(tokens: Column, axis: str, threshold: float) -> Column:
-    """Each token joins the first group whose union box overlaps it enough on the axis, or opens a new one."""
-
-    def add(groups, t):
-        near = F.filter(F.transform(groups, lambda g, i: F.when(B.axis_iou(g["box"], t, axis) >= threshold, i)), lambda i: i.isNotNull())
-        at = F.get(near, F.lit(0))
-        own = F.struct(B.box(t["x1"], t["y1"], t["x2"], t["y2"]).alias("box"), F.array(t).alias("members"))
-        joined = F.transform(groups, lambda g, i: F.when(i == at, F.struct(B.union_box(g["box"], t).alias("box"), F.array_append(g["members"], t).alias("members"))).otherwise(g))
-        return F.when(at.isNull(), F.array_append(groups, own)).otherwise(joined)
-
-    return F.aggregate(tokens, F.array().cast(LINES), add)
+    """Each token joins the first group whose union box overlaps it enough on the axis, or opens a new one.
+
+    The fold carries only the ends of each group on the axis and the group of each token; boxes and members are gathered
+    once at the end.
+    """
+    low, high = f"{axis}1", f"{axis}2"
+
+    def add(s, t):
+        def reaches(a, b):
+            union = F.greatest(b, t[high]) - F.least(a, t[low])
+            return F.when(union > 0, F.greatest(F.least(b, t[high]) - F.greatest(a, t[low]), F.lit(0.0)) / union).otherwise(0.0) >= threshold
+
+        first = F.array_position(F.zip_with(s["low"], s["high"], reaches), True).cast("int")
+        grown = lambda ends, x, k, pick: F.when(k == 0, F.array_append(ends, x)).otherwise(F.transform(ends, lambda e, i: F.when(i == k - 1, pick(e, x)).otherwise(e)))
+        # a one-element array names a value, so that it is made once
+        return F.get(F.transform(F.array(first), lambda k: F.struct(
+            grown(s["low"], t[low], k, F.least).alias("low"), grown(s["high"], t[high], k, F.greatest).alias("high"),
+            F.array_append(s["at"], F.when(k == 0, F.size(s["low"]) + 1).otherwise(k)).alias("at"),
+        )), F.lit(0))
+
+    ends, none = F.array().cast("array<double>"), F.array().cast("array<int>")
+    at = F.aggregate(tokens, F.struct(ends.alias("low"), ends.alias("high"), none.alias("at")), add, lambda s: s["at"])
+
+    def group(m):
+        side = lambda f, c: f(F.transform(m, lambda t: t[c]))
+        return F.struct(B.box(side(F.array_min, "x1"), side(F.array_min, "y1"), side(F.array_max, "x2"), side(F.array_max, "y2")).alias("box"), m.alias("members"))
+
+    def gathered(at):
+        own = F.when(F.size(at) > 0, F.sequence(F.lit(1), F.array_max(at))).otherwise(none)
+        return F.transform(F.transform(own, lambda g: F.filter(tokens, lambda t, i: F.get(at, i) == g)), group)
+
+    return F.get(F.transform(F.array(at), gathered), F.lit(0)).cast(LINES)
 
 
 def _score(groups: Column) -> Column:

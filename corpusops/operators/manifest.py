@@ -253,3 +253,19 @@ def mirror_pick(cands: DataFrame, key: str = "uid", margin: float = 0.05) -> Dat
     out = cands.groupBy(key).agg(F.max_by("reverse", rank).alias("reverse"), F.max(F.when(F.col("mirrored"), F.col("quality"))).alias("m"), F.max(F.when(~F.col("mirrored"), F.col("quality"))).alias("s"))
     decided = F.coalesce(F.abs(F.col("m") - F.col("s")) >= margin, F.lit(False))
     return out.select(key, F.when(decided, F.col("m") > F.col("s")).alias("mirrored"), "reverse")
+
+
+def fingerprint_sets(df: DataFrame, by: list[str], value: str, large: bool = False, length: int = 16) -> DataFrame:
+    """(by, print): a digest of the set of values, whatever their order and repeats; null values do not count.
+
+    Small sets are sorted and joined by commas, with their size. large: sets of any size, as sums of two 60-bit parts of
+    each value's SHA-256 and the size, so that nothing is gathered; only equal sets have equal digests, but for chance.
+    """
+    values = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("string").alias("_v")).distinct()
+    digest = lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, length)
+    if large:
+        h = F.sha2(F.col("_v").cast("binary"), 256)
+        part = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+        return values.groupBy(*by).agg(digest(F.concat_ws(":", part(1), part(16), F.count("*").cast("string"))).alias("print"))
+    g = values.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("s"))
+    return g.select(*by, digest(F.concat(F.array_join("s", ","), F.lit(":"), F.size("s").cast("string"))).alias("print"))

@@ -20,16 +20,20 @@ def _order(group: str) -> list[Column]:
     return [F.sha1(F.col(group).cast("string").cast("binary")), F.col(group)]
 
 
-def group_sizes(df: DataFrame, group: str) -> DataFrame:
-    """(group, n, before): sizes, and the rows of groups that come earlier in hash order.
+def group_sizes(df: DataFrame, group: str, width: int = 20_000) -> DataFrame:
+    """(group, n, h, before): sizes, and the rows of groups that come earlier in hash order.
 
-    Sums run inside a leading hash digit pair and over the 256 totals of those, so that no window spans all groups.
+    Sums run inside cells of about `width` groups, by as many leading hash digits as their number asks for, and level by
+    level over the cells.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("h", F.sha1(F.col(group).cast("string").cast("binary"))).withColumn("p", F.substring("h", 1, 2))
-    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.groupBy("p").agg(F.sum("n").alias("t")).select("p", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("b0"))
-    inside = Window.partitionBy("p").orderBy("h", group).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("b1", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(base, "p").select(group, "n", "h", (F.col("b0") + F.col("b1")).alias("before"))
+    from ..sources.io import kept
+
+    sizes = kept(df.groupBy(group).agg(F.count("*").alias("n")).withColumn("h", _order(group)[0]), "group-sizes")
+    digits = hash_digits(sizes.count(), width)
+    sizes = sizes.withColumn("_p", F.substring("h", 1, digits))
+    starts = cell_starts(sizes.groupBy("_p").agg(F.sum("n").alias("_c")), [], digits)
+    inside = Window.partitionBy("_p").orderBy("h", group).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_i", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, "_p").select(group, "n", "h", (F.col("_b") + F.col("_i")).alias("before"))
 
 
 def split_greedy(df: DataFrame, group: str, ratios=(0.8, 0.1, 0.1)) -> DataFrame:
@@ -54,7 +58,7 @@ def group_split(df: DataFrame, group: str, target: int, chunk: int = 100_000) ->
     """
     from ..sources.io import kept
 
-    sized = kept(group_sizes(df, group), "group-sizes")
+    sized = kept(group_sizes(df, group), "groups")
     kind = dict(sized.dtypes)[group]
     total, v, after, taken = sized.agg(F.sum("n")).first()[0] or 0, 0, None, []
     start = lambda v: F.struct(F.lit(v).cast("long").alias("v"), F.array().cast(f"array<{kind}>").alias("taken"))
@@ -157,6 +161,23 @@ def hash_digits(rows: int, width: int = 20_000) -> int:
     return digits
 
 
+def cell_starts(counts: DataFrame, by: list[str], digits: int) -> DataFrame:
+    """(by, _p, _b) from sums _c of cells _p of so many hash digits: what comes before each cell inside its `by`.
+
+    Two digits at a time, so that no window sees more than 256 sums.
+    """
+    base = counts.select(*by, "_p", F.lit(0).cast("long").alias("_b"))
+    for d in range(2, digits + 1, 2):
+        level = counts.groupBy(*by, F.substring("_p", 1, d).alias("_l")).agg(F.sum("_c").alias("_c"))
+        w = Window.partitionBy(*by, F.substring("_l", 1, d - 2)).orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)
+        before = level.select(*[F.col(c).alias(f"_{c}") for c in by], "_l", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
+        on = F.substring("_p", 1, d) == F.col("_l")
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        base = base.join(before, on).select(*by, "_p", (F.col("_b") + F.col("_o")).alias("_b"))
+    return base
+
+
 def dense_index(df: DataFrame, by: str, key: str, width: int = 20_000) -> DataFrame:
     """Adds row_no from 0 inside each `by`, in order of the hash of key.
 
@@ -165,14 +186,7 @@ def dense_index(df: DataFrame, by: str, key: str, width: int = 20_000) -> DataFr
     """
     digits = hash_digits(df.count(), width)
     rows = df.withColumn("_h", F.sha1(F.col(key).cast("string").cast("binary"))).withColumn("_p", F.substring("_h", 1, digits))
-    counts = rows.groupBy(by, "_p").agg(F.count("*").alias("_c"))
-    base = counts.select(by, "_p", F.lit(0).cast("long").alias("_b"))
-    for d in range(2, digits + 1, 2):
-        level = counts.groupBy(by, F.substring("_p", 1, d).alias("_l")).agg(F.sum("_c").alias("_c"))
-        w = Window.partitionBy(by, F.substring("_l", 1, d - 2)).orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)
-        before = level.select(F.col(by).alias("_by"), "_l", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
-        joined = base.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.substring("_p", 1, d) == F.col("_l")))
-        base = joined.select(by, "_p", (F.col("_b") + F.col("_o")).alias("_b"))
+    base = cell_starts(rows.groupBy(by, "_p").agg(F.count("*").alias("_c")), [by], digits)
     inside = F.row_number().over(Window.partitionBy(by, "_p").orderBy("_h", key)) - 1
     return rows.withColumn("_i", inside).join(base, [by, "_p"]).withColumn("row_no", F.col("_b") + F.col("_i")).drop("_h", "_p", "_b", "_i")
 
@@ -187,11 +201,18 @@ def quotas(weights: dict[str, float], draws: int) -> dict[str, int]:
     return out
 
 
+#: Draws that one row stands for at most.
+DRAWS = 100_000
+
+
 def _drawn(df: DataFrame, plan: list[tuple], by: str, key: str) -> DataFrame:
     """Rows of (epoch, seed, source, quota): draw j of a source takes row md5(seed:source:j) mod n of it."""
     quota = df.sparkSession.createDataFrame(plan, f"epoch int, seed long, {by} string, quota long").filter("quota > 0")
     sizes = df.groupBy(by).agg(F.count("*").alias("n"))
-    rolls = quota.join(sizes, by).select("epoch", "seed", by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)).alias("draw"))
+    # in chunks, dealt out before they are drawn
+    starts = quota.join(sizes, by).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(DRAWS).cast("long"))).alias("from"))
+    dealt = starts.repartition(F.xxhash64("epoch", by, "from")) if sum(q for *_, q in plan) > DRAWS else starts
+    rolls = dealt.select("epoch", "seed", by, "n", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + DRAWS, F.col("quota")) - 1)).alias("draw"))
     digest = F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col(by), F.col("draw").cast("string")).cast("binary"))
     rolls = rolls.withColumn("row_no", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("n")).drop("n", "seed")
     return rolls.join(dense_index(df, by, key), [by, "row_no"])

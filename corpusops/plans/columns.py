@@ -271,8 +271,13 @@ def canonical_cache_key(t: Inputs):
 
 @R("fingerprint_set", "WITH d AS (SELECT DISTINCT source, lang FROM documents) SELECT source, substr(sha256(string_agg(lang, ',' ORDER BY lang) || ':' || CAST(count(*) AS VARCHAR)), 1, 16) AS print FROM d GROUP BY source")
 def fingerprint_set(t: Inputs):
-    g = t.table("documents").groupBy("source").agg(F.sort_array(F.collect_set("lang")).alias("s"))
-    return g.select("source", F.substring(F.sha2(F.concat(F.array_join("s", ","), F.lit(":"), F.size("s").cast("string")).cast("binary"), 256), 1, 16).alias("print"))
+    return M.fingerprint_sets(t.table("documents"), ["source"], "lang")
+
+
+@R("fingerprint_large_set", "WITH d AS (SELECT DISTINCT source, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE doc_id IS NOT NULL) SELECT source, substr(sha256(CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) || ':' || CAST(sum(CAST(CAST('0x' || substr(h, 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) || ':' || CAST(count(*) AS VARCHAR)), 1, 16) AS print FROM d GROUP BY source")
+def fingerprint_large_set(t: Inputs):
+    """The documents of each source, as a set of any size."""
+    return M.fingerprint_sets(t.table("documents"), ["source"], "doc_id", large=True)
 
 
 @R("restyle_manifest", W("v_manifest", rest="SELECT uid, 'styled/' || CAST(uid AS VARCHAR) || '.png' AS image_path, true AS styled, lang AS style, row_id FROM v_manifest"))
