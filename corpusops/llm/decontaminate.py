@@ -168,6 +168,25 @@ def item_windows(items: DataFrame) -> DataFrame:
     return out
 
 
+def _exact(texts: pd.Series) -> pd.Series:
+    """The plain words of a text of under SHORTEST words, as one string; null for others."""
+
+    def form(text: str | None) -> str | None:
+        words = [plain for plain, kind, _ in map(_word, (text or "").split()) if kind]
+        return " ".join(words) if 0 < len(words) < SHORTEST else None
+
+    return texts.map(form)
+
+
+def short_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, item_id, ...) of items of under SHORTEST words and the documents that are nothing but the item: too little for
+    a window, so all words must be the same. Texts of 64 pieces or more between blanks are no such documents."""
+    form = F.pandas_udf(_exact, "string")
+    of = lambda df: df.filter(F.size(F.split(F.trim("text"), r"\s+", 64)) < 64).withColumn("form", form("text")).filter("form IS NOT NULL")
+    pairs = of(docs).select("id", "form").join(of(items).select(F.col("id").alias("item_id"), "form"), "form").select("id", "item_id").distinct()
+    return pairs.select("id", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1).cast("long").alias("item_windows"), F.lit(1.0).alias("coverage"), F.lit(True).alias("slots_consistent"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(id, item_id, n_windows, item_windows, coverage, slots_consistent) for docs (id, text) and items (id, text)."""
     spark = docs.sparkSession
@@ -200,7 +219,8 @@ def contaminated(docs: DataFrame, items: DataFrame, limit: int = LIMIT) -> DataF
     whole = (F.col("part.kind") == 1) & (F.col("places") == F.col("item_places"))
     out = out.withColumn("slots_consistent", F.when(F.col("verbatim"), whole).otherwise(template))
     out = out.groupBy("id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("coverage").alias("coverage"), F.max("slots_consistent").alias("slots_consistent"))
-    return out.filter("slots_consistent").select("id", "item_id", "n_windows", "item_windows", "coverage", "slots_consistent")
+    out = out.filter("slots_consistent").select("id", "item_id", "n_windows", "item_windows", "coverage", "slots_consistent")
+    return out.unionByName(short_matches(docs.select("id", "text"), items))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

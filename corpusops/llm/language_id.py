@@ -1,7 +1,7 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the n-grams (1 to 3 code points of the lower-cased text) of all labelled documents of the learning
-folds, hashed into 2^15 buckets; counts are summed by Spark. The log-probability matrix (2^15 x languages) is broadcast
+folds, each text by itself, hashed into 2^15 buckets; counts are summed by Spark, so layout and order do not matter. The log-probability matrix (2^15 x languages) is broadcast
 in blocks of at most BLOCK languages, so no block is above 33 MB and the driver holds one at a time; batches of whole
 texts are scored in numpy, by each block in turn.
 
@@ -28,19 +28,37 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def buckets(text: str) -> np.ndarray:
-    """Hashed n-grams of a text, with those of one, two and three code points, in order of n."""
-    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def _grams(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-grams of one, two and three code points, each by the place where it starts."""
     a, b, c = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
     one = x * a
     two = (one[:-1] ^ (x[1:] * b)) * c
     three = (two[:-1] ^ (x[2:] * a)) * b
-    return np.concatenate([one, two, three]) >> np.uint32(32 - BITS)
+    return tuple(g >> np.uint32(32 - BITS) for g in (one, two, three))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def buckets(text: str) -> np.ndarray:
+    """Hashed n-grams of a text, those of one, two and three code points, in order of n."""
+    return np.concatenate(_grams(_points(text.lower())))
 
 
 def _pieces(text: str):
-    """A very long text in bounded pieces that share two code points, so that only n-grams at a seam repeat."""
-    return [text] if len(text) <= CHUNK else [text[i : i + CHUNK + 2] for i in range(0, len(text), CHUNK)]
+    """Hashed n-grams of a very long text, piece by piece: a piece has those that start in it."""
+    text = text.lower()
+    for i in range(0, len(text), CHUNK):
+        yield np.concatenate([g[:CHUNK] for g in _grams(_points(text[i : i + CHUNK + 2]))])
+
+
+def _each(texts: list[str]) -> np.ndarray:
+    """Hashed n-grams of many texts at once, none across two texts."""
+    texts = [t.lower() for t in texts]
+    own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    one, two, three = _grams(_points("".join(texts)))
+    return np.concatenate([one, two[own[:-1] == own[1:]], three[own[:-2] == own[2:]]])
 
 
 def _count(batches):
@@ -48,9 +66,19 @@ def _count(batches):
     for pdf in batches:
         for lang, group in pdf.groupby("lang", sort=False):
             total = totals.setdefault(lang, np.zeros(1 << BITS, np.int64))
-            for i in range(0, len(group), 256):
-                for piece in _pieces("\n".join(group["text"].iloc[i : i + 256])):
-                    total += np.bincount(buckets(piece), minlength=1 << BITS)
+            held, size = [], 0
+            for text in group["text"]:
+                if len(text) > CHUNK:
+                    for piece in _pieces(text):
+                        total += np.bincount(piece, minlength=1 << BITS)
+                    continue
+                held.append(text)
+                size += len(text)
+                if size > CHUNK:
+                    total += np.bincount(_each(held), minlength=1 << BITS)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(_each(held), minlength=1 << BITS)
     for lang, total in totals.items():
         at = np.flatnonzero(total)
         yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": total[at]})
@@ -81,12 +109,12 @@ def _totals(text: str, logs: np.ndarray) -> np.ndarray:
     """Log-probability of a text and each language of a block."""
     total = logs[-1].astype(np.float64)
     for piece in _pieces(text):
-        if len(piece) > 5000:
-            n = np.bincount(buckets(piece), minlength=1 << BITS)
+        if len(piece) > 15000:
+            n = np.bincount(piece, minlength=1 << BITS)
             at = np.flatnonzero(n)
             total = total + n[at] @ logs[at].astype(np.float64)
         else:
-            total = total + logs[buckets(piece)].sum(axis=0, dtype=np.float64)
+            total = total + logs[piece].sum(axis=0, dtype=np.float64)
     return total
 
 

@@ -12,11 +12,13 @@ doc_id appear once each. An empty table gives an empty result; extra columns are
 `near_copies` is the same search for a similarity of word shingles in place of a distance: texts have PRINTS
 fingerprints, each cut in three segments; two texts whose halves of a segment differ in at most 2 bits meet, as each
 enters the Hamming ball of radius 1 around its segment in the table and probes with the same ball. Pairs at most FAR
-bits apart as a whole are then held against the exact Jaccard similarity of their shingles.
+bits apart as a whole are then held against the exact Jaccard similarity of their whole texts' shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -63,17 +65,24 @@ def fingerprint(text: str | None) -> int:
     return fingerprints_of(text)[0]
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, prints: int = 1) -> DataFrame:
-    """(doc_id, fp, fp1...): signed 64-bit fingerprints of whole texts."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, prints: int = 1, digest: bool = False) -> DataFrame:
+    """(doc_id, fp, fp1...): signed 64-bit fingerprints of whole texts; digest: also the SHA-256 of each (null: empty)."""
     names = ["fp", *[f"fp{k}" for k in range(1, prints)]]
+    extra = ["digest"] if digest else []
 
     def run(batches):
         for batch in batches:
-            rows = [fingerprints_of(x, width, prints) for x in batch.column("text").to_pylist()]
-            columns = list(zip(*rows)) or [()] * prints
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", *names])
+            texts = batch.column("text").to_pylist()
+            columns = list(zip(*[fingerprints_of(x, width, prints) for x in texts])) or [()] * prints
+            last = [pa.array([text_digest(x) for x in texts], pa.string()) for _ in extra]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns], *last], names=["doc_id", *names, *extra])
+
+    kind = ", ".join([*[f"{c} long" for c in ["doc_id", *names]], *[f"{c} string" for c in extra]])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *names]))
+def text_digest(text: str | None) -> str:
+    return hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -131,8 +140,10 @@ def jaccard(one: str | None, two: str | None, width: int = NEAR_WIDTH) -> float:
 def near_copies(docs: DataFrame, width: int = NEAR_WIDTH, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, component_id) of documents in groups of near copies that are not the group's smallest doc_id.
 
-    Rows without doc_id take no part. Rows that repeat a doc_id count as one document with several texts. Texts with equal
-    fingerprints are copies.
+    Equal texts are one. Of the texts with equal fingerprints the one with the smallest doc_id speaks for those that are
+    verified as similar to it; the others speak for themselves. Pairs of such speakers that meet in a table are verified,
+    and links go through components. Nothing goes without a verified similarity. Rows without doc_id take no part. Rows
+    that repeat a doc_id count as one document with several texts.
     """
 
     def check(batches):
@@ -140,27 +151,28 @@ def near_copies(docs: DataFrame, width: int = NEAR_WIDTH, similar: float = SIMIL
             ok = [jaccard(x, y, width) >= similar for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    prints = stored(fingerprints(docs.filter("doc_id IS NOT NULL"), width, PRINTS), "near-prints")
-    names = prints.columns[1:]
-    first = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "near-first")
-    pairs = stored(near_pairs(first.select("node", *names)), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first.select("node", F.col("first").alias("doc_id"), *names), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    # of rows that repeat a doc_id, the one with the node's fingerprint
-    found = F.pandas_udf(lambda t: t.map(lambda x: fingerprint_key(x, width)), "string")
-    texts = texts.filter(found("text") == F.concat_ws(",", *[F.col(c).cast("string") for c in names])).select("node", "text").dropDuplicates(["node"])
-    texts = stored(texts, "near-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    linked = stored(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "near-links")
-    groups = components(linked)
-    named = first.join(groups, "node", "left").select(*names, "first", F.coalesce("component", "node").alias("group"))
+    prints = stored(fingerprints(docs.filter("doc_id IS NOT NULL"), width, PRINTS, digest=True), "near-prints")
+    names = prints.columns[1:-1]
+    distinct = stored(prints.groupBy("digest", *names).agg(F.min("doc_id").alias("first")).withColumn("own", F.monotonically_increasing_id()), "near-distinct")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct().join(distinct.select("own", F.col("first").alias("doc_id"), "digest"), "own")
+        # of rows that repeat a doc_id, the one with the text that is meant
+        whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id")
+        texts = stored(whole.filter(F.sha2(F.col("text").cast("binary"), 256) == F.col("digest")).select("own", "text").dropDuplicates(["own"]), f"{name}-texts")
+        both = pairs.join(texts.select(F.col("own").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("own").alias("b"), F.col("text").alias("tb")), "b")
+        return stored(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), name)
+
+    heads = distinct.groupBy(*names).agg(F.min(F.struct("first", "own")).alias("head"), F.count("*").alias("n")).filter("n > 1")
+    same = stored(distinct.join(heads, names).select(F.col("head.own").alias("a"), F.col("own").alias("b")).filter("a <> b"), "near-same")
+    spoken = verified(same, "near-spoken").select(F.col("b").alias("own"), F.col("a").alias("node"))
+    nodes = stored(distinct.join(spoken, "own", "left").withColumn("node", F.coalesce("node", "own")), "near-nodes")
+    pairs = stored(near_pairs(nodes.filter("own = node").select("node", *names)), "near-pairs")
+    found = components(verified(pairs, "near-links"))
+    named = nodes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("group"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "group").select(*names, "component_id")
-    return prints.join(of.repartition(parts(docs)).hint("merge"), names).filter("doc_id > component_id").select("doc_id", "component_id").distinct()
-
-
-def fingerprint_key(text: str | None, width: int) -> str:
-    return ",".join(map(str, fingerprints_of(text, width, PRINTS)))
+    of = named.join(least, "group").select("digest", "component_id")
+    return prints.join(of.repartition(parts(docs)).hint("merge"), "digest").filter("doc_id > component_id").select("doc_id", "component_id").distinct()
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,8 +126,8 @@ def brute_bayes(rows, held):
     learn = [(t, lang) for i, t, lang in rows if i not in held and t is not None and lang is not None]
     langs = sorted({x for _, x in learn})
     counts = {x: Counter() for x in langs}
-    for lang in langs:  # texts of one language are joined with line feeds, batch by batch
-        counts[lang].update(language_id.buckets("\n".join(t for t, x in learn if x == lang)).tolist())
+    for t, lang in learn:
+        counts[lang].update(language_id.buckets(t).tolist())
     size = 1 << language_id.BITS
     totals = {x: sum(counts[x].values()) + size / 2 for x in langs}
     out = {}
@@ -147,7 +147,7 @@ def test_language_id_is_naive_bayes(spark, block):
     kinds = {"en": "the of and to in a is that", "de": "der die und das nicht ein ist", "fr": "le la et les des un est que"}
     rows = [(i, " ".join(random.choice(v.split()) for _ in range(random.randint(1, 6))), k) for i, (k, v) in enumerate(itertools.islice(itertools.cycle(kinds.items()), 60))]
     rows += [(100, None, "en"), (101, "", None), (102, "12 !!", "de"), (103, "the und le", None), (104, "the und le", None), (105, rows[0][1], "xx")]
-    d = spark.createDataFrame([(*r, 7, "own") for r in rows], "doc_id long, text string, lang string, score int, lang_pred string").coalesce(1)
+    d = spark.createDataFrame([(*r, 7, "own") for r in rows], "doc_id long, text string, lang string, score int, lang_pred string").repartition(3)
     held = {r[0] for r in d.filter(language_id.held_out()).select("doc_id").collect()}
     model = language_id.train(d.filter(~language_id.held_out()), block)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(d, model).collect()}
@@ -159,6 +159,44 @@ def test_language_id_is_naive_bayes(spark, block):
     assert {r["lang_pred"] for r in language_id.predict(d, none).collect()} == {"und"}
 
 
+def test_language_counts_do_not_hang_on_layout(spark, monkeypatch):
+    """Equal for any layout, and for very long texts cut into pieces."""
+    import numpy as np
+
+    random.seed(12)
+    texts = ["".join(random.choice("abcÀß. ") for _ in range(random.randint(0, 90))) for _ in range(40)]
+    want = np.bincount(np.concatenate([language_id.buckets(t) for t in texts]), minlength=1 << language_id.BITS)
+    import pandas as pd
+
+    for chunk in (1 << 20, 7):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        got = np.zeros_like(want)
+        for out in language_id._count([pd.DataFrame({"lang": "x", "text": part}) for part in (texts[:5], texts[5:])]):
+            np.add.at(got, out["bucket"].to_numpy(), out["n"].to_numpy())
+        assert (got == want).all()
+        assert (np.sort(np.concatenate([*language_id._pieces(texts[0] + "Z")])) == np.sort(language_id.buckets(texts[0] + "Z"))).all()
+
+
+def test_texts_of_equal_fingerprints_are_verified(spark):
+    """Forty times the same word hides what differs from the fingerprints; such texts are no copies."""
+    random.seed(6)
+    words = [f"w{i}" for i in range(500)]
+    one, two = ("ha " * 40 + " ".join(random.sample(words, 20)) for _ in range(2))
+    rows = [(1, one), (2, two), (3, one), (4, two.upper()), (5, one.replace("ha ha", "ha  ha")), (6, None), (7, "")]
+    assert simhash.fingerprints_of(one, 5, 2) == simhash.fingerprints_of(two, 5, 2) and simhash.jaccard(one, two) < 0.8
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 1), (5, 1), (4, 2), (7, 6)}
+
+
+def test_short_items_meet_whole_documents(spark):
+    from corpusops.llm import decontaminate
+
+    items = spark.createDataFrame([(1, "Who wrote Hamlet"), (2, "Solve x + 4 = 9"), (3, None), (4, "")], "id long, text string")
+    docs_ = spark.createDataFrame([(10, "who wrote Hamlet?"), (11, "Solve x + 4 = 9"), (12, "Who wrote Hamlet and when"), (13, None), (14, " "), (15, "Solve x + 4 = 8")], "id long, text string")
+    got = {(r["id"], r["item_id"]) for r in decontaminate.contaminated(docs_, items).collect()}
+    assert got == {(10, 1), (11, 2)}
+
+
 def test_top_k(spark):
     random.seed(3)
     rows = [(i, [random.choice([-0.25, 0.0, 0.5]) for _ in range(4)]) for i in range(300)] + [(300, None), (301, [None, 1.0, 1.0, 1.0]), (302, [float("nan")] * 4), (400, [0.5] * 4), (400, [0.5] * 4)]
