@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, stored, table
 
-BITS, BLOCK, CHUNK = 15, 250, 1 << 20
+BITS, BLOCK, CHUNK, TOGETHER = 15, 250, 1 << 20, 1 << 16
 UND = "und"
 
 
@@ -74,7 +74,7 @@ def _count(batches):
                     continue
                 held.append(text)
                 size += len(text)
-                if size > CHUNK:
+                if size > TOGETHER:
                     total += np.bincount(_each(held), minlength=1 << BITS)
                     held, size = [], 0
             if held:
