@@ -13,7 +13,7 @@ with score 0. An empty table gives an empty result. Extra columns, whatever thei
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,26 +62,31 @@ def _each(texts: list[str]) -> np.ndarray:
 
 
 def _count(batches):
+    """For mapInArrow: (text, lang) to n-gram counts by language, once a task."""
     totals: dict[str, np.ndarray] = {}
-    for pdf in batches:
-        for lang, group in pdf.groupby("lang", sort=False):
-            total = totals.setdefault(lang, np.zeros(1 << BITS, np.int64))
-            held, size = [], 0
-            for text in group["text"]:
-                if len(text) > CHUNK:
-                    for piece in _pieces(text):
-                        total += np.bincount(piece, minlength=1 << BITS)
-                    continue
-                held.append(text)
-                size += len(text)
-                if size > TOGETHER:
-                    total += np.bincount(_each(held), minlength=1 << BITS)
-                    held, size = [], 0
-            if held:
-                total += np.bincount(_each(held), minlength=1 << BITS)
+    held: dict[str, list[str]] = {}
+
+    def add(lang: str, grams: np.ndarray) -> None:
+        totals.setdefault(lang, np.zeros(1 << BITS, np.int64))[:] += np.bincount(grams, minlength=1 << BITS)
+
+    for batch in batches:
+        sizes: dict[str, int] = {}
+        for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
+            text = text.as_py()
+            if len(text) > TOGETHER:
+                for piece in _pieces(text):
+                    add(lang, piece)
+                continue
+            held.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text)
+            if sizes[lang] > TOGETHER:
+                add(lang, _each(held.pop(lang)))
+                sizes[lang] = 0
+        for lang in [*held]:
+            add(lang, _each(held.pop(lang)))
     for lang, total in totals.items():
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": total[at]})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
 
 def train(labelled: DataFrame, block: int = BLOCK) -> list[tuple[list[str], Broadcast]]:
@@ -89,7 +94,7 @@ def train(labelled: DataFrame, block: int = BLOCK) -> list[tuple[list[str], Broa
     has the log priors, from rows (text, lang)."""
     spark = labelled.sparkSession
     rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    counts = rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     packed = stored(counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).select("lang", "c.bucket", "c.n"), "languages")
     priors = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
     langs, total = sorted(priors), sum(priors.values())
@@ -119,18 +124,20 @@ def _totals(text: str, logs: np.ndarray) -> np.ndarray:
 
 
 def _scorer(names: list[str], shared: Broadcast):
-    @F.pandas_udf("lang string, top double, sum double")
-    def best(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang string, top double, sum double")
+    def best(texts: pa.Array) -> pa.Array:
         """The best language of a block, its log-probability, and the sum of all relative to it; null without a letter."""
         logs, out = shared.value, []
         for text in texts:
+            text = text.as_py()
             if text is None or not any(map(str.isalpha, text)):
                 out.append((None, None, None))
                 continue
             total = _totals(text, logs)
             k = int(np.argmax(total))
             out.append((names[k], float(total[k]), float(np.exp(total - total[k]).sum())))
-        return pd.DataFrame(out, columns=["lang", "top", "sum"])
+        columns = list(zip(*out)) or [(), (), ()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.float64()))], names=["lang", "top", "sum"])
 
     return best
 

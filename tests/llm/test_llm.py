@@ -166,12 +166,13 @@ def test_language_counts_do_not_hang_on_layout(spark, monkeypatch):
     random.seed(12)
     texts = ["".join(random.choice("abcÀß. ") for _ in range(random.randint(0, 90))) for _ in range(40)]
     want = np.bincount(np.concatenate([language_id.buckets(t) for t in texts]), minlength=1 << language_id.BITS)
-    import pandas as pd
+    import pyarrow as pa
 
-    for chunk in (1 << 20, 7):
+    for chunk, together in ((1 << 20, 1 << 16), (1 << 20, 100), (7, 30)):
         monkeypatch.setattr(language_id, "CHUNK", chunk)
+        monkeypatch.setattr(language_id, "TOGETHER", together)
         got = np.zeros_like(want)
-        for out in language_id._count([pd.DataFrame({"lang": "x", "text": part}) for part in (texts[:5], texts[5:])]):
+        for out in language_id._count([pa.RecordBatch.from_pydict({"lang": ["x"] * len(part), "text": part}) for part in (texts[:5], texts[5:])]):
             np.add.at(got, out["bucket"].to_numpy(), out["n"].to_numpy())
         assert (got == want).all()
         assert (np.sort(np.concatenate([*language_id._pieces(texts[0] + "Z")])) == np.sort(language_id.buckets(texts[0] + "Z"))).all()
