@@ -20,20 +20,23 @@ def _order(group: str) -> list[Column]:
     return [F.sha1(F.col(group).cast("string").cast("binary")), F.col(group)]
 
 
-def group_sizes(df: DataFrame, group: str, width: int = 20_000) -> DataFrame:
-    """(group, n, h, before): sizes, and the rows of groups that come earlier in hash order.
+def _before(sizes: DataFrame, group: str, value: str, out: str, digits: int) -> DataFrame:
+    """Adds the sum of value over the groups that come earlier in hash order: inside cells of so many leading hash digits,
+    and level by level over the cells."""
+    cells = sizes.withColumn("_p", F.substring("h", 1, digits))
+    starts = cell_starts(cells.groupBy("_p").agg(F.sum(value).alias("_c")), [], digits)
+    inside = Window.partitionBy("_p").orderBy("h", group).rowsBetween(Window.unboundedPreceding, -1)
+    summed = cells.withColumn("_i", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, "_p")
+    return summed.withColumn(out, F.col("_b") + F.col("_i")).drop("_p", "_b", "_i")
 
-    Sums run inside cells of about `width` groups, by as many leading hash digits as their number asks for, and level by
-    level over the cells.
-    """
+
+def group_sizes(df: DataFrame, group: str, width: int = 20_000) -> DataFrame:
+    """(group, n, h, before): sizes, and the rows of groups that come earlier in hash order, in cells of about `width`
+    groups."""
     from ..sources.io import kept
 
     sizes = kept(df.groupBy(group).agg(F.count("*").alias("n")).withColumn("h", _order(group)[0]), "group-sizes")
-    digits = hash_digits(sizes.count(), width)
-    sizes = sizes.withColumn("_p", F.substring("h", 1, digits))
-    starts = cell_starts(sizes.groupBy("_p").agg(F.sum("n").alias("_c")), [], digits)
-    inside = Window.partitionBy("_p").orderBy("h", group).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("_i", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, "_p").select(group, "n", "h", (F.col("_b") + F.col("_i")).alias("before"))
+    return _before(sizes, group, "n", "before", hash_digits(sizes.count(), width)).select(group, "n", "h", "before")
 
 
 def split_greedy(df: DataFrame, group: str, ratios=(0.8, 0.1, 0.1)) -> DataFrame:
@@ -48,45 +51,39 @@ def split_greedy(df: DataFrame, group: str, ratios=(0.8, 0.1, 0.1)) -> DataFrame
     return sizes.crossJoin(first).select(group, "n", split.alias("split"))
 
 
-def group_split(df: DataFrame, group: str, target: int, chunk: int = 100_000) -> DataFrame:
+def group_split(df: DataFrame, group: str, target: int, width: int = 20_000) -> DataFrame:
     """(group, n, validation): groups in hash order are taken while that brings the count nearer to the target, or while
     what is left could not reach it.
 
-    The rule is sequential, so it runs as a fold, over the first `chunk` groups in order that could be taken at all: not
-    larger than twice what is needed, or near the end. What is needed only falls, so groups left out stay out. As a rule
-    the target is met in the first chunk; otherwise the next one goes on from there.
+    A group of n rows is taken if n is at most twice what is needed then, or more than what may still be left out. The
+    rule is sequential, but runs of decisions follow from prefix sums: with b the largest size up to what is needed, all
+    groups of up to b rows are taken as long as twice what is needed is b or more, and any larger group that is taken ends
+    the split. A run's end is one minimum over all groups. What is needed then is less than half of before, so there are
+    no more runs than the target has binary digits, as a rule two or three; of each only its end comes to the driver.
     """
     from ..sources.io import kept
 
-    sized = kept(group_sizes(df, group), "groups")
-    kind = dict(sized.dtypes)[group]
-    total, v, after, taken = sized.agg(F.sum("n")).first()[0] or 0, 0, None, []
-    start = lambda v: F.struct(F.lit(v).cast("long").alias("v"), F.array().cast(f"array<{kind}>").alias("taken"))
-
-    def step(s, x):
-        need = F.lit(target) - s["v"]
-        take = (need > 0) & ((x["n"] <= 2 * need) | (F.lit(total) - x["before"] - x["n"] < need))
-        return F.struct((s["v"] + F.when(take, x["n"]).otherwise(0)).alias("v"), F.when(take, F.array_append(s["taken"], x["g"])).otherwise(s["taken"]).alias("taken"))
-
-    while v < target:
-        need = target - v
-        could = sized.filter((F.col("n") <= 2 * need) | (F.lit(total) - F.col("before") - F.col("n") < need))
-        if after:
-            could = could.filter(F.struct("h", group) > F.struct(F.lit(after[0]), F.lit(after[1]).cast(kind)))
-        rows = could.orderBy("h", group).limit(chunk).agg(F.sort_array(F.collect_list(F.struct("h", F.col(group).alias("g"), "n", "before"))).alias("a"))
-        folded = kept(rows.select(F.aggregate("a", start(v), step).alias("s"), F.size("a").alias("size"), F.try_element_at("a", F.lit(-1)).alias("last")), "group-fold")
-        r = folded.select("s.v", "size", "last.h", "last.g").first()
-        taken.append(folded.select(F.explode("s.taken").alias(group)))
-        v, after = r["v"], (r["h"], r["g"])
-        if r["size"] < chunk:
+    sized = kept(group_sizes(df, group, width), "groups")
+    kind, place, n = dict(sized.dtypes)[group], F.struct("h", group), F.col("n")
+    rows, total = sized.agg(F.count("*"), F.sum("n")).first()
+    digits, need, spare = hash_digits(rows, width), target, (total or 0) - target
+    at = lambda r: F.struct(F.lit(r["h"]), F.lit(r["g"]).cast(kind).alias(group))
+    last, taken = None, F.lit(False)
+    while need > 0:
+        rest = sized.filter(place > at(last)) if last else sized
+        bound = rest.filter(n <= need).agg(F.max("n")).first()[0] or 0
+        sums = _before(rest.withColumn("_s", F.when(n <= bound, n).otherwise(0)), group, "_s", "small", digits)
+        left = F.lit(need) - F.col("small")
+        skipped = F.col("before") - (last["before"] + last["n"] if last else 0) - F.col("small")
+        ends = F.when(n <= bound, 2 * (left - n) < bound).otherwise((n <= 2 * left) | (n > F.lit(spare) - skipped))
+        end = sums.filter(ends).agg(F.min(F.struct("h", F.col(group).alias("g"), "n", "before", "small", skipped.alias("skipped"))).alias("e")).first()["e"]
+        run = (place > at(last)) if last else F.lit(True)
+        if end is None:
+            taken = taken | (run & (n <= bound))
             break
-    sizes = sized.select(group, "n")
-    if not taken:
-        return sizes.withColumn("validation", F.lit(False))
-    chosen = taken[0]
-    for t in taken[1:]:
-        chosen = chosen.unionByName(t)
-    return sizes.join(chosen.withColumn("validation", F.lit(True)), group, "left").na.fill(False, ["validation"])
+        taken = taken | (run & (place <= at(end)) & ((n <= bound) | (place == at(end))))
+        need, spare, last = need - end["small"] - end["n"], spare - end["skipped"], end
+    return sized.select(group, "n", taken.alias("validation"))
 
 
 def split_extract(df: DataFrame, val: tuple[str, ...] = ("val", "validation")) -> dict[str, DataFrame]:

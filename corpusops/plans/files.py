@@ -47,8 +47,7 @@ def scan_mapping_json(t: Inputs):
     images = F.when(F.col("n_nationkey") % 3 == 0, F.lit("none")).otherwise(F.lit('["a.png","b.png"]'))
     entry = F.concat(F.lit('"'), "n_nationkey", F.lit('":{"Hebrew":"'), "n_name", F.lit('","English":"'), F.lower("n_name"), F.lit('","Images":'), F.when(F.col("n_nationkey") % 3 == 0, F.lit('"none"')).otherwise(images), F.lit("}"))
     path = io.scratch(t.spark, "mapping")
-    # the format is one object; the table has one row per nation
-    t.table("nation").agg(F.array_join(F.collect_list(entry), ",").alias("v")).select(F.concat(F.lit('{"skip":3,'), "v", F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    io.write_joined([('{"skip":3,', t.table("nation").select(F.col("n_nationkey").alias("k"), entry.alias("value")))], "}", path)
     return io.read_mapping(t.spark, path).select("row_id", "hebrew", "english", F.size("images").alias("n_images"))
 
 

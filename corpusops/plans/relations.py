@@ -258,8 +258,7 @@ def build_manifest(t: Inputs):
     images = F.when(F.col("c_custkey") % 5 == 0, F.array().cast("array<string>")).when(F.col("c_custkey") % 3 == 0, F.array(name(0))).otherwise(F.array(name(0), name(1)))
     entry = F.concat(F.lit('"'), F.col("c_custkey").cast("string"), F.lit('":'), F.to_json(F.struct(F.replace("c_name", F.lit("o"), F.lit("[o]")).alias("Hebrew"), F.lower("c_mktsegment").alias("English"), images.alias("Images"))))
     mapping, meta = io.scratch(t.spark, "mapping"), io.scratch(t.spark, "meta")
-    # the format is one object; the table has one entry per customer
-    c.agg(F.array_join(F.collect_list(entry), ",").alias("v")).select(F.concat(F.lit("{"), "v", F.lit("}")).alias("value")).coalesce(1).write.text(mapping)
+    io.write_joined([("{", c.select(F.col("c_custkey").alias("k"), entry.alias("value")))], "}", mapping)
     io.write_csv(c.select(F.col("c_custkey").alias("ID"), F.col("c_mktsegment").alias("segment")), meta)
     listing = c.filter("c_custkey % 2 = 0").select(F.explode(F.array(name(0), name(1))).alias("path"))
     out, stats = M.build_manifest(io.read_mapping(t.spark, mapping), io.read_metadata_csv(t.spark, meta), ["segment"], listing)

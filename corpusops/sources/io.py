@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,15 +58,79 @@ def read_metadata_csv(spark: SparkSession, path: str, key: str = "ID") -> DataFr
     return rows.withColumn(key, F.trim(key))
 
 
+def _running(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds the sum of value over what comes earlier in a file: inside its byte range, and over the ranges."""
+    inside = Window.partitionBy("file", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = df.groupBy("file", "block").agg(F.sum(value).alias("_t"))
+    starts = ranges.select("file", "block", F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_o"))
+    rows = df.withColumn("_i", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, ["file", "block"])
+    return rows.withColumn(out, F.col("_i") + F.col("_o")).drop("_i", "_o")
+
+
+def json_members(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, i, key, value): the members of the JSON object that each file of path is, values as JSON text.
+
+    A file is read by byte ranges, whatever its size and its line ends: pieces end at closing braces, as Spark's text
+    source cuts them. A piece is counted for both cases, that it starts in a string or not; running sums of quotes tell
+    which one holds, running sums of brackets how deep it is. Members of depth 1 are put together and parsed each by
+    itself, with those beside it that are no objects. (block, i) is the order in the file.
+    """
+    read = spark.read.option("lineSep", "}").text(path)
+    pieces = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    count = lambda text, others: F.length(F.regexp_replace(text, others, ""))
+    quotes = count(plain, r'[^"]')
+
+    def deeper(inside: int) -> Column:
+        code = F.regexp_replace(F.concat(F.lit('"' * inside), plain), r'"[^"]*("|\z)', "")
+        closes = F.when((quotes + inside) % 2 == 0, 1).otherwise(0)
+        return count(code, r"[^\[{]") - count(code, r"[^\]]") - closes
+
+    pieces = kept(pieces.select("*", quotes.alias("quotes"), deeper(0).alias("d0"), deeper(1).alias("d1")), "json-pieces")
+    rows = _running(pieces.drop("value"), "quotes", "q")
+    rows = _running(rows.withColumn("d", F.when(F.col("q") % 2 == 0, F.col("d0")).otherwise(F.col("d1"))), "d", "depth")
+    outside = (F.col("q") + F.col("quotes")) % 2 == 0
+    end = F.col("depth") + F.col("d")
+    rows = _running(rows.filter("depth + d >= 0").withColumn("ends", F.when(outside & (end == 1), 1).otherwise(0)), "ends", "member")
+    rows = rows.select("file", "block", "i", "member", (outside & (end == 0)).alias("root"))
+    whole = F.concat("value", F.when(F.col("root"), "").otherwise("}")).alias("text")
+    members = rows.join(pieces.select("file", "block", "i", "value"), ["file", "block", "i"]).groupBy("file", "member").agg(F.sort_array(F.collect_list(F.struct("block", "i", whole))).alias("t"))
+    text = F.regexp_replace(F.array_join(F.transform("t", lambda x: x["text"]), ""), "^\ufeff?\\s*[{,]", "")
+    made = members.select("file", F.col("t")[0]["block"].alias("block"), F.col("t")[0]["i"].alias("i"), F.from_json(F.concat(F.lit("{"), text, F.lit("}")), "map<string,string>").alias("m"))
+    return made.select("file", "block", "i", F.posexplode("m").alias("pos", "key", "value"))
+
+
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object {row_id: {Hebrew, English, Transliteration, Images}}; entries that are no objects go."""
-    text = spark.read.text(path, wholetext=True)
-    entries = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("row_id", "entry")).filter(F.startswith(F.trim("entry"), F.lit("{")))
+    """One JSON object {row_id: {Hebrew, English, Transliteration, Images}}; of a repeated key the last entry counts,
+    entries that are no objects go."""
+    last = json_members(spark, path).groupBy("file", F.col("key").alias("row_id")).agg(F.max_by("value", F.struct("block", "i", "pos")).alias("entry"))
+    entries = last.filter(F.startswith(F.trim("entry"), F.lit("{")))
     e = F.from_json("entry", "Hebrew STRING, English STRING, Transliteration STRING, Images STRING")
     images = F.coalesce(F.from_json(e["Images"], "array<string>"), F.array().cast("array<string>"))
     return entries.select("row_id", e["Hebrew"].alias("hebrew"), e["English"].alias("english"), e["Transliteration"].alias("transliteration"), images.alias("images"))
 
 
+def write_joined(sections: list[tuple[str, DataFrame]], end: str, path: str) -> str:
+    """One text file below path: of each section its opening and its texts (k, value), a line each, in order of the number
+    k and with commas between; then the end.
+
+    The order is made by ranges in parallel; as it is one file, one task writes it, row after row, and no row holds more
+    than one text.
+    """
+    bodies = [df.select(F.lit(2 * s + 1).alias("s"), F.col("k").cast("long").alias("k"), "value") for s, (_, df) in enumerate(sections)]
+    rows = bodies[0]
+    for more in bodies[1:]:
+        rows = rows.unionByName(more)
+    rows = kept(rows.withColumn("u", F.monotonically_increasing_id()), "joined-rows")
+    first = [r["f"]["u"] for r in rows.groupBy("s").agg(F.min(F.struct("k", "u")).alias("f")).collect()]  # one a section
+    texts = rows.select("s", "k", "u", F.concat(F.when(F.col("u").isin(first), "").otherwise(","), "value").alias("value"))
+    marks = [(2 * s, 0, 0, opening) for s, (opening, _) in enumerate(sections)] + [(2 * len(sections), 0, 0, end)]
+    lines = texts.unionByName(rows.sparkSession.createDataFrame(marks, "s int, k long, u long, value string"))
+    lines.orderBy("s", "k", "u").select("value").coalesce(1).write.text(path)
+    return path
+
+
 def read_binary(spark: SparkSession, path: str, suffixes: str = "*") -> DataFrame:
     """(path, name, size, sha256, format, width, height, error) of each file, read once; what is no whole image has an
     error that says why."""
@@ -145,14 +209,15 @@ def read_yolo_packed(spark: SparkSession, path: str, by: str = "split") -> DataF
 
 
 def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, single: bool = False) -> str:
-    """images, annotations and categories as JSONL folders below path; single: also one COCO file coco.json, for sets that
-    fit in one row."""
-    for name, df in (("images", images), ("annotations", annotations), ("categories", categories)):
+    """images, annotations and categories as JSONL folders below path; single: also all in one COCO file, in order of id,
+    below path/coco.json."""
+    tables = (("images", images), ("annotations", annotations), ("categories", categories))
+    for name, df in tables:
         df.write.json(f"{path}/{name}")
     if single:
-        packed = [df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(n)) for n, df in (("images", images), ("annotations", annotations), ("categories", categories))]
-        one = packed[0].join(packed[1]).join(packed[2])
-        one.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value")).coalesce(1).write.text(f"{path}/coco.json")
+        rows = [df.select(F.col("id").alias("k"), F.to_json(F.struct(*df.columns)).alias("value")) for _, df in tables]
+        openings = ['{"images":[', '],"annotations":[', '],"categories":[']
+        write_joined(list(zip(openings, rows)), "]}", f"{path}/coco.json")
     return path
 
 
@@ -195,15 +260,11 @@ def coco_annotations(boxes: DataFrame, images: DataFrame, categories: DataFrame)
 
 
 def _window(part: str, order: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(part).orderBy(order)
 
 
 def prefix_sums(df: DataFrame, order: str, value: str, out: str, width: int = 4096) -> DataFrame:
     """Sum of value over rows of smaller order (a non-negative whole number), in two levels of blocks of that order."""
-    from pyspark.sql import Window
-
     block = F.floor(F.col(order) / width)
     within = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("_b", block).withColumn("_w", F.coalesce(F.sum(value).over(within), F.lit(0)))

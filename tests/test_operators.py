@@ -211,7 +211,7 @@ def test_label_files_and_coco_in_one_file(spark, tmp_path):
     assert sorted((r["uid"], r["line_no"], r["cls"], r["h"]) for r in back.collect()) == [("0", 0, 7, 0.2), ("0", 1, 7, 0.2), ("1", 0, 7, 0.2), ("1", 1, 7, 0.2)]
     ids = spark.createDataFrame([(1, "u")], "id long, uid string")
     io.write_coco(ids, spark.createDataFrame([(1, 1)], "id long, image_id long"), spark.createDataFrame([(0, "glyph")], "id long, name string"), str(tmp_path / "c"), single=True)
-    text = spark.read.text(str(tmp_path / "c" / "coco.json")).first()[0]
+    text = "".join(r[0] for r in spark.read.text(str(tmp_path / "c" / "coco.json"), wholetext=True).collect()).replace("\n", "")
     assert text == '{"images":[{"id":1,"uid":"u"}],"annotations":[{"id":1,"image_id":1}],"categories":[{"id":0,"name":"glyph"}]}'
 
 
@@ -228,8 +228,62 @@ def test_long_edit_scripts(spark):
     assert sum(s["op"] != "equal" for s in row["s"]) == row["d"]
 
 
-def test_group_split_does_not_depend_on_chunks(spark):
-    df = spark.range(3000).select((F.col("id") % 7 * 13 + F.col("id") % 11).alias("row_id"))
-    want = {r["row_id"]: r["validation"] for r in S.group_split(df, "row_id", 500).collect()}
-    assert want == {r["row_id"]: r["validation"] for r in S.group_split(df, "row_id", 500, chunk=2).collect()}
+def fold_of_groups(sizes, target):
+    import hashlib
+
+    order = sorted(sizes, key=lambda g: (hashlib.sha1(str(g).encode()).hexdigest(), g))
+    v, seen, total, taken = 0, 0, sum(sizes.values()), {}
+    for g in order:
+        n, need = sizes[g], target - v
+        taken[g] = need > 0 and (n <= 2 * need or total - seen - n < need)
+        v, seen = v + n * taken[g], seen + n
+    return taken
+
+
+def test_group_split_is_the_fold_of_groups_in_order(spark):
+    import random
+
+    random.seed(3)
+    for case, (groups, largest, share) in enumerate([(60, 5, 0.3), (60, 400, 0.1), (40, 9, 1.0), (40, 9, 1.2), (30, 1, 0.5), (50, 1000, 0.01), (1, 7, 0.5)]):
+        sizes = {g: random.choice([1, 2, random.randint(1, largest)]) for g in range(groups)}
+        target = round(sum(sizes.values()) * share)
+        df = spark.createDataFrame([(g, n) for g, n in sizes.items()], "row_id long, n int").select("row_id", F.explode(F.sequence(F.lit(1), "n")))
+        got = {r["row_id"]: r["validation"] for r in S.group_split(df, "row_id", target, width=20_000 if case % 2 else 1).collect()}
+        assert got == fold_of_groups(sizes, target)
     assert not any(r["validation"] for r in S.group_split(df, "row_id", 0).collect())
+    assert S.group_split(df.limit(0), "row_id", 5).count() == 0
+
+
+def test_mapping_in_byte_ranges(spark, tmp_path):
+    """One object on one line or many, braces and quotes in strings, cut anywhere: entries are those of a JSON parser."""
+    import json
+
+    entries = {f'k{i} "}}{{' if i % 9 == 0 else f"k{i}": {"Hebrew": "}" * (i % 4) + '"\\' * (i % 3) + "\u05d0{", "English": "x" * (i * 7 % 50), "Images": ["a}.png", '"b"'] if i % 2 else "none"} for i in range(120)}
+    whole = {"n": 5, "list": [{"a": {"b": "}"}}, "]{"], **entries, "tail": [{"z": 1}], "s": "}"}
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text(json.dumps(whole), encoding="utf-8")
+    (tmp_path / "m" / "b.json").write_text(json.dumps({"other": {"Hebrew": "h"}, "empty": {}}, indent=2) + "\n\n", encoding="utf-8")
+    (tmp_path / "m" / "c.json").write_text('{"k": {"Hebrew": "old"}, "gone": {"Hebrew": "x"}, "k": {"Hebrew": "new"}, "gone": 5}', encoding="utf-8")
+    (tmp_path / "m" / "d.json").write_text("{}")
+    want = {k: (v.get("Hebrew"), v["Images"] if isinstance(v.get("Images"), list) else []) for k, v in {**entries, "other": {"Hebrew": "h"}, "empty": {}, "k": {"Hebrew": "new"}}.items()}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "1000", "97"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert size == "128m" or spark.read.option("lineSep", "}").text(str(tmp_path / "m")).rdd.getNumPartitions() > 8
+            got = [(r["row_id"], (r["hebrew"], r["images"])) for r in io.read_mapping(spark, str(tmp_path / "m")).collect()]
+            assert len(got) == len(want) and dict(got) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_joined_file_keeps_order_and_repeats(spark, tmp_path):
+    import json
+
+    rows = spark.range(500).repartition(7).select((F.col("id") % 250).alias("k"), F.concat(F.lit('{"i":'), (F.col("id") % 250).cast("string"), F.lit("}")).alias("value"))
+    io.write_joined([('{"a":[', rows), ('],"b":[', rows.limit(0)), ('],"c":[', rows.filter("k < 1"))], "]}", str(tmp_path / "j"))
+    files = list((tmp_path / "j").glob("part-*"))
+    got = json.loads(files[0].read_text())
+    assert len(files) == 1 and [x["i"] for x in got["a"]] == sorted(i % 250 for i in range(500)) and got["b"] == [] and got["c"] == [{"i": 0}, {"i": 0}]
