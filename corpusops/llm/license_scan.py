@@ -4,11 +4,15 @@ Texts are lower-cased, every run of other than letters and digits becomes a blan
 lines they stood on. A template of n words is compared with spans of n words: Dice is twice the shared distinct bigrams
 over the sum of both sides' distinct bigrams. Templates are short notices, headers and whole license texts.
 
-Size bounds prune: Dice >= t lets a template miss at most 1 - t / (2 - t) of its bigrams, so a span that reaches it has
-one of any choice of one bigram more than that; the longest ones are the template's anchors. Documents without a word of
-any anchor go first, then spans start only where an anchor stands where the template has it. A document of fewer words
-than a template is compared as a whole. For each license the best span of a document counts (the earliest among equals),
-unless a span of another license that overlaps it is better (the first by name among equals). DataFrame functions only.
+Size bounds prune: a span that reaches Dice t shares at least t / (2 - t) of the template's bigrams. So it misses at most
+the others, and has one of any choice of one bigram more than that; documents without a word of any such bigram go first.
+Then only spans are tried in which so many places hold a bigram of the template, found from the sorted places: every span
+that can reach the threshold is tried, wherever words were inserted, left out or changed. A document of fewer words than
+a template is compared as a whole, however long a document is, all of its places count.
+
+For each license the best span of a document counts (the earliest among equals), unless a span of another license that
+overlaps it shares more bigrams (among equals: has the higher Dice, then the first name), so that a whole header comes
+before the short notice inside it. Any number of templates may be given. DataFrame functions only.
 
 Null and empty texts match nothing. Rows are independent: repeated and null doc_ids are reported each. An empty table
 gives an empty result; extra columns are ignored.
@@ -16,12 +20,13 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, stored, table
+from .common import stored, table
 
 #: Notices, headers and texts of public licenses.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -107,20 +112,20 @@ is not required. 2. Altered source versions must be plainly marked as such, and
 original software. 3. This notice may not be removed or altered from any source distribution.""",
 }
 THRESHOLD = 0.8
+SMALL = 1_000_000  # bigrams of all templates up to which they are broadcast; more are shuffled
+MANY = 5_000  # words up to which documents are filtered by them before their bigrams are looked up
 
 
 def words_of(text: str) -> list[str]:
     return re.sub(r"[^\w]|_", " ", text.lower()).split()
 
 
-def anchors_of(text: str, threshold: float) -> list[tuple[str, int]]:
-    """Bigrams of which a span that reaches the threshold has at least one, with their first place in the template."""
+def anchors_of(text: str, threshold: float) -> list[str]:
+    """Bigrams, the longest ones, of which a span that reaches the threshold has at least one."""
     words = words_of(text)
-    first: dict[str, int] = {}
-    for i, pair in enumerate(zip(words, words[1:])):
-        first.setdefault(" ".join(pair), i)
-    missing = int(len(first) * (1 - threshold / (2 - threshold)) + 1e-9)
-    return sorted(first.items(), key=lambda g: (-len(g[0]), g[0]))[: missing + 1]
+    grams = {" ".join(p) for p in zip(words, words[1:])}
+    missing = int(len(grams) * (1 - threshold / (2 - threshold)) + 1e-9)
+    return sorted(grams, key=lambda g: (-len(g), g))[: missing + 1]
 
 
 def _bigrams(words):
@@ -132,29 +137,42 @@ def _bigrams(words):
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, start, n_words, dice): the best span of each license in each document."""
     templates = {k: v for k, v in sorted((TEMPLATES if templates is None else templates).items()) if len(words_of(v)) > 1}
-    if len(templates) > 200:
-        raise ValueError("at most 200 templates are broadcast")
     spark = docs.sparkSession
-    found = {k: anchors_of(v, threshold) for k, v in templates.items()}
-    needles = sorted({max(g.split(), key=lambda w: (len(w), w)) for a in found.values() for g, _ in a})
-    words = F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ", -1), "")
-    texts = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).filter(F.arrays_overlap("words", F.array(*map(F.lit, needles))))
-    texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "license-texts")
-
     rows = [(k, len(words_of(v)), sorted({" ".join(p) for p in zip(words_of(v), words_of(v)[1:])})) for k, v in templates.items()]
-    known = spark.createDataFrame(rows, "license string, n int, grams array<string>")
-    anchors = spark.createDataFrame([(g, k, i, len(words_of(templates[k]))) for k, a in found.items() for g, i in a], "gram string, license string, offset int, n int")
-    places = texts.select("row", F.size("words").alias("size"), F.posexplode(_bigrams(F.col("words"))).alias("at", "gram"))
-    starts = places.join(F.broadcast(anchors), "gram").select("row", "license", "n", F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("size") - F.col("n"))).alias("start")).distinct()
-    spans = starts.groupBy("row").agg(F.collect_list(F.struct("license", "n", "start")).alias("spans"))
-    each = texts.join(spans, "row").select("row", "doc_id", "words", F.explode("spans").alias("s"))
-    each = each.select("row", "doc_id", "s.*", F.array_distinct(_bigrams(F.slice("words", F.col("s.start") + 1, F.col("s.n")))).alias("own"))
-    each = each.join(F.broadcast(known.drop("n")), "license")
-    dice = F.size(F.array_intersect("own", "grams")) * 2.0 / (F.size("own") + F.size("grams"))
-    scored = each.select("row", "doc_id", "license", "n", "start", dice.alias("dice")).filter(F.col("dice") >= threshold)
-    best = scored.groupBy("row", "doc_id", "license", "n").agg(F.min(F.struct((-F.col("dice")).alias("d"), "start")).alias("b"))
-    of_row = best.groupBy("row", "doc_id").agg(F.collect_list(F.struct("b.d", "license", "b.start", (F.col("b.start") + F.col("n")).alias("end"), "n")).alias("all"))
-    better = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (F.struct(y["d"], y["license"]) < F.struct(x["d"], x["license"]))
+    rows = [(k, n, max(1, math.ceil(len(g) * threshold / (2 - threshold) - 1e-9)), g) for k, n, g in rows]
+    known = spark.createDataFrame(rows, "license string, n int, least int, grams array<string>")
+    cells = known.select("license", F.explode("grams").alias("gram"))
+    if sum(len(r[3]) for r in rows) <= SMALL:
+        known, cells = F.broadcast(known), F.broadcast(cells)
+
+    words = F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ", -1), "")
+    texts = docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
+    needles = sorted({max(g.split(), key=lambda w: (len(w), w)) for v in templates.values() for g in anchors_of(v, threshold)})
+    if len(needles) <= MANY:
+        texts = texts.filter(F.arrays_overlap("words", F.array(*map(F.lit, needles)).cast("array<string>")))
+    texts = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").alias("size"), _bigrams(F.col("words")).alias("pairs"))
+    texts = stored(texts, "license-texts")
+
+    hits = texts.select("row", F.posexplode("pairs").alias("at", "gram")).join(cells, "gram")
+    places = hits.groupBy("row", "license").agg(F.sort_array(F.collect_list("at")).alias("at")).join(known, "license").filter(F.size("at") >= F.col("least"))
+    each = texts.join(places, "row").withColumn("long", F.least("n", "size"))
+
+    def starts(j):
+        """Starts of the spans whose first place is the j-th and that hold enough places."""
+        after = F.when(j > 0, F.get("at", j - 1) + 1).otherwise(0)
+        low = F.greatest(after, F.get("at", j + F.col("least") - 1) - F.col("long") + 2)
+        high = F.least(F.get("at", j), F.col("size") - F.col("long"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    def judged(start):
+        own = F.array_distinct(F.slice("pairs", start + 1, F.col("long") - 1))
+        one = F.transform(F.array(own), lambda o: F.struct(F.size(F.array_intersect(o, "grams")).alias("shared"), F.size(o).alias("own")))
+        return F.transform(one, lambda c: F.struct((c["shared"] * -2.0 / (c["own"] + F.size("grams"))).alias("d"), start.alias("start"), c["shared"].alias("shared")))[0]
+
+    tried = F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("least")), starts))
+    best = each.select("row", "doc_id", "license", "n", F.array_min(F.transform(tried, judged)).alias("b")).filter(F.col("b.d") <= -threshold)
+    of_row = best.groupBy("row", "doc_id").agg(F.collect_list(F.struct("b.d", "license", "b.start", (F.col("b.start") + F.col("n")).alias("end"), "n", "b.shared")).alias("all"))
+    better = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (F.struct(-y["shared"], y["d"], y["license"]) < F.struct(-x["shared"], x["d"], x["license"]))
     kept = of_row.select("doc_id", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda y: better(x, y)))).alias("s"))
     return kept.select("doc_id", "s.license", F.col("s.start").cast("long").alias("start"), F.col("s.n").cast("long").alias("n_words"), F.round(-F.col("s.d"), 6).alias("dice"))
 
@@ -170,20 +188,21 @@ def _values() -> str:
 
 _WORDS = "list_filter(string_split(regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _GRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+#: Every span of every document that has enough of a template's bigrams anywhere.
 OP10_SQL = f"""
 WITH tpl(license, body) AS (VALUES {_values()}),
 tw AS (SELECT license, {_WORDS.format('body')} AS w FROM tpl),
-tg AS (SELECT license, len(w) AS n, {_GRAMS.format('w')} AS g FROM tw),
-tp AS (SELECT license, n, unnest(g) AS gram, unnest(range(len(g))) AS i FROM tg),
-tf AS (SELECT license, n, gram, min(i) AS i FROM tp GROUP BY license, n, gram),
-ta AS (SELECT *, row_number() OVER (PARTITION BY license ORDER BY length(gram) DESC, gram) AS k, count(*) OVER (PARTITION BY license) AS m FROM tf),
-a AS (SELECT license, n, gram, i FROM ta WHERE k <= floor(m * (1 - {THRESHOLD} / (2 - {THRESHOLD})) + 1e-9) + 1),
-d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
-dg AS (SELECT r, len(w) AS size, unnest({_GRAMS.format('w')}) AS gram, unnest(range(greatest(len(w) - 1, 0))) AS pos FROM d),
-st AS (SELECT DISTINCT r, license, n, greatest(0, least(pos - i, size - n)) AS start FROM dg JOIN a USING (gram)),
-sp AS (SELECT r, doc_id, license, n, start, list_distinct({_GRAMS.format('w[start + 1:start + n]')}) AS own FROM st JOIN d USING (r)),
-sc AS (SELECT r, doc_id, license, sp.n, start, 2.0 * len(list_intersect(own, list_distinct(g))) / (len(own) + len(list_distinct(g))) AS dice FROM sp JOIN tg USING (license)),
+tg AS (SELECT license, len(w) AS n, list_distinct({_GRAMS.format('w')}) AS g FROM tw),
+tp AS (SELECT license, unnest(g) AS gram FROM tg),
+dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+d AS (SELECT r, doc_id, len(w) AS size, {_GRAMS.format('w')} AS p FROM dw),
+dg AS (SELECT DISTINCT r, gram FROM (SELECT r, unnest(p) AS gram FROM d)),
+m AS (SELECT r, license, count(*) AS k FROM dg JOIN tp USING (gram) GROUP BY r, license),
+c AS (SELECT r, doc_id, license, n, g, p, least(n, size) AS k, unnest(range(greatest(size - n, 0) + 1)) AS start FROM m JOIN tg USING (license) JOIN d USING (r) WHERE m.k * (2 - {THRESHOLD}) >= len(g) * {THRESHOLD} - 1e-6),
+sp AS (SELECT r, doc_id, license, n, start, g, list_distinct(p[start + 1:start + k - 1]) AS own FROM c),
+sh AS (SELECT r, doc_id, license, n, start, len(list_intersect(own, g)) AS shared, len(own) + len(g) AS both_sizes FROM sp),
+sc AS (SELECT *, shared * 2.0 / both_sizes AS dice FROM sh),
 b AS (SELECT *, row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, start) AS k FROM sc WHERE dice >= {THRESHOLD})
 SELECT doc_id, license, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words, round(CAST(dice AS DOUBLE), 6) AS dice FROM b x
-WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM b y WHERE y.k = 1 AND y.r = x.r AND y.start < x.start + x.n AND x.start < y.start + y.n AND (y.dice > x.dice OR (y.dice = x.dice AND y.license < x.license)))
+WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM b y WHERE y.k = 1 AND y.r = x.r AND y.start < x.start + x.n AND x.start < y.start + y.n AND (y.shared > x.shared OR (y.shared = x.shared AND (y.dice > x.dice OR (y.dice = x.dice AND y.license < x.license)))))
 """

@@ -272,22 +272,50 @@ def test_chat_rings(spark):
 
 
 def brute_licenses(text, threshold=license_scan.THRESHOLD):
-    """Spans at every place that an anchor allows, one template after the other."""
+    """Every span of every place, one template after the other."""
     words, best = license_scan.words_of(text or ""), {}
+    pairs = [" ".join(p) for p in zip(words, words[1:])]
     for name, body in sorted(license_scan.TEMPLATES.items()):
         t = license_scan.words_of(body)
         grams, n = {" ".join(p) for p in zip(t, t[1:])}, len(t)
-        for at, pair in enumerate(zip(words, words[1:])):
-            for g, i in license_scan.anchors_of(body, threshold):
-                if g == " ".join(pair):
-                    start = max(0, min(at - i, len(words) - n))
-                    span = words[start : start + n]
-                    own = {" ".join(p) for p in zip(span, span[1:])}
-                    dice = 2 * len(own & grams) / (len(own) + len(grams))
-                    if dice >= threshold:
-                        best[name] = min(best.get(name, (0, 0, 0)), (-dice, start, n))
+        for start in range(max(0, len(words) - n) + 1):
+            own = set(pairs[start : start + n - 1])
+            shared = len(own & grams)
+            dice = 2 * shared / (len(own) + len(grams))
+            if dice >= threshold:
+                best[name] = min(best.get(name, (0, 0, 0, 0)), (-dice, start, n, shared))
     over = lambda x, y: x[1] < y[1] + y[2] and y[1] < x[1] + x[2]
-    return {(k, x[1], x[2], round(-x[0], 6)) for k, x in best.items() if not any(over(x, y) and (y[0], j) < (x[0], k) for j, y in best.items())}
+    return {(k, x[1], x[2], round(-x[0], 6)) for k, x in best.items() if not any(over(x, y) and (-y[3], y[0], j) < (-x[3], x[0], k) for j, y in best.items())}
+
+
+def test_licenses_with_words_inserted(spark):
+    """Words inserted anywhere, before every anchor too: each span counts as brute force has it."""
+    random.seed(10)
+    texts = []
+    for name in ("mpl-2.0-header", "mit-text", "apache-2.0-header", "gpl-3.0-header"):
+        for k in (2, 4, 8, 12):
+            words = license_scan.TEMPLATES[name].split()
+            for _ in range(k):
+                words.insert(random.randrange(len(words)), random.choice(["alpha", "beta", "gamma"]))
+            texts.append("some code here " * random.randint(0, 30) + " ".join(words) + " and more code" * random.randint(0, 30))
+    head = license_scan.TEMPLATES["apache-2.0-header"].split()
+    texts.append(" ".join(head[:5] + ["one", "two"] + head[5:30] + ["three", "four"] + head[30:]))
+    texts.append(license_scan.MIT + " x" * 20_000 + " " + license_scan.TEMPLATES["mpl-2.0-header"])
+    got: dict = {i: set() for i in range(len(texts))}
+    for r in license_scan.scan(docs(spark, texts)).collect():
+        got[r["doc_id"]].add((r["license"], r["start"], r["n_words"], r["dice"]))
+    assert got == {i: brute_licenses(t) for i, t in enumerate(texts)}
+    assert [x[0] for x in got[16]] == ["apache-2.0-header"]
+    assert sum(bool(v) for v in got.values()) > 12
+
+
+def test_any_number_of_license_templates(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "SMALL", 10)
+    monkeypatch.setattr(license_scan, "MANY", 10)
+    many = {f"t{i}": f"notice number {i} of the software a{i} b{i} c{i}" for i in range(300)}
+    rows = docs(spark, ["see notice number 7 of the software a7 b7 c7 here", None, "", many["t299"], many["t299"]], [5, None, 6, None, 5])
+    got = sorted((r["doc_id"] or 0, r["license"], r["start"], r["dice"]) for r in license_scan.scan(rows, many).collect())
+    assert got == [(0, "t299", 0, 1.0), (5, "t299", 0, 1.0), (5, "t7", 1, 1.0)]
 
 
 def test_license_scan(spark):
