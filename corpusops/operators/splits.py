@@ -22,7 +22,10 @@ def _order(group: str) -> list[Column]:
 
 def _before(sizes: DataFrame, group: str, value: str, out: str, digits: int) -> DataFrame:
     """Adds the sum of value over the groups that come earlier in hash order: inside cells of so many leading hash digits,
-    and level by level over the cells."""
+    and level by level over the cells. Without digits all groups are one cell."""
+    whole = Window.partitionBy(F.lit(0)).orderBy("h", group).rowsBetween(Window.unboundedPreceding, -1)
+    if not digits:
+        return sizes.filter("h IS NOT NULL").withColumn(out, F.coalesce(F.sum(value).over(whole), F.lit(0)))
     cells = sizes.withColumn("_p", F.substring("h", 1, digits))
     starts = cell_starts(cells.groupBy("_p").agg(F.sum(value).alias("_c")), [], digits)
     inside = Window.partitionBy("_p").orderBy("h", group).rowsBetween(Window.unboundedPreceding, -1)
@@ -30,13 +33,17 @@ def _before(sizes: DataFrame, group: str, value: str, out: str, digits: int) ->
     return summed.withColumn(out, F.col("_b") + F.col("_i")).drop("_p", "_b", "_i")
 
 
+def _cells(rows: int, width: int) -> int:
+    return hash_digits(rows, width) if rows > width else 0
+
+
 def group_sizes(df: DataFrame, group: str, width: int = 20_000) -> DataFrame:
     """(group, n, h, before): sizes, and the rows of groups that come earlier in hash order, in cells of about `width`
     groups."""
     from ..sources.io import kept
 
     sizes = kept(df.groupBy(group).agg(F.count("*").alias("n")).withColumn("h", _order(group)[0]), "group-sizes")
-    return _before(sizes, group, "n", "before", hash_digits(sizes.count(), width)).select(group, "n", "h", "before")
+    return _before(sizes, group, "n", "before", _cells(sizes.count(), width)).select(group, "n", "h", "before")
 
 
 def split_greedy(df: DataFrame, group: str, ratios=(0.8, 0.1, 0.1)) -> DataFrame:
@@ -66,7 +73,7 @@ def group_split(df: DataFrame, group: str, target: int, width: int = 20_000) ->
     sized = kept(group_sizes(df, group, width), "groups")
     kind, place, n = dict(sized.dtypes)[group], F.struct("h", group), F.col("n")
     rows, total = sized.agg(F.count("*"), F.sum("n")).first()
-    digits, need, spare = hash_digits(rows, width), target, (total or 0) - target
+    digits, need, spare = _cells(rows, width), target, (total or 0) - target
     at = lambda r: F.struct(F.lit(r["h"]), F.lit(r["g"]).cast(kind).alias(group))
     last, taken = None, F.lit(False)
     while need > 0:
