@@ -6,13 +6,20 @@ Every 50-byte string has one anchor: the leftmost 16-byte string of least hash i
 anchors at equal offsets, so only suffixes that start at anchors (one in about 18) need to meet. A 50-byte string also
 holds the 33 bytes that start at its anchor, or the 33 bytes that start 17 before it. Tasks deal packed hashes of both
 to shards, one for each SHARD bytes of the corpus, SHARDS at least; those of one document only go. Texts then give, for
-each anchor left, the bytes around it whose 50-byte strings it stands for; equal surroundings of a task are one entry
-with the documents that have them. Shards sort the suffixes of the surroundings by induction (induced_sort.py), part by part of PART surroundings or so;
+each anchor left, the bytes around it whose 50-byte strings it stands for; equal surroundings of a batch are one entry.
+
+A hot passage does not follow its anchor into one shard. Of the places of a batch with one hash, which several documents
+of the batch have, only one of the smallest and one of the largest document go to the hash's shard; that the others
+repeat is known. Of the documents of a batch with equal surroundings, only the smallest goes to their shard; the others
+lose all of them to it. What is known goes by its document.
+
+Shards sort the suffixes of the surroundings by induction (induced_sort.py), part by part of PART surroundings or so;
 strings that share 50 bytes are neighbours, and the smallest document of each is found; what starts in a smaller document
 than one's own is removed.
 
 Null and empty texts have nothing to remove. Rows with a null doc_id come last of all and cover nothing for each other;
-rows that repeat a doc_id are copies of one document: they do not remove each other's bytes. An empty table gives an
+rows that repeat a doc_id are one document, with several texts where these differ: they do not remove each other's bytes.
+Spans carry a hash of what they say, so that each is cut from the text it belongs to. An empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -23,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +114,12 @@ def _unpack(x: bytes, kind=np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def _said(x: np.ndarray | bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of what stands in spans of a text."""
+    view = memoryview(x)
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a)).view(np.int64)
+
+
 def _zip(batches):
     """Texts compressed, and a hash by which whole copies meet."""
     pack = zstandard.ZstdCompressor(level=3)
@@ -119,8 +133,31 @@ def _texts(batch):
         yield (LAST if i is None else i), _unpack(text)
 
 
+def _known(h: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Of places sorted by hash and document, those of hashes with several documents, save one of the smallest document
+    and one of the largest, by which other batches learn of the hash."""
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    start = np.flatnonzero(first)
+    end = np.append(start[1:], len(h)) - 1
+    known = np.repeat(docs[start] < docs[end], end - start + 1)
+    known[start] = known[end] = False
+    return known
+
+
+def _dealt(shard: np.ndarray, h: np.ndarray, docs: np.ndarray, at: np.ndarray, known: bool) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((h, shard))
+    shard, h, docs, at = shard[order], h[order], docs[order], at[order]
+    cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(h)]])
+    packed = [pa.array([None if c is None else _pack(c[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for c in (None if known else _short(h), docs, at)]
+    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), *packed], names=["shard", "h", "docs", "at"])
+
+
+def _by_doc(docs: np.ndarray, shards: int) -> np.ndarray:
+    return (_mix(docs.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
 def _deal(shards: int):
-    """Packed anchors (hash, document, position) by shard."""
+    """Packed anchors (hash, document, position) by shard; without hashes, places known to repeat, by document."""
 
     def run(batches):
         for batch in batches:
@@ -131,14 +168,13 @@ def _deal(shards: int):
             h, docs, at = (np.concatenate(c) for c in zip(*found)) if found else ([], [], [])
             if not len(h):
                 continue
-            shard = (h >> np.uint64(40)).astype(np.int64) % shards
-            order = np.lexsort((h, shard))
-            shard, h, docs, at = shard[order], h[order], docs[order], at[order]
-            cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(h)]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[cuts[:-1]].astype(np.int32))] + [pa.array([_pack(c[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for c in (_short(h), docs, at)],
-                names=["shard", "h", "docs", "at"],
-            )
+            order = np.lexsort((docs, h))
+            h, docs, at = h[order], docs[order], at[order]
+            known = _known(h, docs)
+            rest = ~known
+            yield from _dealt((h[rest] >> np.uint64(40)).astype(np.int64) % shards, h[rest], docs[rest], at[rest], False)
+            if known.any():
+                yield from _dealt(_by_doc(docs[known], shards), h[known], docs[known], at[known], True)
 
     return run
 
@@ -148,12 +184,31 @@ def _short(h: np.ndarray) -> np.ndarray:
     return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]
 
 
+def _places(docs: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Places packed by document."""
+    order = np.lexsort((at, docs))
+    docs, at = docs[order], at[order]
+    if len(docs):
+        cuts = np.concatenate([[0], np.flatnonzero(docs[1:] != docs[:-1]) + 1, [len(docs)]])
+        for i in range(0, len(cuts) - 1, 10_000):
+            part = cuts[i : i + 10_001]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[part[:-1]]), pa.array([at[a:b].tobytes() for a, b in zip(part[:-1], part[1:])], pa.binary())], names=["doc", "at"])
+
+
 def _repeated(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors that occur in several documents, packed by document."""
     h, docs, at = [], [], []
     for batch in rows:
-        for column, out, kind in (("h", h, np.uint8), ("docs", docs, np.int64), ("at", at, np.int32)):
-            out += [_unpack(x, kind) for x in batch.column(column).to_pylist()]
+        for r in batch.select(["h", "docs", "at"]).to_pylist():
+            own, places = _unpack(r["docs"], np.int64), _unpack(r["at"], np.int32)
+            if r["h"] is None:
+                yield from _places(own, places)
+                continue
+            h.append(_unpack(r["h"]))
+            docs.append(own)
+            at.append(places)
+    if not h:
+        return
     raw = np.concatenate(h).reshape(-1, 5)
     h = np.zeros((len(raw), 8), np.uint8)
     h[:, :5] = raw
@@ -163,18 +218,15 @@ def _repeated(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Ite
     start = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
     several = np.minimum.reduceat(docs, start) < np.maximum.reduceat(docs, start)
     keep = np.repeat(several, np.diff(np.concatenate([start, [len(h)]])))
-    docs, at = docs[keep], at[keep]
-    order = np.lexsort((at, docs))
-    docs, at = docs[order], at[order]
-    if len(docs):
-        cuts = np.concatenate([[0], np.flatnonzero(docs[1:] != docs[:-1]) + 1, [len(docs)]])
-        for i in range(0, len(cuts) - 1, 10_000):
-            part = cuts[i : i + 10_001]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[part[:-1]]), pa.array([at[a:b].tobytes() for a, b in zip(part[:-1], part[1:])], pa.binary())], names=["doc", "at"])
+    yield from _places(docs[keep], at[keep])
+
+
+AROUND = ["shard", "h", "texts", "sizes", "counts", "docs", "starts"]
 
 
 def _surroundings(shards: int):
-    """By shard: distinct surroundings of anchors (bytes, offset of the anchor) with the documents and starts that have them."""
+    """By shard: distinct surroundings of anchors with the smallest document of the batch that has them and its starts;
+    without hashes, by document, the spans (docs, starts, sizes, and in place of texts their hashes) that the others lose to it."""
 
     def run(batches):
         for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
@@ -192,15 +244,27 @@ def _surroundings(shards: int):
                 for a, k, i, j in zip(at[on].tolist(), h[on].tolist(), first[on].tolist(), last[on].tolist()):
                     entries.setdefault((k, text[i : j + SIZE]), []).append((doc, i))
             by_shard: dict[int, list] = {}
+            lost = []
             for (k, text), members in entries.items():
+                if len(members) > 1 and (least := min(members)[0]) != max(members)[0]:
+                    check = int(_said(text, np.array([0]), np.array([len(text)]))[0])
+                    lost += [(doc, i, len(text), check) for doc, i in members if doc != least]
+                    members = [m for m in members if m[0] == least]
                 by_shard.setdefault((k >> 40) % shards, []).append((k, text, members))
             for shard, rows in by_shard.items():
                 counts = np.array([len(m) for _, _, m in rows], np.int32)
                 flat = np.array([m for _, _, ms in rows for m in ms], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard], pa.int32()), *[pa.array([_pack(c)], pa.binary()) for c in (np.array([k for k, _, _ in rows], np.uint64), b"".join(t for _, t, _ in rows), np.array([len(t) for _, t, _ in rows], np.int32), counts, np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.int32))]],
-                    names=["shard", "h", "texts", "sizes", "counts", "docs", "starts"],
+                    names=AROUND,
                 )
+            if lost:
+                docs, starts, sizes, checks = np.array(lost, np.int64).T
+                to = _by_doc(docs, shards)
+                for shard in np.unique(to).tolist():
+                    on = to == shard
+                    packed = {"docs": docs[on], "starts": starts[on].astype(np.int32), "sizes": sizes[on].astype(np.int32), "texts": checks[on]}
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([_pack(packed[c]) if c in packed else None], pa.binary()) for c in AROUND[1:]]], names=AROUND)
 
     return run
 
@@ -209,9 +273,18 @@ def _covered(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iter
     """Runs of starts, by document, whose 50-byte string starts in a smaller document. Anchors with one hash stay
     together; the rest of a shard goes through in parts of about PART surroundings."""
     cols: dict[str, list] = {}
+    kinds = (("h", np.uint64), ("texts", np.uint8), ("sizes", np.int32), ("counts", np.int32), ("docs", np.int64), ("starts", np.int32))
     for batch in rows:
-        for name, kind in (("h", np.uint64), ("texts", np.uint8), ("sizes", np.int32), ("counts", np.int32), ("docs", np.int64), ("starts", np.int32)):
-            cols.setdefault(name, []).extend(_unpack(x, kind) for x in batch.column(name).to_pylist())
+        for r in batch.select(AROUND[1:]).to_pylist():
+            one = {name: _unpack(r[name], kind) for name, kind in kinds if r[name] is not None}
+            if "h" not in one:
+                a = one["starts"].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(one["docs"]), pa.array(a), pa.array(a + one["sizes"]), pa.array(one["texts"].view(np.int64))], names=["doc", "a", "b", "said"])
+                continue
+            for name, x in one.items():
+                cols.setdefault(name, []).append(x)
+    if not cols:
+        return
     c = {k: np.concatenate(v) for k, v in cols.items()}
     del cols
     order = np.argsort(c["h"], kind="stable")
@@ -264,18 +337,21 @@ def _part(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     # a run of starts for each member: strings of its entry with a smaller document than its own
     many = np.repeat(np.arange(len(sizes)), counts)
     step = 200_000
+    place = np.cumsum(sizes) - sizes
     for i in range(0, len(many), step):
         m = many[i : i + step]
         n = strings[m]
         who = np.repeat(np.arange(len(m)), n)
         j = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
         hit = smallest[shown[m][who] + j] < c["docs"][i : i + step][who]
-        who, s = who[hit], c["starts"][i : i + step][who[hit]] + j[hit]
+        who, j = who[hit], j[hit]
+        s = c["starts"][i : i + step][who] + j
         if not len(who):
             continue
         new = np.concatenate([[True], (who[1:] != who[:-1]) | (s[1:] != s[:-1] + 1)])
         a, b = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:], [len(who)]]) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(c["docs"][i : i + step][who[a]]), pa.array(s[a].astype(np.int64)), pa.array(s[b].astype(np.int64) + SIZE)], names=["doc", "a", "b"])
+        at = place[m[who[a]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c["docs"][i : i + step][who[a]]), pa.array(s[a].astype(np.int64)), pa.array(s[b].astype(np.int64) + SIZE), pa.array(_said(c["texts"], at + j[a], at + j[b] + SIZE))], names=["doc", "a", "b", "said"])
 
 
 def _cut(batches):
@@ -283,9 +359,14 @@ def _cut(batches):
         out = []
         for (_, x), spans, copy in zip(_texts(batch), batch.column("spans").to_pylist(), batch.column("copy").to_pylist()):
             mark = np.zeros(len(x) + 1, np.int32)
-            for s in spans or ():
-                mark[s["a"]] += 1
-                mark[s["b"]] -= 1
+            if spans:
+                a, b, said = (np.array([s[k] for s in spans], np.int64) for k in ("a", "b", "said"))
+                # rows that repeat a doc_id with another text have spans of the other, which say something else here
+                inside = b <= len(x)
+                a, b, said = a[inside], b[inside], said[inside]
+                own = _said(x, a, b) == said
+                np.add.at(mark, a[own], 1)
+                np.add.at(mark, b[own], -1)
             if copy and len(x) >= SIZE:
                 mark[0] += 1
             gone = np.cumsum(mark[:-1]) > 0
@@ -309,7 +390,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     wanted = repeated.groupBy("doc").agg(F.collect_list("at").alias("some"))
     texts = unique.join(wanted, key == wanted["doc"]).select("doc_id", "zipped", "some")
     around = texts.mapInArrow(_surroundings(shards), "shard int, h binary, texts binary, sizes binary, counts binary, docs binary, starts binary")
-    spans = around.groupBy("shard").applyInArrow(_covered, "doc long, a long, b long").groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = around.groupBy("shard").applyInArrow(_covered, "doc long, a long, b long, said long").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "said")).alias("spans"))
     marks = stored(spans.join(copies, "doc", "full"), "spans")
     marked = zipped.join(marks, key == marks["doc"], "left").select("doc_id", "zipped", "spans", is_copy.alias("copy"))
     return marked.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
