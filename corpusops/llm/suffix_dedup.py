@@ -44,7 +44,7 @@ SPAN = SIZE - GRAM + 1
 #: Offsets of the anchor up to NEAR leave SIDE bytes from the anchor on; larger ones SIDE bytes from NEAR before it.
 NEAR = SPAN // 2
 SIDE = SIZE - NEAR
-SHARDS, SHARD = 64, 16_000_000
+SHARDS, SHARD = 64, 4_000_000
 PART = 30_000
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = (1 << 63) - 1
@@ -160,7 +160,7 @@ def _deal(shards: int):
     """Packed anchors (hash, document, position) by shard; without hashes, places known to repeat, by document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, len(b), 2000)):
             found = []
             for doc, x in _texts(batch):
                 h, at = sides(x)
