@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,6 +45,8 @@ def free_name(df: DataFrame, name: str) -> str:
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written to the shared folder and read again, and the path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -54,6 +62,31 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], tuple[DataFrame, str]]]:
+    """Tables that operators store inside are deleted at its end, also after an error.
+
+    Results read such tables, so what is to outlive the block must be written inside it: the block is given keep(df,
+    name), which does what `written` does and leaves that table alone.
+    """
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        token = _SCRATCH.set(None)
+        try:
+            return written(df, name)
+        finally:
+            _SCRATCH.reset(token)
+
+    before = _SCRATCH.set(paths)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(before)
+        for path in paths:
+            remove(spark, path)
+
+
 def _stars(edges: DataFrame, keep_larger: bool, n: int) -> DataFrame:
     """One round of star contraction. The minimum is dealt out anew, so that both sides of the join can be split."""
     if keep_larger:
