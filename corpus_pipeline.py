@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusops.llm import byte_bpe, decontaminate, language_id, line_dedup, simhash
-from corpusops.llm.common import stored, table
+from corpusops.llm.common import remove, scratch, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents. What a stage stores on its way goes when its output is written, and its input,
+    where that is another stage's output, goes too."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        with scratch(spark) as keep:
+            docs, path = keep(stage(spark, docs, sf_dir), f"stage-{k}")
+        if before:
+            remove(spark, before)
+        before = path
     return docs
 
 
