@@ -166,39 +166,54 @@ def resume_batch(todo: DataFrame, done: DataFrame, transform, shards: int, path:
     return merge_last_wins(both, key, ["_new"]).drop("_new")
 
 
-def orient_manifest(df: DataFrame, rotations: DataFrame, readings: DataFrame, n: int | None = None, seed: int = 42, chars: str = "֐-׿") -> tuple[DataFrame, DataFrame]:
+def orient_rows(df: DataFrame, rotations: DataFrame, readings: DataFrame, n: int | None = None, seed: int = 42, chars: str = "֐-׿") -> DataFrame:
     """The manifest (uid, gt_text, meta struct) with orientation, mirroring and reading direction written into meta for a
-    sample of n rows (all, if n is None), and the statistics of what was written.
+    sample of n rows (all, if n is None).
 
     rotations: (uid, angle, proj, cc, penalty, density, lines); readings: (uid, mirrored, reverse, text) of four candidates.
+    Joins merge, as all sides grow with the manifest and none of them is to pass through the driver.
     """
     from .splits import sample_n
 
     some = df if n is None else sample_n(df, n, seed)
-    picked = rotation_pick(rotations.join(some.select("uid"), "uid", "left_semi"))
-    picked = picked.join(rotations.select("uid", "angle", "cc", "density", "lines"), ["uid", "angle"])
-    scored = readings.join(some.select("uid", "gt_text"), "uid").withColumn("quality", reading_quality(F.col("text"), F.col("gt_text"), chars))
-    both = picked.join(mirror_pick(scored), "uid", "left")
+    picked = rotation_pick(rotations.join(some.select("uid").hint("merge"), "uid", "left_semi"))
+    picked = picked.join(rotations.select("uid", "angle", "cc", "density", "lines").hint("merge"), ["uid", "angle"])
+    scored = readings.join(some.select("uid", "gt_text").hint("merge"), "uid").withColumn("quality", reading_quality(F.col("text"), F.col("gt_text"), chars))
+    both = picked.join(mirror_pick(scored).hint("merge"), "uid", "left")
     both = both.select("uid", F.struct(F.col("angle").alias("orientation_deg"), F.col("confidence").alias("orientation_confidence"), F.col("density").alias("binarize_density"), F.col("lines").alias("n_lines_est"), F.col("cc").alias("cc_score"), "mirrored", F.coalesce("reverse", F.lit(True)).alias("reverse_pred"), F.lit("rtl").alias("reading_dir")).alias("_o"))
-    out = df.join(both, "uid", "left")
+    out = df.join(both.hint("merge"), "uid", "left")
     kept = [f for f in df.schema["meta"].dataType.names]
     meta = F.struct(*[F.col(f"meta.{f}").alias(f) for f in kept], *[F.col(f"_o.{f}").alias(f) for f in both.schema["_o"].dataType.names])
-    out = out.withColumn("meta", meta).drop("_o")
+    return out.withColumn("meta", meta).drop("_o")
+
+
+def orient_manifest(df: DataFrame, rotations: DataFrame, readings: DataFrame, n: int | None = None, seed: int = 42, chars: str = "֐-׿") -> tuple[DataFrame, DataFrame]:
+    """What `orient_rows` gives, and the statistics of what was written."""
+    out = orient_rows(df, rotations, readings, n, seed, chars)
     return out, orientation_stats(out.filter("meta.orientation_deg IS NOT NULL").select("meta.*"))
 
 
 def orientation_stats(rows: DataFrame) -> DataFrame:
-    """(measure, key, value): counts by rotation, mirroring and reversal; mean and median of three measures."""
-    parts = [rows.groupBy(F.col("orientation_deg").cast("string").alias("key")).agg(F.count("*").cast("double").alias("value")).withColumn("measure", F.lit("rotation"))]
-    for c in ("mirrored", "reverse_pred"):
-        parts.append(rows.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("key")).agg(F.count("*").cast("double").alias("value")).withColumn("measure", F.lit(c)))
-    for c in ("orientation_confidence", "binarize_density", "n_lines_est"):
-        one = rows.agg(F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"), F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias("median"))
-        parts.append(one.unpivot([], ["mean", "median"], "key", "value").withColumn("measure", F.lit(c)))
-    out = parts[0].select("measure", "key", "value")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("measure", "key", "value"))
-    return out
+    """(measure, key, value): counts by rotation, mirroring and reversal; mean and median of three measures.
+
+    The rows are read once and leave as counts of distinct values, which are written; all figures come from those.
+    """
+    from ..sources.io import kept
+    from .evaluation import medians
+
+    named = {"rotation": F.col("orientation_deg").cast("string"), **{c: F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("mirrored", "reverse_pred")}}
+    measures = ("orientation_confidence", "binarize_density", "n_lines_est")
+    none = F.lit(None)
+    long = [F.struct(F.lit(m).alias("measure"), k.alias("key"), none.cast("double").alias("v")) for m, k in named.items()]
+    long += [F.struct(F.lit(m).alias("measure"), none.cast("string").alias("key"), F.col(m).cast("double").alias("v")) for m in measures]
+    counted = kept(rows.select(F.explode(F.array(*long)).alias("r")).select("r.*").groupBy("measure", "key", "v").agg(F.count("*").alias("n")), "measures")
+    counts = counted.filter(F.col("measure").isin(*named)).select("measure", "key", F.col("n").cast("double").alias("value"))
+    values = counted.filter(F.col("measure").isin(*measures) & F.col("v").isNotNull())
+    means = values.groupBy("measure").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("value")).withColumn("key", F.lit("mean"))
+    middle = medians(values, ["measure"], "v", "n").select("measure", F.col("median").alias("value"), F.lit("median").alias("key"))
+    wanted = rows.sparkSession.createDataFrame([(m, k) for m in measures for k in ("mean", "median")], "measure string, key string")
+    found = wanted.join(means.unionByName(middle), ["measure", "key"], "left").select("measure", "key", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return counts.unionByName(found)
 
 
 def yolo_export(boxes: DataFrame, listing: DataFrame, candidates: list[str], path: str) -> DataFrame:
