@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusops.operators import evaluation as E
@@ -22,6 +23,20 @@ def boxes(spark, seed):
     return spark.createDataFrame(gt, BOX), spark.createDataFrame(pred, BOX + ", score double")
 
 
+def test_areas_of_all_levels_are_those_of_the_curve(spark):
+    gt, pred = boxes(spark, 5)
+    levels = [0.1, 0.3, 0.5]
+    both = pred.withColumn("m", F.lit("a")).unionByName(pred.filter("idx < 3").withColumn("m", F.lit("b")))
+    hits, n_gt = E.matched(gt, both, levels, ["m"]), gt.agg(F.count("*").alias("n_gt"))
+    got = {(r["m"], r["threshold"]): r for r in E.level_areas(hits, n_gt, ["m"], levels, 40).collect()}
+    assert len(got) == 6
+    for m in "ab":
+        for t in levels:
+            alone = E.match_detections(gt, both.filter(F.col("m") == m), [t])
+            want = E.average_precision(E.pr_curve(alone, n_gt, [], 10_000), []).first()
+            assert [got[m, t][c] for c in ("ap", "recall", "precision")] == pytest.approx([want[c] for c in ("ap", "recall", "precision")])
+
+
 def test_matching_in_small_batches(spark):
     gt, pred = boxes(spark, 9)
     want = set(map(tuple, E.matched(gt, pred, [0.2, 0.4]).collect()))
@@ -32,6 +47,18 @@ def test_matching_in_small_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_matching_orders_predictions_once(spark):
+    gt, pred = boxes(spark, 1)
+    calls, real = [], E.kept
+    E.kept = lambda df, name: calls.append((name, df.columns)) or real(df, name)
+    try:
+        rows = E.detection_metrics(gt, pred).collect()
+    finally:
+        E.kept = real
+    assert len(rows) == len(E.THRESHOLDS)
+    assert all("threshold" not in columns for _, columns in calls)  # no row for each prediction and threshold is written
+
+
 def test_boxes_are_shuffled_by_uid_once(spark):
     rows = [(k % 9, k % 50, k % 7, k % 3, 1.0 * k, 2.0) for k in range(99)]
     table = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_quantity double")
