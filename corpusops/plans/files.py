@@ -188,7 +188,8 @@ def sink_coco(t: Inputs):
     images = t.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("uid")).distinct()
     boxes = t.view("v_boxes_pred").withColumn("label", F.concat(F.lit("c"), "cls"))
     kinds = t.view("v_boxes_gt").select(F.col("cls").alias("id")).distinct().filter("id < 20").withColumn("name", F.concat(F.lit("c"), "id"))
-    path = io.write_coco(images, io.coco_annotations(boxes, images, kinds), kinds, io.scratch(t.spark, "coco-sink"))
+    # there are at most 20 kinds: broadcast, so that boxes stay dealt by uid
+    path = io.write_coco(images, io.coco_annotations(boxes, images, F.broadcast(kinds)), kinds, io.scratch(t.spark, "coco-sink"))
     back = io.read_jsonl(t.spark, f"{path}/annotations", "id LONG, image_id LONG, category_id LONG, bbox ARRAY<DOUBLE>, area DOUBLE, score DOUBLE")
     return back.select("id", "image_id", "category_id", *[F.col("bbox")[i].alias(c) for i, c in enumerate("xywh")], "area", "score")
 

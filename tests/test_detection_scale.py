@@ -66,3 +66,16 @@ def test_boxes_are_shuffled_by_uid_once(spark):
     t.table = lambda name: table
     counted = t.view("v_boxes_gt").groupBy("uid").agg(F.count("*"))
     assert plan_of(counted).count("Exchange hashpartitioning") == 1
+
+
+def test_coco_annotations_are_not_dealt_by_label(spark, monkeypatch):
+    from corpusops.plans import files
+
+    seen, real = [], files.io.write_coco
+    monkeypatch.setattr(files.io, "write_coco", lambda images, annotations, *rest: seen.append(plan_of(annotations)) or real(images, annotations, *rest))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files.sink_coco(Inputs(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(label" not in seen[0]
