@@ -12,6 +12,8 @@ WEBP_NAME, WEBP_LOSSY, WEBP_LOSSLESS, WEBP_EXTENDED = "57454250", "56503820", "5
 TIFF_WIDTH, TIFF_HEIGHT, TIFF_SHORT = 256, 257, 3
 #: A JPEG's frame header comes after others; so many of them are passed.
 SEGMENTS = 4096
+#: Bytes from a JPEG's start, and from a TIFF's first directory, that a size is read from; bytes that tell an end.
+JPEG_REACH, TIFF_REACH, TAIL = SEGMENTS * 65_537 + 16, 2 + 12 * 65_535, 8
 
 
 def _hex(c: Column, at, n: int) -> Column:
@@ -79,16 +81,19 @@ def _webp(c: Column) -> Column:
     return F.when(kind == WEBP_LOSSY, lossy).when(kind == WEBP_LOSSLESS, lossless).when(kind == WEBP_EXTENDED, extended)
 
 
-def header(c: Column) -> Column:
+def header(c: Column, size: Column | None = None, end: Column | None = None) -> Column:
     """struct(format, width, height, error) of image bytes: PNG, JPEG, GIF, BMP, TIFF, WebP.
 
+    c may have the header only, if the file's size and its last TAIL bytes are given as size and end.
+
     The error says what is wrong: no content, no known format, a header that ends early or says no size, or a file that
     ends before its format's end; in the last case the size is known nevertheless.
     """
-    n = F.length(c)
+    n = F.length(c) if size is None else size
+    end, last = (c, n) if end is None else (end, F.length(end))
     is_ = {k: _hex(c, 0, len(m) // 2) == m for k, m in MAGIC.items()}
     webp = is_["webp"] & (_hex(c, 8, 4) == WEBP_NAME)
-    size = (
+    found = (
         F.when(is_["png"], _size(big(c, 16, 4), big(c, 20, 4)))
         .when(is_["jpeg"], _jpeg(c))
         .when(is_["gif"], _size(little(c, 6, 2), little(c, 8, 2)))
@@ -100,7 +105,7 @@ def header(c: Column) -> Column:
     kind = F.when(webp, "webp")
     for k in ("tiff-be", "tiff-le", "bmp", "gif", "jpeg", "png"):
         kind = F.when(is_[k], k.split("-")[0]).otherwise(kind)
-    tail = lambda h: _hex(c, F.greatest(n - len(h) // 2, F.lit(0)), len(h) // 2) == h
+    tail = lambda h: _hex(end, F.greatest(last - len(h) // 2, F.lit(0)), len(h) // 2) == h
     whole = (
         F.when(kind == "png", tail(PNG_END)).when(kind == "jpeg", tail(JPEG_END)).when(kind == "gif", tail(GIF_END))
         .when(kind == "bmp", little(c, 2, 4) <= n).when(kind == "webp", little(c, 4, 4) + 8 <= n).otherwise(F.lit(True))
@@ -115,4 +120,4 @@ def header(c: Column) -> Column:
             .when(~F.coalesce(whole, F.lit(False)), F.concat(kind, F.lit(": file is cut off"))).alias("error"),
         )
 
-    return F.get(F.transform(F.array(size), said), F.lit(0))  # a one-element array names the size
+    return F.get(F.transform(F.array(found), said), F.lit(0))  # a one-element array names the size

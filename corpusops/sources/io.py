@@ -131,13 +131,24 @@ def write_joined(sections: list[tuple[str, DataFrame]], end: str, path: str) ->
     return path
 
 
-def read_binary(spark: SparkSession, path: str, suffixes: str = "*") -> DataFrame:
-    """(path, name, size, sha256, format, width, height, error) of each file, read once; what is no whole image has an
-    error that says why."""
+def read_binary(spark: SparkSession, path: str, suffixes: str = "*", whole: int = 1 << 28) -> DataFrame:
+    """(path, name, size, sha256, format, width, height, error) of each file; what is no whole image has an error that
+    says why. Files up to whole bytes are read once, in a row each, larger ones by ranges (`large_files`) - but for packed
+    files, which Spark's text source would unpack."""
     from ..functions.images import header
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffixes).load(path)
-    rows = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), header(F.col("content")).alias("h"))
+    from .large import PACKED, large_files, resumable
+
+    options = {"recursiveFileLookup": True, "pathGlobFilter": suffixes}
+    files = spark.read.format("binaryFile").options(**options).load(path)
+    large, packed = F.col("_metadata.file_size") > whole, F.col("_metadata.file_path").rlike(PACKED)
+    own = lambda df: df.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), header(F.col("content")).alias("h"))
+    # filters on metadata choose files before these are opened
+    if resumable() and files.filter(large & ~packed).select("path").limit(1).count():
+        lines = spark.read.options(lineSep="\n", **options).text(path)
+        rows = own(files.filter(~large)).unionByName(own(files.filter(large & packed))).unionByName(large_files(lines, whole))
+    else:
+        rows = own(files)
+    rows = rows.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256", "h.format", "h.width", "h.height", "h.error")
 
 
