@@ -22,7 +22,6 @@ an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 
@@ -40,39 +39,41 @@ WINDOW, SHORTEST, PLAIN, ENOUGH, SHARE, LIMIT = 8, 5, 4, 13, 0.5, 2_000_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec secs min mins h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds dollar dollars euro euros cent cents percent degree degrees".split())
 NUMBER = re.compile(r"[+-]?[\d.,:/%$€£-]*\d[\d.,:/%$€£-]*")
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
+KEYS = ("benchmark-words1", "benchmark-words2")
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Words whose forms and hashes a worker remembers from batch to batch.
+#: Words whose forms a worker remembers from batch to batch.
 MEMO, REMEMBERED = {}, 300_000
 
 
-def _hash(word: str) -> tuple[int, int]:
-    d = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
+def _hashes(words: list[str], key: str) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, object), hash_key=key, categorize=False)
 
 
 def _word(raw: str) -> tuple[str, int, bool]:
     """Plain form, kind (0 nothing, 1 plain, 2 number, 3 unit, 4 a name unless it begins a sentence), ends a sentence."""
-    end = raw.rstrip("\"')]}").endswith((".", "!", "?"))
-    core = raw.strip("\"'()[]{}<>.,;:!?*#&|_~`")
-    core = "".join(c for c in core if not unicodedata.category(c).startswith("P")) if not NUMBER.fullmatch(core) else core
-    if not any(map(str.isalnum, core)):
-        return "", 0, end
-    if NUMBER.fullmatch(core):
-        return core, 2, end
+    # letters are no punctuation and no numbers
+    end = not raw.isalpha() and raw.rstrip("\"')]}").endswith((".", "!", "?"))
+    core = raw if raw.isalpha() else raw.strip("\"'()[]{}<>.,;:!?*#&|_~`")
+    if not core.isalpha():
+        if not NUMBER.fullmatch(core):
+            core = "".join(c for c in core if not unicodedata.category(c).startswith("P"))
+        if not any(map(str.isalnum, core)):
+            return "", 0, end
+        if NUMBER.fullmatch(core):
+            return core, 2, end
     plain = core.lower()
     if plain in UNITS:
         return plain, 3, end
     return plain, 4 if core[:1].isupper() and core[1:].islower() else 1, end
 
 
-def _known(words: list[str]) -> list[tuple]:
-    """Plain form, kind, end of sentence, two hashes of the plain form, of each word."""
+def _known(words: list[str]) -> list[tuple[str, int, bool]]:
+    """_word of each word."""
     out = []
     for raw in words:
         found = MEMO.get(raw)
         if found is None:
-            plain, kind, end = _word(raw)
-            found = (plain, kind, end, *_hash(plain))
+            found = _word(raw)
             if len(raw) <= 64:
                 if len(MEMO) >= REMEMBERED:
                     MEMO.clear()
@@ -81,8 +82,16 @@ def _known(words: list[str]) -> list[tuple]:
     return out
 
 
-def windows_of(texts: pa.Array, sizes: tuple[int, ...] = (WINDOW,)):
-    """For each window that counts: row of its text, size, two hashes, and the function that gives its slots.
+def _sieve(keep: np.ndarray) -> np.ndarray:
+    """By the lowest bits of a hash, whether keep may have it."""
+    bits = np.zeros(1 << max(16, (8 * len(keep)).bit_length()), bool)
+    bits[keep & (len(bits) - 1)] = True
+    return bits
+
+
+def windows_of(texts: pa.Array, sizes: tuple[int, ...] = (WINDOW,), keep: np.ndarray | None = None, sieve: np.ndarray | None = None):
+    """For each size, of its windows that count and whose first hash is in keep, if that is given: place, row of the text,
+    place in the text, two hashes; and the function that gives the slots of a place.
 
     Negative sizes: windows of the words themselves, without placeholders, all of which count.
     """
@@ -93,53 +102,60 @@ def windows_of(texts: pa.Array, sizes: tuple[int, ...] = (WINDOW,)):
     known = _known(flat.dictionary.to_pylist())
     codes = flat.indices.to_numpy()
     row = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
-    column = lambda i, kind: np.fromiter((k[i] for k in known), kind, len(known))[codes] if len(codes) else np.zeros(0, kind)
-    kind, ends = column(1, np.int8), column(2, bool)
+    kinds = np.fromiter((k[1] for k in known), np.int8, len(known))
+    kind, ends = kinds[codes], np.fromiter((k[2] for k in known), bool, len(known))[codes]
     begins = np.ones(len(codes), bool)
     begins[1:] = ends[:-1] | (row[1:] != row[:-1])
     on = kind > 0
-    hashes = [column(3, np.uint64)[on], column(4, np.uint64)[on]]
     codes, row, kind, begins = codes[on], row[on], kind[on], begins[on]
     kind = np.where((kind == 4) & begins, 1, kind)
-    words = [h.copy() for h in hashes]
-    for k, name in ((2, NUM), (3, UNIT), (4, NAME)):
-        for h, value in zip(hashes, _hash(name)):
-            h[kind == k] = np.uint64(value)
+    places = {2: NUM, 3: UNIT, 4: NAME}
+    forms = [k[0] for k in known]
+    tables = [_hashes([*forms, *places.values()], key) for key in KEYS]
+    held = np.select([kind == k for k in places], [len(forms) + i for i in range(len(places))], codes)
     plain = np.concatenate([[0], np.cumsum(kind == 1)])
-    for sign in sizes:
-        size = abs(sign)
-        n = len(codes) - size + 1
-        if n <= 0:
-            continue
-        made = []
-        for p, h in zip((P, Q), hashes if sign > 0 else words):
-            out = np.zeros(n, np.uint64)
+    for sign in (1, -1):
+        of = held if sign > 0 else codes
+        wanted = {abs(s) for s in sizes if s * sign > 0}
+        hashes = tables[0][of] if wanted else None
+        out = np.zeros(len(of), np.uint64)
+        for size in range(1, min(max(wanted, default=0), len(of)) + 1):
+            # the hash of a window is that of the one shorter by a word, carried on
+            n = len(of) - size + 1
+            out = out[:n]
+            np.multiply(out, P, out=out)
+            out += hashes[size - 1 :]
+            if size not in wanted:
+                continue
+            h = out.view(np.int64)
+            at = np.arange(n) if keep is None else np.flatnonzero(sieve[h & (len(sieve) - 1)])
+            if keep is not None and len(at):
+                at = at[keep[np.minimum(np.searchsorted(keep, h[at]), len(keep) - 1)] == h[at]]
+            at = at[row[at] == row[at + size - 1]]
+            if sign > 0:
+                at = at[plain[at + size] - plain[at] >= min(PLAIN, size)]
+            second = np.zeros(len(at), np.uint64)
             for i in range(size):
-                out = out * p + h[i : n + i]
-            made.append(out.view(np.int64))
-        ok = row[:n] == row[size - 1 :]
-        if sign > 0:
-            ok &= plain[size:] - plain[:n] >= min(PLAIN, size)
+                second = second * Q + tables[1][of[at + i]]
 
-        def slots(i: int, sign: int = sign) -> list[str]:
-            return [known[codes[j]][0] for j in range(i, i + sign) if kind[j] > 1]
+            def slots(i: int, words: int = size if sign > 0 else 0) -> list[str]:
+                return [forms[codes[j]] for j in range(i, i + words) if kind[j] > 1]
 
-        yield sign, np.flatnonzero(ok), row[:n], *made, slots
+            yield sign * size, at, row[at], at - np.searchsorted(row, row[at]), h[at], second.view(np.int64), slots
 
 
 def _windows(sizes: tuple[int, ...], keep):
     def run(batches):
+        hashes = keep.value if keep is not None else None
+        if hashes is not None and not len(hashes):
+            return
+        sieve = _sieve(hashes) if hashes is not None else None
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                for size, ok, row, h, h2, slots in windows_of(part.column("text"), sizes):
-                    if keep is not None:
-                        hashes = keep.value
-                        if not len(hashes):
-                            continue
-                        ok = ok[hashes[np.minimum(np.searchsorted(hashes, h[ok]), len(hashes) - 1)] == h[ok]]
-                    if len(ok):
-                        yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row[ok])), pa.array(np.full(len(ok), size, np.int32)), pa.array(h[ok]), pa.array(h2[ok]), pa.array([slots(i) for i in ok.tolist()], pa.list_(pa.string())), pa.array(ok - np.searchsorted(row, row[ok]), pa.int64())], names=["id", "size", "h", "h2", "slots", "at"])
+            for start in range(0, len(batch), 512):
+                part = batch.slice(start, 512)
+                for size, found, row, at, h, h2, slots in windows_of(part.column("text"), sizes, hashes, sieve):
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(np.full(len(found), size, np.int32)), pa.array(h), pa.array(h2), pa.array([slots(i) for i in found.tolist()], pa.list_(pa.string())), pa.array(at, pa.int64())], names=["id", "size", "h", "h2", "slots", "at"])
 
     return run
 
