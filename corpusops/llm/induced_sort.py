@@ -27,30 +27,37 @@ class Queues:
 
     def __init__(self, folder: str, name: str, memory: int):
         self.path, self.memory, self.held = f"{folder}/{name}", memory, 0
-        self.parts: dict[int, list[np.ndarray]] = {}
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.files: set[int] = set()
         self.kind = np.dtype([("at", np.int64), ("lcp", np.uint8)])
 
     def push(self, byte: int, at: np.ndarray, lcp: np.ndarray) -> None:
-        rows = np.empty(len(at), self.kind)
-        rows["at"], rows["lcp"] = at, lcp
-        self.parts.setdefault(byte, []).append(rows)
-        self.held += rows.nbytes
+        self.parts.setdefault(byte, []).append((at, lcp.copy()))  # the caller goes on with its own
+        self.held += at.nbytes + lcp.nbytes
         if self.held > self.memory:
             for b, parts in self.parts.items():
+                self.files.add(b)
                 with open(f"{self.path}-{b}", "ab") as out:
-                    for part in parts:
-                        part.tofile(out)
+                    for at, lcp in parts:
+                        rows = np.empty(len(at), self.kind)
+                        rows["at"], rows["lcp"] = at, lcp
+                        rows.tofile(out)
             self.parts, self.held = {}, 0
 
     def pop(self, byte: int) -> tuple[np.ndarray, np.ndarray]:
-        file = f"{self.path}-{byte}"
-        parts = [np.fromfile(file, self.kind)] if os.path.exists(file) else []
-        if parts:
+        parts = []
+        if byte in self.files:
+            file = f"{self.path}-{byte}"
+            rows = np.fromfile(file, self.kind)
             os.unlink(file)
+            self.files.remove(byte)
+            parts.append((rows["at"], rows["lcp"]))
         mine = self.parts.pop(byte, [])
-        self.held -= sum(p.nbytes for p in mine)
-        rows = np.concatenate([*parts, *mine]) if parts or mine else np.empty(0, self.kind)
-        return rows["at"], rows["lcp"]
+        self.held -= sum(at.nbytes + lcp.nbytes for at, lcp in mine)
+        parts += mine
+        if not parts:
+            return np.empty(0, np.int64), np.empty(0, np.uint8)
+        return tuple(map(np.concatenate, zip(*parts)))
 
 
 def types(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +81,7 @@ def names(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
         for i in range(7):
             inside = sizes[active] > step + i
             word = (word << np.uint64(9)) | np.where(inside, letters[np.minimum(lms[active] + step + i, len(letters) - 1)], np.uint64(0))
-        order = np.lexsort((word, rank[active]))
+        order = np.lexsort((word, rank[active])) if step else np.argsort(word)
         r, w = rank[active][order], word[order]
         new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])
         # ranks leave room: a rank is the place of its first member among all
@@ -101,7 +108,7 @@ def order_of(rank: np.ndarray, steps: int) -> np.ndarray:
             return order
         follow = np.full(n, -1, np.int64)
         follow[:-have] = rank[have:]
-        order = np.lexsort((follow, rank))
+        order = np.argsort(rank * (n + 1) + follow + 1)  # ranks are below n
         new = np.concatenate([[True], (rank[order][1:] != rank[order][:-1]) | (follow[order][1:] != follow[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))

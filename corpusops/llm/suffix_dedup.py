@@ -45,8 +45,9 @@ SPAN = SIZE - GRAM + 1
 NEAR = SPAN // 2
 SIDE = SIZE - NEAR
 SHARDS, SHARD = 64, 4_000_000
-PART = 30_000
+PART = 10_000
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+POWER, UPPER = np.uint64(pow(int(P), GRAM, 1 << 64)), np.uint64(0xFFFFFFFF00000000)
 LAST = (1 << 63) - 1
 
 
@@ -76,34 +77,42 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes, and first and last start of the 50-byte strings that each anchor of a text stands for."""
+def _anchors(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Positions, hashes, first and last start of the 50-byte strings that each anchor stands for; unmixed hashes of all
+    16-byte strings."""
     n = len(x) - SIZE + 1
     if n <= 0:
         e = np.zeros(0, np.int64)
-        return e, e.astype(np.uint64), e, e
-    h = _mix(_grams(x, GRAM, P))
-    # leftmost least hash of each run of SPAN: minima of blocks of powers of two, hashes keep their place in low bits
-    best, have = np.arange(len(h)), 1
+        return e, e.astype(np.uint64), e, e, e.astype(np.uint64)
+    grams = _grams(x, GRAM, P)
+    h = _mix(grams)
+    # leftmost least hash (of its upper 32 bits) of each run of SPAN: minima of blocks of powers of two, places in the low bits
+    best, have = (h & UPPER) | np.arange(len(h), dtype=np.uint64), 1
     while have * 2 <= SPAN:
-        a, b = best[:-have], best[have:]
-        best = np.where(h[b] < h[a], b, a)
+        best = np.minimum(best[:-have], best[have:])
         have *= 2
-    a, b = best[:n], best[SPAN - have : SPAN - have + n]
-    at = np.where(h[b] < h[a], b, a)
+    at = (np.minimum(best[:n], best[SPAN - have : SPAN - have + n]) & ~UPPER).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     last = np.concatenate([first[1:], [n]]) - 1
-    return at[first], h[at[first]], first, last
+    return at[first], h[at[first]], first, last, grams
+
+
+def anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, hashes, and first and last start of the 50-byte strings that each anchor of a text stands for."""
+    return _anchors(x)[:4]
 
 
 def sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of what must repeat with a 50-byte string, and twice the position of the anchor, plus 1 for the left side."""
-    at, _, first, last = anchors(x)
+    at, _, first, last, grams = _anchors(x)
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = _mix(_grams(x, SIDE, P))
+
+    def h(i: np.ndarray) -> np.ndarray:  # the hash of SIDE bytes, from those of two times GRAM and of one more
+        return _mix((grams[i] * POWER + grams[i + GRAM]) * P + (x[i + 2 * GRAM].astype(np.uint64) + np.uint64(1)))
+
     right, left = at[at - last <= NEAR], at[at - first > NEAR]
-    return np.concatenate([h[right], _mix(h[left - NEAR] + Q)]), np.concatenate([right * 2, left * 2 + 1])
+    return np.concatenate([h(right), _mix(h(left - NEAR) + Q)]), np.concatenate([right * 2, left * 2 + 1])
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
@@ -114,6 +123,17 @@ def _unpack(x: bytes, kind=np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def _pack_steps(x: np.ndarray) -> bytes:
+    """Whole numbers as differences, byte by byte: the first bytes of all, the second bytes of all, and so on."""
+    steps = np.diff(x, prepend=x.dtype.type(0))
+    return _pack(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, x.itemsize).T))
+
+
+def _unpack_steps(x: bytes, kind) -> np.ndarray:
+    planes = _unpack(x).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+
+
 def _said(x: np.ndarray | bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of what stands in spans of a text."""
     view = memoryview(x)
@@ -123,7 +143,7 @@ def _said(x: np.ndarray | bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _zip(batches):
     """Texts compressed, and a hash by which whole copies meet."""
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack.compress(t) for t in raw], pa.binary()), pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary())], names=["doc_id", "zipped", "whole"])
 
@@ -145,11 +165,13 @@ def _known(h: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def _dealt(shard: np.ndarray, h: np.ndarray, docs: np.ndarray, at: np.ndarray, known: bool) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((h, shard))
+    """A row a shard. Places stay in order of documents, in which they pack well."""
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
     shard, h, docs, at = shard[order], h[order], docs[order], at[order]
     cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(h)]])
-    packed = [pa.array([None if c is None else _pack(c[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for c in (None if known else _short(h), docs, at)]
-    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), *packed], names=["shard", "h", "docs", "at"])
+    each = lambda pack, c: pa.array([pack(c[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+    hashes = pa.nulls(len(cuts) - 1, pa.binary()) if known else each(_pack, _short(h))
+    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), hashes, each(_pack_steps, docs), each(_pack_steps, at)], names=["shard", "h", "docs", "at"])
 
 
 def _by_doc(docs: np.ndarray, shards: int) -> np.ndarray:
@@ -162,15 +184,15 @@ def _deal(shards: int):
     def run(batches):
         for batch in (b.slice(i, 2000) for b in batches for i in range(0, len(b), 2000)):
             found = []
-            for doc, x in _texts(batch):
+            for doc, x in _texts(batch.sort_by("doc_id")):
                 h, at = sides(x)
                 found.append((h, np.full(len(at), doc, np.int64), at.astype(np.int32)))
             h, docs, at = (np.concatenate(c) for c in zip(*found)) if found else ([], [], [])
             if not len(h):
                 continue
-            order = np.lexsort((docs, h))
-            h, docs, at = h[order], docs[order], at[order]
-            known = _known(h, docs)
+            order = np.argsort(h, kind="stable")  # documents rise already
+            known = np.empty(len(h), bool)
+            known[order] = _known(h[order], docs[order])
             rest = ~known
             yield from _dealt((h[rest] >> np.uint64(40)).astype(np.int64) % shards, h[rest], docs[rest], at[rest], False)
             if known.any():
@@ -180,8 +202,8 @@ def _deal(shards: int):
 
 
 def _short(h: np.ndarray) -> np.ndarray:
-    """The upper 40 bits of each hash: a chance match only makes a candidate."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    """The lower 32 bits of each hash, whose upper bits chose the shard: a chance match only makes a candidate."""
+    return h.astype("<u4")
 
 
 def _places(docs: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -200,20 +222,17 @@ def _repeated(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Ite
     h, docs, at = [], [], []
     for batch in rows:
         for r in batch.select(["h", "docs", "at"]).to_pylist():
-            own, places = _unpack(r["docs"], np.int64), _unpack(r["at"], np.int32)
+            own, places = _unpack_steps(r["docs"], np.int64), _unpack_steps(r["at"], np.int32)
             if r["h"] is None:
                 yield from _places(own, places)
                 continue
-            h.append(_unpack(r["h"]))
+            h.append(_unpack(r["h"], "<u4"))
             docs.append(own)
             at.append(places)
     if not h:
         return
-    raw = np.concatenate(h).reshape(-1, 5)
-    h = np.zeros((len(raw), 8), np.uint8)
-    h[:, :5] = raw
-    h, docs, at = h.view("<u8").ravel(), np.concatenate(docs), np.concatenate(at)
-    order = np.argsort(h, kind="stable")
+    h, docs, at = (np.concatenate(c) for c in (h, docs, at))
+    order = np.argsort(h)
     h, docs, at = h[order], docs[order], at[order]
     start = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
     several = np.minimum.reduceat(docs, start) < np.maximum.reduceat(docs, start)
@@ -230,40 +249,51 @@ def _surroundings(shards: int):
 
     def run(batches):
         for batch in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
-            entries: dict[tuple[int, bytes], list] = {}
+            seen: dict[bytes, int] = {}  # a surrounding has one anchor, so its text names it
+            ids, found = [], []
             some = batch.column("some").to_pylist()
             for (doc, x), wanted in zip(_texts(batch), some):
                 at, h, first, last = anchors(x)
-                wanted = np.concatenate([np.frombuffer(w, np.int32) for w in wanted])
-                right, left = np.isin(at * 2, wanted), np.isin(at * 2 + 1, wanted)
+                asked = np.zeros(2 * len(x) + 2, bool)
+                for w in wanted:
+                    places = np.frombuffer(w, np.int32)
+                    asked[places[places < len(asked)]] = True  # others are of another text with this doc_id
+                right, left = asked[at * 2], asked[at * 2 + 1]
                 # starts up to NEAR before the anchor need the right side, others the left
                 first = np.where(left, first, np.maximum(first, at - NEAR))
                 last = np.where(right, last, np.minimum(last, at - NEAR - 1))
                 on = (right | left) & (first <= last)
-                text = x.tobytes()
-                for a, k, i, j in zip(at[on].tolist(), h[on].tolist(), first[on].tolist(), last[on].tolist()):
-                    entries.setdefault((k, text[i : j + SIZE]), []).append((doc, i))
-            by_shard: dict[int, list] = {}
-            lost = []
-            for (k, text), members in entries.items():
-                if len(members) > 1 and (least := min(members)[0]) != max(members)[0]:
-                    check = int(_said(text, np.array([0]), np.array([len(text)]))[0])
-                    lost += [(doc, i, len(text), check) for doc, i in members if doc != least]
-                    members = [m for m in members if m[0] == least]
-                by_shard.setdefault((k >> 40) % shards, []).append((k, text, members))
-            for shard, rows in by_shard.items():
-                counts = np.array([len(m) for _, _, m in rows], np.int32)
-                flat = np.array([m for _, _, ms in rows for m in ms], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), *[pa.array([_pack(c)], pa.binary()) for c in (np.array([k for k, _, _ in rows], np.uint64), b"".join(t for _, t, _ in rows), np.array([len(t) for _, t, _ in rows], np.int32), counts, np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.int32))]],
-                    names=AROUND,
-                )
+                first, last, text = first[on], last[on], x.tobytes()
+                ids += [seen.setdefault(text[i:j], len(seen)) for i, j in zip(first.tolist(), (last + SIZE).tolist())]
+                found.append((h[on], np.full(len(first), doc, np.int64), first.astype(np.int32)))
+            if not ids:
+                continue
+            texts, ids = list(seen), np.array(ids, np.int64)
+            h, docs, starts = (np.concatenate(c) for c in zip(*found))
+            of, sizes = np.empty(len(texts), np.uint64), np.fromiter(map(len, texts), np.int32, len(texts))
+            of[ids] = h
+            least = np.full(len(texts), LAST)
+            np.minimum.at(least, ids, docs)
+            gone = docs > least[ids]
+            lost = (docs[gone], starts[gone], ids[gone]) if gone.any() else None
+            order = np.flatnonzero(~gone)[np.argsort(ids[~gone], kind="stable")]
+            counts = np.bincount(ids[~gone], minlength=len(texts))
+            member = np.cumsum(counts) - counts
+            shard = ((of >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+            dealt = np.argsort(shard, kind="stable")
+            for e in np.split(dealt, np.flatnonzero(np.diff(shard[dealt])) + 1):
+                own = order[ragged(member[e], counts[e])]
+                packed = [of[e], b"".join(texts[k] for k in e.tolist()), sizes[e], counts[e].astype(np.int32), docs[own], starts[own]]
+                yield pa.RecordBatch.from_arrays([pa.array([shard[e[0]]], pa.int32()), *[pa.array([_pack(c)], pa.binary()) for c in packed]], names=AROUND)
             if lost:
-                docs, starts, sizes, checks = np.array(lost, np.int64).T
+                docs, starts, ids = lost
+                distinct, place = np.unique(ids, return_inverse=True)
+                checks = np.fromiter((xxhash.xxh3_64_intdigest(texts[k]) for k in distinct.tolist()), np.uint64, len(distinct)).view(np.int64)[place]
+                sizes = sizes[ids]
                 to = _by_doc(docs, shards)
                 for shard in np.unique(to).tolist():
                     on = to == shard
-                    packed = {"docs": docs[on], "starts": starts[on].astype(np.int32), "sizes": sizes[on].astype(np.int32), "texts": checks[on]}
+                    packed = {"docs": docs[on], "starts": starts[on], "sizes": sizes[on], "texts": checks[on]}
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([_pack(packed[c]) if c in packed else None], pa.binary()) for c in AROUND[1:]]], names=AROUND)
 
     return run
@@ -355,7 +385,7 @@ def _part(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
         out = []
         for (_, x), spans, copy in zip(_texts(batch), batch.column("spans").to_pylist(), batch.column("copy").to_pylist()):
             mark = np.zeros(len(x) + 1, np.int32)
