@@ -61,9 +61,9 @@ def _unplace(at: str) -> list:
     return [doc.cast("long").alias("doc_id"), (F.col(at) - doc * F.lit(1 << 31).cast("decimal(10,0)")).cast("int").alias("line_no")]
 
 
-def _hash_at(i: str = "i"):
-    """Hash of the shingle at i of u, a line of four bytes a character."""
-    return F.expr(f"xxhash64(substring(u, 4 * {i} + 1, {4 * SHINGLE}))")
+def _hash_at(at: str = "at"):
+    """Hash of the shingle from byte `at`, counted from 1, of u, a line of four bytes a character."""
+    return F.expr(f"xxhash64(substring(u, {at}, {4 * SHINGLE}))")
 
 
 def _constants() -> list[int]:
@@ -72,21 +72,24 @@ def _constants() -> list[int]:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(a, b, rate, k0...): band keys of each distinct line of at least MIN_CHARS, at one or two sampling rates."""
-    n = F.char_length("line")
-    rates = F.when(n < MIN_CHARS, F.array().cast("array<int>")).when(n < OVERLAPS[0][0], F.array(F.lit(0)))
+    # what is needed of each shingle is made once a line, as a column of its own
+    n = F.col("n")
+    rates = F.when(n < MIN_CHARS, F.lit(None).cast("array<int>")).when(n < OVERLAPS[0][0], F.array(F.lit(0)))
     for r, (low, high) in enumerate(OVERLAPS):
         rates = rates.when(n < high, F.array(F.lit(r), F.lit(r + 1)))
         if r + 1 < len(OVERLAPS):
             rates = rates.when(n < OVERLAPS[r + 1][0], F.array(F.lit(r + 1)))
     rates = rates.otherwise(F.array(F.lit(len(OVERLAPS))))
-    rows = lines.select("a", "b", F.encode("line", "UTF-32").alias("u"), F.explode(rates).alias("rate"))
-    at = F.explode(F.sequence(F.lit(0), (F.octet_length("u") / 4).cast("int") - SHINGLE)).alias("i")
+    rows = lines.select("a", "b", "line", F.char_length("line").alias("n"))
+    # a null rate is dropped after the explosion; a filter on n would go below it and make the line again
+    rows = rows.select("a", "b", "n", F.encode("line", "UTF-32").alias("u"), F.explode_outer(rates).alias("rate")).filter("rate IS NOT NULL")
+    rows = rows.select("a", "b", "rate", F.expr("shiftleft(1L, 2 * rate) - 1").alias("mask"), "u", (4 * (n - SHINGLE) + 1).alias("last"))
+    at = F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4))).alias("at")
     # the task's number keeps the filter above the hash, which would else be made twice
-    rows = rows.select("a", "b", "rate", "u", at).select("a", "b", "rate", "i", _hash_at().alias("h"), F.spark_partition_id().alias("task"))
-    mask = F.expr("shiftleft(1, 2 * rate) - 1").cast("long")
-    sampled = F.col("h").bitwiseAND(mask) == 0
+    rows = rows.select("a", "b", "rate", "mask", "u", at).select("a", "b", "rate", "mask", "at", _hash_at().alias("h"), F.spark_partition_id().alias("task"))
+    sampled = F.col("h").bitwiseAND(F.col("mask")) == 0
     # of the two lowest bits, which the sample sets, nothing remains; bit 62 marks what is not sampled
-    rows = rows.filter((sampled | (F.col("i") < STAND_IN)) & (F.col("task") >= 0)).select("a", "b", "rate", F.shiftrightunsigned("h", 2).bitwiseOR(F.when(sampled, F.lit(0).cast("long")).otherwise(F.lit(1 << 62))).alias("h"))
+    rows = rows.filter((sampled | (F.col("at") <= 4 * STAND_IN)) & (F.col("task") >= 0)).select("a", "b", "rate", F.shiftrightunsigned("h", 2).bitwiseOR(F.when(sampled, F.lit(0).cast("long")).otherwise(F.lit(1 << 62))).alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_constants())]
     out = rows.groupBy("a", "b", "rate").agg(*minima)
     return out.select("a", "b", "rate", *[F.xxhash64(F.lit(k), F.col("rate"), *[f"m{k * ROWS + i}" for i in range(ROWS)]).alias(f"k{k}") for k in range(BANDS)])
@@ -113,7 +116,8 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node", "a", "b")).alias("wanted"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     lines = texts.join(by_doc, "doc_id").select("wanted", F.split("text", "\n", -1).alias("lines"))
-    lines = lines.select(F.explode(F.transform("wanted", lambda w: F.struct(w["node"].alias("node"), w["a"].alias("wa"), w["b"].alias("wb"), F.lower(F.trim(F.get("lines", w["line_no"]))).alias("line")))).alias("w")).select("w.*")
+    # the array is made in a step of its own: with a higher-order function inside, the explosion is interpreted row by row
+    lines = lines.select(F.transform("wanted", lambda w: F.struct(w["node"].alias("node"), w["a"].alias("wa"), w["b"].alias("wb"), F.lower(F.trim(F.get("lines", w["line_no"]))).alias("line"))).alias("found")).select(F.explode_outer("found").alias("w")).select("w.*")
     # rows that repeat a doc_id may have another line there
     lines = lines.select("*", *_names("line")).filter("a = wa AND b = wb")
     return lines.select("node", "line").dropDuplicates(["node"])
@@ -128,7 +132,7 @@ def _shingles(line):
 
 def sketches(texts: DataFrame) -> DataFrame:
     """(node, n, p0...) of (node, line): number of shingles and parity sketch."""
-    rows = texts.select("node", F.explode(F.array_distinct(_shingles(F.col("line")))).alias("h"))
+    rows = texts.select("node", F.array_distinct(_shingles(F.col("line"))).alias("hashes")).select("node", F.explode_outer("hashes").alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
     word = F.shiftright("h", 6).bitwiseAND(WORDS - 1)
     parity = [F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"p{i}") for i in range(WORDS)]
@@ -179,8 +183,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(one, "a").join(two, "b")
     # the common part has no repeats
     shared = F.size(F.array_intersect(_shingles(F.col("line_a")), _shingles(F.col("line_b"))))
-    both = both.select("a", "b", "na", "nb", shared.alias("shared"))
-    return both.filter(F.col("shared") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-6).select("a", "b")
+    # shared >= SIMILAR * (na + nb - shared), with shared once: a filter makes it anew for each mention
+    return both.filter(shared * (1 + SIMILAR) >= SIMILAR * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
