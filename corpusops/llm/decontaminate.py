@@ -170,7 +170,8 @@ def _lengths(texts: pd.Series) -> pd.Series:
 def item_windows(items: DataFrame) -> DataFrame:
     """(id, size, h, h2, slots, at) of benchmark items (id, text); short items have one window of their own size."""
     n = F.pandas_udf(_lengths, "int")("text")
-    sized = items.select("id", "text", n.alias("n"))
+    # stored, as a task that sizes and cuts at once would take two Python workers, which then stay
+    sized = stored(items.select("id", "text", n.alias("n")), "benchmark-sized")
     parts = [sized.filter(F.col("n") >= WINDOW).select("id", "text").mapInArrow(_windows((WINDOW,), None), KIND)]
     parts += [sized.filter(F.col("n") == k).select("id", "text").mapInArrow(_windows((k,), None), KIND) for k in range(SHORTEST, WINDOW)]
     out = parts[0]
