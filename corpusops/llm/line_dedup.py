@@ -11,7 +11,7 @@ sample, the first ones stand in.) The sample only finds candidates: similarities
 
 Every pair of lines that share a bucket is verified or excluded by an exact bound: members are first compared with one
 member of the bucket, and the links' components computed; buckets of several components are compared with two more of
-their members, HUB_ROUNDS times or until none is left; then all pairs that are still of different components are compared, large buckets in blocks. Bounds are
+their members of another component, HUB_ROUNDS times or until none is left; then all pairs that are still of different components are compared, large buckets in blocks. Bounds are
 the ratio of set sizes, and the Hamming distance of 1,024-bit parity sketches, which is never more than the size of the symmetric difference. Pairs that pass and whose Jaccard similarity over the 64-bit
 hashes of all shingles is at least 0.8 are links; distributed connected components make groups; the first line of each
 group, by doc_id and line number, is kept.
@@ -140,11 +140,15 @@ def sketches(texts: DataFrame) -> DataFrame:
 
 
 def new_hubs(members: DataFrame, groups: DataFrame, salt: int) -> DataFrame:
-    """(key, node, x, y) for members of buckets of several components: two of the bucket's members by hash."""
-    named = members.select("key", "node").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    order = F.xxhash64("node", "key", F.lit(salt))
-    hubs = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.min_by("node", order).alias("x"), F.max_by("node", order).alias("y"))
-    return members.select("key", "node").join(hubs.filter("lo <> hi").select("key", "x", "y").repartition(parts(members)).hint("merge"), "key")
+    """(key, node, first, x, y) for members (key, node, first) of buckets of several components: two of the bucket's
+    members by hash. Null where the pair needs no look: of one component, or with the first, which all have been compared
+    with."""
+    named = members.join(groups, "node", "left").select("key", "node", "first", F.coalesce("component", "node").alias("group"))
+    order, end = F.xxhash64("node", "key", F.lit(salt)), F.struct("node", "group")
+    hubs = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.min_by(end, order).alias("x"), F.max_by(end, order).alias("y"))
+    both = named.join(hubs.filter("lo <> hi").select("key", "x", "y").repartition(parts(members)).hint("merge"), "key")
+    new = lambda hub: (F.col("group") != F.col(f"{hub}.group")) & (F.col("first") != F.col("node")) & (F.col("first") != F.col(f"{hub}.node"))
+    return both.select("key", "node", "first", *[F.when(new(hub), F.col(f"{hub}.node")).alias(hub) for hub in "xy"])
 
 
 def hub_pairs(members: DataFrame, made: DataFrame, hubs: list[str]) -> DataFrame:
@@ -191,11 +195,11 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): links that have the components of all pairs of similar lines in one bucket."""
     members = stored(buckets(nodes.filter("k0 IS NOT NULL")), "line-bands")
     involved = members.select("node").distinct()
-    texts = stored(texts_of(docs, nodes.dropDuplicates(["node"]).join(involved, "node", "left_semi")), "line-texts")
+    texts = stored(texts_of(docs, nodes.join(involved, "node", "left_semi").dropDuplicates(["node"])), "line-texts")
     made = stored(sketches(texts), "line-sketches")
     first = stored(verified(hub_pairs(members, made, ["x"]), texts), "line-links")
     groups = stored(components(first), "line-groups")
-    several = members.filter("size > 2")  # two that are not similar have been compared
+    several = members.filter("size > 2").select("key", "node", F.col("x").alias("first"))  # two that are not similar have been compared
     for k in range(HUB_ROUNDS):
         several = stored(new_hubs(several, groups, k), "line-hubs")
         if not several.limit(1).count():
