@@ -198,7 +198,8 @@ def _exact(texts: pd.Series) -> pd.Series:
 def short_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(id, item_id, ...) of items of under SHORTEST words and the documents that are nothing but the item: too little for
     a window, so all words must be the same. Texts of 64 pieces or more between blanks are no such documents."""
-    form = F.pandas_udf(_exact, "string")
+    # else the filter goes below and forms are made twice, by two Python workers a task, which then stay
+    form = F.pandas_udf(_exact, "string").asNondeterministic()
     of = lambda df: df.filter(F.size(F.split(F.trim("text"), r"\s+", 64)) < 64).withColumn("form", form("text")).filter("form IS NOT NULL")
     pairs = of(docs).select("id", "form").join(of(items).select(F.col("id").alias("item_id"), "form"), "form").select("id", "item_id").distinct()
     return pairs.select("id", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1).cast("long").alias("item_windows"), F.lit(1.0).alias("coverage"), F.lit(True).alias("slots_consistent"))

@@ -14,3 +14,11 @@ def test_benchmark_items_take_one_worker_a_task(spark, monkeypatch):
     assert any("MapInArrow" in p for p in plans) and any("ArrowEvalPython" in p for p in plans)
     assert not [p for p in plans if "MapInArrow" in p and "ArrowEvalPython" in p]
     assert {(r["id"], r["size"]) for r in out.select("id", "size").collect()} == {(1, 8), (2, 5), (3, -8)}
+
+
+def test_short_texts_take_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "Two words."), (2, "other words here"), (3, None)], "id long, text string")
+    items = spark.createDataFrame([(9, "two words")], "id long, text string")
+    out = D.short_matches(docs, items)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # one a side
+    assert [(r["id"], r["item_id"]) for r in out.collect()] == [(1, 9)]
